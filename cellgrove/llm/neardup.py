@@ -5,10 +5,10 @@ are one class; classes get 128 minima, of which the low two bits are kept as a s
 32 bands of four whole minima each. Classes that share a band are candidates; the share of equal
 two-bit minima, corrected for chance, picks those worth a look, and links are confirmed on full sets.
 
-Within a band's bucket not all pairs are made. First each class is held against one leader of its
-buckets, the links make components, and buckets whose classes are all in one component are done. In
-the others, pairs that join different components are tried best estimate first, until no pair across
-components that the estimate allows is left untried. Buckets are taken in blocks of bounded size.
+Not all pairs are made. First each class is held against one leader of its buckets, and the links make
+components. Buckets whose classes are all in one component are done; the classes of the others, taken
+together where they share buckets, are dealt into blocks of bounded weight, and block by block the pairs
+across components are confirmed until their components are joined or none is left.
 
 Null texts and texts without words have an empty set, are linked with nothing and are kept.
 component_id is the smallest doc_id that is reachable; null ids don't count for it, and a group of
@@ -164,66 +164,99 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _across(members: DataFrame, most: int | None, least: float, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) in one bucket and different components whose estimate is at least `least`; for each a and
-    component of b the `most` best of a block (None: all). members: band, nid, comp, sig."""
-    sized = members.join(members.groupBy("band").agg(F.count("*").alias("n")), "band").withColumn("blocks", F.ceil(F.col("n") / block))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "comp", "sig")
+def _blocks(members: DataFrame, weight: int) -> tuple[DataFrame, DataFrame]:
+    """members (gid, nid, comp, n) with a block each, and the pairs of blocks (gid, i, j) that hold different components.
+
+    A component heavier than `weight` has blocks of its own; the others of a group share blocks of about that weight."""
+    per_comp = members.groupBy("gid", "comp").agg(F.sum("n").alias("w"))
+    small = per_comp.where(F.col("w") <= weight).groupBy("gid").agg(F.sum("w").alias("small"))
+    sized = per_comp.join(small, "gid", "left").select("gid", "comp", (F.col("w") > weight).alias("big"), F.ceil(F.when(F.col("w") > weight, F.col("w")).otherwise(F.col("small")) / weight).alias("parts"))
+    dealt = members.join(sized, ["gid", "comp"]).withColumn("part", F.pmod(F.xxhash64(F.when(F.col("big"), F.col("nid")).otherwise(F.col("comp"))), F.col("parts")))
+    dealt = dealt.withColumn("block", F.when(F.col("big"), F.xxhash64("comp", "part")).otherwise(F.col("part"))).withColumn("own", F.when(F.col("big"), F.col("comp")))
+    blocks = dealt.groupBy("gid", "block").agg(F.first("own").alias("own"))
+    right = blocks.select("gid", F.col("block").alias("j"), F.col("own").alias("own_j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(right, "gid").where("i <= j AND NOT coalesce(own = own_j, false)").select("gid", "i", "j")
+    return dealt.select("gid", "block", "nid", "comp"), pairs
+
+
+def _joining_links(members: DataFrame, sets: DataFrame, percent: int, weight: int = 1_000_000) -> DataFrame:
+    """Confirmed links (a, b) that join components within the groups of members (gid, nid, comp, n, sig).
+
+    Every pair of a group in different components is held against the estimate and, if that allows, confirmed on
+    full sets, unless links found in the same block pair have joined their components."""
+    dealt, pairs = _blocks(members.drop("sig"), weight)
+    ends = pairs.select("gid", "i", "j", F.col("i").alias("block")).union(pairs.select("gid", "i", "j", F.col("j").alias("block"))).distinct()
+    full = dealt.join(ends, ["gid", "block"]).join(members.select("nid", "sig").distinct(), "nid").join(sets, "nid")
+    least = percent / 100 - SLACK
 
     def run(key, table):
-        nid, comp, own = (table.column(c).to_numpy() for c in ("nid", "comp", "own"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, 32)
+        table = table.combine_chunks()
+        nid, comp, block = (table.column(c).to_numpy() for c in ("nid", "comp", "block"))
         i, j = key[1].as_py(), key[2].as_py()
-        found = [np.zeros((0, 2), np.int64)]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, 32)
+        lists = table.column("shingles").combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        at = offsets - offsets[0]
+        size = np.diff(at)
+        _, group = np.unique(comp, return_inverse=True)
+        mark = np.zeros(int(column.max()) + 1 if len(column) else 1, bool)
+        found = []
         for r in range(len(nid)):
-            other = (comp != comp[r]) & (own == (j if own[r] == i else i))
-            at = np.flatnonzero(other)
-            if not len(at):
+            other = group != group[r]
+            other &= block == (j if block[r] == i else i)
+            other[: r if i == j else 0] = False
+            if i != j and block[r] != i:
                 continue
-            e = estimate(sig[at], sig[r])
-            at, e = at[e >= least], e[e >= least]
-            if most is not None and len(at) > most:
-                order = np.lexsort((nid[at], -e, comp[at]))
-                at = at[order]
-                start = np.flatnonzero(np.concatenate([[True], comp[at][1:] != comp[at][:-1]]))
-                at = at[np.arange(len(at)) - np.repeat(start, np.diff([*start, len(at)])) < most]
-            found.append(np.stack([np.minimum(nid[r], nid[at]), np.maximum(nid[r], nid[at])], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return dealt.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+            c = np.flatnonzero(other)
+            small, large = np.minimum(size[c], size[r]), np.maximum(size[c], size[r])
+            c = c[100 * small >= percent * large]
+            c = c[estimate(sig[c], sig[r]) >= least] if len(c) else c
+            if not len(c):
+                continue
+            mark[column[at[r] : at[r + 1]]] = True
+            for k in range(0, len(c), 4096):
+                some = c[k : k + 4096]
+                some = some[group[some] != group[r]]
+                if not len(some):
+                    continue
+                n = size[some]
+                start = np.cumsum(n) - n
+                both = np.add.reduceat(mark[column[np.arange(n.sum()) + np.repeat(at[some] - start, n)]].astype(np.int64), start)
+                for x in some[100 * both >= percent * (n + size[r] - both)].tolist():
+                    if group[x] != group[r]:
+                        found.append((int(nid[r]), int(nid[x])))
+                        group[group == group[x]] = group[r]
+            mark[column[at[r] : at[r + 1]]] = False
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union."""
     spark = docs.sparkSession
-    least = percent / 100 - SLACK
     rows = common.staged(spark, sketch(docs), "sketch")
-    classes = rows.where("nid IS NOT NULL").groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = rows.where("nid IS NOT NULL").groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = common.staged(spark, classes, "classes")
     single = classes.select("nid", F.explode("bands").alias("band"))
     shared = single.groupBy("band").agg(F.count("*").alias("n"), F.min("nid").alias("leader")).where("n > 1").drop("n")
     buckets = common.staged(spark, single.join(shared, "band"), "buckets")
-    sig = classes.select("nid", "sig")
     wanted = classes.join(buckets.select("nid").distinct(), "nid", "left_semi").select("nid", "doc_id")
     sets = common.staged(spark, _full_sets(docs, wanted), "sets")
 
     star = buckets.where("nid <> leader").groupBy("nid").agg(F.min("leader").alias("leader"))
     links = common.staged(spark, _confirmed(star.select(F.col("leader").alias("a"), F.col("nid").alias("b")), sets, percent), "links")
     comps = common.staged(spark, components(links), "comps")
-    for most in (1, 16, None):
-        with_comp = buckets.join(comps, "nid", "left").select("band", "nid", F.coalesce("comp", "nid").alias("comp"))
-        mixed = with_comp.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-        members = with_comp.join(mixed, "band", "left_semi").join(sig, "nid")
-        pairs = common.staged(spark, _across(members, most, least), "pairs")
-        if pairs.isEmpty():
-            break
-        new = common.staged(spark, _confirmed(pairs, sets, percent), "links")
+    with_comp = buckets.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    mixed = with_comp.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
+    near = common.staged(spark, with_comp.join(mixed, "band", "left_semi").select("nid", "leader", "comp").distinct(), "near")
+    if not near.isEmpty():
+        groups = components(near.select(F.col("leader").alias("a"), F.col("nid").alias("b"))).withColumnRenamed("comp", "gid")
+        members = near.select("nid", "comp").distinct().join(groups, "nid").join(classes.select("nid", "sig", F.col("n_shingles").alias("n")), "nid")
+        new = common.staged(spark, _joining_links(common.staged(spark, members, "members"), sets, percent), "links")
         if not new.isEmpty():
-            links = links.union(new)
-            comps = common.staged(spark, components(links), "comps")
+            comps = common.staged(spark, components(links.union(new)), "comps")
 
     ids = classes.select("nid", "doc_id").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     smallest = ids.join(comps.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.min("doc_id").alias("least_id"))
@@ -233,5 +266,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, with one document of each group. A doc_id stands for one document: rows
+    that share one stay or go together, and of those that stay and have the same text one is left."""
+    spark = docs.sparkSession
+    found = common.staged(spark, near_duplicates(docs, percent), "groups")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    if gone.count() <= 1_000_000:  # 8 bytes each
+        gone = F.broadcast(gone)
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    twice = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id"))
+    twice = common.staged(spark, twice, "twice")
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id").cast("long") == F.col("twice_id")
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
