@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -108,7 +109,6 @@ def covered(ranges: list[tuple[int, int]]) -> int:
     return total
 
 
-_STATE = "doc_id long, text string, ranges binary, items binary"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -126,37 +126,61 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     """One row for each row of docs (doc_id, text); contaminated: share * hit words >= words, and any hit.
 
     part_bytes bounds the benchmark text of one part, and so what is broadcast at once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+
+    def last(batch, rows):
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+
+    return _through(rows, benchmark, size, share, part_bytes, last, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated."""
+    names = docs.columns
+
+    def last(batch, rows):
+        return batch.select(names).filter(pa.array([not r[-1] for r in rows]))
+
+    return _through(docs, benchmark, size, share, part_bytes, last, docs.schema)
+
+
+def _through(docs: DataFrame, benchmark: DataFrame, size: int, share: int, part_bytes: int, last, schema) -> DataFrame:
+    """docs through all parts of the benchmark; hits so far travel along, and last(batch, results) makes the rows."""
     sc = docs.sparkSession.sparkContext
     parts = [sc.broadcast(Searcher(p, size)) for p in benchmark_parts(benchmark, part_bytes)]
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for part in parts[:-1]:
-        state = state.mapInArrow(_pass(part, size, share, last=False, first=part is parts[0]), _STATE)
-    return state.mapInArrow(_pass(parts[-1] if parts else None, size, share, last=True, first=len(parts) < 2), SCHEMA)
+    at, state = docs.columns.index("text"), docs
+    carried = T.StructType([*docs.schema.fields, T.StructField("__ranges", T.BinaryType()), T.StructField("__items", T.BinaryType())])
+    for k, part in enumerate(parts or [None]):
+        end = k >= len(parts) - 1
+        state = state.mapInArrow(_pass(part, at, share, k == 0, last if end else None), schema if end else carried)
+    return state
 
 
-def _pass(part, size, share, last, first):
+def _pass(part, at: int, share: int, first: bool, last):
     def run(batches):
         machine = part.value if part is not None else None
         for batch in batches:
             out = []
-            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+            for k, text in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
                 words = normal_words(text or b"")
                 ranges, items = machine.hits(b" " + b" ".join(words) + b" ") if machine is not None and words else ([], set())
                 if not first:
-                    ranges += [tuple(x) for x in np.frombuffer(batch.column(2)[k].as_py(), np.int64).reshape(-1, 2).tolist()]
-                    items |= set(np.frombuffer(batch.column(3)[k].as_py(), np.int64).tolist())
-                if last:
+                    ranges += [tuple(x) for x in np.frombuffer(batch.column("__ranges")[k].as_py(), np.int64).reshape(-1, 2).tolist()]
+                    items |= set(np.frombuffer(batch.column("__items")[k].as_py(), np.int64).tolist())
+                if last is not None:
                     hit, ids = covered(ranges), ",".join(sorted(map(str, items)))
                     out.append((len(words), hit, len(items), hashlib.sha256(ids.encode()).hexdigest(), hit > 0 and share * hit >= len(words)))
                 else:
                     out.append((np.array(ranges, np.int64).tobytes(), np.array(sorted(items), np.int64).tobytes()))
             if not out:
                 continue
-            if last:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            if last is not None:
+                yield last(batch, out)
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["doc_id", "text", "ranges", "items"])
+                kept = [n for n in batch.schema.names if n not in ("__ranges", "__items")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], [*kept, "__ranges", "__items"])
 
     return run
 

@@ -137,16 +137,16 @@ def fit(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), per_lang: int
                 df += (counts > 0).sum(axis=0)
                 seen += len(some)
                 if keep := [j for j, i in enumerate(some) if picked[i]]:
-                    yield pa.RecordBatch.from_arrays([pa.array([langs[some[j]] for j in keep]), pa.array([counts[j].astype(np.float32).tobytes() for j in keep], pa.binary()), pa.array([0] * len(keep), pa.int64())], ["lang", "vector", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([df.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["lang", "vector", "n"])
-
-    df, seen, sample = np.zeros(DIMS, np.int64), 0, {}
-    for lang, vector, count in chosen.mapInArrow(run, "lang string, vector binary, n long").toLocalIterator():
-        if lang is None:
-            df += np.frombuffer(vector, np.int64)
-            seen += count
-        else:
-            sample.setdefault(lang, []).append(np.frombuffer(vector, np.float32))
+                    yield pa.RecordBatch.from_arrays([pa.array([langs[some[j]] for j in keep]), pa.array([counts[j].astype(np.float32).tobytes() for j in keep], pa.binary()), pa.nulls(len(keep), pa.list_(pa.int64()))], ["lang", "vector", "df"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([[*df.tolist(), seen]], pa.list_(pa.int64()))], ["lang", "vector", "df"])
+
+    made = common.staged(rows.sparkSession, chosen.mapInArrow(run, "lang string, vector binary, df array<long>"), "grams")
+    df, sample = np.zeros(DIMS + 1, np.int64), {}
+    for at, count in made.select(F.posexplode("df").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
+        df[at] = count
+    for lang, vector in made.where("lang IS NOT NULL").select("lang", "vector").collect():
+        sample.setdefault(lang, []).append(np.frombuffer(vector, np.float32))
+    df, seen = df[:DIMS], int(df[DIMS])
     idf = (np.log((1 + seen) / (1 + df)) + 1).astype(np.float32)
     centres, langs, floor = [], [], {}
     for lang in sorted(sample):
@@ -170,6 +170,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose text isn't rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            _, _, rejected = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     out = identify(docs, fit(docs))

@@ -171,7 +171,7 @@ def scan_documents(docs: DataFrame, bound: int = 1 << 26) -> DataFrame:
 def redact(text: str, spans: str) -> str:
     """text with each finding replaced by its kind in brackets; findings that overlap become one."""
     merged: list[list] = []
-    for kind, start, end in ((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)):
+    for kind, start, end in sorted(((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(",") if x)), key=lambda x: x[1:]):
         if merged and start < merged[-1][2]:
             merged[-1][2] = max(merged[-1][2], end)
         else:
@@ -183,6 +183,27 @@ def redact(text: str, spans: str) -> str:
     return "".join([*parts, text[last:]])
 
 
+def redact_documents(docs: DataFrame, bound: int = 1 << 26) -> DataFrame:
+    """The rows of docs, all columns, with findings in text replaced; n_chars, if there is one, counts the new text."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(names.index("text")).to_pylist()
+            new = []
+            for t in texts:
+                found = _written(scan(t, bound)[1])
+                new.append(redact(t, found) if found else t)
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(new, columns[names.index("text")].type)
+            if "n_chars" in names and pa.types.is_integer(columns[names.index("n_chars")].type):
+                old = columns[names.index("n_chars")]
+                columns[names.index("n_chars")] = pa.array([n if a is b or a == b else len(b) for n, a, b in zip(old.to_pylist(), texts, new, strict=True)], old.type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_documents(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_layers")

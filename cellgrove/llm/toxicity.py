@@ -178,7 +178,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), rows: int = 4000, max_bytes: int = 200_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5, 0), rows: int = 4000, max_bytes: int = 60_000) -> Model | None:
     """Fits on about `rows` labelled documents of max_bytes at most, chosen by a hash of the id, whose
     crc32(doc_id) modulo holdout[0] is not holdout[1]."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (5
     n = known.count()
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, rows / max(1, n)) * (1 << 20))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
-    got = sorted((r[0], r[1], r[2]) for r in texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").toLocalIterator())
+    got = sorted((r[0], r[1], r[2]) for r in texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect())
     return train([r[2] for r in got], np.array([r[1] != 0 for r in got])) if got else None
 
 
