@@ -14,11 +14,11 @@ def number(c: Column) -> Column:
 
 
 def clipped(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def log_feature(c: Column) -> Column:
-    return F.log1p(F.greatest(c, F.lit(0.0)))
+    return F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))
 
 
 def cell(x: Column, xi: int, digits: int | None = None) -> Column:
@@ -32,7 +32,7 @@ def cell(x: Column, xi: int, digits: int | None = None) -> Column:
     else:
         b = F.floor(x * F.lit(float(xi)))
         b = F.when(x < b / F.lit(float(xi)), b - 1).when(x >= (b + 1) / F.lit(float(xi)), b + 1).otherwise(b)
-    return F.greatest(F.least(b, F.lit(xi - 1)), F.lit(0)).cast("int")
+    return F.when(x.isNotNull(), F.greatest(F.least(b, F.lit(xi - 1)), F.lit(0))).cast("int")
 
 
 def on_edge(x: Column, xi: int, digits: int | None = None) -> Column:

@@ -53,7 +53,7 @@ def funnel(tx: DataFrame, country: str | None = None) -> DataFrame:
     rows = with_invoice(tx).groupBy(*tx.columns).agg(F.count("*").alias("__n"))
     stamp = F.try_to_timestamp("InvoiceDate") if dict(tx.dtypes)["InvoiceDate"] == "string" else F.col("InvoiceDate")
     rows = rows.withColumn("__ts", stamp)
-    passed, sums, weight = F.lit(True), [F.sum("__n").alias("loaded")], F.col("__n")
+    passed, sums, weight = F.lit(True), [F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("loaded")], F.col("__n")
     for name, keeps in _steps(country):
         passed = passed & F.coalesce(keeps, F.lit(False))
         weight = F.lit(1).cast("long") if name == "distinct" else weight

@@ -45,7 +45,7 @@ def quantiles(df: DataFrame, columns: list[str], qs: tuple[float, ...], direct:
 
 
 def winsorised(df: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
-    return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)) for c, (lo, hi) in bounds.items() if c in df.columns})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))) for c, (lo, hi) in bounds.items() if c in df.columns})
 
 
 def logged(df: DataFrame, columns: tuple[str, ...] = LOG_FEATURES) -> DataFrame:
