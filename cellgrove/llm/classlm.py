@@ -48,7 +48,7 @@ def count_words(train: DataFrame, flush: int = 300_000) -> DataFrame:
                     seen = Counter()
         yield from _counted(seen)
 
-    return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(common.released(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _counted(seen: Counter):
@@ -86,7 +86,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
             j = np.arange(k)
             d = m[j, j]
             gain = row.sum(axis=1) + col.sum(axis=1) - row[j, j] - col[j, j] + f(d + left[j] + right[j] + own) - f(d)
-            rows, cols = m.sum(axis=1)[:k], m.sum(axis=0)[:k]
+            rows, cols = m.sum(axis=1)[:k] + left[:k], m.sum(axis=0)[:k] + right[:k]
             gain -= f(rows + right.sum() + own) - f(rows) + f(cols + left.sum() + own) - f(cols)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:
@@ -165,7 +165,7 @@ def fit(train: DataFrame, counts: DataFrame, head: int = 200_000, clustered: int
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(seen[at[i : i + 100_000]])], ["at", "n"])
 
     bigrams = np.zeros((n + 2) ** 2)
-    pairs = train.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    pairs = train.select("text").mapInArrow(common.released(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     for r in pairs.toLocalIterator():
         bigrams[r[0]] = r[1]
     return Model(int(total), int(distinct), int(ends), index, np.array([-c for c, _ in top], np.int64), bigrams.reshape(n + 2, n + 2), classes)
@@ -201,7 +201,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, model: Model) -> DataFra
                 tail = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(tf, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, tail.cast(tail_type)], ["doc_id", "n_tokens", "head_known", "head_base", "head_score", "n_tail", "tail"])
 
-    parts = common.staged(spark, _rows(docs).mapInArrow(run, _PART).withColumn("rid", F.monotonically_increasing_id()), "lm-parts")
+    parts = common.staged(spark, _rows(docs).mapInArrow(common.released(run), _PART).withColumn("rid", F.monotonically_increasing_id()), "lm-parts")
     tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.n").alias("tf"))
     c = F.coalesce(F.col("n"), F.lit(0))
     per_doc = tail.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(c + 0.1)).alias("tail_log"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
