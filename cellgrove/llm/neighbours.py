@@ -45,8 +45,27 @@ def bounds(correction: np.ndarray, dims: int, confidence: float) -> np.ndarray:
     return np.sqrt(np.maximum(0, 1 / correction**2 - 1)) * confidence / np.sqrt(max(1, dims - 1))
 
 
-def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of columns, summed in order of the components: equal vectors have equal scores."""
+    total = a[0] * b[0]
+    for k in range(1, len(a)):
+        total += a[k] * b[k]
+    return total
+
+
+class Exact:
+    """Cosines of pairs of original vectors."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+        self.norm_a, self.norm_b = np.sqrt(_dots(self.a, self.a)), np.sqrt(_dots(self.b, self.b))
+
+    def cosines(self, i: np.ndarray, j: np.ndarray, step: int = 50_000) -> np.ndarray:
+        out = np.empty(len(i))
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step], j[k : k + step]
+            out[k : k + step] = _dots(self.a[:, x], self.b[:, y]) / (self.norm_a[x] * self.norm_b[y])
+        return out
 
 
 class Block:
@@ -60,7 +79,7 @@ class Block:
         """(query, vec_id, score) of the k nearest of these vectors to each query."""
         codes, correction = encode((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.turn)
         slack = bounds(correction, vectors.shape[1], confidence).astype(np.float32)[:, None]
-        out, first = [], min(len(ids), 4 * k)
+        out, first, exactly = [], min(len(ids), 4 * k), Exact(vectors, self.vectors)
         for at in range(0, len(self.ids), step):
             est = estimates(codes, correction, self.rotated[at : at + step])
             own = ids[:, None] == self.ids[None, at : at + step]
@@ -68,13 +87,10 @@ class Block:
             n = est.shape[1]
             best = np.argpartition(-est, first - 1, axis=0)[:first]
             q = np.tile(np.arange(n), first)
-            exact = np.where(own[best.ravel(), q], -np.inf, _cosines(vectors[best.ravel()], self.vectors[at + q])).reshape(first, n)
+            exact = np.where(own[best.ravel(), q], -np.inf, exactly.cosines(best.ravel(), at + q)).reshape(first, n)
             worst = -np.sort(-exact, axis=0)[min(k, first) - 1]
             r, q = np.nonzero((est + slack >= worst - 1e-6) & ~own)
-            found = []
-            for i in range(0, len(r), 200_000):
-                found.append(_cosines(vectors[r[i : i + 200_000]], self.vectors[at + q[i : i + 200_000]]))
-            score = np.concatenate(found) if found else np.zeros(0)
+            score = exactly.cosines(r, at + q)
             order = np.lexsort((ids[r], -score, q))
             q, r, score = q[order], r[order], score[order]
             start = np.searchsorted(q, np.arange(n))
@@ -118,7 +134,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, confidence: float = 4.0, b
                         for q, i, s in own.search(ids, v, k, confidence):
                             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
-        found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
+        found = rows.mapInArrow(common.released(run), "query_id long, vec_id long, score double")
         parts.append(found if n == 1 else common.staged(spark, found, "neighbours"))
     found = parts[0] if parts else spark.createDataFrame([], "query_id long, vec_id long, score double")
     for p in parts[1:]:
