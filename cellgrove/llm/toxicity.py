@@ -28,7 +28,7 @@ from .decontaminate import normal_words
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5, 6)
-RUN = 12
+RUN = 5
 
 
 def words_in(text: str | None) -> list[bytes]:
@@ -108,8 +108,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def train(texts: list[str], toxic: np.ndarray, dims: int = 8, epochs: int = 80, rate: float = 0.05, decay: float = 10.0, rarest: int = 5, seed: int = 11) -> Model | None:
-    """Joint training by Adam on full batches; each document gives its most toxic run.
+def train(texts: list[str], toxic: np.ndarray, dims: int = 8, epochs: int = 80, rate: float = 0.05, decay: float = 3e-5, rarest: int = 5, seed: int = 11) -> Model | None:
+    """Joint training by Adam on full batches.
 
     Subwords met in fewer than `rarest` documents (counted by word) keep a zero vector, and decay draws all vectors to zero."""
     docs = [words_in(t) for t in texts]
@@ -139,29 +139,30 @@ def train(texts: list[str], toxic: np.ndarray, dims: int = 8, epochs: int = 80,
     e, u, b = rng.normal(0, 0.02, (len(used), dims)), rng.normal(0, 0.3, dims), -2.0
     cost = np.where(y > 0, (len(y) / 2) / max(1, y.sum()), (len(y) / 2) / max(1, (1 - y).sum())) ** 0.5
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, u, np.zeros(1))]
-    z = np.zeros(len(docs))
+    top = np.zeros(len(docs))
     for step in range(1, epochs + 1):
         per_word = np.bincount(owners, (e @ u)[buckets], len(index)) / n_sub
         total = np.concatenate([[0.0], np.cumsum(per_word[tokens])])
         logits = (total[run_start + width[run_doc]] - total[run_start]) / width[run_doc]
-        z = np.maximum.reduceat(logits, run_at[:-1])
-        top = np.full(len(docs), -1)
-        best = np.flatnonzero(logits == z[run_doc])[::-1]
-        top[run_doc[best]] = best  # the first of equal runs stays
+        # a document's logit: the mean of its runs' at first, more and more that of the most toxic one
+        sharp = 12.0 * max(0.0, step / epochs - 0.15)
+        top = np.maximum.reduceat(logits, run_at[:-1])
+        share = np.exp(sharp * (logits - top[run_doc]))
+        share /= np.add.reduceat(share, run_at[:-1])[run_doc]
+        z = np.add.reduceat(share * logits, run_at[:-1])
         gap = (1 / (1 + np.exp(-(z + b))) - y) * cost / len(docs)
-        on_word = np.zeros(len(index))
-        for k in range(RUN):
-            has = width > k
-            on_word += np.bincount(tokens[run_start[top[has]] + k], (gap / width)[has], len(index))
+        on_run = (gap / width)[run_doc] * share
+        on_token = np.cumsum(np.bincount(run_start, on_run, len(tokens) + 1) - np.bincount(run_start + width[run_doc], on_run, len(tokens) + 1))[:-1]
+        on_word = np.bincount(tokens, on_token, len(index))
         on_sub = np.bincount(buckets, np.repeat(on_word / n_sub, n_used), len(used))
-        grads = [np.outer(on_sub, u) + decay / len(used) * e, e.T @ on_sub, np.array([gap.sum()])]
+        grads = [np.outer(on_sub, u) + decay * e, e.T @ on_sub, np.array([gap.sum()])]
         values = [e, u, np.array([b])]
         for x, g, (m, v) in zip(values, grads, moments, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         b = float(values[2][0])
-    scale, offset = _calibrate(z + b, y)
+    scale, offset = _calibrate(top + b, y)
     full = np.zeros((BUCKETS, dims))
     full[used] = e
     return Model(full.astype(np.float32), u, b, scale, offset)
@@ -201,7 +202,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(texts) if scorer else list(repeat(0.0, len(texts))), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.released(run), "doc_id long, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
