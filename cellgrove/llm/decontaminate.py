@@ -154,7 +154,7 @@ def _through(docs: DataFrame, benchmark: DataFrame, size: int, share: int, part_
     carried = T.StructType([*docs.schema.fields, T.StructField("__ranges", T.BinaryType()), T.StructField("__items", T.BinaryType())])
     for k, part in enumerate(parts or [None]):
         end = k >= len(parts) - 1
-        state = state.mapInArrow(_pass(part, at, share, k == 0, last if end else None), schema if end else carried)
+        state = state.mapInArrow(common.released(_pass(part, at, share, k == 0, last if end else None)), schema if end else carried)
     return state
 
 
@@ -187,3 +187,22 @@ def _pass(part, at: int, share: int, first: bool, last):
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: For op7: windows of each length in use joined with the items' windows.
+SQL = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+wins AS (SELECT DISTINCT item_id, len(p) AS n, array_to_string(p, ' ') AS p FROM
+  (SELECT item_id, unnest(CASE WHEN len(w) > 13 THEN list_transform(range(1, len(w) - 11), lambda i: w[i:i + 12]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS p FROM b)),
+sizes AS (SELECT DISTINCT n FROM wins),
+spots AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, s.n, item_id FROM spots s JOIN wins USING (n, p)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -114,7 +114,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ["doc_id", "nid", "n_shingles", "sig", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.released(run), _SKETCH)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= 1_000_000:  # 8 bytes each
         ids = F.broadcast(ids)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, F.expr("doc_id <=> wanted_id"), "left_semi")
-    found = texts.select("text").mapInArrow(run, "nid long, shingles array<long>")
+    found = texts.select("text").mapInArrow(common.released(run), "nid long, shingles array<long>")
     return found.join(wanted.select("nid"), "nid", "left_semi").dropDuplicates(["nid"])
 
 
@@ -285,3 +285,21 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: For op6: all pairs that share a shingle, compared exactly.
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+sets AS (SELECT DISTINCT doc_id, g FROM grams),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(id, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.comp FROM reach r JOIN links l ON l.a = r.id AND r.comp < l.b),
+comps AS (SELECT id, min(comp) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN comps ON comps.id = d.doc_id
+"""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .classlm import op9_classlm
+from .decontaminate import SQL as DECONTAMINATE_SQL
 from .decontaminate import op7_decontaminate
 from .language import op2_language
+from .neardup import SQL as NEARDUP_SQL
 from .neardup import op6_neardup
 from .neighbours import SQL as NEIGHBOURS_SQL
 from .neighbours import op3_neighbours
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neighbours": NEIGHBOURS_SQL}
+    return {"op3_neighbours": NEIGHBOURS_SQL, "op6_neardup": NEARDUP_SQL, "op7_decontaminate": DECONTAMINATE_SQL}
