@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,6 +38,34 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all staged tables. Results that still read them can't be computed again afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/staged")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Most bytes of an Arrow batch sent to Python, while an operator of this subpackage is planned in the session.
+BATCH_BYTES = 8 << 20
+
+
+def released(run):
+    """run for mapInArrow, with small batches, and with the memory that a task no longer needs given back at its
+    end: workers live on after a task, and several stages share an executor."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another libc has no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def fold(mod: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(mod)).cast("int")

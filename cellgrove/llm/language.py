@@ -140,7 +140,7 @@ def fit(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), per_lang: int
                     yield pa.RecordBatch.from_arrays([pa.array([langs[some[j]] for j in keep]), pa.array([counts[j].astype(np.float32).tobytes() for j in keep], pa.binary()), pa.nulls(len(keep), pa.list_(pa.int64()))], ["lang", "vector", "df"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([[*df.tolist(), seen]], pa.list_(pa.int64()))], ["lang", "vector", "df"])
 
-    made = common.staged(rows.sparkSession, chosen.mapInArrow(run, "lang string, vector binary, df array<long>"), "grams")
+    made = common.staged(rows.sparkSession, chosen.mapInArrow(common.released(run), "lang string, vector binary, df array<long>"), "grams")
     df, sample = np.zeros(DIMS + 1, np.int64), {}
     for at, count in made.select(F.posexplode("df").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
         df[at] = count
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, score, rejected = shared.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.released(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,7 +180,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             _, _, rejected = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

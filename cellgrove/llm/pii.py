@@ -207,7 +207,7 @@ def surrogate_documents(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in rows], pa.string()), lists], ["doc_id", "text", "entities"])
 
     schema = "doc_id long, text string, entities array<struct<kind: string, entity: string, surrogate: string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.released(run), schema)
 
 
 def collisions(replaced: DataFrame) -> DataFrame:

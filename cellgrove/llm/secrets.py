@@ -165,7 +165,7 @@ def scan_documents(docs: DataFrame, bound: int = 1 << 26) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", "n_layers"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.released(run), SCHEMA)
 
 
 def redact(text: str, spans: str) -> str:
@@ -201,7 +201,7 @@ def redact_documents(docs: DataFrame, bound: int = 1 << 26) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([n if a is b or a == b else len(b) for n, a, b in zip(old.to_pylist(), texts, new, strict=True)], old.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

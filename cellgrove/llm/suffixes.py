@@ -398,7 +398,7 @@ def window_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["tid", "ahash", "sid", "first", "windows"])
 
-    return texts.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(run, _RUNS)
+    return texts.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(common.released(run), _RUNS)
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -416,7 +416,7 @@ def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 )
 
     joined = texts.where(F.octet_length("text") >= length).select("tid", "text").join(per_text, "tid").select("text", "pieces")
-    return joined.mapInArrow(run, "ahash long, sid long, windows int, copies long, content binary")
+    return joined.mapInArrow(common.released(run), "ahash long, sid long, windows int, copies long, content binary")
 
 
 def _sort_shards(contents: DataFrame, shards: int, length: int, memory: int) -> DataFrame:
@@ -440,7 +440,7 @@ def _sort_shards(contents: DataFrame, shards: int, length: int, memory: int) ->
                 ids, bits = [], []
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], ["sid", "bits"])
 
-    return contents.repartition(shards, "ahash").mapInArrow(run, "sid long, bits binary")
+    return contents.repartition(shards, "ahash").mapInArrow(common.released(run), "sid long, bits binary")
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -471,7 +471,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 <
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([r[4] if with_bytes else None for r in rows], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(removed, "tid", "left").select("doc_id", "text", "runs").mapInArrow(run, SCHEMA)
+    return texts.join(removed, "tid", "left").select("doc_id", "text", "runs").mapInArrow(common.released(run), SCHEMA)
 
 
 def _kept(text: bytes, runs: list[dict] | None, length: int) -> tuple[int, int, int, str, bytes]:
