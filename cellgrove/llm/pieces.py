@@ -21,6 +21,7 @@ are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import repeat
 
@@ -46,7 +47,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = sp.get_piece_size()
         self.bytes_of = [b""] * self.size
-        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id = np.zeros(256, np.int32)
         self.log_weight = np.full(self.size, -floor * power)
         pieces = []
         for i in range(self.size):
@@ -78,17 +79,55 @@ class Vocabulary:
                 node = children[key]
             self.piece_at[node] = i
         keys = np.array([n * self.n_chars + c for n, c in children], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(children.values()), np.int64)[order]
-        self.piece_at = np.array(self.piece_at, np.int64)
-        self.first = np.full(self.n_chars, -1, np.int64)
-        root = self.keys < self.n_chars
-        self.first[self.keys[root]] = self.next[root]
+        self._fill(keys, np.array(list(children.values()), np.int64))
+        self.piece_at = np.array(self.piece_at, np.int32)
+        self.first = np.full(self.n_chars, -1, np.int32)
+        self.first[[c for n, c in children if n == 0]] = [child for (n, _), child in children.items() if n == 0]
+
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """A hash table with open addressing, at most a quarter full."""
+        self.bits = max(4, (4 * len(keys) - 1).bit_length())
+        self.slot_key = np.full(1 << self.bits, -1, np.int64)
+        self.slot_next = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.slot_key[slot[left]] < 0
+            self.slot_key[slot[left[free]]] = keys[left[free]]  # of several the last one stays
+            won = self.slot_key[slot[left]] == keys[left]
+            self.slot_next[slot[left[won]]] = values[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        key = node * self.n_chars + char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], -1)
+        """The trie's next node, or -1."""
+        key = node.astype(np.int64) * self.n_chars + char
+        slot = self._slot(key)
+        found = self.slot_key[slot]
+        out = np.where(found == key, self.slot_next[slot], -1)
+        miss = np.flatnonzero((found != key) & (found >= 0))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & ((1 << self.bits) - 1)
+            found = self.slot_key[slot[miss]]
+            hit = found == key[miss]
+            out[miss[hit]] = self.slot_next[slot[miss[hit]]]
+            miss = miss[~hit & (found >= 0)]
+        return out
+
+    def spells(self, ids: np.ndarray, text: bytes) -> bool:
+        """Whether decoding ids gives the text; compares bytes without building the text anew."""
+        if not hasattr(self, "flat"):
+            size = np.array(list(map(len, self.bytes_of)))
+            self.flat, self.length = np.frombuffer(b"".join(self.bytes_of), np.uint8), size
+            self.begin = np.cumsum(size) - size
+        n = self.length[ids]
+        total = int(n.sum())
+        if total != len(text) + 1:
+            return total == len(text) == 0
+        made = self.flat[np.arange(total) + np.repeat(self.begin[ids] - (np.cumsum(n) - n), n)]
+        return made[0] == 32 and bool((made[1:] == np.frombuffer(text, np.uint8)).all())
 
     def decode(self, ids) -> str:
         text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
@@ -101,48 +140,57 @@ class Lattices:
     A second copy of the nodes on each unit's best path leads to all segmentations but that one."""
 
     def __init__(self, units: list[str], v: Vocabulary):
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int32)
         size = np.array([len(u) for u in units], np.int64)
         start = np.concatenate([[0], np.cumsum(size)])
         n = len(codes)
-        left = np.repeat(start[1:], size) - np.arange(n)
-        char = v.char[np.where(codes == 32, ord(SPACE), np.where(codes == ord(SPACE), 0x10FFFF, codes))].astype(np.int64)
-        frm, to, ids = [], [], []
-        node, at, depth = v.first[char], np.arange(n), 1
+        left = (np.repeat(start[1:], size) - np.arange(n)).astype(np.int32)
+        char = v.char[np.where(codes == 32, ord(SPACE), np.where(codes == ord(SPACE), 0x10FFFF, codes))]
+        frm, to, ids, nth = [], [], [], []
+        met = np.zeros(n, np.int32)  # edges of each place so far
+        node, at, depth = v.first[char], np.arange(n, dtype=np.int32), 1
         none = (node < 0) | (v.piece_at[np.maximum(node, 0)] < 0)
         frm.append(at[none])
         to.append(at[none] + 1)
-        ids.append(v.size + codes[none])  # resolved into bytes in the end
+        ids.append(np.where(codes[none] < 128, v.byte_id[np.minimum(codes[none], 255)], v.size + codes[none]))  # longer ones are resolved into bytes in the end
+        nth.append(met[at[none]])
+        met[at[none]] += 1
         while len(at):
             ok = node >= 0
             at, node = at[ok], node[ok]
             piece = v.piece_at[node]
             has = piece >= 0
-            frm.append(at[has])
-            to.append(at[has] + depth)
+            start_ = at[has]
+            frm.append(start_)
+            to.append(start_ + depth)
             ids.append(piece[has])
+            nth.append(met[start_])
+            met[start_] += 1
             more = left[at] > depth
             at, node = at[more], node[more]
             node = v.step(node, char[at + depth])
             depth += 1
         frm, to, ids = np.concatenate(frm), np.concatenate(to), np.concatenate(ids)
-        rank = np.argsort(left, kind="stable")  # nodes from the units' ends
-        node_of = np.empty(n, np.int64)
-        node_of[rank] = np.arange(n)
+        rank = np.argsort(left, kind="stable").astype(np.int32)  # nodes from the units' ends
+        node_of = np.empty(n, np.int32)
+        node_of[rank] = np.arange(n, dtype=np.int32)
         d_of = left[rank]
-        e_from = node_of[frm]
-        order = np.argsort(e_from, kind="stable")
-        e_from, to, ids, frm = e_from[order], to[order], ids[order], frm[order]
+        degree = met[rank]
+        at = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32)
+        order = np.empty(len(frm), np.int32)
+        order[at[node_of[frm]] + np.concatenate(nth)] = np.arange(len(frm), dtype=np.int32)
+        frm, to, ids = frm[order], to[order], ids[order]
+        e_from = np.repeat(np.arange(n, dtype=np.int32), degree)
         inside = to < frm + left[frm]
-        e_to = np.where(inside, node_of[np.minimum(to, n - 1)], -1)
+        e_to = np.where(inside, node_of[np.minimum(to, n - 1)], np.int32(-1))
         extra = ids >= v.size
+        self.extra = bool(extra.any())
         weight = v.log_weight[np.where(extra, 0, ids)]
-        if extra.any():
+        if self.extra:
             c = ids[extra] - v.size
             many = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
             weight[extra] = v.log_weight[v.byte_id[10]] * many
-        at = np.searchsorted(e_from, np.arange(n + 1))
-        beta, best, best_edge = np.empty(n + 1), np.empty(n + 1), np.zeros(n, np.int64)
+        beta, best, best_edge = np.empty(n + 1), np.empty(n + 1), np.zeros(n, np.int32)
         beta[-1] = best[-1] = 0.0  # the end, as node -1
         level = np.searchsorted(d_of, np.arange(1, (d_of[-1] if n else 0) + 2))
         for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
@@ -180,8 +228,8 @@ class Lattices:
         frm_node = e_from[edge]
         width = at[frm_node + 1] - at[frm_node]
         c_at = np.concatenate([[0], np.cumsum(width)])
-        row = np.repeat(np.arange(len(edge)), width)
-        c_edge = np.arange(c_at[-1]) - c_at[row] + at[frm_node][row]
+        row = np.repeat(np.arange(len(edge), dtype=np.int32), width)
+        c_edge = (np.arange(c_at[-1]) - c_at[row] + at[frm_node][row]).astype(np.int32)
         p = np.exp(self.log_p[c_edge])
         on = c_edge == edge[row]
         rest = np.add.reduceat(np.where(on, 0.0, p), c_at[:-1]) if len(edge) else np.zeros(0)
@@ -202,10 +250,10 @@ class Lattices:
         p = np.where(on, p * follows[row], p)
         self.q = q[self.best_at[:-1]]  # the chance of another segmentation than the best
         self.copy_start = n + self.best_at[:-1]
-        target = np.where(on, n + row + 1, e_to[c_edge])
+        target = np.where(on, np.int32(n + 1) + row, e_to[c_edge])
         # one table of all nodes and copies for drawing edges
-        self.edge = np.concatenate([np.arange(len(ids)), c_edge])
-        self.target = np.concatenate([e_to, np.where(on & (e_to[c_edge] < 0), -1, target)])
+        self.edge = np.concatenate([np.arange(len(ids), dtype=np.int32), c_edge])
+        self.target = np.concatenate([e_to, np.where(on & (e_to[c_edge] < 0), np.int32(-1), target)])
         prob = np.concatenate([np.exp(self.log_p), p])
         origin = np.concatenate([e_from, n + row])
         total = np.bincount(origin, prob, n + len(edge))
@@ -234,22 +282,50 @@ class Lattices:
         return who[order], np.concatenate([x[1] for x in out])[order], np.concatenate([x[2] for x in out])[order]
 
 
+    def draw_one(self, unit: int, key: int, other: bool) -> tuple[tuple[int, ...], float]:
+        """What draw gives for one unit, and its log probability."""
+        cur, out, log, step = int((self.copy_start if other else self.start)[unit]), [], 0.0, 0
+        while cur >= 0:
+            u = (_mix_int((key + (step + 1) * 0x632BE59BD9B4E019) & _ALL) >> 11) * 2.0**-53
+            e = min(int(self.cumulative.searchsorted(cur + u, "right")), len(self.cumulative) - 1)
+            edge = self.edge[e]
+            out.append(int(self.ids[edge]))
+            log += float(self.log_p[edge])
+            cur = int(self.target[e])
+            step += 1
+        return tuple(out), log
+
+
+_ALL = (1 << 64) - 1
+
+
+def _mix_int(h: int) -> int:
+    """common.mix64 for one number."""
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & _ALL
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & _ALL
+    return h ^ h >> 33
+
+
 def _uniform(key: np.ndarray) -> np.ndarray:
     return (common.mix64(key) >> _U(11)).astype(float) * 2.0**-53
 
 
-class Chain:
-    """Segmentations of a run of units: which are the best ones, the pieces of the others, log probabilities."""
+def draw_units(lat: Lattices, units: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An exact draw for each unit. key: one for each. Log probabilities, which draws aren't the best segmentation, their pieces, and where each one's begin."""
+    odd = np.flatnonzero(_uniform(key) < lat.q[units])
+    who, ids, log = lat.draw(units[odd], common.mix64(key[odd]), True)
+    logs = lat.best_log[units]
+    logs[odd] = np.bincount(who, log, len(odd))
+    return logs, odd, ids, np.searchsorted(who, np.arange(len(odd) + 1))
+
 
-    def __init__(self, lat: Lattices, units: np.ndarray, key: np.ndarray):
-        """Draws all units. key: one for each."""
-        self.units = units
-        u = _uniform(key)
-        self.odd = np.flatnonzero(u < lat.q[units])
-        who, self.ids, log = lat.draw(units[self.odd], common.mix64(key[self.odd]), True)
-        self.log = lat.best_log[units]
-        self.at = np.searchsorted(who, np.arange(len(self.odd) + 1))
-        self.log[self.odd] = np.bincount(who, log, len(self.odd))
+def _cut(drawn: tuple, a: int, b: int) -> tuple:
+    """The draws of units a to b."""
+    logs, odd, ids, at = drawn
+    x, y = np.searchsorted(odd, (a, b))
+    return logs[a:b], odd[x:y] - a, ids[at[x] : at[y]], at[x : y + 1] - at[x]
 
 
 def _joined(lat: Lattices, units: np.ndarray, odd: np.ndarray, odd_ids: np.ndarray, odd_at: np.ndarray) -> np.ndarray:
@@ -289,11 +365,12 @@ def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
-def sample_text(lat: Lattices, first: Sample, key: int, samples: int) -> list[tuple[Sample, float, float]]:
-    """(segmentation, log probability, inclusion score) of up to `samples` distinct segmentations; first: an exact draw."""
+def sample_text(lat: Lattices, first: Sample, key: int, samples: int):
+    """(segmentation, log probability, inclusion score) of up to `samples` distinct segmentations; first: an exact draw.
+
+    A generator: it yields (units, keys) that are to be drawn, gets what draw_units gives for them, and returns the list."""
     units = first.units
-    seed = _U(key)
-    value = float(_gumbel(_uniform(np.array([seed ^ _U(0xA5A5)])))[0])
+    value = -math.log(-math.log(min(max((_mix_int(key ^ 0xA5A5) >> 11) * 2.0**-53, 1e-300), 1 - 1e-16)))
     out, regions = [(first, float(first.log.sum()), value)], []
     k = 0
 
@@ -309,7 +386,7 @@ def sample_text(lat: Lattices, first: Sample, key: int, samples: int) -> list[tu
             leave[i - begin] = np.log(1 - gone) if gone < 1 - 1e-12 else -np.inf
         leave[leave < -600] = -np.inf
         mass = prefix + leave
-        g = mass + _gumbel(_uniform(common.mix64(seed + _U(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) + at.astype(np.uint64)))
+        g = mass + _gumbel(_uniform(_U(_mix_int((key + n * 0x9E3779B97F4A7C15) & _ALL)) + at.astype(np.uint64)))
         regions.append([s, begin, -np.logaddexp(-bound, -g), at])
 
     split(first, 0, value, 1)
@@ -327,23 +404,23 @@ def sample_text(lat: Lattices, first: Sample, key: int, samples: int) -> list[tu
         values[j] = -np.inf
         k += 1
         known = [*s.excluded.get(i, []), s.unit_pieces(i, lat)]
-        keys = common.mix64(np.full(len(units) - i, seed + _U(k * 0xD1342543DE82EF95 & (1 << 64) - 1), np.uint64)) + np.arange(i, len(units)).astype(np.uint64) * _U(0x2545F4914F6CDD1D)
-        tail = Chain(lat, units[i + 1 :], keys[1:])
-        own = units[i : i + 1]
-        best_ids = tuple(lat.best_ids[lat.best_at[own[0]] : lat.best_at[own[0] + 1]].tolist())
-        tries = 0
+        keys = _U(_mix_int((key + k * 0xD1342543DE82EF95) & _ALL)) + np.arange(i, len(units)).astype(np.uint64) * _U(0x2545F4914F6CDD1D)
+        tail_log, tail_odd, tail_ids, tail_at = yield units[i + 1 :], keys[1:]
+        own = int(units[i])
+        best_ids = tuple(lat.best_ids[lat.best_at[own] : lat.best_at[own + 1]].tolist())
+        tries, own_key = 0, int(keys[0])
         while True:  # an exact draw from what is left of the unit
-            who, ids, log = lat.draw(own, common.mix64(keys[:1] + _U(tries * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), best_ids in known)
-            if tuple(ids.tolist()) not in known:
+            ids, log = lat.draw_one(own, _mix_int((own_key + tries * 0x9E3779B97F4A7C15) & _ALL), best_ids in known)
+            if ids not in known:
                 break
             tries += 1
         keep = int(np.searchsorted(s.odd, i))
-        is_best = tuple(ids.tolist()) == best_ids
+        is_best = ids == best_ids
         mid = [] if is_best else [i]
-        odd = np.concatenate([s.odd[:keep], np.array(mid, np.int64), tail.odd + i + 1])
-        all_ids = np.concatenate([s.ids[: s.at[keep]], ids if mid else ids[:0], tail.ids])
-        sizes = np.concatenate([np.diff(s.at[: keep + 1]), [len(ids)] if mid else [], np.diff(tail.at)]).astype(np.int64)
-        logs = np.concatenate([s.log[:i], [lat.best_log[own[0]] if is_best else log.sum()], tail.log])
+        odd = np.concatenate([s.odd[:keep], np.array(mid, np.int64), tail_odd + i + 1])
+        all_ids = np.concatenate([s.ids[: s.at[keep]], np.array(ids if mid else (), np.int64), tail_ids])
+        sizes = np.concatenate([np.diff(s.at[: keep + 1]), [len(ids)] if mid else [], np.diff(tail_at)]).astype(np.int64)
+        logs = np.concatenate([s.log[:i], [lat.best_log[own] if is_best else log], tail_log])
         new = Sample(units, logs, odd, all_ids, np.concatenate([[0], np.cumsum(sizes)]), {i: known})
         out.append((new, float(logs.sum()), bound))
         split(new, i, bound, k + 1)
@@ -395,19 +472,34 @@ def encode_batch(v: Vocabulary, texts: list[str | None], keys: list[int], sample
     seeds = np.array(keys, np.uint64)
     row = np.repeat(np.arange(len(texts)), size)
     place = (np.arange(len(units)) - at[row]).astype(np.uint64)
-    whole = Chain(lat, units, common.mix64(common.mix64(seeds)[row] + place * _U(0x9E3779B97F4A7C15)))
-    odd_at = np.searchsorted(whole.odd, at)
+    whole = draw_units(lat, units, common.mix64(common.mix64(seeds)[row] + place * _U(0x9E3779B97F4A7C15)))
+    going, asked = {}, {}
     for i in np.flatnonzero(size).tolist():
-        a, b, x, y = at[i], at[i + 1], odd_at[i], odd_at[i + 1]
-        first = Sample(units[a:b], whole.log[a:b], whole.odd[x:y] - a, whole.ids[whole.at[x] : whole.at[y]], whole.at[x : y + 1] - whole.at[x], {})
-        out[i] = [(_resolved(v, s.pieces(lat)), lp, inc) for s, lp, inc in sample_text(lat, first, keys[i], samples)]
+        logs, odd, ids, odd_at = _cut(whole, at[i], at[i + 1])
+        going[i] = sample_text(lat, Sample(units[at[i] : at[i + 1]], logs, odd, ids, odd_at, {}), keys[i], samples)
+        _advance(going, asked, out, i, None, lat, v)
+    while asked:  # all texts that want another sample are drawn together
+        which, wants = list(asked), list(asked.values())
+        ends = np.cumsum([len(u) for u, _ in wants]).tolist()
+        drawn = draw_units(lat, np.concatenate([u for u, _ in wants]), np.concatenate([k for _, k in wants]))
+        asked = {}
+        for i, a, b in zip(which, [0, *ends], ends, strict=False):
+            _advance(going, asked, out, i, _cut(drawn, a, b), lat, v)
     return out
 
 
+def _advance(going: dict, asked: dict, out: list, i: int, drawn: tuple | None, lat: Lattices, v: Vocabulary) -> None:
+    try:
+        asked[i] = going[i].send(drawn)
+    except StopIteration as end:
+        out[i] = [(_resolved(v, p) if lat.extra else p, lp, inc) for s, lp, inc in end.value for p in [s.pieces(lat)]]
+        del going[i]
+
+
 SCHEMA = "doc_id long, ids array<array<int>>, log_probs array<double>, inclusion array<double>, exact boolean"
 
 
-def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed: int = 0, power: float = 1.0, chars: int = 1 << 21) -> DataFrame:
+def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed: int = 0, power: float = 1.0, chars: int = 1 << 18) -> DataFrame:
     """One row for each row of docs (doc_id, text): up to `samples` segmentations with log probabilities and
     inclusion scores, and whether each decodes to the text. model: a local path, read on the driver; chars: about
     how many characters are taken together."""
@@ -431,7 +523,7 @@ def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed
                 flat = [s for row in got for s in row]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in flat)]), pa.int32()), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32) if flat else np.zeros(0, np.int32)))
                 rows = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
-                exact = [all(v.decode(s[0].tolist()) == t for s in g) for g, t in zip(got, texts[i:j], strict=True)]
+                exact = [all(v.spells(s[0], t.encode()) for s in g) for g, t in zip(got, (t or "" for t in texts[i:j]), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(rows, ids), *(pa.ListArray.from_arrays(rows, pa.array([s[c] for s in flat], pa.float64())) for c in (1, 2)), pa.array(exact)],
                     ["doc_id", "ids", "log_probs", "inclusion", "exact"],
@@ -440,7 +532,7 @@ def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
-    return rows.select("doc_id", "text", key.alias("key")).mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", key.alias("key")).mapInArrow(common.released(run), SCHEMA)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
