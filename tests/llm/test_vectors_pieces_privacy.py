@@ -1,0 +1,221 @@
+import base64
+import collections
+import gzip
+import re
+import urllib.parse
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cellgrove.llm import neighbours, pieces, pii, secrets
+from cellgrove.llm.queries import oracle_sql, queries
+
+
+# neighbours
+def brute_nearest(rows, k=5):
+    good = {(i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = []
+    for q, v in good:
+        if q % 50 == 0:
+            s = sorted((-float(np.dot(v, w) / np.sqrt(np.dot(v, v)) / np.sqrt(np.dot(w, w))), i) for i, w in good if i != q and len(w) == len(v))
+            out += [(q, r + 1, i, -c) for r, (c, i) in enumerate(s[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [16_384, 2])
+def test_neighbours_against_brute_force(spark, block):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(400, rows[50][1]), (401, rows[50][1]), (402, [0.0] * 8), (450, None), (500, [float("nan")] * 8), (403, [None] + [1.0] * 7), (None, [1.0] * 8), (550, [1.0, 2.0]), (551, [2.0, 1.0]), (50, rows[50][1]), (600, [1.0]), (404, [float("inf")] + [1.0] * 7)]
+    df = spark.createDataFrame([(i, v, 1, 0.5) for i, v in rows], "vec_id long, embedding array<float>, rank int, score double")
+    got = sorted(tuple(r) for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, block=block).collect())
+    want = brute_nearest(rows)
+    assert len(got) == len(want) and [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    assert neighbours.nearest(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_estimates_stay_within_bounds():
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(500, 64)), rng.normal(size=(20, 64))
+    x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
+    turn = neighbours.rotation(64)
+    assert np.allclose(turn @ turn.T, np.eye(64))
+    codes, c = neighbours.encode(x @ turn)
+    est = neighbours.estimates(codes, c, q @ turn)
+    assert (np.abs(est - x @ q.T) <= neighbours.bounds(c, 64, 4.0)[:, None]).mean() > 0.999
+    assert codes.shape == (500, 8)
+
+
+def test_recall_on_the_given_vectors(spark, medium):
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{medium}/embeddings.parquet'")
+    want = {(r[0], r[2]) for r in duckdb.sql(oracle_sql()["op3_neighbours"]).fetchall()}
+    got = {(r.query_id, r.vec_id) for r in queries()["op3_neighbours"](spark, medium).collect()}
+    assert len(got & want) / len(want) >= 0.99
+
+
+# pieces
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(pieces.MODEL, "rb") as f:
+        return pieces.Vocabulary(f.read())
+
+
+TEXTS = ["hello world", "", "  two  spaces ", "ünïcode ▁ 漢字 😀\nnew line\ttab", "x" * 300, "a", "\n", "The end."]
+
+
+def test_pieces_round_trip_and_are_distinct(vocabulary):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for t, got in zip(TEXTS, pieces.encode_batch(vocabulary, TEXTS, list(range(len(TEXTS))), 4), strict=True):
+        assert len({tuple(ids.tolist()) for ids, _, _ in got}) == len(got) >= 1
+        for ids, log, inclusion in got:
+            assert vocabulary.decode(ids.tolist()) == t and vocabulary.spells(ids, t.encode()) and log <= 0 and 0 <= inclusion <= 1
+            assert sp.decode(ids.tolist()) == t
+
+
+def test_samples_dont_depend_on_the_batch(vocabulary):
+    many = pieces.encode_batch(vocabulary, TEXTS, [5] * len(TEXTS), 3)
+    for t, got in zip(TEXTS, many, strict=True):
+        alone = pieces.encode_batch(vocabulary, [t], [5], 3)[0]
+        assert [(a.tolist(), b) for a, b, _ in alone] == [(a.tolist(), b) for a, b, _ in got]
+
+
+def test_samples_follow_the_distribution(vocabulary):
+    text, n = "then a", 6000
+    inv = {vocabulary.bytes_of[i]: i for i in range(vocabulary.size) if vocabulary.bytes_of[i] and i > 258}
+
+    def every(s):
+        return [[]] if not s else [[inv[s[:j]], *rest] for j in range(1, len(s) + 1) if s[:j] in inv for rest in every(s[j:])]
+
+    segs = {tuple(a + b): sum(vocabulary.log_weight[i] for i in a + b) for a in every(b" then") for b in every(b" a")}
+    z = np.logaddexp.reduce(list(segs.values()))
+    p = {k: float(np.exp(v - z)) for k, v in segs.items()}
+    got = pieces.encode_batch(vocabulary, [text] * n, [i * 2654435761 for i in range(n)], 2)
+    first = collections.Counter(tuple(g[0][0].tolist()) for g in got)
+    second = collections.Counter(tuple(g[1][0].tolist()) for g in got)
+    for k in sorted(p, key=p.get)[-4:]:
+        assert first[k] / n == pytest.approx(p[k], abs=0.03)
+        assert second[k] / n == pytest.approx(sum(p[j] * p[k] / (1 - p[j]) for j in p if j != k), abs=0.03)
+    assert all(g[0][1] == pytest.approx(np.log(p[tuple(g[0][0].tolist())])) for g in got[:50])
+    estimate = np.mean([sum(len(ids) * np.exp(lp) / inc for ids, lp, inc in g) for g in got])
+    assert estimate == pytest.approx(sum(len(k) * v for k, v in p.items()), rel=0.02)
+
+
+def test_pieces_odd_rows(odd):
+    got = pieces.sample_documents(odd).collect()
+    assert len(got) == 9 and all(r.exact for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r.ids)
+    assert by[1] == [[]] and by[2] == [[[]]] and by[3][0] == by[3][1] and len(by[5][0]) == 3
+    assert pieces.sample_documents(odd.where("false")).count() == 0
+
+
+# secrets
+def test_base_matches_against_plain_patterns():
+    rng = np.random.default_rng(2)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abc", "AKIA", "ABCDEF0123456789", "deadbeef", "x-y_z", "é", "\n", "ſ", "123456"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts, 25))
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m.group(2)) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+        assert secrets.base_matches(text) == sorted(want)
+
+
+def test_nested_layers_are_unwrapped():
+    inner = "api_key = ABCDEF123456"
+    for wrap in (
+        lambda s: urllib.parse.quote(s, safe=""),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        lambda s: base64.b64encode(s.encode()).decode(),
+        lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
+    ):
+        token, depth = inner, 0
+        while depth < 3:
+            token, depth = wrap(token), depth + 1
+            base, every, layers = secrets.scan(f"see {token} there")
+            assert ((4, 0, 4 + len(token)) in every) and base == [], (token, every)
+            assert layers == depth + 1
+
+
+def test_base_spans_stay_and_cycles_end():
+    text = "token=abcdef %74oken%3Dsecret99 " + base64.b64encode(b"%25" * 30).decode()
+    base, every, _ = secrets.scan(text)
+    assert set(base) <= set(every) and (13, 0, 31) in every
+    assert secrets.scan(None) == ([], [], 1)
+    assert secrets.redact(text, "assign:0:12,assign:13:31").startswith("[assign] [assign] ")
+
+
+def test_secrets_odd_rows(odd, docs):
+    got = secrets.scan_documents(odd).collect()
+    assert len(got) == 9 and all(r.spans == "" and r.n_hex == 0 for r in got)
+    clean = secrets.redact_documents(docs((1, "token: abcdef12"), (2, None), (None, "x"))).collect()
+    assert [(r.text, r.n_chars) for r in clean] == [("[assign]", 8), (None, None), ("x", 1)]
+    assert secrets.scan_documents(odd.where("false")).count() == 0
+
+
+# personal data
+SAMPLE = "Mail a.b+7@mail.example.org or a.b+7@mail.example.org, 10.1.2.3, 59.36.80.30, +1 (017) 555-7713, 4111 1111 1111 1111, 4238397436896688, DE89370400440532013000; Mr. Smith, Anna Schmidt and Иван Петров."
+
+
+def test_surrogates_keep_format_and_meaning():
+    new, found = pii.replace(SAMPLE, b"k")
+    kinds = collections.Counter(k for k, _, _ in found)
+    assert kinds == {"email": 2, "ip": 2, "phone": 1, "card": 2, "iban": 1, "person": 3}
+    by = {}
+    for kind, old, other in found:
+        assert old != other and old not in new and by.setdefault(old, other) == other
+        assert re.sub(r"\d", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", other))) == re.sub(r"\d", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", old))) or kind in ("ip", "person", "iban")
+        if kind == "card":
+            assert pii.luhn(other) == pii.luhn(old) and other[0] == old[0]
+    assert by["10.1.2.3"].startswith("10.") and not by["59.36.80.30"].startswith(("10.", "127."))
+    assert by["Anna Schmidt"].split()[0] in pii.GIVEN["latin", "f"] and by["Иван Петров"].split()[0] in pii.GIVEN["cyrillic", "m"]
+    assert pii.replace(SAMPLE, b"k")[0] == new != pii.replace(SAMPLE, b"other")[0]
+    assert [k for k, _, _ in pii.replace(new, b"k")[1]] == [k for k, _, _ in found]
+
+
+def test_permutations_have_no_fixed_point_and_no_collision():
+    keyed = pii.Keyed(b"key")
+    for m in (2, 3, 10, 257, 1000):
+        image = [keyed.other(x, m, b"t") for x in range(m)]
+        assert sorted(image) == list(range(m)) and all(x != y for x, y in enumerate(image))
+        assert [keyed.permute(keyed.permute(x, m, b"t"), m, b"t", back=True) for x in range(m)] == list(range(m))
+    even = [keyed.other(x, 100, b"t", lambda y: y % 2 == 0) for x in range(0, 100, 2)]
+    assert sorted(even) == list(range(0, 100, 2))
+
+
+def test_surrogates_of_a_corpus_dont_collide(spark, medium, odd):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    out = pii.surrogate_documents(docs, b"k")
+    assert out.where("size(entities) > 0").count() > 50 and pii.collisions(out).isEmpty()
+    plain = pii.surrogate_documents(odd, b"k").collect()
+    assert sorted((str(r.text) for r in plain)) == sorted(str(r.text) for r in odd.collect()) and all(not r.entities for r in plain)
+    assert pii.surrogate_documents(odd.where("false"), b"k").count() == 0
+    assert {c for c in queries()["op10_pii"](spark, medium).columns} >= {"doc_id", "n_entities", "text"}
+
+
+# pipeline
+def test_pipeline_stages(spark, small, odd):
+    docs, names = spark.read.parquet(f"{small}/documents.parquet"), [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, small)
+        assert after.columns == docs.columns and after.count() <= n, name
+        docs, n = after, after.count()
+    assert not any(secrets.base_matches(r.text) for r in docs.collect())
+    out = corpus_pipeline.run(spark, small)
+    assert out.count() == n and out.where("NOT exact").count() == 0
+
+
+def test_pipeline_stages_take_odd_rows(spark, small, odd):
+    for frame in (odd, odd.where("false")):
+        for _, stage in corpus_pipeline.STAGES:
+            frame = stage(spark, frame, small)
+            assert frame.count() >= 0
