@@ -37,9 +37,10 @@ def line_features(cleaned: DataFrame) -> DataFrame:
 
 def profiles(cleaned: DataFrame, cancelled: DataFrame, at: datetime | None = None) -> DataFrame:
     """CustomerID and the eight features as doubles. Customers with cancellations only have none."""
-    base = line_features(cleaned).join(cancel_counts(cancelled), "CustomerID", "left")
-    if at is None:
-        base = base.crossJoin(F.broadcast(snapshot(cleaned)))  # one row
+    lines = line_features(cleaned)
+    base = lines.join(cancel_counts(cancelled), "CustomerID", "left")
+    if at is None:  # from the customers' last dates, whose shuffles are there already; one row
+        base = base.crossJoin(F.broadcast(lines.agg((F.max("last") + F.expr("INTERVAL 1 DAY")).alias("snapshot"))))
     else:
         base = base.withColumn("snapshot", F.lit(at))
     c = F.coalesce(F.col("n_cancelled"), F.lit(0))
