@@ -112,7 +112,7 @@ class Model:
         return langs, score, rejected
 
 
-def fit(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), per_lang: int = 400, centroids: int = 4, slack: float = 0.5) -> Model:
+def fit(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), per_lang: int = 400, centroids: int = 4, slack: float = 0.3) -> Model:
     """Fits on rows with a lang whose crc32(doc_id) modulo holdout[0] is not holdout[1].
 
     The idf is made from all of them; the centroids from about per_lang texts of each language, chosen
