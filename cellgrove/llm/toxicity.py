@@ -41,9 +41,9 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(w) for w in marked], np.int64)
     data = np.frombuffer(b"".join(marked), np.uint8)
     start = np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(len(words)), size)
-    buckets = [(common.span_hashes(data, start[:-1], start[1:]) & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    owners = [np.arange(len(words))]
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    buckets = [(common.span_hashes(data, start[:-1], start[1:]) & np.uint64(BUCKETS - 1)).astype(np.int32)]
+    owners = [np.arange(len(words), dtype=np.int32)]
     c = data.astype(np.uint32) + np.uint32(1)
     for n in GRAMS:
         m = len(c) - n + 1
@@ -56,11 +56,17 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h *= np.uint32(0x2C1B3C6D)
         h ^= h >> np.uint32(13)
         inside = owner[:m] == owner[n - 1 :]
-        buckets.append((h & np.uint32(BUCKETS - 1)).astype(np.int64)[inside])
+        buckets.append((h & np.uint32(BUCKETS - 1)).astype(np.int32)[inside])
         owners.append(owner[:m][inside])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _subwords_of(words: list[bytes], step: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """subwords of many words, some at a time."""
+    parts = [subwords(words[i : i + step]) for i in range(0, len(words), step)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([o + np.int32(i * step) for i, (_, o) in enumerate(parts)])
+
+
 def word_means(words: list[bytes], share: np.ndarray) -> np.ndarray:
     """For each word the mean of share over its subwords."""
     if not words:
@@ -118,28 +124,31 @@ def train(texts: list[str], toxic: np.ndarray, dims: int = 8, epochs: int = 80,
     if not docs or y.min() == y.max():
         return None
     index: dict[bytes, int] = {}
-    tokens = np.array([index.setdefault(w, len(index)) for ws in docs for w in ws])
-    buckets, owners = subwords(list(index))
     length = np.array([len(ws) for ws in docs])
-    pairs = np.unique(np.repeat(np.arange(len(docs)), length) * len(index) + tokens) % len(index)
-    often = np.bincount(buckets, np.bincount(pairs, minlength=len(index))[owners], BUCKETS) >= min(rarest, len(docs))
+    tokens = np.fromiter((index.setdefault(w, len(index)) for ws in docs for w in ws), np.int32, length.sum())
+    n_docs = len(docs)
+    del docs  # the words are many small objects
+    buckets, owners = _subwords_of(list(index))
+    pairs = np.unique(np.repeat(np.arange(n_docs), length) * len(index) + tokens) % len(index)
+    often = np.bincount(buckets, np.bincount(pairs, minlength=len(index))[owners], BUCKETS) >= min(rarest, n_docs)
     n_sub = np.bincount(owners, minlength=len(index)).astype(float)
     buckets, owners = buckets[often[buckets]], owners[often[buckets]]
-    used, buckets = np.unique(buckets, return_inverse=True)
-    order = np.argsort(owners, kind="stable")
-    buckets, owners = buckets[order], owners[order]
-    n_used = np.bincount(owners, minlength=len(index))
+    del pairs
+    there = np.zeros(BUCKETS, bool)
+    there[buckets] = True
+    used = np.flatnonzero(there)
+    buckets = (np.cumsum(there) - 1).astype(np.int32)[buckets]
     at = np.concatenate([[0], np.cumsum(length)])
     width = np.minimum(RUN, length)
     runs = length - width + 1
     run_at = np.concatenate([[0], np.cumsum(runs)])
-    run_doc = np.repeat(np.arange(len(docs)), runs)
-    run_start = np.arange(run_at[-1]) - run_at[run_doc] + at[run_doc]
+    run_doc = np.repeat(np.arange(n_docs, dtype=np.int32), runs)
+    run_start = (np.arange(run_at[-1]) + (at[:-1] - run_at[:-1])[run_doc]).astype(np.int32)
     rng = np.random.default_rng(seed)
     e, u, b = rng.normal(0, 0.02, (len(used), dims)), rng.normal(0, 0.3, dims), -2.0
     cost = np.where(y > 0, (len(y) / 2) / max(1, y.sum()), (len(y) / 2) / max(1, (1 - y).sum())) ** 0.5
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, u, np.zeros(1))]
-    top = np.zeros(len(docs))
+    top = np.zeros(n_docs)
     for step in range(1, epochs + 1):
         per_word = np.bincount(owners, (e @ u)[buckets], len(index)) / n_sub
         total = np.concatenate([[0.0], np.cumsum(per_word[tokens])])
@@ -150,11 +159,11 @@ def train(texts: list[str], toxic: np.ndarray, dims: int = 8, epochs: int = 80,
         share = np.exp(sharp * (logits - top[run_doc]))
         share /= np.add.reduceat(share, run_at[:-1])[run_doc]
         z = np.add.reduceat(share * logits, run_at[:-1])
-        gap = (1 / (1 + np.exp(-(z + b))) - y) * cost / len(docs)
+        gap = (1 / (1 + np.exp(-(z + b))) - y) * cost / n_docs
         on_run = (gap / width)[run_doc] * share
         on_token = np.cumsum(np.bincount(run_start, on_run, len(tokens) + 1) - np.bincount(run_start + width[run_doc], on_run, len(tokens) + 1))[:-1]
         on_word = np.bincount(tokens, on_token, len(index))
-        on_sub = np.bincount(buckets, np.repeat(on_word / n_sub, n_used), len(used))
+        on_sub = np.bincount(buckets, (on_word / n_sub)[owners], len(used))
         grads = [np.outer(on_sub, u) + decay * e, e.T @ on_sub, np.array([gap.sum()])]
         values = [e, u, np.array([b])]
         for x, g, (m, v) in zip(values, grads, moments, strict=True):
