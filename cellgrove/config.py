@@ -37,8 +37,8 @@ class EngineConfig:
     country: str | None = None
     #: Rows from which silhouettes are made; larger inputs are sampled by a hash of the id.
     silhouette_rows: int = 20_000
-    #: Rows that agglomerative clustering takes at most: its distances grow with the square.
-    agglomerative_rows: int = 4_000
+    #: Rows that the pipeline's agglomerative clustering takes at most, as its time grows with their square; None: all.
+    agglomerative_rows: int | None = None
 
     def __post_init__(self):
         if self.winsor_on not in ("all", "train"):

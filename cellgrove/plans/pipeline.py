@@ -81,19 +81,22 @@ class Pipeline:
         return model, described, grid
 
     def benchmark(self, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """The comparison with other algorithms (the first `most` settings) on the training rows, and predictions of the test rows."""
+        """The comparison with other algorithms (the first `most` settings) on the training rows, and predictions of the test rows.
+        Agglomerative settings over a configured limit of rows have a row that says so, without scores."""
         model, _, _ = load_model(self.spark, f"{self.folder}/model")
         scaled = self.read("scaled")
         train = scaled.where("split = 'train'").select("CustomerID", *self.features).persist()
         rows = []
         for name, settings in [("grid", {"xi": model.xi, "tau": model.tau}), *baselines.SETTINGS[:most]]:
-            began = perf_counter()
-            if name == "Agglomerative" and train.count() > self.config.agglomerative_rows:
+            params, limit = ", ".join(f"{k}={v}" for k, v in settings.items()), self.config.agglomerative_rows
+            if name == "Agglomerative" and limit is not None and train.count() > limit:
+                rows.append({"algorithm": name, "params": f"{params} (not run: over {limit} rows)"})
                 continue
+            began = perf_counter()
             labelled = (model.predict(train) if name == "grid" else baselines.run(train, self.features, name, settings, self.config.seed, most=self.config.agglomerative_rows)).persist()
             labelled.count()
             took = perf_counter() - began
-            row = metrics.evaluate(labelled, self.features, name, ", ".join(f"{k}={v}" for k, v in settings.items()), most=self.config.silhouette_rows)
+            row = metrics.evaluate(labelled, self.features, name, params, most=self.config.silhouette_rows)
             rows.append(row | {"runtime_sec": took})
             labelled.unpersist()
         train.unpersist()

@@ -376,12 +376,8 @@ def kmeans_summary(spark, d):
 
 
 def agglomerative_summary(spark, d):
-    """Ward clusters, where all pairs of training rows can be held; else of the rows with the least hashes."""
-    train = _train(spark, d).persist()
-    n = train.count()
-    if n > CONFIG.agglomerative_rows:
-        train = train.where(F.pmod(F.xxhash64("CustomerID"), F.lit(1 << 20)) < int(0.9 * CONFIG.agglomerative_rows / n * (1 << 20)))
-    out = baselines.agglomerative(train, COLS, 5, most=CONFIG.agglomerative_rows)
+    """Ward clusters of all training rows."""
+    out = baselines.agglomerative(_train(spark, d).persist(), COLS, 5)
     return out.groupBy("cluster_id").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in COLS))
 
 

@@ -264,3 +264,22 @@ def test_violations_are_counted(spark):
     assert got == {"null_or_nan": 1, "infinite": 1, "too_few_orders": 1}
     with pytest.raises(ValueError):
         validate.profile_violations(df, ["y"])
+
+
+def test_ward_of_more_rows_than_fit_a_table_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    df, names = points(spark, np.concatenate([rng.normal(c, 0.01, (2100, 2)) for c in (0.2, 0.8)]))
+    out = baselines.agglomerative(df, names, 2).groupBy("cluster_id").count().collect()
+    assert sorted(map(tuple, out)) == [(0, 2100), (1, 2100)]
+
+
+def test_ward_against_all_pairs():
+    x = np.random.default_rng(4).random((50, 3))
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 4:
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+        i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[i] += groups.pop(j)
+    of = {i: min(g) for g in groups for i in g}
+    number = {m: n for n, m in enumerate(sorted(set(of.values())))}
+    assert baselines.ward(x, 4).tolist() == [number[of[i]] for i in range(len(x))]

@@ -1,12 +1,16 @@
+import dataclasses
 import datetime
 import decimal
 import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cellgrove.plans import oracle, queries
+from cellgrove.config import EngineConfig
+from cellgrove.operators import baselines
+from cellgrove.plans import oracle, pipeline, queries
 from cellgrove.plans.pipeline import Pipeline
 from cellgrove.sources import transactions
 
@@ -59,3 +63,27 @@ def test_pipeline_end_to_end(spark, small, tmp_path):
     assert result.predictions.count() == 30 and result.comparison.count() == 2
     assert {r.business_label for r in result.predictions.where("is_noise").collect()} <= {"Noise"}
     assert [w for w in p.validate() if "silhouette" not in w] == [] or p.validate()
+
+
+def test_agglomerative_summary_has_all_training_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(queries, "CONFIG", dataclasses.replace(queries.CONFIG, agglomerative_rows=40))
+    n = {r.split: r.n for r in QUERIES["split_counts"](spark, small).collect()}
+    assert sum(r.n for r in QUERIES["agglomerative_summary"](spark, small).collect()) == n["train"]
+
+
+def test_pipeline_reports_settings_it_skips(spark, tmp_path, monkeypatch):
+    class Fixed:
+        xi, tau = 8, 0.05
+
+        def predict(self, df):
+            return df.withColumn("cluster_id", F.lit(0))
+
+    monkeypatch.setattr(pipeline, "load_model", lambda *a: (Fixed(), None, None))
+    monkeypatch.setattr(pipeline, "scored", lambda model, test, names: test)
+    monkeypatch.setattr(baselines, "SETTINGS", baselines.SETTINGS[-2:])
+    p = Pipeline(spark, str(tmp_path), EngineConfig(agglomerative_rows=3))
+    rows = spark.range(5).select(F.col("id").cast("string").alias("CustomerID"), *(F.lit(0.5).alias(c) for c in p.features), F.when(F.col("id") < 4, "train").otherwise("test").alias("split"))
+    rows.write.parquet(f"{tmp_path}/scaled")
+    rows.limit(0).write.parquet(f"{tmp_path}/cluster_descriptions")
+    skipped = p.benchmark()[0].where("algorithm = 'Agglomerative'").orderBy("params").collect()
+    assert [(r.params, r.silhouette) for r in skipped] == [("k=5 (not run: over 3 rows)", None), ("k=6 (not run: over 3 rows)", None)]
