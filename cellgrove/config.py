@@ -35,8 +35,8 @@ class EngineConfig:
     winsor_on: str = "all"
     test_share: float = 0.2
     country: str | None = None
-    #: Rows from which silhouettes are made; larger inputs are sampled by a hash of the id.
-    silhouette_rows: int = 20_000
+    #: Rows from which silhouettes are made, larger inputs being sampled by a hash of the id; None: all rows.
+    silhouette_rows: int | None = None
     #: Rows that the pipeline's agglomerative clustering takes at most, as its time grows with their square; None: all.
     agglomerative_rows: int | None = None
 

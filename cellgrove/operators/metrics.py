@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NOISE
+from ..plans.components import written
 
 
 def assigned(points: DataFrame, label: str = "cluster_id") -> DataFrame:
@@ -66,43 +67,78 @@ def calinski_harabasz(points: DataFrame, features: list[str], label: str = "clus
     return 1.0 if within == 0 else between * (n - k) / (within * (k - 1))
 
 
-def silhouette_rows(points: DataFrame, features: list[str], label: str = "cluster_id", most: int = 20_000, id_column: str = "CustomerID") -> DataFrame | None:
+def silhouette_rows(points: DataFrame, features: list[str], label: str = "cluster_id", most: int | None = None, id_column: str = "CustomerID", block: int = 32_768) -> DataFrame | None:
     """(label, silhouette) of each assigned point, by Euclidean distances; a cluster of one point gives 0.
 
-    Beyond `most` points a sample by hash of the id stands for all of them, on both sides. The points are sent to
-    every task, which takes a block of them and sums distances to each cluster."""
+    Points are sent to every task in blocks of `block` at most; each point's distances to a block are added to its
+    sums by cluster, which are written between blocks. Where `most` is given, a sample by hash of the id stands for
+    more points than that, on both sides."""
     rows = assigned(points, label).select(F.col(id_column).cast("string").alias("id"), F.col(label).cast("int").alias("label"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
-    n = rows.count()
-    if n > most:
+    if most is not None and (n := rows.count()) > most:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    got = rows.toPandas()
-    if got["label"].nunique() < 2:
+    spark = points.sparkSession
+    held = written(rows.select("label", F.array(*(f"x{i}" for i in range(len(features)))).alias("x"), F.array().cast("array<double>").alias("total")).repartition(spark.sparkContext.defaultParallelism * 4), "silhouette")
+    counted = held.groupBy("label").count().orderBy("label").collect()
+    labels, size = np.array([r[0] for r in counted], np.int32), np.array([r[1] for r in counted], float)
+    if len(labels) < 2:
         return None
-    got = got.sort_values(["label", "id"], kind="stable")
-    x = got[[f"x{i}" for i in range(len(features))]].to_numpy(float)
-    _, start, size = np.unique(got["label"].to_numpy(), return_index=True, return_counts=True)
-    shared = points.sparkSession.sparkContext.broadcast((x, np.repeat(np.arange(len(size)), size), start, size, got["label"].to_numpy()))
+    done = held
+    for i, (y, x) in enumerate(_blocks(held, block)):
+        done = done if i == 0 else written(done, "silhouette")
+        order = np.argsort(y, kind="stable")
+        found, start = np.unique(y[order], return_index=True)
+        shared = spark.sparkContext.broadcast((x[order], start, np.searchsorted(labels, found), len(labels)))
+        done = done.mapInArrow(_adding(shared), held.schema)
+
+    def finish(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            mine = np.searchsorted(labels, batch.column(0).to_numpy())
+            total, at = _matrix(batch.column(2), len(labels)), np.arange(len(mine))
+            a = total[at, mine] / np.maximum(size[mine] - 1, 1)
+            other = total / size
+            other[at, mine] = np.inf
+            b = other.min(axis=1)
+            s = np.where(size[mine] > 1, (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(labels[mine]), pa.array(s)], ["cluster_id", "silhouette"])
+
+    return done.mapInArrow(finish, "cluster_id int, silhouette double")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def _blocks(held: DataFrame, block: int):
+    """(labels, points) of at most `block` rows at a time."""
+    some = []
+    for r in held.select("label", "x").toLocalIterator():
+        some.append(r)
+        if len(some) == block:
+            yield np.array([r[0] for r in some], np.int32), np.array([r[1] for r in some])
+            some = []
+    if some:
+        yield np.array([r[0] for r in some], np.int32), np.array([r[1] for r in some])
+
+
+def _adding(shared):
+    """Adds the distances to a block's points to each row's sums by cluster."""
 
     def run(batches):
-        x, own, start, size, label = shared.value
+        x, start, at, k = shared.value
+        step = max(1, (1 << 21) // len(x))
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            for i in range(0, len(at), 512):
-                r = at[i : i + 512]
-                d = np.sqrt(((x[r][:, None] - x[None]) ** 2).sum(axis=2)) if len(x) <= 4096 else _distances(x[r], x)
-                total = np.add.reduceat(d, start, axis=1)
-                mine = own[r]
-                rows_ = np.arange(len(r))
-                a = total[rows_, mine] / np.maximum(size[mine] - 1, 1)
-                other = total / size
-                other[rows_, mine] = np.inf
-                b = other.min(axis=1)
-                s = np.where(size[mine] > 1, (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1), 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(label[r].astype(np.int32)), pa.array(s)], ["cluster_id", "silhouette"])
+            if not batch.num_rows:
+                continue
+            own = _matrix(batch.column(1), x.shape[1])
+            total = _matrix(batch.column(2), k).copy() if len(batch.column(2).flatten()) else np.zeros((len(own), k))
+            for i in range(0, len(own), step):
+                total[i : i + step, at] += np.add.reduceat(_distances(own[i : i + step], x), start, axis=1)
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, k), pa.int32()), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sums], ["label", "x", "total"])
 
-    spark = points.sparkSession
-    blocks = max(1, min(len(x) // 512, spark.sparkContext.defaultParallelism * 4))
-    return spark.range(0, len(x), 1, blocks).mapInArrow(run, "cluster_id int, silhouette double")
+    return run
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,13 +148,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(d)
 
 
-def silhouette(points: DataFrame, features: list[str], label: str = "cluster_id", most: int = 20_000, id_column: str = "CustomerID") -> float | None:
+def silhouette(points: DataFrame, features: list[str], label: str = "cluster_id", most: int | None = None, id_column: str = "CustomerID") -> float | None:
     """Mean silhouette of the assigned points; None for fewer than two clusters."""
     rows = silhouette_rows(points, features, label, most, id_column)
     return None if rows is None else rows.agg(F.avg("silhouette")).first()[0]
 
 
-def intrinsic(points: DataFrame, features: list[str], label: str = "cluster_id", most: int = 20_000, id_column: str = "CustomerID") -> dict[str, float | None]:
+def intrinsic(points: DataFrame, features: list[str], label: str = "cluster_id", most: int | None = None, id_column: str = "CustomerID") -> dict[str, float | None]:
     return {"silhouette": silhouette(points, features, label, most, id_column), "davies_bouldin": davies_bouldin(points, features, label), "calinski_harabasz": calinski_harabasz(points, features, label)}
 
 
@@ -193,7 +229,7 @@ def agreement(table: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(points: DataFrame, features: list[str], name: str, params: str = "", truth: str | None = None, label: str = "cluster_id", most: int = 20_000, id_column: str = "CustomerID") -> dict:
+def evaluate(points: DataFrame, features: list[str], name: str, params: str = "", truth: str | None = None, label: str = "cluster_id", most: int | None = None, id_column: str = "CustomerID") -> dict:
     """A row of a comparison; the supervised parts are None without truth."""
     c = coverage(points, label).first()
     row = {"algorithm": name, "params": params, "n_clusters": c["n_clusters"], "noise_pct": 100.0 * c["n_noise"] / c["n_points"] if c["n_points"] else None}

@@ -283,3 +283,18 @@ def test_ward_against_all_pairs():
     of = {i: min(g) for g in groups for i in g}
     number = {m: n for n, m in enumerate(sorted(set(of.values())))}
     assert baselines.ward(x, 4).tolist() == [number[of[i]] for i in range(len(x))]
+
+
+def test_silhouette_takes_all_rows(spark):
+    df = spark.range(20_400).select(F.col("id").cast("string").alias("CustomerID"), (F.col("id") / 20_400).alias("f0"), F.when(F.col("id") < 10_000, 0).otherwise(1).alias("cluster_id"))
+    got = metrics.silhouette_rows(df, ["f0"]).groupBy("cluster_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 10_000), (1, 10_400)]
+
+
+def test_silhouette_by_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.random((60, 3)), np.array([0] * 25 + [1] * 24 + [2] + [-1] * 10)
+    df, names = points(spark, x)
+    ids = spark.createDataFrame([(f"p{i:04d}", int(v)) for i, v in enumerate(y)], "CustomerID string, cluster_id int")
+    got = metrics.silhouette_rows(df.join(ids, "CustomerID"), names, block=23).agg(F.count("*"), F.avg("silhouette")).first()
+    assert tuple(got) == pytest.approx((50, brute_metrics(x[y >= 0], y[y >= 0])[0]))
