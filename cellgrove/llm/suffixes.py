@@ -1,19 +1,20 @@
 """Removal of repeated byte strings by external induced suffix sorting.
 
-A byte is removed if a string of LENGTH bytes that covers it also starts elsewhere. Every window of
-LENGTH bytes belongs to its anchor, a short string in it with the least hash; windows are equal only if
-their anchors are, so the text around the anchors that occur more than once, dealt out by the anchor's
-hash, holds all repeats. Pieces of equal content are one piece with a count.
-
-Each shard of pieces is sorted by its suffixes. Leftmost S-type suffixes are named by their substrings
-and ordered by recursion; then the others are induced: monotone priority queues, keyed by first byte and
-order of arrival, take batches of suffixes and give each one's left neighbour with the length of the
-prefix that it shares with the one before, which is one more than the least such length since. Queues
-and large arrays go to unlinked scratch files beyond `memory` bytes, as Spark's own sorts do; they end
-with the task. Neighbours in suffix order with LENGTH common bytes are repeats.
-
-Null and empty texts have no bytes, and nothing to remove. Repeated rows repeat each other's strings.
-Extra columns are not read.
+A byte is removed if a string of LENGTH bytes that covers it also starts elsewhere. Strings of REPORT bytes,
+fewer, are looked for as well; bytes in those that start elsewhere are counted but stay.
+
+Every window of REPORT bytes belongs to its anchor, a short string in it with the least hash; windows are
+equal only if their anchors are, so the text around the anchors that occur more than once, dealt out by the
+anchor's hash, holds all repeats. Pieces of equal content are one piece with a count. Where the pieces of one
+anchor are too many for one task, their windows get longer anchors, and in the end are their own anchors, so
+that no task depends on how often a string occurs among different surroundings.
+
+Each shard of pieces is sorted by its suffixes, with the prefixes that neighbours share, as `induced` says, in
+memory of bounded size. Neighbours in suffix order with LENGTH (or REPORT) common bytes are repeats.
+
+Null and empty texts have no bytes, and nothing to remove. Repeated rows repeat each other's strings. Very
+long texts are cut into runs of windows in blocks, without loss. Ties of hashes within a window go to the
+first place. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .induced import Scratch, suffix_order
 
 LENGTH = 400
-ANCHOR = 64
+REPORT = 280
+ANCHOR = 48
+_BLOCK = 1 << 20  # windows looked at together
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = REPORT, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows of `length` bytes of one text, in runs that share an anchor: first window, number of windows, anchor's place and hash.
 
     A window's anchor is the first of its `width`-byte strings with the least hash, so equal windows have
@@ -71,253 +75,10 @@ def _first_least(h: np.ndarray, reach: int) -> np.ndarray:
     return np.where(padded[b] < padded[a], b, a)
 
 
-class Scratch:
-    """Arrays in memory up to `memory` bytes in all, beyond that in an unlinked file."""
-
-    def __init__(self, memory: int):
-        self.left, self.file = memory, None
-
-    def array(self, n: int, dtype) -> np.ndarray:
-        size = n * np.dtype(dtype).itemsize
-        if size <= self.left:
-            self.left -= size
-            return np.zeros(n, dtype)
-        with tempfile.TemporaryFile() as f:
-            f.truncate(max(size, 1))
-            return np.memmap(f, dtype, "r+", shape=(n,))
-
-
-class Queue:
-    """A monotone priority queue: runs of (suffix, common prefix) by first letter, each in order of arrival."""
-
-    def __init__(self, letters: int, scratch: Scratch):
-        self.runs: list[list] = [[] for _ in range(letters)]
-        self.scratch, self.file = scratch, None
-
-    def put(self, letter: int, suffix: np.ndarray, common_: np.ndarray | None) -> None:
-        size = suffix.nbytes + (0 if common_ is None else common_.nbytes)
-        if size > self.scratch.left:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            self.file.seek(0, 2)
-            at = self.file.tell()
-            suffix.tofile(self.file)
-            if common_ is not None:
-                common_.tofile(self.file)
-            self.runs[letter].append((at, len(suffix), common_ is not None))
-        else:
-            self.scratch.left -= size
-            self.runs[letter].append((suffix, common_))
-
-    def take(self, letter: int) -> tuple[np.ndarray, np.ndarray | None]:
-        out = []
-        for run in self.runs[letter]:
-            if len(run) == 3:
-                at, n, has = run
-                self.file.seek(at)
-                out.append((np.fromfile(self.file, np.int64, n), np.fromfile(self.file, np.int64, n) if has else None))
-            else:
-                self.scratch.left += run[0].nbytes + (0 if run[1] is None else run[1].nbytes)
-                out.append(run)
-        self.runs[letter] = []
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x[0] for x in out]), None if out[0][1] is None else np.concatenate([x[1] for x in out])
-
-
-_FAR = np.int64(1 << 40)
-
-
-def _deal(suffix: np.ndarray, shared: np.ndarray | None, text: np.ndarray, kind: np.ndarray, want: bool, since: np.ndarray | None, queue: Queue) -> None:
-    """The left neighbours (of the wanted kind) of a batch of suffixes, put into the queue. since: for each letter the least shared prefix since its last entry."""
-    at = np.flatnonzero(suffix > 0)
-    left = suffix[at] - 1
-    ok = kind[left] == want
-    at, left = at[ok], left[ok]
-    if len(at):
-        letter = text[left]
-        order = np.argsort(letter, kind="stable")
-        at, left, letter = at[order], left[order], letter[order]
-        first = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
-        ends = np.concatenate([first[1:], [len(at)]])
-    if shared is not None:
-        if not len(at):
-            np.minimum(since, shared.min(initial=_FAR), out=since)
-            return
-        begin = np.empty(len(at), np.int64)
-        begin[1:] = at[:-1] + 1
-        begin[first] = 0
-        pairs = np.stack([begin, at + 1], axis=1).ravel()
-        padded = np.append(shared, _FAR)
-        least = np.minimum.reduceat(padded, pairs)[::2]
-        heads = letter[first].astype(np.int64)
-        least[first] = np.minimum(least[first], since[heads])
-        tail = np.append(np.minimum.accumulate(shared[::-1])[::-1], _FAR)
-        np.minimum(since, shared.min(), out=since)
-        since[heads] = tail[at[ends - 1] + 1]
-        least += 1
-    for a, b in zip(first.tolist(), ends.tolist(), strict=True) if len(at) else ():
-        queue.put(int(letter[a]), left[a:b], None if shared is None else least[a:b])
-
-
-def _direct(text: np.ndarray, a: int, b: int, cap: int) -> int:
-    n = min(cap, len(text) - max(a, b))
-    diff = np.flatnonzero(text[a : a + n] != text[b : b + n])
-    return int(diff[0]) if len(diff) else n
-
-
-def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray, shared: np.ndarray | None, letters: int, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
-    """All suffixes in order, with the length of the prefix each shares with the one before, from the ordered
-    leftmost S-type ones. kind: whether each suffix is L-type. The last letter is the one least."""
-    has = shared is not None
-    bounds = np.searchsorted(text[lms], np.arange(letters + 1))
-    queue, since = Queue(letters, scratch), np.full(letters, -1, np.int64)
-    large: list = []
-    for c in range(letters):
-        got = []
-        while True:
-            s, sh = queue.take(c)
-            if not len(s):
-                break
-            got.append((s, sh))
-            _deal(s, sh if has else None, text, kind, True, since, queue)
-        ls = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.int64)
-        lsh = (np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int64)) if has else None
-        large.append((ls, lsh))
-        x, y = bounds[c], bounds[c + 1]
-        if x < y:
-            sh = None
-            if has:
-                sh = shared[x:y].copy()
-                sh[0] = _direct(text, int(ls[-1]), int(lms[x]), cap) if len(ls) else 0
-            _deal(lms[x:y], sh, text, kind, True, since, queue)
-    n = len(text)
-    order = scratch.array(n, np.int64)
-    out = scratch.array(n, np.int64) if has else None
-    queue, since, end = Queue(letters, scratch), np.full(letters, -1, np.int64), n
-    for c in range(letters - 1, -1, -1):
-        got = []
-        if c == text[-1]:
-            queue.put(c, np.array([n - 1]), np.zeros(1, np.int64) if has else None)
-        while True:
-            s, sh = queue.take(c)
-            if not len(s):
-                break
-            got.append((s, sh))
-            _deal(s, sh if has else None, text, kind, False, since, queue)
-        ss = np.concatenate([x[0] for x in got]) if got else np.zeros(0, np.int64)
-        ls, lsh = large[c]
-        large[c] = None
-        seam = _direct(text, int(ls[-1]), int(ss[-1]), cap) if has and len(ls) and len(ss) else 0
-        order[end - len(ss) : end] = ss[::-1]
-        if has and len(ss):
-            ssh = np.concatenate([x[1] for x in got])
-            out[end - len(ss)] = seam
-            out[end - len(ss) + 1 : end] = ssh[1:][::-1]
-        end -= len(ss)
-        order[end - len(ls) : end] = ls
-        if len(ls):
-            back = None
-            if has:
-                out[end - len(ls) : end] = lsh
-                back = np.concatenate([[seam], lsh[1:][::-1]])
-            _deal(ls[::-1], back, text, kind, False, since, queue)
-        end -= len(ls)
-    return order, out
-
-
-def _kinds(text: np.ndarray) -> np.ndarray:
-    """Whether each suffix is L-type: larger than the one after it. The last is S-type."""
-    n = len(text)
-    less = np.zeros(n, np.int8)
-    less[:-1] = np.sign(text[:-1].astype(np.int32) - text[1:].astype(np.int32)) if text.dtype == np.uint16 else np.sign(text[:-1] - text[1:])
-    less[-1] = -1
-    at = np.where(less != 0, np.arange(n), n)
-    return less[np.minimum.accumulate(at[::-1])[::-1]] > 0
-
-
-def _by_doubling(names: np.ndarray, steps: int) -> np.ndarray:
-    """Order of the suffixes of names by their first 2**steps entries."""
-    rank = names.astype(np.int64)
-    n = len(rank)
-    for k in range(steps):
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - (1 << k))] = rank[1 << k :] + 1
-        key = rank * (n + 2) + ahead
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
-    return order
-
-
-def suffix_order(text: np.ndarray, letters: int, depth: int, with_shared: bool, scratch: Scratch) -> tuple[np.ndarray, np.ndarray | None]:
-    """Suffixes in order of their first `depth` letters at least, and shared prefixes (right up to depth). The last letter is 0 and the only one."""
-    kind = _kinds(text)
-    lms = np.flatnonzero(~kind[1:] & kind[:-1]) + 1
-    if not len(lms):
-        order = _by_doubling(text, max(1, depth.bit_length()))
-        return order, _shared(text, order, depth, None) if with_shared else None
-    sums = _Sums(text, letters, scratch)
-    by_letter = lms[np.argsort(text[lms], kind="stable")]
-    rough, _ = induce(text, kind, by_letter, None, letters, depth, scratch)
-    number = np.full(len(text), -1, np.int64)
-    number[lms] = np.arange(len(lms))
-    seq = number[rough]
-    seq = seq[seq >= 0]
-    del rough, number
-    end = np.append(lms[1:] + 1, len(text))
-    length = (end - lms)[seq]
-    h = sums.hashes(lms[seq], length)
-    names = np.empty(len(lms), np.int64)
-    names[seq] = np.concatenate([[0], np.cumsum((h[1:] != h[:-1]) | (length[1:] != length[:-1]))])
-    kinds = int(names.max()) + 1
-    if kinds == len(lms):
-        ranked = seq
-    elif kinds * 64 <= len(lms) and names[-1] == 0:
-        ranked, _ = suffix_order(names, kinds, depth, False, scratch)
-    else:
-        ranked = _by_doubling(names, max(1, (depth // 2).bit_length()))
-    lms = lms[ranked]
-    return induce(text, kind, lms, _shared(text, lms, depth, sums) if with_shared else None, letters, depth, scratch)
-
-
-class _Sums:
-    """Hashes of stretches of a text from one running sum."""
-
-    def __init__(self, text: np.ndarray, letters: int, scratch: Scratch):
-        self.up, self.down = common._powers(len(text) + 1)
-        code = common.mix64(np.arange(1, letters + 1, dtype=np.uint64)) | np.uint64(1)
-        self.total = scratch.array(len(text) + 1, np.uint64)
-        np.cumsum(code[text] * self.up[: len(text)], out=self.total[1:])
-
-    def hashes(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.total[start + length] - self.total[start]) * self.down[start]
-
-
-def _shared(text: np.ndarray, order: np.ndarray, cap: int, sums: _Sums | None) -> np.ndarray:
-    """For each suffix in order the length, up to cap, of the prefix shared with the one before (0 for the first)."""
-    sums = sums or _Sums(text, int(text.max()) + 1, Scratch(1 << 30))
-    a, b = order[:-1], order[1:]
-    room = np.minimum(cap, len(text) - np.maximum(a, b))
-    got = np.zeros(len(a), np.int64)
-    step = 1 << (cap.bit_length() - 1)
-    while step:
-        longer = np.flatnonzero(got + step <= room)
-        x = got[longer]
-        same = sums.hashes(a[longer] + x, np.full(len(x), step)) == sums.hashes(b[longer] + x, np.full(len(x), step))
-        got[longer[same]] += step
-        step >>= 1
-    return np.concatenate([[0], got])
-
-
-def repeated_starts(pieces: list[bytes], own: list[int], copies: list[int], length: int = LENGTH, memory: int = 256 << 20) -> list[np.ndarray]:
-    """For each piece, which of its first own[i] windows start a string that also starts elsewhere, in another
-    place or another copy of the piece. Windows beyond own[i] count for other pieces."""
-    shard = Shard(length, memory)
+def repeated_starts(pieces: list[bytes], own: list[int], copies: list[int], length: int = LENGTH, report: int | None = None, memory: int = 128 << 20) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each piece, which of its first own[i] places start a string of `report` bytes, and of `length` bytes, that
+    also starts elsewhere: in another place or another copy of the piece. Places beyond own[i] are left to other pieces."""
+    shard = Shard(length, report or length, memory)
     for piece, k, c in zip(pieces, own, copies, strict=True):
         shard.add(piece, k, c)
     return list(shard.repeated())
@@ -326,8 +87,8 @@ def repeated_starts(pieces: list[bytes], own: list[int], copies: list[int], leng
 class Shard:
     """Pieces to be sorted together; their bytes wait in an unlinked file."""
 
-    def __init__(self, length: int = LENGTH, memory: int = 256 << 20):
-        self.length, self.scratch = length, Scratch(memory)
+    def __init__(self, length: int = LENGTH, report: int = REPORT, memory: int = 128 << 20):
+        self.length, self.report, self.scratch = length, report, Scratch(memory)
         self.file = tempfile.TemporaryFile()
         self.size: list[int] = []
         self.own: list[int] = []
@@ -340,31 +101,45 @@ class Shard:
         self.copies.append(copies)
 
     def repeated(self):
-        """For each piece in turn, which of its own windows repeat."""
+        """For each piece in turn, which of its own places start repeats of `report` and of `length` bytes."""
         if not self.size:
             return
-        size, own = np.array(self.size, np.int64), np.array(self.own, np.int64)
-        at = np.cumsum(size + 1) - size - 1
-        n = int(at[-1] + size[-1] + 2)
-        text = self.scratch.array(n, np.uint16)
+        at, n = np.cumsum([0, *(s + 1 for s in self.size)]), sum(self.size) + len(self.size) + 1
+        scratch = self.scratch
+        text, place = scratch.array(n, np.uint16), scratch.array(n, np.uint8)
         self.file.seek(0)
-        for k in range(0, n - 1, 1 << 24):
-            part = np.frombuffer(self.file.read(min(1 << 24, n - 1 - k)), np.uint8)
-            text[k : k + len(part)] = part.astype(np.uint16) + 2
+        for i, j in scratch.batches(n - 1):
+            text[i:j] = np.frombuffer(self.file.read(j - i), np.uint8).astype(np.uint16) + 2
         self.file.close()
-        text[at + size] = 1
-        text[-1] = 0
-        order, shared = suffix_order(text, 258, self.length, True, self.scratch)
-        owned = np.zeros(n, bool)
-        owned[np.repeat(at, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)] = True
-        mine = np.flatnonzero(owned[order])
-        again = np.zeros(n, bool)
-        if len(mine):
-            near = np.minimum.reduceat(shared[: mine[-1] + 1], np.concatenate([[0], mine[:-1] + 1])) >= self.length
-            again[order[mine[1:][near[1:]]]] = True
-            again[order[mine[:-1][near[1:]]]] = True
-        for a, k, c in zip(at.tolist(), self.own, self.copies, strict=True):
-            yield again[a : a + k] | (c > 1)
+        text[at[1:] - 1] = 1
+        # 1: owned and long enough for `report`, 2: for `length`
+        for a, size, own in zip(at.tolist(), self.size, self.own, strict=False):
+            place[a : a + max(0, min(own, size - self.report + 1))] = 1
+            place[a : a + max(0, min(own, size - self.length + 1))] = 3
+        order, shared = suffix_order(text, 258, self.length, scratch)
+        again = scratch.array(n, np.uint8)
+        last, least = -1, 0  # the owned place before, and the least shared prefix since
+        for i, j in scratch.batches(n):
+            mine = np.flatnonzero(place[order[i:j]])
+            common_ = np.array(shared[i:j])
+            if not len(mine):
+                least = min(least, int(common_.min()))
+                continue
+            near = np.minimum.reduceat(common_[: mine[-1] + 1], np.concatenate([[0], mine[:-1] + 1]))
+            near[0] = min(int(near[0]), least)
+            own = order[i:j][mine]
+            before = np.concatenate([[max(last, 0)], own[:-1]])
+            if last < 0:
+                near[0] = 0
+            for bit, size in ((1, self.report), (2, self.length)):
+                ok = (near >= size) & ((place[own] & bit) > 0) & ((place[before] & bit) > 0)
+                again[own[ok]] |= bit
+                again[before[ok]] |= bit
+            last = int(own[-1])
+            least = int(common_[mine[-1] + 1 :].min(initial=0xFFFF))
+        for a, k, c in zip(at.tolist(), self.own, self.copies, strict=False):
+            part = again[a : a + k] | (place[a : a + k] if c > 1 else 0)
+            yield (part & 1) > 0, (part & 2) > 0
 
 
 _RUNS = "tid long, ahash long, sid long, first int, windows int"
@@ -392,32 +167,55 @@ def _unpacked(codec: pa.Codec, packed: bytes, size: int) -> bytes:
     return codec.decompress(packed, decompressed_size=size, asbytes=True) if size else b""
 
 
-def window_runs(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """A row for each run of windows with the same anchor: tid, anchor's hash, hash of the bytes the run covers, first window, windows."""
+def _runs_in(data: np.ndarray, lo: int, hi: int, length: int, report: int, width: int):
+    """Anchor's hash, piece's hash, first window and number of windows of each run among the windows lo to hi.
+
+    A piece reaches from its first window's start to the end of a string of `length` bytes at its last, if the text does."""
+    for a in range(lo, hi, _BLOCK):
+        b = min(hi, a + _BLOCK)
+        part = data[a : b + length - 1]
+        first, count, _, h = anchors(part[: b - a + report - 1], report, width)
+        end = np.minimum(first + count + length - 1, len(part))
+        sid = common.mix64(common.span_hashes(part, first, end) + count.astype(np.uint64))
+        yield h.view(np.int64), sid.view(np.int64), (first + a).astype(np.int32), count.astype(np.int32)
+
+
+def window_runs(texts: DataFrame, length: int = LENGTH, report: int = REPORT, width: int = ANCHOR) -> DataFrame:
+    """A row for each run of windows of `report` bytes with the same anchor: tid, anchor's hash, piece's hash, first window, windows.
+
+    texts: (tid, text), or (tid, packed, size, ranges) for some windows of each text only."""
+    some = "ranges" in texts.columns
 
     def run(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             held = 0
-            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                first, count, _, h = anchors(data, length)
-                if not len(first):
-                    continue
-                cover = common.span_hashes(data, first, first + count + length - 1)
-                for column, values in zip(out, (np.full(len(first), tid), h.view(np.int64), cover.view(np.int64), first.astype(np.int32), count.astype(np.int32)), strict=True):
-                    column.append(values)
-                held += len(first)
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["tid", "ahash", "sid", "first", "windows"])
-                    out, held = [[], [], [], [], []], 0
+            raw = batch.column(1).cast(pa.binary())
+            for k, tid in enumerate(batch.column(0).to_pylist()):
+                text = raw[k].as_py()
+                if some:
+                    text = _unpacked(codec, text, batch.column(2)[k].as_py())
+                    ranges = [(r["first"], r["first"] + r["windows"]) for r in batch.column(3)[k].as_py()]
+                else:
+                    ranges = [(0, max(0, len(text) - report + 1))]
+                data = np.frombuffer(text, np.uint8)
+                for lo, hi in ranges:
+                    for columns in _runs_in(data, lo, hi, length, report, width):
+                        for column, values in zip(out, (np.full(len(columns[0]), tid), *columns), strict=True):
+                            column.append(values)
+                        held += len(columns[0])
+                        if held > 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["tid", "ahash", "sid", "first", "windows"])
+                            out, held = [[], [], [], [], []], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["tid", "ahash", "sid", "first", "windows"])
 
-    return texts.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(common.released(run), _RUNS)
+    rows = texts.select("tid", "packed", "size", "ranges") if some else texts.where(F.octet_length("text") >= report).select("tid", "text")
+    return rows.mapInArrow(common.released(run), _RUNS)
 
 
-def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _contents(texts: DataFrame, wanted: DataFrame, length: int, report: int) -> DataFrame:
     """The bytes of each wanted piece (tid, ahash, sid, first, windows, copies)."""
     per_text = wanted.groupBy("tid").agg(F.collect_list(F.struct("ahash", "sid", "first", "windows", "copies")).alias("pieces"))
 
@@ -431,82 +229,122 @@ def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     ["ahash", "sid", "windows", "copies", "content"],
                 )
 
-    joined = _packed(texts.where(F.octet_length("text") >= length)).drop("doc_id").join(per_text, "tid").select("packed", "size", "pieces")
+    joined = _packed(texts.where(F.octet_length("text") >= report)).drop("doc_id").join(per_text, "tid").select("packed", "size", "pieces")
     return joined.mapInArrow(common.released(run), "ahash long, sid long, windows int, copies long, content binary")
 
 
-def _sort_shards(contents: DataFrame, shards: int, length: int, memory: int) -> DataFrame:
-    """(sid, bits) of each piece: which of its windows repeat, packed."""
+_FOUND = "sid long, short binary, long binary"
+
+
+def _sort_shards(contents: DataFrame, shards: int, length: int, report: int, memory: int) -> DataFrame:
+    """(sid, short, long) of each piece: which of its windows repeat, and which start repeats of `length` bytes, packed."""
 
     def run(batches):
-        shard, sids, seen = Shard(length, memory), [], set()
+        shard, sids, seen = Shard(length, report, memory), [], set()
         for batch in batches:
             for sid, windows, copies, content in zip(*(batch.column(c).to_pylist() for c in ("sid", "windows", "copies", "content")), strict=True):
                 if sid not in seen:  # copies of a text give a piece several times
                     seen.add(sid)
                     sids.append(sid)
                     shard.add(content, windows, copies)
-        ids, bits = [], []
+        ids, bits = [], ([], [])
         for sid, again in zip(sids, shard.repeated(), strict=True):
-            if again.any():
+            if again[0].any():
                 ids.append(sid)
-                bits.append(np.packbits(again).tobytes())
+                for column, which in zip(bits, again, strict=True):
+                    column.append(np.packbits(which).tobytes())
             if len(ids) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], ["sid", "bits"])
-                ids, bits = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], ["sid", "bits"])
-
-    return contents.repartition(shards, "ahash").mapInArrow(common.released(run), "sid long, bits binary")
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in bits)], ["sid", "short", "long"])
+                ids, bits = [], ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.binary()) for c in bits)], ["sid", "short", "long"])
+
+    return contents.repartition(shards, "ahash").mapInArrow(common.released(run), _FOUND)
+
+
+def _repeated_runs(texts: DataFrame, length: int, report: int, widths: tuple[int, ...], shard_bytes: int, memory: int) -> DataFrame:
+    """(tid, first, windows, short, long) of the runs with repeats; a null for bits means all windows that are long enough."""
+    spark = texts.sparkSession
+    levels, source = [], texts
+    for width in widths:
+        runs = common.staged(spark, window_runs(source, length, report, width), "runs")
+        repeated = runs.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1").select("ahash")
+        again = common.staged(spark, runs.join(repeated, "ahash", "left_semi").groupBy("tid", "ahash", "sid", "first", "windows").agg(F.count("*").alias("n")), "again")
+        pieces = again.groupBy("ahash", "sid").agg(F.sum("n").alias("copies"), F.min(F.struct("tid", "first")).alias("place"), F.first("windows").alias("windows"))
+        pieces = common.staged(spark, pieces.select("ahash", "sid", "copies", "place.tid", "place.first", "windows"), "pieces")
+        if width >= report:  # windows are their own anchors: counts decide
+            none = F.when(F.col("copies") == 1, F.lit(bytearray(1)))
+            levels.append(again.join(pieces.select("sid", F.lit(None).cast("binary").alias("short"), none.alias("long")), "sid").select("tid", "first", "windows", "short", "long"))
+            break
+        anchor = pieces.groupBy("ahash").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes"))
+        hot = common.staged(spark, anchor.where((F.col("kinds") > 1) & (F.col("bytes") > shard_bytes)).select("ahash"), "hot")
+        sized = pieces.join(anchor.where(F.col("bytes") <= shard_bytes).where("kinds > 1").select("ahash"), "ahash", "left_semi")
+        size = anchor.where((F.col("kinds") > 1) & (F.col("bytes") <= shard_bytes)).agg(F.sum("bytes")).first()[0] or 0
+        sorted_ = _sort_shards(_contents(texts, sized, length, report), max(1, -(-size // shard_bytes)), length, report, memory)
+        single = pieces.join(anchor.where("kinds = 1").select("ahash"), "ahash", "left_semi").select("sid", F.lit(None).cast("binary").alias("short"), F.lit(None).cast("binary").alias("long"))
+        found = common.staged(spark, sorted_.union(single), "repeats")
+        levels.append(again.join(found, "sid").select("tid", "first", "windows", "short", "long"))
+        if hot.isEmpty():
+            break
+        ranges = again.join(hot, "ahash", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("first", "windows")).alias("ranges"))
+        source = _packed(texts).join(ranges, "tid")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
 
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, memory: int = 256 << 20, with_bytes: bool = True) -> DataFrame:
-    """One row for each row of docs (doc_id, text): bytes, removed bytes, maximal removed runs, SHA-256 of the rest and the rest itself (null without with_bytes).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, report: int = REPORT, widths: tuple[int, ...] = (ANCHOR, 160), shard_bytes: int = 4 << 20, memory: int = 128 << 20, with_bytes: bool = True) -> DataFrame:
+    """One row for each row of docs (doc_id, text): bytes, removed bytes, maximal removed runs, SHA-256 of the rest, bytes
+    covered by strings of `report` bytes that also start elsewhere, and the rest itself (null without with_bytes).
 
-    shard_bytes: about how much is sorted together; memory: bytes that a shard's arrays and queues hold before they go to scratch files."""
-    spark = docs.sparkSession
+    widths: of the anchors, tried in turn where an anchor has more than shard_bytes of pieces; in the end the windows
+    are their own anchors. shard_bytes: about how much is sorted together; memory: what a task's arrays take at most
+    before they go to scratch files."""
+    if report > length:
+        raise ValueError("reported strings are shorter than removed ones")
     texts = _texts(docs)
-    runs = common.staged(spark, window_runs(texts, length), "runs")
-    pieces = runs.groupBy("ahash", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("tid", "first")).alias("place"), F.first("windows").alias("windows"))
-    pieces = common.staged(spark, pieces.select("ahash", "sid", "copies", "place.tid", "place.first", "windows"), "pieces")
-    anchor = pieces.groupBy("ahash").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    again = pieces.join(anchor, "ahash")
-    several = again.where("kinds > 1")
-    size = several.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
-    sorted_ = _sort_shards(_contents(texts, several, length), max(1, -(-size // shard_bytes)), length, memory)
-    found = common.staged(spark, sorted_.union(again.where("kinds = 1").select("sid", F.lit(None).cast("binary").alias("bits"))), "repeats")
-    removed = runs.join(found, "sid").groupBy("tid").agg(F.collect_set(F.struct("first", "windows", "bits")).alias("runs"))
+    runs = _repeated_runs(texts, length, report, (*(w for w in widths if w < report), report), shard_bytes, memory)
+    removed = runs.groupBy("tid").agg(F.collect_set(F.struct("first", "windows", "short", "long")).alias("runs"))
 
     def run(batches):
         codec = pa.Codec("zstd")
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                rows = [_kept(_unpacked(codec, t.as_py(), n.as_py()), r.as_py(), length) for t, n, r in zip(part.column(1), part.column(2), part.column(3), strict=True)]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([r[4] if with_bytes else None for r in rows], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows = [_kept(_unpacked(codec, t.as_py(), n.as_py()), r.as_py(), length, report) for t, n, r in zip(part.column(1), part.column(2), part.column(3), strict=True)]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([r[5] if with_bytes else None for r in rows], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"])
 
     return _packed(texts).join(removed, "tid", "left").select("doc_id", "packed", "size", "runs").mapInArrow(common.released(run), SCHEMA)
 
 
-def _kept(text: bytes, runs: list[dict] | None, length: int) -> tuple[int, int, int, str, bytes]:
-    if not runs:
-        return len(text), 0, 0, hashlib.sha256(text).hexdigest(), text
-    edge = np.zeros(len(text) + 1, np.int64)
+def _covered(n: int, runs: list[dict], which: str, size: int) -> np.ndarray:
+    """Which bytes are covered by strings of `size` bytes that start at the marked windows."""
+    edge = np.zeros(n + 1, np.int32)
     for r in runs:
-        if r["bits"] is None:
-            edge[r["first"]] += 1
-            edge[r["first"] + r["windows"] + length - 1] -= 1
+        if r[which] is None:
+            last = min(r["first"] + r["windows"], n - size + 1)
+            if last > r["first"]:
+                edge[r["first"]] += 1
+                edge[last + size - 1] -= 1
         else:
-            at = r["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["windows"]))
+            at = r["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(r[which], np.uint8), count=r["windows"]))
             edge[at] += 1
-            edge[at + length] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
+            edge[at + size] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _kept(text: bytes, runs: list[dict] | None, length: int, report: int) -> tuple[int, int, int, str, int, bytes]:
+    if not runs:
+        return len(text), 0, 0, hashlib.sha256(text).hexdigest(), 0, text
+    gone = _covered(len(text), runs, "long", length)
+    seen = int(_covered(len(text), runs, "short", report).sum())
     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
+    return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), seen, kept
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

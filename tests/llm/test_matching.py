@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from cellgrove.llm import decontaminate, neardup, suffixes
+from cellgrove.llm import decontaminate, induced, neardup, suffixes
 
 
 # near duplicates
@@ -180,6 +180,44 @@ def test_repeats_against_brute_force(docs, shard_bytes, memory):
     rows = [(1, a), (2, text(100) + a[100:600] + text(50)), (3, b + "é" + b), (4, "ab" * 400), (5, text(399)), (6, a[:399] + "."), (7, b + text(10)), (7, b), (8, None), (9, ""), (10, text(2000)), (None, a), (11, "x" * 401), (12, a[200:700] + a[150:650])]
     got = suffixes.remove_repeats(docs(*rows), shard_bytes=shard_bytes, memory=memory).collect()
     assert sorted((tuple(r[:5]) + (bytes(r.kept),) for r in got), key=str) == sorted(brute_kept(rows, 400), key=str)
+    assert sorted(((r.doc_id, r.n_repeated) for r in got), key=str) == sorted(((r[0], r[2]) for r in brute_kept(rows, 280)), key=str)
+
+
+def test_repeats_among_many_surroundings(docs):
+    """A string met in many different texts makes its anchors hot: longer anchors, and in the end whole windows, decide."""
+    rng = np.random.default_rng(16)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    rows = []
+    for k, size in enumerate((70, 200, 300, 399, 420)):
+        hot = text(size)
+        rows += [(100 * k + i, text(int(rng.integers(0, 400))) + hot + text(int(rng.integers(0, 400)))) for i in range(12)]
+    rows += [(600, rows[3][1]), (601, "z" + rows[4][1][:-3])]
+    got = suffixes.remove_repeats(docs(*rows), shard_bytes=4000, memory=1 << 16).collect()
+    assert sorted((tuple(r[:5]) + (bytes(r.kept),) for r in got), key=str) == sorted(brute_kept(rows, 400), key=str)
+    assert sorted(((r.doc_id, r.n_repeated) for r in got), key=str) == sorted(((r[0], r[2]) for r in brute_kept(rows, 280)), key=str)
+
+
+def test_shard_far_larger_than_memory():
+    """Ten times as much text as memory: what is allocated stays near the bound, and every planted repeat is found."""
+    import tracemalloc
+
+    rng = np.random.default_rng(17)
+    memory, pieces = 1 << 19, []
+    for _ in range(20):
+        data = rng.integers(97, 101, 1 << 18).astype(np.uint8)
+        data[199_999:201_001] = data[999:2001]
+        data[[199_999, 201_000]] = 122
+        pieces.append(data.tobytes())
+    shard = suffixes.Shard(400, 280, memory)
+    for p in pieces:
+        shard.add(p, len(p), 1)
+    assert sum(map(len, pieces)) >= 10 * memory
+    tracemalloc.start()
+    found = [(int(short.sum()), int(long.sum())) for short, long in shard.repeated()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(2 * 721, 2 * 601)] * 20
+    assert peak < 8 * memory, peak
 
 
 def test_repeats_odd_rows(odd):
@@ -200,13 +238,32 @@ def test_anchors_cover_all_windows_and_agree_on_equal_ones():
         assert h[a] == h[b] and place[a] - s == place[b] - s - 800
 
 
-def test_suffix_order_and_shared_prefixes():
+class Small(induced.Scratch):
+    """Batches of a few entries only."""
+
+    def __init__(self, memory, batch):
+        super().__init__(memory)
+        self.batch = batch
+
+
+@pytest.mark.parametrize("letters", [4, 26, 900, 5000])
+def test_suffix_order_and_shared_prefixes(letters):
     rng = np.random.default_rng(8)
     for trial in range(25):
-        raw = bytes(rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 300)).astype(np.uint8)) + b"\0"
-        order, shared = suffixes.suffix_order(np.frombuffer(raw, np.uint8).astype(np.uint16), 258, 512, True, suffixes.Scratch(int(rng.choice([0, 1 << 28]))))
-        want = sorted(range(len(raw)), key=lambda i: raw[i:])
-        assert list(map(int, order)) == want, trial
-        for k in range(1, len(raw)):
-            x, y = raw[want[k - 1] :], raw[want[k] :]
-            assert min(512, int(shared[k])) == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+        raw = rng.integers(1, rng.integers(2, letters), rng.integers(1, 300))
+        if trial % 3 == 0:
+            raw = np.concatenate([raw, raw[len(raw) // 2 :], raw, raw])
+        if trial % 5 == 0:
+            raw = np.repeat(raw, 3)
+        raw = tuple(map(int, [*raw, 0]))
+        depth = int(rng.choice([1, 3, 20, 2000]))
+        scratch = Small(int(rng.choice([0, 1 << 28])), int(rng.choice([1, 5, 64, 4096])))
+        if letters < 512:
+            order, shared = induced.suffix_order(np.array(raw, np.uint16), letters, depth, scratch)
+        else:
+            order, shared = induced.order_suffixes(np.array(raw, np.int32), letters, depth, scratch), None
+        heads = [raw[i : i + depth] for i in order]
+        assert sorted(map(int, order)) == list(range(len(raw))) and all(x <= y for x, y in zip(heads, heads[1:], strict=False))
+        for k in range(1, len(raw) if shared is not None else 0):
+            x, y = heads[k - 1 : k + 1]
+            assert int(shared[k]) == next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
