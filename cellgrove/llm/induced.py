@@ -113,7 +113,6 @@ class _Sweep:
         self.out = scratch.array(int(self.start[-1]), np.int32 if n < 1 << 31 else np.int64)
         self.out_shared = scratch.array(len(self.out), np.uint16) if shared is not None else None
         self.since = np.full(letters, -1, np.int64) if shared is not None else None
-        self.total = count + seed_count
         scratch.free(count, seed_count)
 
     def flip(self, letter: np.ndarray) -> np.ndarray:
@@ -127,28 +126,28 @@ class _Sweep:
             c = int(self.letter(np.array([first]))[0])
             self.out[self.end[c]] = first
             self.end[c] += 1
-        total, scratch = self.total, self.scratch
+        scratch = self.scratch
         if self.shared is not None or self.letters <= 512:
-            for c in range(self.letters):
-                if total[c]:
-                    self.one(c, seam)
+            for c in np.flatnonzero(self.total(0, self.letters)).tolist():
+                self.one(c, seam)
         else:
             done = 0
             while done < self.letters:
                 # letters are taken together while they come to one batch
-                stop = done + 1
-                if total[done] <= scratch.batch:
-                    ahead = np.cumsum(total[done : done + scratch.batch])
-                    stop = done + max(1, int(np.searchsorted(ahead, scratch.batch, "right")))
-                if stop == done + 1:
-                    if total[done]:
-                        self.one(done, seam)
-                else:
+                ahead = np.cumsum(self.total(done, min(self.letters, done + scratch.batch)))
+                stop = done + max(1, int(np.searchsorted(ahead, scratch.batch, "right")))
+                if stop > done + 1:
                     self.many(done, stop)
+                elif ahead[0]:
+                    self.one(done, seam)
                 done = stop
         scratch.free(self.start, self.end, self.seed)
         return self.out, self.out_shared
 
+    def total(self, a: int, b: int) -> np.ndarray:
+        """Suffixes of both types that are taken under each of the letters a to b."""
+        return np.diff(self.start[a : b + 1]) + np.diff(self.seed[a : b + 1])
+
     def one(self, c: int, seam) -> None:
         i, step = int(self.start[c]), self.scratch.batch
         while i < self.end[c]:
