@@ -10,23 +10,24 @@ the next one, which would be left out. Draws are made from a hash of the row's k
 don't depend on partitions or batches; rows without key use a hash of the text.
 
 Pieces never reach from one unit (a run of spaces with what follows it) into the next, so the lattice of a
-text is a chain of its units' lattices. Distinct units of a batch are built once, all at the same time, in
-numpy.
+text is a chain of its units' lattices. A task builds the lattice of each distinct unit once, all new ones of
+a batch at the same time in numpy, and keeps them for later batches (up to a bound, then it starts anew).
 
 Characters without a piece become byte pieces, as does U+2581 itself; decoding gives back every text
-exactly. A null text has no samples; the empty text has one, without pieces. A text with fewer
-segmentations than samples gives them all, each with inclusion score 1. Repeated rows get the same samples. Extra columns
-are not read.
+exactly. A null text has no samples and null for whether it is exact; the empty text has one, without pieces.
+A text with fewer segmentations than samples gives them all, each with inclusion score 1. Ties of perturbed
+values go to the region made first. Repeated rows get the same samples. A very long text is a batch of its
+own, whole. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ class Lattices:
 
     def __init__(self, units: list[str], v: Vocabulary):
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int32)
-        size = np.array([len(u) for u in units], np.int64)
+        size = np.fromiter(map(len, units), np.int64, len(units))
         start = np.concatenate([[0], np.cumsum(size)])
         n = len(codes)
         left = (np.repeat(start[1:], size) - np.arange(n)).astype(np.int32)
@@ -230,10 +231,11 @@ class Lattices:
         c_at = np.concatenate([[0], np.cumsum(width)])
         row = np.repeat(np.arange(len(edge), dtype=np.int32), width)
         c_edge = (np.arange(c_at[-1]) - c_at[row] + at[frm_node][row]).astype(np.int32)
-        p = np.exp(self.log_p[c_edge])
+        chance = np.exp(self.log_p)
+        p = chance[c_edge]
         on = c_edge == edge[row]
         rest = np.add.reduceat(np.where(on, 0.0, p), c_at[:-1]) if len(edge) else np.zeros(0)
-        p_on = np.exp(self.log_p[edge])
+        p_on = chance[edge]
         q = np.zeros(len(edge))
         back = last.copy()
         q[back] = rest[back]
@@ -252,16 +254,82 @@ class Lattices:
         self.copy_start = n + self.best_at[:-1]
         target = np.where(on, np.int32(n + 1) + row, e_to[c_edge])
         # one table of all nodes and copies for drawing edges
-        self.edge = np.concatenate([np.arange(len(ids), dtype=np.int32), c_edge])
-        self.target = np.concatenate([e_to, np.where(on & (e_to[c_edge] < 0), np.int32(-1), target)])
-        prob = np.concatenate([np.exp(self.log_p), p])
+        edges = np.concatenate([np.arange(len(ids), dtype=np.int32), c_edge])
+        self.target = np.concatenate([e_to, np.where(on & (e_to[c_edge] < 0), np.int32(-1), target)]).astype(np.int32)
+        self.piece, self.log = ids[edges].astype(np.int32), self.log_p[edges]
+        prob = np.concatenate([chance, p])
         origin = np.concatenate([e_from, n + row])
         total = np.bincount(origin, prob, n + len(edge))
-        share = np.cumsum(prob) - np.repeat((np.cumsum(total) - total), np.concatenate([np.diff(at), width]))
-        share = np.clip(share / np.where(total > 0, total, 1)[origin], 0, 1)
-        ends = np.concatenate([at[1:] - 1, len(ids) + c_at[1:] - 1])
-        share[ends] = 1.0
-        self.cumulative = origin + share
+        self.ends = np.concatenate([at[1:], len(ids) + c_at[1:]]).astype(np.int32)
+        share = np.cumsum(prob) - (np.cumsum(total) - total)[origin]
+        share /= np.where(total > 0, total, 1)[origin]
+        self.share = np.clip(share, 0, 1, out=share)
+        self.share[self.ends - 1] = 1.0
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1 << 10, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.room):
+            room = np.zeros(max(end, len(self.room) * 3 // 2), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = more
+        self.n = end
+
+
+class Store:
+    """The lattices of all units met so far, in one table. Beyond `most` units it starts anew with the next batch."""
+
+    FIELDS = {"start": np.int32, "copy_start": np.int32, "best_end": np.int32, "best_log": float, "q": float, "log_q": float, "best_ids": np.int32, "ends": np.int32, "target": np.int32, "piece": np.int32, "log": float, "share": float}
+
+    def __init__(self, v: Vocabulary, most: int = 100_000):
+        self.v, self.most = v, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.extra = False
+        self.grown = {name: Grown(dtype) for name, dtype in self.FIELDS.items()}
+        for name in ("ends", "best_end"):
+            self.grown[name].add(np.zeros(1, np.int32))
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Where each of the distinct units is in the table."""
+        new = [u for u in units if u not in self.index]
+        if self.index and len(self.index) + len(new) > self.most:
+            self.clear()
+            new = units
+        if new:
+            lat = Lattices(new, self.v)
+            g = self.grown
+            nodes, edges, steps = g["ends"].n - 1, g["target"].n, g["best_ids"].n
+            g["start"].add(lat.start + nodes)
+            g["copy_start"].add(lat.copy_start + nodes)
+            g["best_end"].add(lat.best_at[1:] + steps)
+            g["best_log"].add(lat.best_log)
+            g["q"].add(lat.q)
+            g["log_q"].add(np.log(np.maximum(lat.q, 1e-300)))
+            g["best_ids"].add(lat.best_ids)
+            g["ends"].add(lat.ends + edges)
+            g["target"].add(np.where(lat.target < 0, -1, lat.target + nodes))
+            g["piece"].add(lat.piece)
+            g["log"].add(lat.log)
+            g["share"].add(lat.share)
+            self.extra |= lat.extra
+            base = len(self.index)
+            self.index.update((u, base + i) for i, u in enumerate(new))
+        for name, x in self.grown.items():
+            setattr(self, name, x.room[: x.n])
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+
+    def best(self, unit: int) -> tuple[int, ...]:
+        return tuple(self.best_ids[self.best_end[unit] : self.best_end[unit + 1]].tolist())
 
     def draw(self, units: np.ndarray, key: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segmentations of these units; other: any but the best. Index of the unit, piece and log probability of each step, in order."""
@@ -269,11 +337,15 @@ class Lattices:
         who, out, step = np.arange(len(units)), [], 0
         while len(cur):
             u = _uniform(key[who] + _U((step + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            e = np.searchsorted(self.cumulative, cur + u, "right")
-            e = np.minimum(e, len(self.cumulative) - 1)
-            out.append((who, self.ids[self.edge[e]], self.log_p[self.edge[e]]))
+            e = self.ends[cur].astype(np.int64)
+            on = np.flatnonzero(self.share[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[self.share[e[on]] <= u[on]]
+            out.append((who, self.piece[e], self.log[e]))
             cur = self.target[e]
-            who, cur = who[cur >= 0], cur[cur >= 0]
+            go = cur >= 0
+            who, cur = who[go], cur[go]
             step += 1
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -281,16 +353,16 @@ class Lattices:
         order = np.argsort(who, kind="stable")
         return who[order], np.concatenate([x[1] for x in out])[order], np.concatenate([x[2] for x in out])[order]
 
-
     def draw_one(self, unit: int, key: int, other: bool) -> tuple[tuple[int, ...], float]:
         """What draw gives for one unit, and its log probability."""
         cur, out, log, step = int((self.copy_start if other else self.start)[unit]), [], 0.0, 0
         while cur >= 0:
             u = (_mix_int((key + (step + 1) * 0x632BE59BD9B4E019) & _ALL) >> 11) * 2.0**-53
-            e = min(int(self.cumulative.searchsorted(cur + u, "right")), len(self.cumulative) - 1)
-            edge = self.edge[e]
-            out.append(int(self.ids[edge]))
-            log += float(self.log_p[edge])
+            e = int(self.ends[cur])
+            while self.share[e] <= u:
+                e += 1
+            out.append(int(self.piece[e]))
+            log += float(self.log[e])
             cur = int(self.target[e])
             step += 1
         return tuple(out), log
@@ -312,7 +384,7 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return (common.mix64(key) >> _U(11)).astype(float) * 2.0**-53
 
 
-def draw_units(lat: Lattices, units: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def draw_units(lat: Store, units: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """An exact draw for each unit. key: one for each. Log probabilities, which draws aren't the best segmentation, their pieces, and where each one's begin."""
     odd = np.flatnonzero(_uniform(key) < lat.q[units])
     who, ids, log = lat.draw(units[odd], common.mix64(key[odd]), True)
@@ -328,172 +400,217 @@ def _cut(drawn: tuple, a: int, b: int) -> tuple:
     return logs[a:b], odd[x:y] - a, ids[at[x] : at[y]], at[x : y + 1] - at[x]
 
 
-def _joined(lat: Lattices, units: np.ndarray, odd: np.ndarray, odd_ids: np.ndarray, odd_at: np.ndarray) -> np.ndarray:
-    """All pieces of a run of units."""
-    size = lat.best_at[units + 1] - lat.best_at[units]
-    size[odd] = np.diff(odd_at)
-    at = np.concatenate([[0], np.cumsum(size)])
-    row = np.repeat(np.arange(len(units)), size)
-    pos = np.arange(at[-1]) - at[row]
-    is_odd = np.zeros(len(units), bool)
-    is_odd[odd] = True
-    out = np.empty(at[-1], np.int64)
-    plain = ~is_odd[row]
-    out[plain] = lat.best_ids[lat.best_at[units[row[plain]]] + pos[plain]]
-    out[~plain] = odd_ids
-    return out
-
-
 class Sample:
-    """One segmentation of a text: the sampled units from `begin` on, and the sample it follows before that."""
+    """One segmentation of a text: for each unit its log probability; which aren't the best, their pieces, and where each one's begin.
+
+    excluded: at one place, the segmentations of the unit there that samples before have taken."""
 
     def __init__(self, units: np.ndarray, log: np.ndarray, odd: np.ndarray, ids: np.ndarray, at: np.ndarray, excluded: dict[int, list[tuple[int, ...]]]):
         self.units, self.log, self.odd, self.ids, self.at, self.excluded = units, log, odd, ids, at, excluded
 
-    def pieces(self, lat: Lattices) -> np.ndarray:
-        return _joined(lat, self.units, self.odd, self.ids, self.at)
-
-    def unit_pieces(self, i: int, lat: Lattices) -> tuple[int, ...]:
+    def unit_pieces(self, i: int, lat: Store) -> tuple[int, ...]:
         k = int(np.searchsorted(self.odd, i))
         if k < len(self.odd) and self.odd[k] == i:
             return tuple(self.ids[self.at[k] : self.at[k + 1]].tolist())
-        unit = self.units[i]
-        return tuple(lat.best_ids[lat.best_at[unit] : lat.best_at[unit + 1]].tolist())
+        return lat.best(int(self.units[i]))
 
 
-def _gumbel(u: np.ndarray) -> np.ndarray:
-    return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
+def pieces_of(lat: Store, samples: list[Sample]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces of the samples, and where each one's begin."""
+    begin = np.cumsum([0, *(len(s.units) for s in samples)])
+    units = np.concatenate([s.units for s in samples]) if samples else np.zeros(0, np.int64)
+    odd = np.concatenate([s.odd + b for s, b in zip(samples, begin.tolist(), strict=False)]) if samples else units
+    size = lat.best_end[units + 1] - lat.best_end[units]
+    is_odd = np.zeros(len(units), bool)
+    is_odd[odd] = True
+    if len(odd):
+        size[odd] = np.concatenate([np.diff(s.at) for s in samples])
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    out = np.repeat(lat.best_end[units] - at[:-1], size) + np.arange(at[-1])
+    plain = np.repeat(~is_odd, size)
+    out[plain] = lat.best_ids[out[plain]]
+    if len(odd):
+        out[~plain] = np.concatenate([s.ids for s in samples])
+    return out, at[begin]
 
 
-def sample_text(lat: Lattices, first: Sample, key: int, samples: int):
-    """(segmentation, log probability, inclusion score) of up to `samples` distinct segmentations; first: an exact draw.
+def _gumbel(u: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
-    A generator: it yields (units, keys) that are to be drawn, gets what draw_units gives for them, and returns the list."""
-    units = first.units
-    value = -math.log(-math.log(min(max((_mix_int(key ^ 0xA5A5) >> 11) * 2.0**-53, 1e-300), 1 - 1e-16)))
-    out, regions = [(first, float(first.log.sum()), value)], []
-    k = 0
 
-    def split(s: Sample, begin: int, bound: float, n: int) -> None:
-        """The regions that leave s at begin or later, perturbed below bound."""
-        at = np.arange(begin, len(units))
-        prefix = np.concatenate([[0.0], np.cumsum(s.log)])[begin:-1]
-        leave = np.where(s.log[begin:] == lat.best_log[units[begin:]], np.log(np.maximum(lat.q[units[begin:]], 1e-300)), np.log(np.maximum(-np.expm1(s.log[begin:]), 1e-300)))
-        odd = s.odd[s.odd >= begin]
-        leave[odd - begin] = np.log(np.maximum(-np.expm1(s.log[odd]), 1e-300))
-        for i, known in s.excluded.items():
-            gone = sum(np.exp(_log_of(lat, units[i], p)) for p in known) + np.exp(s.log[i])
-            leave[i - begin] = np.log(1 - gone) if gone < 1 - 1e-12 else -np.inf
-        leave[leave < -600] = -np.inf
-        mass = prefix + leave
-        g = mass + _gumbel(_uniform(_U(_mix_int((key + n * 0x9E3779B97F4A7C15) & _ALL)) + at.astype(np.uint64)))
-        regions.append([s, begin, -np.logaddexp(-bound, -g), at])
-
-    split(first, 0, value, 1)
-    while True:
-        tops = [float(r[2].max()) if len(r[2]) else -np.inf for r in regions]
-        best = int(np.argmax(tops)) if tops else 0
-        if not tops or tops[best] == -np.inf:
-            return [(s, lp, 1.0) for s, lp, _ in out]
-        if len(out) == samples:
-            kappa = tops[best]
-            return [(s, lp, float(-np.expm1(-np.exp(min(700.0, lp - kappa))))) for s, lp, _ in out]
-        s, begin, values, at = regions[best]
+class Search:
+    """The search for samples of one text: what was taken so far, and the regions of segmentations that are left."""
+
+    def __init__(self, first: Sample, key: int):
+        self.units, self.key, self.made = first.units, key, 0
+        value = -math.log(-math.log(min(max((_mix_int(key ^ 0xA5A5) >> 11) * 2.0**-53, 1e-300), 1 - 1e-16)))
+        self.out = [(first, float(first.log.sum()), value)]
+        self.regions: list[list] = []  # sample, first place, perturbed values of the regions that leave it there or later, the largest
+
+    def taken(self, samples: int) -> list[tuple[Sample, float, float]] | None:
+        """(sample, log probability, inclusion score) if no more are to come."""
+        self.best = max(range(len(self.regions)), key=lambda r: self.regions[r][3], default=0)
+        top = self.regions[self.best][3] if self.regions else -math.inf
+        if top == -math.inf:
+            return [(s, lp, 1.0) for s, lp, _ in self.out]
+        if len(self.out) == samples:
+            return [(s, lp, -math.expm1(-math.exp(min(700.0, lp - top)))) for s, lp, _ in self.out]
+        return None
+
+    def wants(self) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the region with the largest value; the units after the place where it leaves its sample, and keys for them."""
+        s, begin, values, bound = self.regions[self.best]
         j = int(values.argmax())
-        i, bound = int(at[j]), float(values[j])
         values[j] = -np.inf
-        k += 1
+        self.regions[self.best][3] = float(values.max())
+        self.made += 1
+        i = begin + j
+        self.leaving = s, i, bound
+        keys = _U(_mix_int((self.key + self.made * 0xD1342543DE82EF95) & _ALL)) + np.arange(i, len(self.units)).astype(np.uint64) * _U(0x2545F4914F6CDD1D)
+        self.own_key = int(keys[0])
+        return self.units[i + 1 :], keys[1:]
+
+    def take(self, lat: Store, tail: tuple) -> Sample:
+        """The next sample, from the draws of the units that were wanted."""
+        s, i, bound = self.leaving
+        tail_log, tail_odd, tail_ids, tail_at = tail
         known = [*s.excluded.get(i, []), s.unit_pieces(i, lat)]
-        keys = _U(_mix_int((key + k * 0xD1342543DE82EF95) & _ALL)) + np.arange(i, len(units)).astype(np.uint64) * _U(0x2545F4914F6CDD1D)
-        tail_log, tail_odd, tail_ids, tail_at = yield units[i + 1 :], keys[1:]
-        own = int(units[i])
-        best_ids = tuple(lat.best_ids[lat.best_at[own] : lat.best_at[own + 1]].tolist())
-        tries, own_key = 0, int(keys[0])
+        own, tries = int(self.units[i]), 0
+        best_ids = lat.best(own)
         while True:  # an exact draw from what is left of the unit
-            ids, log = lat.draw_one(own, _mix_int((own_key + tries * 0x9E3779B97F4A7C15) & _ALL), best_ids in known)
+            ids, log = lat.draw_one(own, _mix_int((self.own_key + tries * 0x9E3779B97F4A7C15) & _ALL), best_ids in known)
             if ids not in known:
                 break
             tries += 1
         keep = int(np.searchsorted(s.odd, i))
         is_best = ids == best_ids
         mid = [] if is_best else [i]
-        odd = np.concatenate([s.odd[:keep], np.array(mid, np.int64), tail_odd + i + 1])
-        all_ids = np.concatenate([s.ids[: s.at[keep]], np.array(ids if mid else (), np.int64), tail_ids])
-        sizes = np.concatenate([np.diff(s.at[: keep + 1]), [len(ids)] if mid else [], np.diff(tail_at)]).astype(np.int64)
+        at = int(s.at[keep])
+        odd = np.concatenate([s.odd[:keep], np.array(mid, np.int64), tail_odd + (i + 1)])
+        all_ids = np.concatenate([s.ids[:at], np.array(ids if mid else (), np.int64), tail_ids])
+        shift = at + (len(ids) if mid else 0)
+        begins = np.concatenate([s.at[: keep + 1], tail_at + shift if mid else tail_at[1:] + shift])
         logs = np.concatenate([s.log[:i], [lat.best_log[own] if is_best else log], tail_log])
-        new = Sample(units, logs, odd, all_ids, np.concatenate([[0], np.cumsum(sizes)]), {i: known})
-        out.append((new, float(logs.sum()), bound))
-        split(new, i, bound, k + 1)
-
-
-def _log_of(lat: Lattices, unit: int, pieces: tuple[int, ...]) -> float:
+        new = Sample(self.units, logs, odd, all_ids, begins, {i: known})
+        self.out.append((new, float(logs.sum()), bound))
+        return new
+
+
+def _split(lat: Store, new: list[tuple[Search, Sample, int, float]]) -> None:
+    """The regions that leave each sample at a place or later, perturbed below a bound; all samples at once."""
+    size = [len(s.units) - begin for _, s, begin, _ in new]
+    at = np.cumsum([0, *size])
+    units = np.concatenate([s.units[begin:] for _, s, begin, _ in new])
+    mass, leave = np.empty(at[-1]), lat.log_q[units]
+    odd_at, odd_log = [], []
+    for k, (_, s, begin, _) in enumerate(new):
+        a, b = int(at[k]), int(at[k + 1])
+        total = np.cumsum(s.log)
+        mass[a] = total[begin - 1] if begin else 0.0
+        mass[a + 1 : b] = total[begin:-1]
+        odd = s.odd[np.searchsorted(s.odd, begin) :]
+        odd_at.append(odd + (a - begin))
+        odd_log.append(s.log[odd])
+    odd_at, odd_log = np.concatenate(odd_at), np.concatenate(odd_log)
+    leave[odd_at] = np.log(np.maximum(-np.expm1(odd_log), 1e-300))
+    for k, (_, s, begin, _) in enumerate(new):
+        for i, known in s.excluded.items():
+            gone = sum(math.exp(_log_of(lat, int(units[at[k] + i - begin]), p)) for p in known) + math.exp(s.log[i])
+            leave[at[k] + i - begin] = math.log(1 - gone) if gone < 1 - 1e-12 else -np.inf
+    leave[leave < -600] = -np.inf
+    mass += leave
+    seeds = np.array([_mix_int((x.key + (x.made + 1) * 0x9E3779B97F4A7C15) & _ALL) for x, *_ in new], np.uint64)
+    place = np.arange(at[-1]) - np.repeat(at[:-1] - [begin for _, _, begin, _ in new], size)
+    mass += _gumbel(_uniform(np.repeat(seeds, size) + place.astype(np.uint64)))
+    values = -np.logaddexp(-np.repeat([bound for *_, bound in new], size), -mass)
+    top = np.maximum.reduceat(values, at[:-1])
+    for k, (x, s, begin, _) in enumerate(new):
+        x.regions.append([s, begin, values[at[k] : at[k + 1]], float(top[k])])
+
+
+def _log_of(lat: Store, unit: int, pieces: tuple[int, ...]) -> float:
     node, total = int(lat.start[unit]), 0.0
     for p in pieces:
-        a, b = lat.at[node], lat.at[node + 1]
-        e = a + int(np.flatnonzero(lat.ids[a:b] == p)[0])
-        total += float(lat.log_p[e])
-        node = int(lat.to[e])
+        e = int(lat.ends[node])
+        while lat.piece[e] != p:
+            e += 1
+        total += float(lat.log[e])
+        node = int(lat.target[e])
     return total
 
 
-def _resolved(v: Vocabulary, ids: np.ndarray) -> np.ndarray:
-    """Stand-ins for characters without a piece become bytes."""
+def _resolved(v: Vocabulary, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stand-ins for characters without a piece become bytes; begin: where the samples begin."""
     extra = np.flatnonzero(ids >= v.size)
     if not len(extra):
-        return ids
+        return ids, begin
     raw = [chr(c).encode() for c in (ids[extra] - v.size).tolist()]
     size = np.ones(len(ids), np.int64)
     size[extra] = [len(r) for r in raw]
     out = np.repeat(ids, size)
     out[np.repeat(ids >= v.size, size)] = v.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-    return out
-
-
-def encode_batch(v: Vocabulary, texts: list[str | None], keys: list[int], samples: int) -> list[list[tuple[np.ndarray, float, float]]]:
-    """For each text its samples: pieces, log probability, inclusion score."""
-    index: dict[str, int] = {}
-    rows = []
-    for t in texts:
-        if not t:
-            rows.append(np.zeros(0, np.int64))
-            continue
-        t = " " + t
-        parts = _UNITS.findall(t) if "  " in t or t[-1] == " " else [" " + w for w in t.split(" ")[1:]]
-        for u in set(parts).difference(index):
-            index[u] = len(index)
-        rows.append(np.fromiter(map(index.__getitem__, parts), np.int64, len(parts)))
-    size = np.array([len(r) for r in rows])
-    out: list[list[tuple[np.ndarray, float, float]]] = [[] if t is None else [(np.zeros(0, np.int64), 0.0, 1.0)] for t in texts]
-    if not index:
-        return out
-    lat = Lattices(list(index), v)
+    return out, np.concatenate([[0], np.cumsum(size)])[begin]
+
+
+def _units_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct units of a batch, each text's units as their numbers, and how many each text has."""
+    plain = [t if t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
+    split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+    size = pc.fill_null(pc.list_value_length(split), 0).to_numpy().astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    names = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+    units = coded.indices.to_numpy().astype(np.int64)
+    others = [i for i, t in enumerate(texts) if t and plain[i] is None]
+    if others:
+        index, rows = {u: i for i, u in enumerate(names)}, np.split(units, np.cumsum(size)[:-1])
+        for i in others:
+            rows[i] = np.array([index.setdefault(u, len(index)) for u in _UNITS.findall(" " + texts[i])], np.int64)
+            size[i] = len(rows[i])
+        names, units = list(index), np.concatenate(rows)
+    return names, units, size
+
+
+def encode_flat(store: Store, texts: list[str | None], keys: list[int], samples: int) -> tuple[np.ndarray, np.ndarray, list[float], list[float], list[int]]:
+    """All samples of the texts: their pieces, where each sample's begin, log probabilities, inclusion scores, and samples of each text."""
+    names, units, size = _units_of(texts)
+    units = store.places(names)[units] if names else units
     at = np.concatenate([[0], np.cumsum(size)])
-    units = np.concatenate(rows)
     seeds = np.array(keys, np.uint64)
     row = np.repeat(np.arange(len(texts)), size)
     place = (np.arange(len(units)) - at[row]).astype(np.uint64)
-    whole = draw_units(lat, units, common.mix64(common.mix64(seeds)[row] + place * _U(0x9E3779B97F4A7C15)))
-    going, asked = {}, {}
-    for i in np.flatnonzero(size).tolist():
-        logs, odd, ids, odd_at = _cut(whole, at[i], at[i + 1])
-        going[i] = sample_text(lat, Sample(units[at[i] : at[i + 1]], logs, odd, ids, odd_at, {}), keys[i], samples)
-        _advance(going, asked, out, i, None, lat, v)
-    while asked:  # all texts that want another sample are drawn together
-        which, wants = list(asked), list(asked.values())
-        ends = np.cumsum([len(u) for u, _ in wants]).tolist()
-        drawn = draw_units(lat, np.concatenate([u for u, _ in wants]), np.concatenate([k for _, k in wants]))
-        asked = {}
-        for i, a, b in zip(which, [0, *ends], ends, strict=False):
-            _advance(going, asked, out, i, _cut(drawn, a, b), lat, v)
-    return out
-
-
-def _advance(going: dict, asked: dict, out: list, i: int, drawn: tuple | None, lat: Lattices, v: Vocabulary) -> None:
-    try:
-        asked[i] = going[i].send(drawn)
-    except StopIteration as end:
-        out[i] = [(_resolved(v, p) if lat.extra else p, lp, inc) for s, lp, inc in end.value for p in [s.pieces(lat)]]
-        del going[i]
+    done: list[list] = [[] if t is None else [(Sample(units[:0], np.zeros(0), units[:0], units[:0], np.zeros(1, np.int64), {}), 0.0, 1.0)] for t in texts]
+    if names:
+        whole = draw_units(store, units, common.mix64(common.mix64(seeds)[row] + place * _U(0x9E3779B97F4A7C15)))
+        live = [(i, Search(Sample(units[at[i] : at[i + 1]], *_cut(whole, at[i], at[i + 1]), {}), keys[i])) for i in np.flatnonzero(size).tolist()]
+        new = [(x, x.out[0][0], 0, x.out[0][2]) for _, x in live]
+        while new:  # all texts that want another sample are drawn together
+            _split(store, new)
+            left = []
+            for i, x in live:
+                if (got := x.taken(samples)) is None:
+                    left.append((i, x))
+                else:
+                    done[i] = got
+            live = left
+            wants = [x.wants() for _, x in live]
+            ends = np.cumsum([len(u) for u, _ in wants]).tolist()
+            drawn = draw_units(store, np.concatenate([u for u, _ in wants]), np.concatenate([k for _, k in wants])) if wants else None
+            new = [(x, x.take(store, _cut(drawn, a, b)), x.leaving[1], x.leaving[2]) for (_, x), a, b in zip(live, [0, *ends], ends, strict=False)]
+    flat = [s for row_ in done for s in row_]
+    if names:
+        ids, begin = pieces_of(store, [s for s, _, _ in flat])
+        if store.extra:
+            ids, begin = _resolved(store.v, ids, begin)
+    else:
+        ids, begin = np.zeros(0, np.int64), np.zeros(len(flat) + 1, np.int64)
+    return ids, begin, [lp for _, lp, _ in flat], [inc for _, _, inc in flat], [len(x) for x in done]
+
+
+def encode_batch(v: Vocabulary, texts: list[str | None], keys: list[int], samples: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each text its samples: pieces, log probability, inclusion score."""
+    ids, begin, logs, inclusion, count = encode_flat(Store(v), texts, keys, samples)
+    flat = iter([(ids[a:b], lp, inc) for a, b, lp, inc in zip(begin[:-1].tolist(), begin[1:].tolist(), logs, inclusion, strict=True)])
+    return [[next(flat) for _ in range(n)] for n in count]
 
 
 SCHEMA = "doc_id long, ids array<array<int>>, log_probs array<double>, inclusion array<double>, exact boolean"
@@ -511,6 +628,7 @@ def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed
 
     def run(batches):
         v = Vocabulary(shared.value, power)
+        store = Store(v)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             i = 0
@@ -519,13 +637,14 @@ def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed
                 while j < len(texts) and (j == i or size + len(texts[j] or "") <= chars):
                     size += len(texts[j] or "")
                     j += 1
-                got = encode_batch(v, texts[i:j], [k & (1 << 64) - 1 for k in keys[i:j]], samples)
-                flat = [s for row in got for s in row]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in flat)]), pa.int32()), pa.array(np.concatenate([s[0] for s in flat]).astype(np.int32) if flat else np.zeros(0, np.int32)))
-                rows = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
-                exact = [all(v.spells(s[0], t.encode()) for s in g) for g, t in zip(got, (t or "" for t in texts[i:j]), strict=True)]
+                ids, begin, logs, inclusion, count = encode_flat(store, texts[i:j], [k & (1 << 64) - 1 for k in keys[i:j]], samples)
+                rows, k, exact = np.cumsum([0, *count]), 0, []
+                for t, n in zip(texts[i:j], count, strict=True):
+                    exact.append(None if t is None else all(v.spells(ids[begin[m] : begin[m + 1]], t.encode()) for m in range(k, k + n)))
+                    k += n
+                at = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(rows, ids), *(pa.ListArray.from_arrays(rows, pa.array([s[c] for s in flat], pa.float64())) for c in (1, 2)), pa.array(exact)],
+                    [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(at, pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids.astype(np.int32)))), *(pa.ListArray.from_arrays(at, pa.array(x, pa.float64())) for x in (logs, inclusion)), pa.array(exact, pa.bool_())],
                     ["doc_id", "ids", "log_probs", "inclusion", "exact"],
                 )
                 i = j
