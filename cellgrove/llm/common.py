@@ -44,16 +44,16 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Most bytes of an Arrow batch sent to Python, while an operator of this subpackage is planned in the session.
+#: Most bytes of an Arrow batch sent to Python, where the session's own configuration doesn't say.
 BATCH_BYTES = 8 << 20
 
 
 def released(run):
     """run for mapInArrow, with small batches, and with the memory that a task no longer needs given back at its
     end: workers live on after a task, and several stages share an executor."""
-    session = SparkSession.getActiveSession()
-    if session is not None:
-        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    session, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session is not None and not session.sparkContext.getConf().contains(key):
+        session.conf.set(key, str(BATCH_BYTES))
 
     def outer(batches):
         try:
@@ -66,6 +66,19 @@ def released(run):
     return outer
 
 
+def small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of numbers of 8 bytes, marked to be broadcast if it has `most` rows at most; a larger one is joined by shuffles."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """name, or with more underscores where a table has a column of that name."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(mod: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(mod)).cast("int")

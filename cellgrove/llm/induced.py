@@ -64,15 +64,25 @@ class Scratch:
         """How often each letter comes among values(from, to)."""
         out = self.array(letters, np.int64)
         for i, j in self.batches(n):
-            letter, count = np.unique(values(i, j), return_counts=True)
-            out[letter] += count
+            part = values(i, j)
+            if letters <= self.batch:
+                out += np.bincount(part, minlength=letters)
+            else:
+                letter, count = np.unique(part, return_counts=True)
+                out[letter] += count
         return out
 
 
+def _grouped(letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters in order, and where each was; equal letters stay in order."""
+    key = np.sort(letter.astype(np.int64) << 32 | np.arange(len(letter)))
+    return key >> 32, key & 0xFFFFFFFF
+
+
 def kinds(text: np.ndarray, scratch: Scratch) -> np.ndarray:
-    """1 for each L-type suffix. The last is S-type."""
+    """Twice each letter, and 1 more where the suffix is L-type. The last is S-type."""
     n = len(text)
-    out = scratch.array(n, np.uint8)
+    out = scratch.array(n, text.dtype)
     after = np.int8(-1)
     for i, j in reversed(list(scratch.batches(n))):
         less = np.empty(j - i, np.int8)
@@ -84,7 +94,7 @@ def kinds(text: np.ndarray, scratch: Scratch) -> np.ndarray:
         at = np.where(less != 0, np.arange(j - i), j - i)
         at = np.minimum.accumulate(at[::-1])[::-1]
         full = np.append(less, after)[at]
-        out[i:j] = full > 0
+        out[i:j] = part[: j - i] * 2 + (full > 0)
         after = full[0]
     return out
 
@@ -101,11 +111,11 @@ class _Sweep:
     back: letters and order run from large to small. shared: what each seed shares with the one taken
     before it (of any type; 0 for a letter's first), or None. seam(c, last) tells it for a letter's first seed."""
 
-    def __init__(self, text, kind, want: int, back: bool, letters: int, seeds, shared, depth: int, scratch: Scratch):
-        self.text, self.kind, self.want, self.depth, self.scratch = text, kind, want, depth, scratch
+    def __init__(self, kind, want: int, back: bool, letters: int, seeds, shared, depth: int, scratch: Scratch):
+        self.kind, self.want, self.depth, self.scratch = kind, want, depth, scratch
         self.back, self.letters, self.seeds, self.shared = back, letters, seeds, shared
-        n = len(text)
-        count = scratch.counts(lambda i, j: self.flip(text[i:j][kind[i:j] == want]), n, letters)
+        n = len(kind)
+        count = scratch.counts(lambda i, j: self.flip((x := kind[i:j])[x & 1 == want] >> 1), n, letters)
         self.start, self.end = _starts(count, scratch), scratch.array(letters, np.int64)
         self.end[:] = self.start[:-1]
         seed_count = scratch.counts(lambda i, j: self.letter(seeds[i:j]), len(seeds), letters)
@@ -119,7 +129,14 @@ class _Sweep:
         return (self.letters - 1) - letter.astype(np.int64) if self.back else letter
 
     def letter(self, places: np.ndarray) -> np.ndarray:
-        return self.flip(self.text[places])
+        return self.flip(self.kind[places] >> 1)
+
+    def neighbours(self, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which suffixes have a left neighbour of the wanted type, the neighbours, and their letters."""
+        left = suffix - 1
+        letter = self.kind[left]  # that of the first suffix's neighbour is any
+        at = np.flatnonzero((letter & 1 == self.want) & (left >= 0))
+        return at, left[at], self.flip(letter[at] >> 1)
 
     def run(self, first: int | None, seam) -> tuple[np.ndarray, np.ndarray | None]:
         if first is not None:
@@ -176,11 +193,9 @@ class _Sweep:
         parent = [np.zeros(len(arrived) + len(seeds), np.int64)]
         front, front_at, made = np.concatenate(place), np.arange(len(arrived) + len(seeds)), len(arrived) + len(seeds)
         while len(front):
-            left = front - 1
-            ok = np.flatnonzero(left >= 0)
-            ok = ok[self.kind[left[ok]] == self.want]
-            ok = ok[self.letter(left[ok]) < b]
-            front, parents = left[ok], front_at[ok]
+            ok, left, letter = self.neighbours(front)
+            ok, front = ok[letter < b], left[letter < b]
+            parents = front_at[ok]
             if len(front):
                 place.append(front)
                 cls.append(np.ones(len(front), np.int64))
@@ -189,8 +204,7 @@ class _Sweep:
                 made += len(front)
         place, cls, parent = np.concatenate(place), np.concatenate(cls), np.concatenate(parent)
         key = (self.letter(place).astype(np.int64) - a) * 3 + cls
-        order = np.argsort(key, kind="stable")
-        grouped = key[order]
+        grouped, order = _grouped(key)
         fresh = np.ones(made, bool)
         fresh[1:] = (grouped[1:] != grouped[:-1]) | (cls[order][1:] != 1)
         rank = np.empty(made, np.int64)
@@ -202,7 +216,7 @@ class _Sweep:
             spot = np.flatnonzero(tied)
             some = order[spot]
             second = rank[jump[some]]
-            by = np.lexsort((second, rank[some]))
+            by = np.argsort(rank[some] * made + second)
             some, second = some[by], second[by]
             first = rank[some]
             order[spot] = some
@@ -218,11 +232,7 @@ class _Sweep:
 
     def deal(self, suffix: np.ndarray, shared: np.ndarray | None, least_letter: int = 0) -> None:
         """The left neighbours (of the wanted type) of a batch of suffixes, put at the ends of their stretches."""
-        at = np.flatnonzero(suffix > 0)
-        left = suffix[at] - 1
-        ok = self.kind[left] == self.want
-        at, left = at[ok], left[ok]
-        letter = self.letter(left)
+        at, left, letter = self.neighbours(suffix)
         if least_letter:
             ok = letter >= least_letter
             at, left, letter = at[ok], left[ok], letter[ok]
@@ -230,8 +240,8 @@ class _Sweep:
             if shared is not None:
                 np.minimum(self.since, shared.min(initial=self.depth), out=self.since)
             return
-        order = np.argsort(letter, kind="stable")
-        at, left, letter = at[order], left[order], letter[order]
+        letter, order = _grouped(letter)
+        at, left = at[order], left[order]
         first = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
         count = np.diff(np.append(first, len(at)))
         heads = letter[first]
@@ -259,7 +269,7 @@ def _direct(text: np.ndarray, a: int, b: int, cap: int) -> int:
 def _induce(text, kind, lms, shared, letters: int, depth: int, scratch: Scratch) -> tuple:
     """L-type suffixes in order, S-type ones in reverse order, and shared prefixes, from the ordered leftmost S-type ones."""
     n, seams = len(text), {}
-    large, large_shared = _Sweep(text, kind, 1, False, letters, lms, shared, depth, scratch).run(None, lambda c, a, b: _direct(text, a, b, depth))
+    large, large_shared = _Sweep(kind, 1, False, letters, lms, shared, depth, scratch).run(None, lambda c, a, b: _direct(text, a, b, depth))
 
     class Reversed:
         """What a suffix shares with the one after it in the order of the L-type ones."""
@@ -274,7 +284,7 @@ def _induce(text, kind, lms, shared, letters: int, depth: int, scratch: Scratch)
         seams[letters - 1 - c] = _direct(text, a, b, depth)
         return seams[letters - 1 - c]
 
-    small, small_shared = _Sweep(text, kind, 0, True, letters, large[::-1], Reversed() if shared is not None else None, depth, scratch).run(n - 1, seam)
+    small, small_shared = _Sweep(kind, 0, True, letters, large[::-1], Reversed() if shared is not None else None, depth, scratch).run(n - 1, seam)
     return large, large_shared, small, small_shared, seams
 
 
@@ -324,9 +334,10 @@ def _sorted_lms(text: np.ndarray, letters: int, steps: int, scratch: Scratch) ->
     kind = kinds(text, scratch)
 
     def leftmost(i: int, j: int) -> np.ndarray:
-        out = kind[i:j] == 0
-        out[1:] &= kind[i : j - 1] == 1
-        out[0] &= i > 0 and kind[i - 1] == 1
+        large = kind[max(0, i - 1) : j] & 1
+        out = large[-(j - i) :] == 0
+        out[1:] &= large[-(j - i) : -1] == 1
+        out[0] &= i > 0 and large[0] == 1
         return out
 
     lms = scratch.where(leftmost, n)
@@ -334,9 +345,7 @@ def _sorted_lms(text: np.ndarray, letters: int, steps: int, scratch: Scratch) ->
     at = _starts(scratch.counts(lambda i, j: text[lms[i:j]], len(lms), letters), scratch)
     for i, j in scratch.batches(len(lms)):
         part = lms[i:j]
-        letter = text[part]
-        order = np.argsort(letter, kind="stable")
-        letter = letter[order]
+        letter, order = _grouped(text[part])
         first = np.flatnonzero(np.concatenate([[True], letter[1:] != letter[:-1]]))
         count = np.diff(np.append(first, len(letter)))
         by_letter[np.repeat(at[letter[first]] - first, count) + np.arange(j - i)] = part[order]
@@ -391,24 +400,22 @@ class _Sums:
 
     def __init__(self, text: np.ndarray, letters: int, scratch: Scratch):
         n = len(text)
-        self.tables = {}
-        for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 2**64))):
-            low, high = np.full(self.STEP, base, _U), np.full(n // self.STEP + 2, pow(base, self.STEP, 2**64), _U)
-            low[0] = high[0] = 1
-            self.tables[name] = np.multiply.accumulate(low), np.multiply.accumulate(high)
+        low, high = np.full(self.STEP, self.BASE, _U), np.full(n // self.STEP + 2, pow(self.BASE, self.STEP, 2**64), _U)
+        low[0] = high[0] = 1
+        self.low, self.high = np.multiply.accumulate(low), np.multiply.accumulate(high)
         code = np.random.default_rng(letters).integers(1, 2**63, letters, dtype=_U) | _U(1)
         self.total, run = scratch.array(n + 1, _U), _U(0)
         for i, j in scratch.batches(n):
-            part = np.cumsum(code[text[i:j]] * self.power("up", np.arange(i, j)), dtype=_U) + run
+            part = np.cumsum(code[text[i:j]] * self.power(np.arange(i, j)), dtype=_U) + run
             self.total[i + 1 : j + 1] = part
             run = part[-1]
 
-    def power(self, name: str, k: np.ndarray) -> np.ndarray:
-        low, high = self.tables[name]
-        return low[k & (self.STEP - 1)] * high[k // self.STEP]
+    def power(self, k: np.ndarray) -> np.ndarray:
+        return self.low[k & (self.STEP - 1)] * self.high[k // self.STEP]
 
-    def hashes(self, start: np.ndarray, length) -> np.ndarray:
-        return (self.total[start + length] - self.total[start]) * self.power("down", start)
+    def hashes(self, start: np.ndarray, length: int) -> np.ndarray:
+        """The hash of a stretch, times the power of its start."""
+        return self.total[start + length] - self.total[start]
 
 
 def _shared(text: np.ndarray, order: np.ndarray, letters: int, cap: int, scratch: Scratch) -> np.ndarray:
@@ -417,14 +424,14 @@ def _shared(text: np.ndarray, order: np.ndarray, letters: int, cap: int, scratch
     out = scratch.array(len(order), np.uint16)
     for i, j in scratch.batches(len(order)):
         part = order[max(0, i - 1) : j].astype(np.int64)
-        a, b = part[:-1], part[1:]
-        room = np.minimum(cap, n - np.maximum(a, b))
+        a, b = np.minimum(part[:-1], part[1:]), np.maximum(part[:-1], part[1:])
+        room, apart = np.minimum(cap, n - b), sums.power(b - a)
         got = np.zeros(len(a), np.int64)
         step = 1 << (cap.bit_length() - 1)
         while step:
             longer = np.flatnonzero(got + step <= room)
             x = got[longer]
-            same = sums.hashes(a[longer] + x, step) == sums.hashes(b[longer] + x, step)
+            same = sums.hashes(a[longer] + x, step) * apart[longer] == sums.hashes(b[longer] + x, step)
             got[longer[same]] += step
             step >>= 1
         out[max(i, 1) : j] = got

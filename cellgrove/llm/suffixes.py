@@ -267,8 +267,8 @@ def _repeated_runs(texts: DataFrame, length: int, report: int, widths: tuple[int
     levels, source = [], texts
     for width in widths:
         runs = common.staged(spark, window_runs(source, length, report, width), "runs")
-        repeated = runs.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1").select("ahash")
-        again = common.staged(spark, runs.join(repeated, "ahash", "left_semi").groupBy("tid", "ahash", "sid", "first", "windows").agg(F.count("*").alias("n")), "again")
+        repeated = common.staged(spark, runs.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1").select("ahash"), "repeated")
+        again = common.staged(spark, runs.join(common.small(repeated), "ahash", "left_semi").groupBy("tid", "ahash", "sid", "first", "windows").agg(F.count("*").alias("n")), "again")
         pieces = again.groupBy("ahash", "sid").agg(F.sum("n").alias("copies"), F.min(F.struct("tid", "first")).alias("place"), F.first("windows").alias("windows"))
         pieces = common.staged(spark, pieces.select("ahash", "sid", "copies", "place.tid", "place.first", "windows"), "pieces")
         if width >= report:  # windows are their own anchors: counts decide
@@ -296,7 +296,7 @@ def _repeated_runs(texts: DataFrame, length: int, report: int, widths: tuple[int
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, report: int = REPORT, widths: tuple[int, ...] = (ANCHOR, 160), shard_bytes: int = 4 << 20, memory: int = 128 << 20, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, report: int = REPORT, widths: tuple[int, ...] = (ANCHOR, 160), shard_bytes: int = 2 << 20, memory: int = 128 << 20, with_bytes: bool = True) -> DataFrame:
     """One row for each row of docs (doc_id, text): bytes, removed bytes, maximal removed runs, SHA-256 of the rest, bytes
     covered by strings of `report` bytes that also start elsewhere, and the rest itself (null without with_bytes).
 
@@ -314,37 +314,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, report: int = REPORT,
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                rows = [_kept(_unpacked(codec, t.as_py(), n.as_py()), r.as_py(), length, report) for t, n, r in zip(part.column(1), part.column(2), part.column(3), strict=True)]
+                lists = part.column(3)
+                at, runs = lists.offsets.to_numpy(), [lists.values.field(c) for c in range(4)]
+                first, windows = (runs[c].to_numpy() for c in (0, 1))
+                rows = []
+                for k, (t, n) in enumerate(zip(part.column(1), part.column(2), strict=True)):
+                    own = slice(at[k], at[k + 1])
+                    rows.append(_kept(_unpacked(codec, t.as_py(), n.as_py()), first[own], windows[own], runs[2][own].to_pylist(), runs[3][own].to_pylist(), length, report))
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([r[5] if with_bytes else None for r in rows], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"])
 
     return _packed(texts).join(removed, "tid", "left").select("doc_id", "packed", "size", "runs").mapInArrow(common.released(run), SCHEMA)
 
 
-def _covered(n: int, runs: list[dict], which: str, size: int) -> np.ndarray:
-    """Which bytes are covered by strings of `size` bytes that start at the marked windows."""
-    edge = np.zeros(n + 1, np.int32)
-    for r in runs:
-        if r[which] is None:
-            last = min(r["first"] + r["windows"], n - size + 1)
-            if last > r["first"]:
-                edge[r["first"]] += 1
-                edge[last + size - 1] -= 1
-        else:
-            at = r["first"] + np.flatnonzero(np.unpackbits(np.frombuffer(r[which], np.uint8), count=r["windows"]))
-            edge[at] += 1
-            edge[at + size] -= 1
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _kept(text: bytes, runs: list[dict] | None, length: int, report: int) -> tuple[int, int, int, str, int, bytes]:
-    if not runs:
+def _covered(n: int, first: np.ndarray, windows: np.ndarray, bits: list[bytes | None], size: int) -> np.ndarray:
+    """Which of n bytes are covered by strings of `size` bytes that start at the marked windows."""
+    starts = np.zeros(n, bool)
+    for a, k, b in zip(first.tolist(), windows.tolist(), bits, strict=True):
+        starts[a : a + k] = True if b is None else np.unpackbits(np.frombuffer(b, np.uint8), count=k)
+    starts[max(0, n - size + 1) :] = False
+    so_far = np.cumsum(starts, dtype=np.int32)
+    so_far[size:] -= so_far[:-size].copy()
+    return so_far > 0
+
+
+def _kept(text: bytes, first: np.ndarray, windows: np.ndarray, short: list, long: list, length: int, report: int) -> tuple[int, int, int, str, int, bytes]:
+    if not len(first):
         return len(text), 0, 0, hashlib.sha256(text).hexdigest(), 0, text
-    gone = _covered(len(text), runs, "long", length)
-    seen = int(_covered(len(text), runs, "short", report).sum())
+    gone = _covered(len(text), first, windows, long, length)
+    seen = int(np.count_nonzero(_covered(len(text), first, windows, short, report)))
     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), seen, kept
+    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
+    return len(text), int(np.count_nonzero(gone)), spans, hashlib.sha256(kept).hexdigest(), seen, kept
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
