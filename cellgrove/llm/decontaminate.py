@@ -7,15 +7,19 @@ position: a shift table says how far the next possible position is, a block that
 leading part selects a bucket of patterns, and each of these is compared directly. Patterns are
 dealt into classes by length, so that short ones don't shorten the shifts of long ones.
 
-The windows are sent to the executors in parts of bounded size; a text passes all parts.
+The benchmark's text is sent to the executors in parts of bounded size, one at a time; they build the
+tables, arrays of a few times the part's size. A text passes all parts; between two parts the rows
+with their hits so far are written to the shared folder. Equal windows are told by hashes of 64 bits.
 
 Null texts have no words. Items without id or words take no part; the same id in several rows is
-one item. Documents without words are not contaminated. Extra columns are not read.
+one item. Documents without words are not contaminated. Very long texts are searched whole, in one
+task. Windows met several times, in texts or items, count once. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,61 +47,123 @@ def windows(words: list[bytes], size: int = 13) -> Iterator[bytes]:
             yield b" " + b" ".join(words[i : i + size]) + b" "
 
 
+_K1, _K2, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+
+def _block_hashes(buffer: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """The hash of the block at each place of buffer, as WuManber.find makes it."""
+    m, u = len(buffer) - block + 1, np.uint64
+    halves = []
+    for first in (0, 8):
+        x = np.zeros(m, u)
+        for k in range(first, min(first + 8, block)):
+            x |= buffer[k : k + m].astype(u) << u(8 * (k - first))
+        halves.append(x)
+    return (((halves[0] * u(_K1)) ^ (halves[1] * u(_K2))) >> u(64 - bits)).astype(np.int64)
+
+
 class WuManber:
-    """A searcher for patterns of similar length. block: the length of the blocks looked at."""
-
-    def __init__(self, patterns: list[bytes], block: int = 16):
-        self.reach = min(map(len, patterns))  # the leading part that shifts are made from
-        self.block = max(1, min(block, self.reach // 3))
-        self.skip = self.reach - self.block + 1
-        self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[bytes]] = {}
-        for p in sorted(set(patterns)):
-            for end in range(self.block, self.reach + 1):
-                b = p[end - self.block : end]
-                if self.reach - end < self.shift.get(b, self.skip):
-                    self.shift[b] = self.reach - end
-            self.bucket.setdefault(p[self.reach - self.block : self.reach], []).append(p)
-
-    def find(self, text: bytes) -> Iterator[tuple[int, bytes]]:
-        """(start, pattern) of every occurrence."""
-        shift, block, skip, end, n = self.shift.get, self.block, self.skip, self.reach, len(text)
+    """A searcher for patterns of similar length: the stretches of buffer from starts, in order, to ends. block: the length of the blocks looked at."""
+
+    def __init__(self, buffer: bytes, starts: np.ndarray, ends: np.ndarray, block: int = 16):
+        self.buffer, self.starts, self.ends = buffer, starts, ends
+        self.reach = int((ends - starts).min())  # the leading part that shifts are made from
+        self.block = max(1, min(block, 16, self.reach // 3))
+        self.skip = min(255, self.reach - self.block + 1)
+        data = np.frombuffer(buffer, np.uint8)
+        self.bits = min(24, max(8, (8 * len(starts)).bit_length()))
+        table = np.full(1 << self.bits, self.skip, np.uint8)
+        depth = self.reach - self.block
+        for at in range(0, len(data) - self.block + 1, 1 << 20):
+            place = np.arange(at, min(len(data) - self.block + 1, at + (1 << 20)))
+            # of the patterns around a block the first one reaches on the least behind it
+            first = np.searchsorted(starts, place - depth)
+            first = starts[np.minimum(first, len(starts) - 1)]
+            shift = depth - (place - first)
+            ok = (first <= place) & (shift >= 0) & (shift < self.skip)
+            np.minimum.at(table, _block_hashes(data[at : int(place[-1]) + self.block], self.block, self.bits)[ok], shift[ok].astype(np.uint8))
+        self.table = table.tobytes()
+        ending = starts + depth
+        key = self._keys(data, ending)
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def _keys(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.empty(len(places), np.int64)
+        for at in range(0, len(data) - self.block + 1, 1 << 20):
+            i, j = np.searchsorted(places, (at, at + (1 << 20)))
+            if i < j:
+                out[i:j] = _block_hashes(data[at : at + (1 << 20) + self.block - 1], self.block, self.bits)[places[i:j] - at]
+        return out
+
+    @classmethod
+    def of(cls, patterns: list[bytes], block: int = 16) -> WuManber:
+        size = np.cumsum([0, *map(len, patterns)])
+        return cls(b"".join(patterns), size[:-1], size[1:], block)
+
+    def find(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """(start, number of the pattern) of every occurrence."""
+        table, block, reach, drop, number = self.table, self.block, self.reach, 64 - self.bits, int.from_bytes
+        end, n = reach, len(text)
         while end <= n:
-            b = text[end - block : end]
-            step = shift(b, skip)
+            x = number(text[end - block : end], "little")
+            h = ((x * _K1) ^ ((x >> 64) * _K2)) & _ALL
+            h >>= drop
+            step = table[h]
             if step:
                 end += step
                 continue
-            start = end - self.reach
-            for p in self.bucket[b]:
-                if text.startswith(p, start):
-                    yield start, p
+            start = end - reach
+            i, j = np.searchsorted(self.keys, (h, h + 1))
+            for k in self.order[i:j].tolist():
+                if text.startswith(self.buffer[self.starts[k] : self.ends[k]], start):
+                    yield start, k
             end += 1
 
 
 class Searcher:
-    """All windows of one part of the benchmark: item ids by pattern, and a WuManber for each class of lengths."""
+    """All windows of one part of the benchmark: a WuManber for each class of lengths, and the items of each window."""
 
     def __init__(self, items: list[tuple[int, bytes]], size: int = 13):
-        self.items: dict[bytes, list[int]] = {}
+        texts, owner, starts, ends, at = [], [], [], [], 0
         for item, text in items:
-            for p in windows(normal_words(text), size):
-                if item not in (known := self.items.setdefault(p, [])):
-                    known.append(item)
-        by_length: dict[int, list[bytes]] = {}
-        for p in self.items:
-            by_length.setdefault(len(p).bit_length(), []).append(p)
-        self.machines = [WuManber(ps) for _, ps in sorted(by_length.items())]
+            words = normal_words(text)
+            if not words:
+                continue
+            edge = np.cumsum([0, *(len(w) + 1 for w in words)]) + at  # the spaces
+            n = max(1, len(words) - size + 1)
+            starts.append(edge[:n])
+            ends.append(edge[min(size, len(words)) :][:n] + 1)
+            owner.append(np.full(n, item, np.int64))
+            texts.append(b" " + b" ".join(words) + b" ")
+            at += len(texts[-1])
+        self.machines: list[tuple[WuManber, np.ndarray, np.ndarray]] = []
+        if not texts:
+            return
+        buffer = b"".join(texts)
+        starts, ends, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
+        h = common.span_hashes(np.frombuffer(buffer, np.uint8), starts, ends)
+        _, first, number = np.unique(h, return_index=True, return_inverse=True)
+        first = np.sort(first)  # each distinct window where it comes first, by place
+        rank = np.empty(len(first), np.int64)
+        rank[number[first]] = np.arange(len(first))
+        pair = np.unique(np.stack([rank[number], owner], axis=1), axis=0)
+        at = np.searchsorted(pair[:, 0], np.arange(len(first) + 1))
+        length = np.floor(np.log2(ends[first] - starts[first])).astype(np.int64)
+        self.items, self.item_at = pair[:, 1].copy(), at
+        for c in np.unique(length):
+            mine = np.flatnonzero(length == c)
+            self.machines.append((WuManber(buffer, starts[first[mine]], ends[first[mine]]), mine, (ends - starts)[first[mine]]))
 
     def hits(self, text: bytes) -> tuple[list[tuple[int, int]], set[int]]:
         """Ranges of hit words, and the items whose windows occur. text: words between single spaces."""
-        found = [x for m in self.machines for x in m.find(text)]
+        found = [(start, int(size[k]), int(window[k])) for m, window, size in self.machines for start, k in m.find(text)]
         ranges, items, at, words = [], set(), 0, 0
-        for start, p in sorted(found):
+        for start, size, window in sorted(found):
             words += text.count(b" ", at, start)
             at = start
-            ranges.append((words, words + p.count(b" ") - 1))
-            items.update(self.items[p])
+            ranges.append((words, words + text.count(b" ", start, start + size) - 1))
+            items.update(self.items[self.item_at[window] : self.item_at[window + 1]].tolist())
         return ranges, items
 
 
@@ -112,20 +178,27 @@ def covered(ranges: list[tuple[int, int]]) -> int:
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def benchmark_parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in parts of about part_bytes at most, one at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // part_bytes)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1].encode()) for r in part.collect()]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def benchmark_count(benchmark: DataFrame, part_bytes: int) -> int:
+    """In how many parts the items are taken, so that each has about part_bytes at most."""
+    return -(-(_items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
+
+
+def benchmark_part(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, bytes]]:
+    """Part k of n of the items."""
+    rows = _items(benchmark)
+    if n > 1:
+        rows = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return [(r[0], r[1].encode()) for r in rows.collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_bytes: int = 8 << 20) -> DataFrame:
     """One row for each row of docs (doc_id, text); contaminated: share * hit words >= words, and any hit.
 
-    part_bytes bounds the benchmark text of one part, and so what is broadcast at once."""
+    part_bytes bounds the benchmark text of one part, and so what the driver holds and broadcasts at once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
@@ -148,27 +221,42 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, sha
 
 def _through(docs: DataFrame, benchmark: DataFrame, size: int, share: int, part_bytes: int, last, schema) -> DataFrame:
     """docs through all parts of the benchmark; hits so far travel along, and last(batch, results) makes the rows."""
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast(Searcher(p, size)) for p in benchmark_parts(benchmark, part_bytes)]
-    at, state = docs.columns.index("text"), docs
-    carried = T.StructType([*docs.schema.fields, T.StructField("__ranges", T.BinaryType()), T.StructField("__items", T.BinaryType())])
-    for k, part in enumerate(parts or [None]):
-        end = k >= len(parts) - 1
-        state = state.mapInArrow(common.released(_pass(part, at, share, k == 0, last if end else None)), schema if end else carried)
+    spark = docs.sparkSession
+    held = common.unused("hit_ranges", docs), common.unused("hit_items", docs)
+    carried = T.StructType([*docs.schema.fields, *(T.StructField(name, T.BinaryType()) for name in held)])
+    at, state, n = docs.columns.index("text"), docs, benchmark_count(benchmark, part_bytes)
+    for k in range(max(1, n)):
+        part = spark.sparkContext.broadcast((uuid.uuid4().hex, benchmark_part(benchmark, k, n))) if n else None
+        final = k >= n - 1
+        state = state.mapInArrow(common.released(_pass(part, size, at, share, k == 0, last if final else None, held)), schema if final else carried)
+        if not final:  # one part is on the executors at a time
+            state = common.staged(spark, state, "decontaminated")
+            part.destroy()
     return state
 
 
-def _pass(part, at: int, share: int, first: bool, last):
+_BUILT: list = [None, None]
+
+
+def _searcher(part, size: int) -> Searcher:
+    """The searcher of a part; a worker keeps the last one for its next tasks."""
+    name, items = part.value
+    if _BUILT[0] != (name, size):
+        _BUILT[:] = (name, size), Searcher(items, size)
+    return _BUILT[1]
+
+
+def _pass(part, size: int, at: int, share: int, first: bool, last, held: tuple[str, str]):
     def run(batches):
-        machine = part.value if part is not None else None
+        machine = _searcher(part, size) if part is not None else None
         for batch in batches:
             out = []
             for k, text in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
                 words = normal_words(text or b"")
                 ranges, items = machine.hits(b" " + b" ".join(words) + b" ") if machine is not None and words else ([], set())
                 if not first:
-                    ranges += [tuple(x) for x in np.frombuffer(batch.column("__ranges")[k].as_py(), np.int64).reshape(-1, 2).tolist()]
-                    items |= set(np.frombuffer(batch.column("__items")[k].as_py(), np.int64).tolist())
+                    ranges += [tuple(x) for x in np.frombuffer(batch.column(held[0])[k].as_py(), np.int64).reshape(-1, 2).tolist()]
+                    items |= set(np.frombuffer(batch.column(held[1])[k].as_py(), np.int64).tolist())
                 if last is not None:
                     hit, ids = covered(ranges), ",".join(sorted(map(str, items)))
                     out.append((len(words), hit, len(items), hashlib.sha256(ids.encode()).hexdigest(), hit > 0 and share * hit >= len(words)))
@@ -179,8 +267,8 @@ def _pass(part, at: int, share: int, first: bool, last):
             if last is not None:
                 yield last(batch, out)
             else:
-                kept = [n for n in batch.schema.names if n not in ("__ranges", "__items")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], [*kept, "__ranges", "__items"])
+                kept = [n for n in batch.schema.names if n not in held]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], [*kept, *held])
 
     return run
 

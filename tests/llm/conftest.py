@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, held_out string, nid string, tid string, kept string, runs string, ids string, word string, band string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, held_out string, nid string, tid string, kept string, runs string, ids string, word string, band string, gone_id string, twice_id string, hit_items string, hit_ranges string"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def docs(spark):
     """Documents from (doc_id, text) pairs, with further columns whose names operators use themselves."""
 
     def make(*rows, lang="en"):
-        full = [(i, t, lang if not isinstance(lang, dict) else lang.get(i), "s", None if t is None else len(t), *["x"] * 9) for i, t in rows]
+        full = [(i, t, lang if not isinstance(lang, dict) else lang.get(i), "s", None if t is None else len(t), *["x"] * 13) for i, t in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make
