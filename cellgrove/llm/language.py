@@ -1,17 +1,21 @@
 """Language identification by nearest centroid.
 
 Texts become normalised TF-IDF vectors of hashed character 1- to 3-grams. For each language several
-centroids are found by spherical k-means; a text gets the language of the centroid with the largest
-cosine. A text farther from all centroids than nearly all training texts are from theirs is rejected.
-
-Null texts and texts without a letter are `und`, score 0, rejected. Rows without lang are not
-learned from; rows without doc_id count as held out. With nothing to learn from, all is `und`.
-Languages with the same cosine go by name. Extra columns are not read.
+centroids are found by spherical k-means, on the executors; a text gets the language of the centroid with the
+largest cosine. Rejection goes by distance: a text is rejected if its cosine, or the lead of its language over
+the next one, is below what passages of its length reach in texts that the centroids weren't fitted on.
+
+Null texts and texts without a letter (Unicode category L) are `und`, score 0, rejected. Rows without lang are
+not learned from; rows without doc_id count as held out. With nothing to learn from, all is `und`. Languages
+with the same cosine go by name. Very long texts count whole, piece by piece. Repeated rows are learned from
+each. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +25,48 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMS = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+_ALNUM = re.compile(r"[^\W\d_]+")
 _CHUNK = 1 << 20
+#: Passages of about 2**k letters, k up to this, tell how near texts of a length come.
+LENGTHS = 12
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of text is a letter; numbers such as one half aren't."""
+    return any(m.group().isalpha() or any(map(str.isalpha, m.group())) for m in _ALNUM.finditer(text))
 
 
-def gram_counts(texts: list[str]) -> np.ndarray:
-    """Counts of hashed character 1- to 3-grams, a row for each text. A run of characters that aren't letters counts as one space."""
-    out = np.zeros((len(texts), DIMS), np.float32)
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter or a mark on one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of hashed character 1- to 3-grams, a row for each text, and its number of letters. Digits count as 0, and a run of other characters that aren't letters as one space."""
+    out, letters = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), np.int64)
     group, size = [], 0
     for i, text in enumerate(texts):
         if size and size + len(text) > _CHUNK:
-            _count(texts, group, out)
+            _count(texts, group, out, letters)
             group, size = [], 0
         group.append(i)
         size += len(text)
     if group:
-        _count(texts, group, out)
-    return out
+        _count(texts, group, out, letters)
+    return out, letters
 
 
-def _count(texts: list[str], group: list[int], out: np.ndarray) -> None:
+def _count(texts: list[str], group: list[int], out: np.ndarray, letters: np.ndarray) -> None:
     lower = [texts[i].lower() for i in group]
     codes = np.frombuffer("".join(t + "\n" for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(group), dtype=np.int64), np.array([len(t) + 1 for t in lower]))
-    letter = (codes > 127) | ((codes >= 97) & (codes <= 122))
-    c = np.where(letter, codes, np.uint32(32))
+    letter = (codes >= 97) & (codes <= 122)
+    wide = np.flatnonzero(codes > 127)
+    if len(wide):
+        letter[wide] = _letters()[codes[wide]]
+    letters[group] = np.bincount(row[letter], minlength=len(group))
+    c = np.where(letter, codes, np.where((codes >= 48) & (codes <= 57), np.uint32(48), np.uint32(32)))
     keep = np.ones(len(c), bool)
     if len(c):
         keep[1:] = (c[1:] != 32) | (c[:-1] != 32) | (row[1:] != row[:-1])
@@ -94,68 +115,156 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 7, rounds: int = 20) ->
     return centre
 
 
+def _bin(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), LENGTHS)
+
+
 class Model:
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floor: dict[str, float]):
-        self.idf, self.centroids, self.langs, self.floor = idf, centroids, langs, floor
+    """floor, lead: for each centroid's language and each bin of lengths the least cosine and the least lead over other languages."""
+
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], floor: np.ndarray, lead: np.ndarray):
+        self.idf, self.centroids, self.langs, self.floor, self.lead = idf, centroids, langs, floor, lead
+        self.number = np.unique(np.array(langs, object), return_inverse=True)[1] if langs else np.zeros(0, np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine to its nearest centroid (0 to 1), and whether that is too far."""
         langs, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        real = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        real = [i for i, t in enumerate(texts) if t and has_letter(t)]
         for k in range(0, len(real) if self.langs else 0, 256):
             some = real[k : k + 256]
-            cos = weighted(gram_counts([texts[i] for i in some]), self.idf) @ self.centroids.T
+            counts, letters = gram_counts([texts[i] for i in some])
+            cos = weighted(counts, self.idf) @ self.centroids.T
             best = cos.argmax(axis=1)
-            for i, j, c in zip(some, best, cos.max(axis=1), strict=True):
-                langs[i], score[i] = self.langs[j], min(1.0, max(0.0, float(c)))
-                rejected[i] = c < self.floor[self.langs[j]]
+            top, second = leads(cos, self.number, self.number[best])
+            size = _bin(letters)
+            score[some] = np.clip(top, 0, 1)
+            rejected[some] = (top < self.floor[best, size]) | (top - second < self.lead[best, size])
+            for i, j in zip(some, best.tolist(), strict=True):
+                langs[i] = self.langs[j]
         return langs, score, rejected
 
 
-def fit(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), per_lang: int = 400, centroids: int = 4, slack: float = 0.3) -> Model:
+def leads(cos: np.ndarray, number: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest cosine to a centroid of the text's own language, and to one of another (0 if there is none)."""
+    mine = number[None, :] == own[:, None]
+    return np.where(mine, cos, -1).max(axis=1), np.where(mine, 0, cos).max(axis=1)
+
+
+def _passages(text: str, salt: int) -> list[str]:
+    """Passages of one text, of about 2**k characters and more, at places that a hash chooses."""
+    out = []
+    for k in range(1, LENGTHS + 1):
+        size = (1 << k) + (1 << k) // 3
+        if len(text) < size:
+            break
+        out.append(text[(at := (salt >> k) * 0x9E3779B1 % (len(text) - size + 1)) : at + size])
+    return out
+
+
+def _sparse(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.float32).tobytes()
+
+
+def _dense(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for i, raw in enumerate(rows):
+        n = len(raw) // 6
+        out[i, np.frombuffer(raw, np.uint16, n)] = np.frombuffer(raw, np.float32, n, 2 * n)
+    return out
+
+
+def fit(docs: DataFrame, holdout: tuple[int, int] | None = (4, 2), per_lang: int = 400, centroids: int = 4, rare: float = 0.002, slack: float = 0.9, lead_share: float = 0.25) -> Model:
     """Fits on rows with a lang whose crc32(doc_id) modulo holdout[0] is not holdout[1].
 
     The idf is made from all of them; the centroids from about per_lang texts of each language, chosen
-    by a hash of the id. slack: a text is rejected below this share of the 0.1 % quantile of training cosines."""
+    by a hash of the id, each language in a task of its own. Floors come from passages of these texts, held
+    against centroids of the other half of the texts: slack times the `rare` quantile of the cosines, and
+    lead_share times that of the leads."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     if holdout:
         rows = rows.where(common.fold(holdout[0]) != holdout[1])
     n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    empty = np.zeros((0, LENGTHS + 1), np.float32)
     if not n:
-        return Model(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], {})
+        return Model(np.zeros(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], empty, empty)
     share = F.create_map(*[F.lit(v) for lang, count in n.items() for v in (lang, min(1.0, per_lang / count))])
-    chosen = rows.select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20)).alias("chosen"))
+    chosen = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20)).alias("chosen"))
+    names = ["lang", "h", "vector", "letters", "whole", "df"]
 
     def run(batches):
         df, seen = np.zeros(DIMS, np.int64), 0
         for batch in batches:
-            langs, texts, picked = (batch.column(k).to_pylist() for k in range(3))
-            real = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+            langs, texts, hashes, picked = (batch.column(k).to_pylist() for k in range(4))
+            real = [i for i, t in enumerate(texts) if has_letter(t)]
             for k in range(0, len(real), 256):
                 some = real[k : k + 256]
-                counts = gram_counts([texts[i] for i in some])
+                counts, letters = gram_counts([texts[i] for i in some])
                 df += (counts > 0).sum(axis=0)
                 seen += len(some)
-                if keep := [j for j, i in enumerate(some) if picked[i]]:
-                    yield pa.RecordBatch.from_arrays([pa.array([langs[some[j]] for j in keep]), pa.array([counts[j].astype(np.float32).tobytes() for j in keep], pa.binary()), pa.nulls(len(keep), pa.list_(pa.int64()))], ["lang", "vector", "df"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([[*df.tolist(), seen]], pa.list_(pa.int64()))], ["lang", "vector", "df"])
-
-    made = common.staged(rows.sparkSession, chosen.mapInArrow(common.released(run), "lang string, vector binary, df array<long>"), "grams")
-    df, sample = np.zeros(DIMS + 1, np.int64), {}
+                out = [(langs[i], hashes[i], _sparse(counts[j]), int(letters[j]), True) for j, i in enumerate(some) if picked[i]]
+                for i in some:
+                    if picked[i] and (cut := _passages(texts[i], hashes[i] & (1 << 62) - 1)):
+                        counts, letters = gram_counts(cut)
+                        out += [(langs[i], hashes[i], _sparse(c), int(m), False) for c, m in zip(counts, letters, strict=True) if m]
+                if out:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(out), pa.list_(pa.int64()))], names)
+        nothing = [pa.nulls(1, t) for t in (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([[*df.tolist(), seen]], pa.list_(pa.int64()))], names)
+
+    made = common.staged(rows.sparkSession, chosen.mapInArrow(common.released(run), "lang string, h long, vector binary, letters long, whole boolean, df array<long>"), "grams")
+    df = np.zeros(DIMS + 1, np.int64)
     for at, count in made.select(F.posexplode("df").alias("at", "n")).groupBy("at").agg(F.sum("n")).collect():
         df[at] = count
-    for lang, vector in made.where("lang IS NOT NULL").select("lang", "vector").collect():
-        sample.setdefault(lang, []).append(np.frombuffer(vector, np.float32))
     df, seen = df[:DIMS], int(df[DIMS])
     idf = (np.log((1 + seen) / (1 + df)) + 1).astype(np.float32)
-    centres, langs, floor = [], [], {}
-    for lang in sorted(sample):
-        x = weighted(np.stack(sorted(sample[lang], key=lambda v: v.tobytes())), idf)
-        c = spherical_kmeans(x, centroids)
-        floor[lang] = slack * float(np.quantile((x @ c.T).max(axis=1), 0.001))
-        centres.append(c)
-        langs += [lang] * len(c)
-    return Model(idf, np.concatenate(centres).astype(np.float32) if centres else np.zeros((0, DIMS), np.float32), langs, floor)
+
+    def centres(key, table):
+        whole = sorted((h, v) for h, v, w in zip(*(table[c].to_pylist() for c in ("h", "vector", "whole")), strict=True) if w)
+        x, half = weighted(_dense([v for _, v in whole]), idf), np.array([h >> 21 & 1 for h, _ in whole])
+        parts = {"": spherical_kmeans(x, centroids)}
+        for side in (0, 1):  # the half that passages of the other are held against
+            parts[str(side)] = spherical_kmeans(x[half == side], centroids) if (half == side).any() else parts[""]
+        rows = [(key[0].as_py(), name, c.astype(np.float32).tobytes()) for name, cs in parts.items() for c in cs]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], ["lang", "part", "centre"])
+
+    vectors = made.where("lang IS NOT NULL").drop("df")
+    fitted = sorted((r[0], r[1], bytes(r[2])) for r in vectors.groupBy("lang").applyInArrow(centres, "lang string, part string, centre binary").collect())
+    of = lambda part: ([lang for lang, p, _ in fitted if p == part], np.stack([np.frombuffer(c, np.float32) for _, p, c in fitted if p == part]))
+    if not fitted:
+        return Model(idf, np.zeros((0, DIMS), np.float32), [], empty, empty)
+    sides = [of("0"), of("1")]
+
+    def floors(key, table):
+        lang, rows = key[0].as_py(), []
+        top, second, size = [], [], _bin(np.array(table["letters"].to_pylist()))
+        h, v = table["h"].to_pylist(), table["vector"].to_pylist()
+        for k in range(0, len(v), 512):
+            x = weighted(_dense(v[k : k + 512]), idf)
+            side = np.array([b >> 21 & 1 for b in h[k : k + 512]])
+            a, b = np.zeros(len(x)), np.zeros(len(x))
+            for s, (langs, c) in enumerate(sides):
+                mine = np.array([name == lang for name in langs]).astype(np.int64)
+                a[side != s], b[side != s] = leads(x[side != s] @ c.T, mine, np.ones(int((side != s).sum()), np.int64))
+            top.append(a)
+            second.append(b)
+        top, second = np.concatenate(top), np.concatenate(second)
+        floor = lead = 0.0
+        for k in range(LENGTHS + 1):
+            at = size == k
+            if at.sum() >= 20:  # longer texts come no less near than shorter ones
+                floor = max(floor, slack * float(np.quantile(top[at], rare)))
+                lead = max(lead, lead_share * float(np.quantile((top - second)[at], rare)))
+            rows.append((lang, k, floor, lead))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["lang", "size", "floor", "lead"])
+
+    langs, centre = of("")
+    floor, lead = (np.zeros((len(langs), LENGTHS + 1)) for _ in range(2))
+    for lang, k, a, b in vectors.groupBy("lang").applyInArrow(floors, "lang string, size long, floor double, lead double").collect():
+        at = [i for i, name in enumerate(langs) if name == lang]
+        floor[at, k], lead[at, k] = a, b
+    return Model(idf, centre, langs, floor, lead)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,5 +1,7 @@
 import zlib
 
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,15 +71,16 @@ def test_gram_counts_against_brute_force():
     def brute(text):
         import itertools
 
-        t = "".join(c if c > "\x7f" or c.isalpha() else " " for c in text.lower() + "\n")
+        t = "".join("0" if c in "0123456789" else c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower() + "\n")
         t = "".join(k if k != " " else " " for k, _ in itertools.groupby(t) for _ in (range(1) if k == " " else range(len(list(_)))))
         return sum(max(0, len(t) - n + 1) for n in (1, 2, 3))
 
-    texts = ["Ab  c1d", "", "élan!", "a"]
-    got = language.gram_counts(texts)
+    texts = ["Ab  c1d", "", "élan!", "a", "½ ²①x", "e\u0301 12"]
+    got, letters = language.gram_counts(texts)
     assert got.sum(axis=1).tolist() == [brute(t) for t in texts]
+    assert letters.tolist() == [4, 0, 4, 1, 1, 2]
     for i, t in enumerate(texts):
-        assert (language.gram_counts([t])[0] == got[i]).all()
+        assert (language.gram_counts([t])[0][0] == got[i]).all()
 
 
 def test_language_on_held_out_documents(spark, medium):
@@ -101,6 +104,37 @@ def test_language_odd_rows(odd, docs):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()}.isdisjoint({1, 2, 4})
 
 
+def test_language_against_brute_force(docs):
+    """Each text goes to the centroid with the largest cosine, computed anew from the definition."""
+    rows = [(i, f"{'the cat sat on a mat' if i % 2 else 'der hund lief durch das haus'} {'xyz'[i % 3]}") for i in range(60)]
+    model = language.fit(docs(*rows, lang={i: "en" if i % 2 else "de" for i in range(60)}), holdout=None)
+    texts = ["a mat", "das haus", "hund cat", "zzz"]
+    for t, r in zip(texts, sorted(language.identify(docs(*enumerate(texts)), model).collect(), key=lambda r: r.doc_id), strict=True):
+        x = np.log1p(language.gram_counts([t])[0][0].astype(float)) * model.idf
+        cos = [float(x @ c / (np.linalg.norm(x) * np.linalg.norm(c) or 1)) for c in model.centroids]
+        assert r.lang_pred == model.langs[int(np.argmax(cos))] and r.score == pytest.approx(max(0, *cos), abs=1e-5)
+
+
+def test_numbers_are_no_letters(docs):
+    model = language.fit(docs(*((i, "the cat sat on the mat") for i in range(9))), holdout=None)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs((1, "½ ² ①"), (2, "12 34"), (3, "ª the"), (4, "ⅷ½x")), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == got[4][0] == "en"
+
+
+def test_junk_and_foreign_texts_are_rejected(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    model = language.fit(docs)
+    rng = np.random.default_rng(3)
+    letters = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(300)]
+    polish = "nie jest to co się na do że jak ale po tak za już czy tylko przez jego może był dla być mnie kiedy bardzo".split()
+    finnish = "ja on se että ei ole kun mutta niin hän oli myös vain kuin jo sitä minä sinä tämä talo kissa järvi".split()
+    cyrillic = "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой".split()
+    texts = [" ".join(rng.choice(w, n)) for w in (letters, polish, finnish, cyrillic) for n in (20, 300)] + ["1234 5678 a 99 " * 40, "0f3a9c 77be01 d4e5 " * 40]
+    assert model.predict(texts)[2].all()
+    kept = language.keep_identified(docs, model)
+    assert kept.count() >= 0.99 * docs.count()
+
+
 def test_far_texts_are_rejected(docs):
     model = language.fit(docs(*((i, "the cat sat on the mat and ate the rat " * 3) for i in range(60))), holdout=None)
     got = language.identify(docs((1, "the rat ate the cat"), (2, "жжжщщщ ъыь")), model).collect()
