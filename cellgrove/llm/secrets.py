@@ -5,8 +5,13 @@ and compressed runs in it are unwrapped into further layers, until nothing new a
 seen before is not taken up again, so that cycles end. Each layer knows, for each of its
 characters, the span of the original text it came from, so that findings map back.
 
-Null and empty texts have no findings. Repeated rows give repeated results. Extra columns of the
-input are not read.
+Compressed streams are read whole, all members, and again if they hold streams. Base64 may run over
+lines or follow a slash, dash or underscore. A layer with some broken characters is still scanned, one
+that is mostly binary isn't. Other encodings (base32, rot13, brotli, archives' own formats) aren't unwrapped.
+
+Null and empty texts have no findings. Findings that start at the same place are in the order of their
+kinds. Very long texts are scanned whole; what a layer keeps of its places grows with its escapes, not its
+characters. Repeated rows give repeated results. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import html
 import re
 import urllib.parse
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +41,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 
 _ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|&#(?:x[0-9A-Fa-f]{1,6}|[0-9]{1,7});")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A token, and lines after it that hold nothing else (JSON may write their ends as two characters).
+_BASE64 = re.compile(r"""(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,}={0,2})((?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+={0,2}(?=[ \t]*(?:[\r\n"'<\\]|\Z)))*)""")
 _UNIT = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+#: Bytes written with escapes among plain characters, as compressed streams are.
+_PERCENT_BYTES = re.compile(r"(?:x(?=%))?%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~*'()!+-])+")
+_SLASH_BYTES = re.compile(r"(?:x(?=\\x))?\\x[0-9A-Fa-f]{2}(?:\\x[0-9A-Fa-f]{2}|\\[nrtabfv0\\'\"]|[\x20-\x5B\x5D-\x7E])+")
+_SLASHED = re.compile(r"\\x([0-9A-Fa-f]{2})|\\(.)")
+_NAMED = {"n": 10, "r": 13, "t": 9, "a": 7, "b": 8, "f": 12, "v": 11, "0": 0}
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]", re.S)
 
 
 def base_matches(text: str) -> list[tuple[int, int, int]]:
@@ -61,88 +74,213 @@ def _unescape(run: str) -> str | None:
     return units.decode("utf-16-le", "replace")
 
 
-def _inflate(raw: bytes, bound: int) -> bytes | None:
-    """The content of a gzip or zlib stream, up to bound bytes."""
-    if raw[:2] == b"\x1f\x8b":
-        wbits = 31
-    elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        wbits = 15
-    else:
-        return None
-    try:
-        return zlib.decompressobj(wbits).decompress(raw, bound)
-    except zlib.error:
-        return None
+def _windows(raw: bytes, bound: int, overlap: int) -> Iterator[bytes]:
+    """All that the gzip or zlib stream at the start of raw unfolds to, every member of it, in windows of about bound
+    bytes that overlap; nothing if it is none. A stream that breaks off gives what came before."""
+    held, again = bytearray(), False
+    while raw:
+        if raw[:2] == b"\x1f\x8b":
+            wbits = 31
+        elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0:
+            wbits = 15
+        else:
+            break
+        d = zlib.decompressobj(wbits)
+        try:
+            while not d.eof:
+                part = d.decompress(raw, 1 << 20)
+                held += part
+                raw = d.unconsumed_tail
+                if len(held) >= bound:
+                    yield bytes(held)
+                    held, again = held[-overlap:], True
+                if not part and not raw:
+                    break
+        except zlib.error:
+            break
+        if not d.eof:
+            break
+        raw = d.unused_data
+    if len(held) > (overlap if again else 0):
+        yield bytes(held)
 
 
 def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
+    """Bytes as text, if at most a quarter of it is broken or control characters."""
+    text = raw.decode("utf-8", "replace")
+    if len(text) < 6:
         return None
-    bad = sum(c < " " and c not in "\t\n\r" for c in text)
-    return text if len(text) >= 6 and bad == 0 else None
+    bad = text.count("\ufffd") + sum(map(text.count, _CONTROLS)) if not text.isprintable() or "\ufffd" in text else 0
+    return text if 4 * bad <= len(text) else None
 
 
-def _decoded(token: str, bound: int) -> str | None:
-    """The text in a base64 (or hex) token, inflated if it is compressed; None if it holds none."""
-    body = token.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    inner = _inflate(raw, bound)
-    text = _readable(raw if inner is None else inner)
-    if text is None and re.fullmatch(r"(?:[0-9A-Fa-f]{2})+", body):
-        raw = bytes.fromhex(body)
-        inner = _inflate(raw, bound)
-        text = _readable(raw if inner is None else inner)
-    return text
-
+_CONTROLS = [chr(c) for c in range(32) if chr(c) not in "\t\n\r"]
 
-def _unwrap(text: str, spans: list[tuple[int, int]] | None, bound: int) -> Iterator[tuple[str, list[tuple[int, int]], list[bool] | None]]:
-    """The layers directly inside a layer: its text with all escapes resolved, and the content of each encoded token.
 
-    With each layer come the original spans of its characters, and which of them were decoded (None: all)."""
-    where = (lambda i, j: (spans[i][0], spans[j - 1][1])) if spans is not None else (lambda i, j: (i, j))
-    runs = [(m.start(), m.end(), out) for m in _ESCAPE.finditer(text) if (out := _unescape(m.group()))] if "%" in text or "\\" in text or "&#" in text else []
+def _texts_in(raw: bytes, bound: int, overlap: int, anywhere: bool = False) -> Iterator[str]:
+    """The texts in some bytes: themselves, and what streams in them unfold to, again and again. anywhere: streams may start later, too."""
+    work, seen = [(raw, anywhere)], set()
+    while work:
+        raw, anywhere = work.pop()
+        key = hashlib.blake2b(raw, digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        starts = [m.start() for m in _STREAM.finditer(raw)] if anywhere else [0]
+        unfolded = False
+        for at in starts:
+            for window in _windows(raw[at:] if at else raw, bound, overlap):
+                unfolded = True
+                work.append((window, False))
+        if not unfolded and (text := _readable(raw)) is not None:
+            yield text
+
+
+def _decoded(token: str, probe: bool = False) -> Iterator[bytes]:
+    """The bytes that a base64 (or hex) token stands for, if it is one. probe: of its start only."""
+    body = token.rstrip("=")
+    if probe:
+        body = body[:64]
+    if len(body) % 4 != 1:
+        try:
+            yield base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            pass
+    if len(body) % 2 == 0 and _HEXED.fullmatch(body):
+        yield bytes.fromhex(body)
+
+
+_HEXED = re.compile(r"[0-9A-Fa-f]+")
+_JOIN = re.compile(r"\s+|(?:\\r)?\\n")
+_AFTER = re.compile(r"[/_-](?=[A-Za-z0-9+][A-Za-z0-9+/_-]{15})")
+
+
+def _promising(raw: bytes) -> bool:
+    return _STREAM.match(raw) is not None or _readable(raw) is not None
+
+
+def _token_texts(m: re.Match, bound: int, overlap: int) -> Iterator[tuple[str, int, int]]:
+    """The texts in a token: in all of its lines, in its first line, or else in what follows a slash, dash or underscore; each with its start and end."""
+    whole, first = m.group(), m.group(1)
+    tries = [(_JOIN.sub("", whole), m.start(), m.end())] if m.group(2) else []
+    tries.append((first, m.start(), m.end(1)))
+    found = False
+    for token, start, end in tries:
+        for raw in _decoded(token):
+            for text in _texts_in(raw, bound, overlap):
+                found = True
+                yield text, start, end
+    if found:
+        return
+    for cut in _AFTER.finditer(first):
+        start = m.start() + cut.end()
+        if any(map(_promising, _decoded(first[cut.end() :], True))):
+            tokens = [(_JOIN.sub("", whole[cut.end() :]), m.end())] if m.group(2) else []
+            for token, end in [*tokens, (first[cut.end() :], m.end(1))]:
+                for raw in _decoded(token):
+                    for text in _texts_in(raw, bound, overlap):
+                        yield text, start, end
+
+
+class Layer:
+    """A text inside another. Of its pieces, each from `at` on, the plain ones are copies of the outer text from `source` on; the others stand for source to end."""
+
+    def __init__(self, text: str, outer: Layer | None = None):
+        self.text, self.outer = text, outer
+        self.at: list[int] = []
+        self.source: list[int] = []
+        self.end: list[int] = []
+        self.plain: list[bool] = []
+
+    def add(self, at: int, source: int, end: int, plain: bool) -> None:
+        self.at.append(at)
+        self.source.append(source)
+        self.end.append(end)
+        self.plain.append(plain)
+
+    def fresh(self, start: int, end: int) -> bool:
+        """Whether a character from start to end isn't a copy."""
+        if self.outer is None:
+            return True
+        return not all(self.plain[bisect_right(self.at, start) - 1 : bisect_right(self.at, end - 1)])
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the outermost text that start to end came from."""
+        layer = self
+        while layer.outer is not None:
+            i, j = bisect_right(layer.at, start) - 1, bisect_right(layer.at, end - 1) - 1
+            a = layer.source[i] + (start - layer.at[i] if layer.plain[i] else 0)
+            b = layer.source[j] + end - layer.at[j] if layer.plain[j] else layer.end[j]
+            start, end, layer = a, b, layer.outer
+        return start, end
+
+
+def _unslash(run: str) -> bytes:
+    out, last = bytearray(), 0
+    for m in _SLASHED.finditer(run):
+        out += run[last : m.start()].encode("latin-1", "replace")
+        out.append(int(m.group(1), 16) if m.group(1) else _NAMED.get(m.group(2), ord(m.group(2)) & 255))
+        last = m.end()
+    return bytes(out + run[last:].encode("latin-1", "replace"))
+
+
+def _unwrap(outer: Layer, bound: int, overlap: int) -> Iterator[Layer]:
+    """The layers directly inside a layer: its text with all escapes resolved, and the contents of each encoded token and each escaped stream."""
+    text = outer.text
+
+    def inside(content: str, start: int, end: int) -> Layer:
+        layer = Layer(content, outer)
+        layer.add(0, start, end, False)
+        return layer
+
+    escapes = "%" in text or "\\" in text or "&#" in text
+    runs = [(m.start(), m.end(), out) for m in _ESCAPE.finditer(text) if (out := _unescape(m.group()))] if escapes else []
     if runs:
-        parts, at, new, last = [], [], [], 0
+        parts, layer, size, last = [], Layer("", outer), 0, 0
         for start, end, out in [*runs, (len(text), len(text), "")]:
-            parts += [text[last:start], out]
-            at += [where(i, i + 1) for i in range(last, start)]
-            new += [False] * (start - last)
+            if start > last:
+                layer.add(size, last, start, True)
+                parts.append(text[last:start])
+                size += start - last
             if out:
-                at += [where(start, end)] * len(out)
-                new += [True] * len(out)
+                layer.add(size, start, end, False)
+                parts.append(out)
+                size += len(out)
             last = end
-        yield "".join(parts), at, new
+        layer.text = "".join(parts)
+        yield layer
+    for pattern, raw in ((_PERCENT_BYTES, urllib.parse.unquote_to_bytes), (_SLASH_BYTES, _unslash)) if escapes else ():
+        for m in pattern.finditer(text):
+            data = raw(m.group())
+            if _STREAM.search(data):
+                for content in _texts_in(data, bound, overlap, True):
+                    yield inside(content, m.start(), m.end())
     for m in _BASE64.finditer(text):
-        if out := _decoded(m.group(), bound):
-            yield out, [where(m.start(), m.end())] * len(out), None
+        for content, start, end in _token_texts(m, bound, overlap):
+            yield inside(content, start, end)
+
 
+def scan(text: str | None, bound: int = 1 << 26, overlap: int = 1 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
+    """The base findings, all findings, and how many layers were read.
 
-def scan(text: str | None, bound: int = 1 << 26) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """The base findings, all findings, and how many layers were read. bound: the most bytes that one compressed stream may unfold to."""
+    A compressed stream is read to its end; one that unfolds to more than bound bytes is several layers, each of which begins with the last `overlap` bytes of the one before."""
     text = text or ""
     base = base_matches(text)
     every, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, list[tuple[int, int]] | None]] = [(text, None)]
-    layers = 1
+    work, layers = [Layer(text)], 1
     while work:
-        outer, spans = work.pop()
-        for inner, at, new in _unwrap(outer, spans, bound):
-            key = hashlib.blake2b(inner.encode("utf-8", "surrogatepass") + repr(at[:1] + at[-1:] if new is None else len(at)).encode(), digest_size=16).digest()
+        for inner in _unwrap(work.pop(), bound, overlap):
+            place = inner.origin(0, len(inner.text))
+            key = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass") + repr(place).encode(), digest_size=16).digest()
             if key in seen:
                 continue
             seen.add(key)
             layers += 1
-            for start, kind, end in base_matches(inner):
-                if new is None or any(new[start:end]):
-                    every.add((at[start][0], kind, at[end - 1][1]))
-            work.append((inner, at))
+            for start, kind, end in base_matches(inner.text):
+                if inner.fresh(start, end):
+                    a, b = inner.origin(start, end)
+                    every.add((a, kind, b))
+            work.append(inner)
     return base, sorted(every), layers
 
 
