@@ -237,10 +237,10 @@ SAMPLE = "Mail a.b+7@mail.example.org or a.b+7@mail.example.org, 10.1.2.3, 59.36
 
 def test_surrogates_keep_format_and_meaning():
     new, found = pii.replace(SAMPLE, b"k")
-    kinds = collections.Counter(k for k, _, _ in found)
+    kinds = collections.Counter(k for k, *_ in found)
     assert kinds == {"email": 2, "ip": 2, "phone": 1, "card": 2, "iban": 1, "person": 3}
     by = {}
-    for kind, old, other in found:
+    for kind, old, other, *_ in found:
         assert old != other and old not in new and by.setdefault(old, other) == other
         assert re.sub(r"\d", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", other))) == re.sub(r"\d", "0", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", old))) or kind in ("ip", "person", "iban")
         if kind == "card":
@@ -248,7 +248,49 @@ def test_surrogates_keep_format_and_meaning():
     assert by["10.1.2.3"].startswith("10.") and not by["59.36.80.30"].startswith(("10.", "127."))
     assert by["Anna Schmidt"].split()[0] in pii.GIVEN["latin", "f"] and by["Иван Петров"].split()[0] in pii.GIVEN["cyrillic", "m"]
     assert pii.replace(SAMPLE, b"k")[0] == new != pii.replace(SAMPLE, b"other")[0]
-    assert [k for k, _, _ in pii.replace(new, b"k")[1]] == [k for k, _, _ in found]
+    assert [k for k, *_ in pii.replace(new, b"k")[1]] == [k for k, *_ in found]
+
+
+def test_an_entity_has_one_surrogate_in_all_spellings():
+    groups = [
+        ["555-123-4567", "(555) 123-4567", "+1 555 123 4567", "+15551234567", "555.123.4567", "555 123 4567"],
+        ["+49 30 1234567", "+49301234567", "+49 (0)30 1234567", "+49-30-1234567"],
+        ["+33 1 23 45 67 89", "+33123456789"],
+        ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+        ["Anna.Smith@Example.com", "anna.smith@example.com"],
+    ]
+    for group in groups:
+        forms = []
+        for text in group:
+            new, found = pii.replace(f"so {text} AND more", b"k")
+            assert [f[1] for f in found] == [text], (text, found)
+            assert new == f"so {found[0][2]} AND more" and len(found[0][2]) == len(text) and found[0][2] != text
+            assert re.sub(r"[A-Za-z0-9]", "0", found[0][2]) == re.sub(r"[A-Za-z0-9]", "0", text)
+            forms.append(found[0][4])
+        assert len(set(forms)) == 1, forms
+
+
+def test_names_beyond_the_list():
+    for text, entity in (("Mrs Wilma Schmidt-Jones left", "Wilma Schmidt-Jones"), ("Dr. O'Brien", "O'Brien"), ("with John McDonald.", "John McDonald"), ("Frau Łucja Šimková", "Łucja Šimková"), ("JOHN SMITH", "JOHN SMITH"), ("Herr Müller", "Müller")):
+        new, found = pii.replace(text, b"k")
+        assert len(found) == 1 and found[0][3].casefold() == entity.casefold() and entity not in new
+        for a, b in zip(found[0][3].split(), found[0][4].split(), strict=True):
+            assert a != b and (a in pii._GROUP or (a[-1] == b[-1] and len(a) == len(b)))
+    one, two = pii.replace("Mrs Wilma Schmidt", b"k")[1][0], pii.replace("Frau Schmidt", b"k")[1][0]
+    assert one[4].split()[1] == two[4]
+    assert pii.replace("Version 12 10 2020, line 100 200", b"k")[1] == []
+
+
+def test_surrogates_against_brute_force(docs):
+    """The operator's texts and entities, all texts at once, against replacing them one by one."""
+    texts = [SAMPLE, "nothing", "", "call 555-123-4567 or (555) 123-4567", "Anna Schmidt met Frau Schmidt", None]
+    got = {r.doc_id: r for r in pii.checked_surrogates(docs(*enumerate(texts)), b"k").collect()}
+    for i, t in enumerate(texts):
+        new, found = (None, []) if t is None else pii.replace(t, b"k")
+        assert got[i].text == new and [tuple(e) for e in got[i].entities] == found
+        spans = [] if t is None else pii.find(t)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_permutations_have_no_fixed_point_and_no_collision():
