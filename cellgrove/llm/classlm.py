@@ -1,22 +1,26 @@
 """Scores of texts under a Brown class-based bigram model.
 
-Counts of all training words are made by a distributed count. Exchange clustering moves the most
-frequent words (`clustered` of them) between classes while the likelihood of class bigrams grows; all
-other words form one more class, the end of a text another. A token costs the transition from the
-class before it and its emission from its own class, both smoothed; a text starts in the end class.
-
-Frequent words (`head` of them at most) are sent to the executors with their counts; the counts of
-all others, however many, come by a join.
-
-Null texts are empty and hold just the end token. Rows without doc_id count as held out. With no
-training rows all counts are 0 and V is 0; scores stay defined. Repeated rows are scored and counted
-each. Extra columns are not read.
+Counts of all training words are made by a distributed count. Exchange clustering moves the most frequent
+words, the core, between classes while the likelihood of class bigrams grows. Every other word that occurs
+`least` times or more goes, in a distributed pass, to the class that makes its own neighbours likeliest.
+Core and classes grow with the number of such words (up to a core that fits the driver), the words with a
+class grow without bound. Rarer words form one more class, the end of a text another; the class bigrams
+come from all training tokens. A token costs the transition from the class before it and its emission from
+its own class, both smoothed; a text starts in the end class.
+
+The vocabulary is sent to the executors in parts of bounded size, one at a time; where there are several, the
+classes found so far travel along with the rows. Counts of rare words, however many, come by a join.
+
+Words are told by hashes of 64 bits. Null texts are empty and hold just the end token. Rows without doc_id
+count as held out. With no training rows all counts are 0 and V is 0; scores stay defined. Ties of counts
+go by hash, of classes to the smaller number. Very long texts are scored whole, in one task. Repeated rows
+are scored and counted each. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,43 +29,44 @@ from pyspark.sql import functions as F
 
 from . import common
 
-
-def words_in(text: bytes | None) -> list[bytes]:
-    """A-Z lower-cased; words end at 0x20 and 0x09 to 0x0D."""
-    return (text or b"").lower().split()
+#: Words with fewer training tokens share a class.
+LEAST = 5
+_BYTES = 2 << 20
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def count_words(train: DataFrame, flush: int = 300_000) -> DataFrame:
-    """(word binary, n long) of all rows of train; a task holds about flush words at once."""
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows with the hashes of their words, A-Z lower-cased, and where each row's words begin."""
+    data, at = common.flat(column)
+    for i, j in common.slices(at, _BYTES):
+        low = common.LOWER[data[at[i] : at[j]]]
+        starts, ends, first = common.words_of(low, at[i : j + 1] - at[i], common.SPACE)
+        yield i, j, common.span_hashes(low, starts, ends).view(np.int64) if len(starts) else np.zeros(0, np.int64), first
 
-    def run(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                seen.update(words_in(text.as_py()))
-                if len(seen) > flush:
-                    yield from _counted(seen)
-                    seen = Counter()
-        yield from _counted(seen)
 
-    return train.select("text").mapInArrow(common.released(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _counted(seen: Counter):
-    keys, values = list(seen), list(seen.values())
-    for i in range(0, len(keys), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.binary()), pa.array(values[i : i + 50_000], pa.int64())], ["word", "n"])
+def count_words(train: DataFrame) -> DataFrame:
+    """(word long, n long) of all rows of train; word is a hash."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, h, _ in _slices(batch.column(0)):
+                yield _batch(["word", "n"], *np.unique(h, return_counts=True))
+
+    return train.select("text").mapInArrow(common.released(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 50) -> np.ndarray:
     """Class of each word from counts of word bigrams. The last two rows are words with classes of their own.
 
     Words start dealt out by frequency; each in turn goes to the class where the sum over class bigrams of
-    n log n, less 2 n log n over classes, is largest, until a sweep moves none."""
+    n log n, less 2 n log n over classes, is largest, until a sweep moves none (or after `sweeps`)."""
     n = len(bigrams) - 2
     k = max(1, min(classes, n))
     of = np.concatenate([np.arange(n) % k, [k, k + 1]])
@@ -101,107 +106,236 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of
 
 
-class Model:
-    """train: total and distinct training tokens; index: head words; the rest by index or class."""
-
-    def __init__(self, total: int, distinct: int, ends: int, index: dict[bytes, int], counts: np.ndarray, bigrams: np.ndarray, classes: int):
-        self.total, self.distinct, self.ends, self.index, self.counts = total, distinct, ends, index, counts.astype(float)
-        n = len(bigrams) - 2
-        of = exchange(bigrams, classes)
-        self.n_classes = int(of.max()) + 1
-        self.rare, self.end = int(of[-2]), int(of[-1])
-        self.clusters = of[:n]
-        #: Of each head word, then of any other word.
-        self.cls = np.full(len(index) + 1, self.rare, np.int32)
-        self.cls[:n] = of[:n]
-        member = np.zeros((len(of), self.n_classes))
-        member[np.arange(len(of)), of] = 1
-        m = member.T @ bigrams @ member
-        prior = (m.sum(axis=0) + 0.1) / (m.sum() + 0.1 * self.n_classes)
-        self.log_next = np.log10((m + 0.5 * prior) / (m.sum(axis=1, keepdims=True) + 0.5))
-        in_class = np.bincount(of[:n], self.counts[:n], self.n_classes)
-        self.log_emit = np.zeros(len(index))
-        self.log_emit[:n] = np.log10(np.maximum(self.counts[:n], 1e-300) / in_class[of[:n]])
-        rare_total = max(0.0, total - ends - self.counts[:n].sum())
-        self.rare_norm = float(np.log10(rare_total + 0.1 * (max(0, distinct - n - (ends > 0)) + 1)))
-        self.log_emit[n:] = np.log10(self.counts[n:] + 0.1) - self.rare_norm
-        self.base_log = np.log10(self.counts + 0.1)
-        self.base_norm = float(np.log10(total + 0.1 * (distinct + 1)))
-        self.end_log = float(np.log10(ends + 0.1))
+class Vocabulary:
+    """Some words in order of their hashes, with their counts and classes."""
 
+    def __init__(self, word: np.ndarray, n: np.ndarray, cls: np.ndarray):
+        order = np.argsort(word)
+        self.word, self.n, self.cls = word[order], n[order], cls[order].astype(np.int16)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is, or -1."""
+        if not len(self.word):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[at] == h, at, -1)
 
-def fit(train: DataFrame, counts: DataFrame, head: int = 200_000, clustered: int = 512, classes: int = 32) -> Model:
-    """train: the training texts; counts: what count_words gave for them."""
-    bins = counts.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"), F.min("n").alias("least")).collect()
-    ends = train.count()
-    total, distinct = sum(r["tokens"] for r in bins) + ends, sum(r["words"] for r in bins) + (ends > 0)
-    least, held = None, 0
-    for r in sorted(bins, key=lambda r: -r["bin"]):
-        held += r["words"]
-        if held > head:
-            break
-        least = r["least"]
-    top = sorted(((-r[1], bytes(r[0])) for r in counts.where(F.col("n") >= least).toLocalIterator())) if least else []
-    index = {w: i for i, (_, w) in enumerate(top)}
-    n = min(clustered, len(top))
-    small = train.sparkSession.sparkContext.broadcast({w: i for w, i in index.items() if i < n})
+
+def _followed(cls: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """The classes of several texts in one row, with the end before the first and after each text. first: where each text begins, and the last ends."""
+    out = np.full(len(cls) + len(first), end, np.int64)
+    texts = len(first) - 1
+    out[np.arange(len(cls)) + 1 + np.repeat(np.arange(texts), np.diff(first))] = cls
+    return out
+
+
+def _pair_counts(train: DataFrame, width: int, classes) -> np.ndarray:
+    """Counts of pairs of classes in sequence, from classes(batch): rows of classes."""
 
     def run(batches):
-        width, get = n + 2, small.value.get
         seen = np.zeros(width * width, np.int64)
         for batch in batches:
-            ids = []
-            for text in batch.column(0).cast(pa.binary()):
-                ids += [n + 1, *map(get, words_in(text.as_py()), repeat(n))]
-                if len(ids) > 1_000_000:
-                    a = np.array([*ids, n + 1])
-                    seen += np.bincount(a[:-1] * width + a[1:], minlength=len(seen))
-                    ids = []
-            if ids:
-                a = np.array([*ids, n + 1])
-                seen += np.bincount(a[:-1] * width + a[1:], minlength=len(seen))
+            for row in classes(batch):
+                pair, n = np.unique(row[:-1] * width + row[1:], return_counts=True)
+                seen[pair] += n
         at = np.flatnonzero(seen)
         for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(seen[at[i : i + 100_000]])], ["at", "n"])
+            yield _batch(["at", "n"], at[i : i + 100_000], seen[at[i : i + 100_000]])
 
-    bigrams = np.zeros((n + 2) ** 2)
-    pairs = train.select("text").mapInArrow(common.released(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    for r in pairs.toLocalIterator():
-        bigrams[r[0]] = r[1]
-    return Model(int(total), int(distinct), int(ends), index, np.array([-c for c, _ in top], np.int64), bigrams.reshape(n + 2, n + 2), classes)
+    out = np.zeros(width * width)
+    pairs = train.mapInArrow(common.released(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    for part in pairs.toArrow().to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.reshape(width, width)
 
 
-_PART = "doc_id long, n_tokens long, head_known long, head_base double, head_score double, n_tail long, tail array<struct<word: binary, n: long>>"
+def _assigned(train: DataFrame, words: DataFrame, core: Vocabulary, m: np.ndarray) -> DataFrame:
+    """(word, n, cls) of words (word, n): the class under which the core classes before and after them are likeliest.
+
+    m: counts of class pairs of the core, with other words and ends as the last two classes."""
+    k, size = len(m) - 2, len(m)
+    shared = train.sparkSession.sparkContext.broadcast(core)
+    smooth = m[:k] + 0.1
+    into = np.log((m[:, :k] + 0.1) / (m.sum(axis=1, keepdims=True) + 0.1 * size))  # of a class after each class
+    out_of = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    cost = np.log(m[:, :k].sum(axis=0) + 1.0)  # of a token among those of its class
+
+    def pairs(batches):
+        for batch in batches:
+            for _, _, h, first in _slices(batch.column(0)):
+                at = shared.value.find(h)
+                other = at < 0
+                row = _followed(np.where(other, k, shared.value.cls[at] if len(shared.value.cls) else k), first, k + 1)
+                place = np.arange(len(h)) + 1 + np.repeat(np.arange(len(first) - 1), np.diff(first))
+                place = place[other]
+                word, number = np.unique(h[other], return_inverse=True)
+                key, n = np.unique(number * (size * size) + row[place - 1] * size + row[place + 1], return_counts=True)
+                yield _batch(["word", "sides", "n"], word[key // (size * size)], key % (size * size), n)
+
+    def best(batches):
+        for batch in batches:
+            lists, n = batch.column(2), batch.num_rows
+            begin = lists.offsets.to_numpy()
+            sides, count = lists.values.field(0).to_numpy(), lists.values.field(1).to_numpy()
+            row = np.repeat(np.arange(n), np.diff(begin))
+            left, right = np.zeros((n, size)), np.zeros((n, size))
+            np.add.at(left, (row, sides // size), count)
+            np.add.at(right, (row, sides % size), count)
+            total = batch.column(1).to_numpy()
+            score = left @ into + right @ out_of.T - total[:, None] * cost
+            yield _batch(["word", "n", "cls"], batch.column(0).to_numpy(), total, score.argmax(axis=1).astype(np.int32))
+
+    sides = train.select("text").mapInArrow(common.released(pairs), "word long, sides long, n long")
+    per_side = sides.join(words.select("word", F.col("n").alias("total")), "word").groupBy("word", "total", "sides").agg(F.sum("n").alias("n"))
+    per_word = per_side.groupBy("word", "total").agg(F.collect_list(F.struct("sides", "n")).alias("sides")).select("word", "total", "sides")
+    return per_word.mapInArrow(common.released(best), "word long, n long, cls int")
+
+
+class Model:
+    """Totals, the table of words with a class (word, n, cls) in `parts` parts, and log probabilities of classes.
+
+    m: counts of class pairs; its last two classes are rare words and the end."""
+
+    def __init__(self, total: int, distinct: int, ends: int, vocabulary: DataFrame | None, parts: int, frequent: np.ndarray, n_frequent: int, m: np.ndarray):
+        self.total, self.distinct, self.ends, self.vocabulary, self.parts = total, distinct, ends, vocabulary, parts
+        self.rare, self.end = len(m) - 2, len(m) - 1
+        prior = (m.sum(axis=0) + 0.1) / (m.sum() + 0.1 * len(m))
+        self.log_next = np.log10((m + 0.5 * prior) / (m.sum(axis=1, keepdims=True) + 0.5))
+        #: log10 of the tokens of each class, for the emission of its words.
+        self.log_class = np.log10(np.maximum(frequent, 1.0))
+        rare_total = max(0.0, total - ends - float(frequent.sum()))
+        self.rare_norm = float(np.log10(rare_total + 0.1 * (max(0, distinct - n_frequent - (ends > 0)) + 1)))
+        self.base_norm = float(np.log10(total + 0.1 * (distinct + 1)))
+        self.end_log = float(np.log10(ends + 0.1))
+
+    def part(self, k: int) -> Vocabulary:
+        rows = self.vocabulary if self.parts == 1 else self.vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(self.parts)) == k)
+        got = rows.select("word", "n", "cls").toArrow()
+        return Vocabulary(*(got[c].combine_chunks().to_numpy() if got.num_rows else np.zeros(0, np.int64) for c in ("word", "n", "cls")))
+
+
+def _classified(rows: DataFrame, model: Model, finish, schema: str) -> DataFrame:
+    """finish(batch, slices) for the batches of rows (doc_id, text) after all parts of the vocabulary.
+
+    Of each slice it gets: the range of rows, hashes, where rows begin, the class of each word (-1: rare) and its count (0: rare)."""
+    spark, state = rows.sparkSession, rows.select("doc_id", "text")
+    parts = max(1, model.parts)
+    for k in range(parts):
+        shared = spark.sparkContext.broadcast(model.part(k)) if model.parts else None
+
+        def run(batches, shared=shared, first=k == 0, last=k == parts - 1):
+            for batch in batches:
+                found, kept = [], []
+                carried = None if first else [np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in ((2, np.int16), (3, np.int64))]
+                done = 0
+                for i, j, h, begin in _slices(batch.column(1)):
+                    cls, n = np.full(len(h), -1, np.int16), np.zeros(len(h), np.int64)
+                    if carried:
+                        cls[:], n[:] = (x[done : done + len(h)] for x in carried)
+                        done += len(h)
+                    if shared is not None:
+                        at = shared.value.find(h)
+                        hit = at >= 0
+                        cls[hit], n[hit] = shared.value.cls[at[hit]], shared.value.n[at[hit]]
+                    if last:
+                        found.append((i, j, h, begin, cls, n))
+                    else:
+                        kept += [(cls[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                if last:
+                    yield from finish(batch, found)
+                elif kept:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*kept, strict=True))], ["doc_id", "text", "cls", "n"])
+
+        state = state.mapInArrow(common.released(run), schema if k == parts - 1 else "doc_id long, text string, cls binary, n binary")
+        if k < parts - 1:
+            state = common.staged(spark, state, "lm-classes")
+            shared.destroy()
+    return state
+
+
+def fit(train: DataFrame, counts: DataFrame, least: int = LEAST, part_words: int = 2_000_000, core: tuple[int, int] = (512, 2048)) -> Model:
+    """train: the training texts; counts: what count_words gave for them. core: bounds of the number of words that the
+    driver clusters, one in fifty of those met `least` times otherwise; the classes are 1.5 times its square root."""
+    spark = train.sparkSession
+    ends = train.count()
+    sums = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") >= least)).first()
+    total, distinct, frequent = int(sums[0] or 0) + ends, int(sums[1]) + (ends > 0), int(sums[2])
+    size = min(max(core[0], min(core[1], frequent // 50)), frequent)
+    if not size:
+        m = np.zeros((2, 2))
+        m[0, 1] = m[1, 0] = ends
+        return Model(total, distinct, ends, None, 0, np.zeros(0), 0, m)
+    got = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    word, n = got["word"].combine_chunks().to_numpy(), got["n"].combine_chunks().to_numpy()
+    ranked = Vocabulary(word, n, np.arange(size))
+    shared = spark.sparkContext.broadcast(ranked)
+
+    def ranks(batch):
+        for _, _, h, first in _slices(batch.column(0)):
+            at = shared.value.find(h)
+            yield _followed(np.where(at < 0, size, shared.value.cls[at]), first, size + 1)
+
+    bigrams = _pair_counts(train.select("text"), size + 2, ranks)
+    classes = max(2, math.isqrt(9 * size // 4))
+    of = exchange(bigrams, classes)
+    k = int(of.max()) - 1
+    member = np.zeros((len(of), k + 2))
+    member[np.arange(len(of)), of] = 1
+    table = spark.createDataFrame(list(zip(word.tolist(), n.tolist(), of[:size].tolist(), strict=True)), "word long, n long, cls int")
+    rest = counts.where(F.col("n") >= least).join(F.broadcast(table.select("word")), "word", "left_anti")
+    vocabulary = common.staged(spark, table.union(_assigned(train, rest, Vocabulary(word, n, of[:size]), member.T @ bigrams @ member)), "lm-vocabulary")
+    per_class = np.zeros(k)
+    for c, tokens in vocabulary.groupBy("cls").agg(F.sum("n")).collect():
+        per_class[c] = tokens
+    model = Model(total, distinct, ends, vocabulary, -(-frequent // part_words), per_class, frequent, np.ones((k + 2, k + 2)))
+
+    def pairs(batch, found):
+        seen = np.zeros((k + 2) ** 2, np.int64)
+        for _, _, _, begin, cls, _ in found:
+            row = _followed(np.where(cls < 0, k, cls), begin, k + 1)
+            seen += np.bincount(row[:-1] * (k + 2) + row[1:], minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield _batch(["at", "n"], at, seen[at])
+
+    m = np.zeros((k + 2) ** 2)
+    for at, c in _classified(train, model, pairs, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        m[at] = c
+    return Model(total, distinct, ends, vocabulary, model.parts, per_class, frequent, m.reshape(k + 2, k + 2))
+
+
+_PART = "doc_id long, n_tokens long, head_known long, head_base double, head_score double, n_tail long, tail array<struct<word: bigint, n: bigint>>"
 
 
 def score_documents(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-
-    def run(batches):
-        m = shared.value
-        get, rest = m.index.get, len(m.index)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                rows, words, tf, at = [], [], [], [0]
-                for text in part.column(1).cast(pa.binary()):
-                    tokens = words_in(text.as_py())
-                    ids = np.fromiter(map(get, tokens, repeat(rest)), np.int64, len(tokens))
-                    known = ids[ids < rest]
-                    cls = np.concatenate([[m.end], m.cls[ids], [m.end]])
-                    other = Counter([t for t, k in zip(tokens, (ids == rest).tolist(), strict=True) if k]) if len(known) < len(ids) else {}
-                    words += other
-                    tf += other.values()
-                    at.append(len(words))
-                    rows.append((len(tokens) + 1, len(known) + (m.ends > 0), m.base_log[known].sum() + m.end_log, m.log_next[cls[:-1], cls[1:]].sum() + m.log_emit[known].sum(), len(ids) - len(known)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
-                tail = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(tf, pa.int64())], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns, tail.cast(tail_type)], ["doc_id", "n_tokens", "head_known", "head_base", "head_score", "n_tail", "tail"])
-
-    parts = common.staged(spark, _rows(docs).mapInArrow(common.released(run), _PART).withColumn("rid", F.monotonically_increasing_id()), "lm-parts")
+    log_next, log_class, rare, end, end_log, ends = model.log_next, model.log_class, model.rare, model.end, model.end_log, model.ends
+    tail_type = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+
+    def finish(batch, found):
+        for i, j, h, begin, cls, n in found:
+            rows, per = j - i, np.diff(begin)
+            row = np.repeat(np.arange(rows), per)
+            known = cls >= 0
+            base = np.log10(n + 0.1)
+            emit = np.where(known, np.log10(np.maximum(n, 1)) - (log_class[cls] if len(log_class) else 0.0), 0.0)
+            seq = _followed(np.where(known, cls, rare), begin, end)
+            step = np.concatenate([[0.0], np.cumsum(log_next[seq[:-1], seq[1:]])])
+            edge = begin + np.arange(rows + 1)  # of each text's steps
+            sums = lambda v, row=row, rows=rows: np.bincount(row, v, rows)
+            pair, tf = np.unique(np.stack([row[~known], h[~known]], axis=1), axis=0, return_counts=True) if (~known).any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            at = np.searchsorted(pair[:, 0], np.arange(rows + 1))
+            tail = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(pair[:, 1]), pa.array(tf)], ["word", "n"]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(i, rows),
+                    *(pa.array(x) for x in (per + 1, sums(known).astype(np.int64) + (ends > 0), sums(np.where(known, base, 0.0)) + end_log, step[edge[1:]] - step[edge[:-1]] + sums(emit), sums(~known).astype(np.int64))),
+                    tail.cast(tail_type),
+                ],
+                ["doc_id", "n_tokens", "head_known", "head_base", "head_score", "n_tail", "tail"],
+            )
+
+    parts = common.staged(spark, _classified(_rows(docs), model, finish, _PART).withColumn("rid", F.monotonically_increasing_id()), "lm-parts")
     tail = parts.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.n").alias("tf"))
     c = F.coalesce(F.col("n"), F.lit(0))
     per_doc = tail.join(counts, "word", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(c + 0.1)).alias("tail_log"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"))

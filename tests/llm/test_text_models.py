@@ -3,6 +3,7 @@ import zlib
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,21 +166,55 @@ def test_lm_base_against_brute_force(spark, docs):
     held = lambda i: i is None or crc(i, 10) == 0
     train = classlm._rows(df).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0)
     counts = classlm.count_words(train)
-    for head in (3, 100_000):
-        model = classlm.fit(train, counts, head=head, clustered=8, classes=3)
+    for part_words, least in ((3, 2), (100_000, 5), (100_000, 10**9)):
+        model = classlm.fit(train, counts, least=least, part_words=part_words, core=(8, 8))
+        assert least > 100 or model.parts == -(-counts.where(F.col("n") >= least).count() // part_words)
         got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in classlm.score_documents(df, counts, model).collect()), key=str)
-        for g, w in zip(got, sorted(brute_base(rows, held), key=str), strict=True):
-            assert g[:4] == w[:4] and g[4] == pytest.approx(w[4]) and g[5] < 0
+        words = {int(r.word): (r.n, r.cls) for r in model.vocabulary.collect()} if model.vocabulary is not None else {}
+        known = {int(r.word): r.n for r in counts.collect()}
+        for g, w, (_, t) in zip(got, sorted(brute_base(rows, held), key=str), sorted(rows, key=str), strict=True):
+            assert g[:4] == w[:4] and g[4] == pytest.approx(w[4]) and g[5] == pytest.approx(brute_class(model, words, known, t))
+
+
+def brute_class(model, words, known, text):
+    """The class score of one text, token by token."""
+    at, total = model.end, 0.0
+    h = [x for _, _, h, _ in classlm._slices(pa.array([text or ""])) for x in h.tolist()]
+    for x in h:
+        n, c = words.get(x, (known.get(x, 0), model.rare))
+        total += model.log_next[at, c] + (np.log10(n) - model.log_class[c] if x in words else np.log10(n + 0.1) - model.rare_norm)
+        at = c
+    return total + model.log_next[at, model.end]
 
 
 def test_lm_is_a_distribution_and_beats_the_base(spark, medium):
     rows = queries()["op9_classlm"](spark, medium).where("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
-    b = np.array([[0, 5, 1, 2, 1], [4, 0, 2, 0, 3], [1, 1, 0, 4, 0], [0, 3, 2, 6, 1], [4, 0, 1, 0, 0]], float)
-    m = classlm.Model(40, 7, 5, {b"a": 0, b"b": 1, b"c": 2, b"d": 3}, np.array([9, 9, 6, 4]), b, 2)
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("text IS NOT NULL")
+    train = classlm._rows(docs)
+    counts = classlm.count_words(train)
+    m = classlm.fit(train, counts)
     assert np.allclose((10**m.log_next).sum(axis=1), 1)
-    for c in range(m.n_classes - 2):
-        assert sum(10 ** m.log_emit[i] for i in range(3) if m.cls[i] == c) == pytest.approx(1)
+    words = m.vocabulary.toPandas()
+    assert len(words) == counts.where(F.col("n") >= classlm.LEAST).count() > 512  # all words met often enough have a class
+    for c, part in words.groupby("cls"):
+        assert (10 ** (np.log10(part.n) - m.log_class[c])).sum() == pytest.approx(1)
+    rare = counts.where(F.col("n") < classlm.LEAST).toPandas().n
+    assert ((rare + 0.1).sum() + 0.1) / 10**m.rare_norm == pytest.approx(1)
+
+
+def test_words_beyond_the_core_go_to_the_class_they_stand_like(docs):
+    rng = np.random.default_rng(5)
+    kinds = [[f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]]
+    weight = np.array([30.0] * 4 + [2.0] * 8) / 136
+    rows = [(i, " ".join(str(rng.choice(kinds[k % 2], p=weight)) for k in range(40))) for i in range(60)]
+    train = classlm._rows(docs(*rows))
+    counts = classlm.count_words(train)
+    model = classlm.fit(train, counts, core=(8, 8))
+    cls = {r.word: r.cls for r in model.vocabulary.collect()}
+    h = {w: int(next(classlm._slices(pa.array([w])))[2][0]) for k in kinds for w in k}
+    sides = [{cls[h[w]] for w in k if h[w] in cls} for k in kinds]
+    assert len(cls) > 16 and sides[0].isdisjoint(sides[1])
 
 
 def test_exchange_finds_words_that_stand_alike():
