@@ -1,16 +1,22 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Unit vectors are rotated at random; the sign of each coordinate is its code, packed into bytes, and the
-inner product of a vector with its own code is kept as a correction. The inner product of a query with a
-code, divided by the correction, estimates the cosine, and a bound on its error follows from the
-correction. Of each batch of vectors a query first reranks its best few estimates; then all others whose
-estimate and bound reach the worst of these. Reranked scores are exact cosines of the original vectors.
+Unit vectors are rotated at random; the sign of each coordinate is its code, packed into 64-bit words, and the
+inner product of a vector with its own code is kept as a correction. A query is rotated as well and its
+coordinates rounded to few bits; the bits' planes and a code give, by counting common bits, the inner product
+of query and code, which divided by the correction estimates the cosine. A bound on its error follows from the
+correction and the rounding. Of each batch of vectors a query first reranks its best few estimates; then all
+others whose estimate and bound reach the worst of these. Reranked scores are exact cosines of the original
+vectors.
+
+Vectors lie in the order of coarse cells. For each query the k-th best cosine in a sample is known from the
+start; a cell whose vectors, by the angle to its centre and its radius, can't reach that is skipped, which
+never loses a neighbour.
 
 Queries are sent to the executors in blocks of bounded size; each block passes over all vectors.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without vec_id, take no part.
 Vectors of different lengths aren't compared. Repeated rows count once. Of equal scores the smaller
-vec_id comes first. Extra columns are not read.
+vec_id comes first. Texts aren't read, however long. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +34,36 @@ def rotation(dims: int, seed: int = 17) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+#: Bits of a query's coordinates.
+PLANES = 6
+
+
 def encode(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed signs of rotated unit vectors, and each vector's inner product with its unit code."""
-    return np.packbits(rotated > 0, axis=1), np.abs(rotated).sum(axis=1) / np.sqrt(rotated.shape[1])
+    """Signs of rotated unit vectors, packed into words, and each vector's inner product with its unit code."""
+    n, dims = rotated.shape
+    packed = np.zeros((n, -(-dims // 64) * 8), np.uint8)
+    packed[:, : -(-dims // 8)] = np.packbits(rotated > 0, axis=1)
+    return packed.view(np.uint64), np.abs(rotated).sum(axis=1) / np.sqrt(dims)
 
 
-def estimates(codes: np.ndarray, correction: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Estimated inner products of vectors (rows) and rotated unit queries (columns)."""
+def estimates(codes: np.ndarray, correction: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of vectors (rows) and rotated unit queries (columns), from counts of common bits, and the step of each query's rounding."""
     dims = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * 2 - 1
-    return (signs @ queries.T.astype(np.float32)) / (correction * np.sqrt(dims)).astype(np.float32)[:, None]
+    low = queries.min(axis=1, keepdims=True)
+    step = np.maximum(queries.max(axis=1, keepdims=True) - low, 1e-12) / ((1 << PLANES) - 1)
+    levels = np.rint((queries - low) / step).astype(np.uint8)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
+    common_ = np.zeros((len(codes), len(queries)), np.float32)
+    for b in range(PLANES):
+        plane = np.zeros((len(queries), codes.shape[1] * 8), np.uint8)
+        plane[:, : -(-dims // 8)] = np.packbits(levels >> b & 1, axis=1)
+        plane = plane.view(np.uint64)
+        for w in range(codes.shape[1]):
+            common_ += np.bitwise_count(codes[:, w, None] & plane[None, :, w]) * np.float32(1 << b)
+    low, step = low[:, 0].astype(np.float32), step[:, 0].astype(np.float32)
+    total = low * dims + step * levels.sum(axis=1, dtype=np.float32)
+    signed = 2 * (ones[:, None] * low + common_ * step) - total
+    return signed / (correction * np.sqrt(dims)).astype(np.float32)[:, None], step
 
 
 def bounds(correction: np.ndarray, dims: int, confidence: float) -> np.ndarray:
@@ -68,34 +94,80 @@ class Exact:
         return out
 
 
+class Cells:
+    """Centres of coarse cells of unit vectors of one length, from a sample."""
+
+    def __init__(self, sample: np.ndarray, most: int = 64, rounds: int = 8):
+        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        self.sample = sample
+        self.centres = unit[np.linspace(0, len(unit) - 1, min(most, len(unit))).astype(int)]
+        for _ in range(rounds):
+            near = self.of(unit)
+            total = np.zeros_like(self.centres)
+            np.add.at(total, near, unit)
+            norm = np.linalg.norm(total, axis=1, keepdims=True)
+            self.centres = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), self.centres)
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        return (unit @ self.centres.T).argmax(axis=1)
+
+
+def _angles(unit: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ other.T, -1, 1))
+
+
 class Block:
     """Queries of one length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cells: Cells | None = None, known: np.ndarray | None = None, k: int = 5):
         self.ids, self.vectors, self.turn = ids, vectors, rotation(vectors.shape[1])
-        self.rotated = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.turn
+        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.rotated = self.unit @ self.turn
+        self.centres = cells.centres if cells is not None else self.unit[:1]
+        self.angle = _angles(self.unit, self.centres)
+        #: The k-th best cosine among sampled vectors other than the query's own: a result has this at least.
+        self.least = np.full(len(ids), -np.inf)
+        if cells is not None and len(cells.sample) > k:
+            sample = cells.sample / np.linalg.norm(cells.sample, axis=1, keepdims=True)
+            for at in range(0, len(ids), 256):
+                cos = self.unit[at : at + 256] @ sample.T
+                cos[ids[at : at + 256, None] == known[None, :]] = -np.inf
+                self.least[at : at + 256] = -np.partition(-cos, k - 1, axis=1)[:, k - 1] - 1e-9
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int, confidence: float, step: int = 128) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, vec_id, score) of the k nearest of these vectors to each query."""
-        codes, correction = encode((vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.turn)
+        """(query, vec_id, score) of the k nearest of these vectors to each query, but for some that can't be among its nearest of all."""
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        near = _angles(unit, self.centres)
+        cell = near.argmin(axis=1)
+        out = []
+        for c in np.unique(cell):
+            mine = np.flatnonzero(cell == c)
+            reach = np.cos(np.maximum(0, self.angle[:, c] - near[mine, c].max()))  # no vector of the cell is nearer
+            out += self._in_cell(np.flatnonzero(reach >= self.least - 1e-9), ids[mine], vectors[mine], unit[mine], k, confidence, step)
+        return out
+
+    def _in_cell(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, unit: np.ndarray, k: int, confidence: float, step: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        codes, correction = encode(unit @ self.turn)
         slack = bounds(correction, vectors.shape[1], confidence).astype(np.float32)[:, None]
         out, first, exactly = [], min(len(ids), 4 * k), Exact(vectors, self.vectors)
-        for at in range(0, len(self.ids), step):
-            est = estimates(codes, correction, self.rotated[at : at + step])
-            own = ids[:, None] == self.ids[None, at : at + step]
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            est, rounding = estimates(codes, correction, self.rotated[some])
+            wide = slack + confidence * rounding / np.float32(np.sqrt(12)) / correction.astype(np.float32)[:, None]
+            own = ids[:, None] == self.ids[None, some]
             est[own] = -np.inf
             n = est.shape[1]
             best = np.argpartition(-est, first - 1, axis=0)[:first]
             q = np.tile(np.arange(n), first)
-            exact = np.where(own[best.ravel(), q], -np.inf, exactly.cosines(best.ravel(), at + q)).reshape(first, n)
+            exact = np.where(own[best.ravel(), q], -np.inf, exactly.cosines(best.ravel(), some[q])).reshape(first, n)
             worst = -np.sort(-exact, axis=0)[min(k, first) - 1]
-            r, q = np.nonzero((est + slack >= worst - 1e-6) & ~own)
-            score = exactly.cosines(r, at + q)
+            r, q = np.nonzero((est + wide >= np.maximum(worst, self.least[some]) - 1e-6) & ~own)
+            score = exactly.cosines(r, some[q])
             order = np.lexsort((ids[r], -score, q))
             q, r, score = q[order], r[order], score[order]
             start = np.searchsorted(q, np.arange(n))
             keep = np.arange(len(q)) - start[q] < k
-            out.append((self.ids[at + q[keep]], ids[r[keep]], score[keep]))
+            out.append((self.ids[some[q[keep]]], ids[r[keep]], score[keep]))
         return out
 
 
@@ -112,19 +184,39 @@ def _by_length(ids: np.ndarray, lists: pa.Array) -> list[tuple[np.ndarray, np.nd
     return [(ids[rows], flat[at[rows][:, None] + np.arange(d)]) for d in np.unique(size) for rows in [np.flatnonzero(size == d)]]
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, confidence: float = 4.0, block: int = 16_384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, confidence: float = 4.0, block: int = 16_384, sample: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds, the k nearest other rows.
 
-    block bounds the queries that are broadcast at once."""
+    block bounds the queries that are broadcast at once, sample the vectors that cells and first bounds are made from."""
     spark = vectors.sparkSession
     rows = common.staged(spark, usable(vectors), "vectors")
+    total = rows.count()
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20))).orderBy(F.xxhash64("vec_id")).limit(2 * sample).toArrow()
+    known = {v.shape[1]: (i, v) for i, v in _by_length(picked["vec_id"].to_numpy(), picked["embedding"].combine_chunks())} if picked.num_rows else {}
+    cells = {d: Cells(v) for d, (_, v) in known.items()}
+    centres = spark.sparkContext.broadcast({d: c.centres for d, c in cells.items()})
+
+    def place(batches):
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int32)
+            lists = batch.column(1)
+            size, flat, at = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1]
+            for d in np.unique(size):
+                if d in centres.value:
+                    mine = np.flatnonzero(size == d)
+                    v = flat[at[mine][:, None] + np.arange(d)]
+                    cell[mine] = (v @ centres.value[d].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "embedding", "cell"])
+
+    rows = rows.mapInArrow(common.released(place), "vec_id long, embedding array<double>, cell int").repartitionByRange("cell", "vec_id").sortWithinPartitions("cell")
+    rows = common.staged(spark, rows, "cells").select("vec_id", "embedding")
     queries = rows.where(is_query)
     n = -(-queries.count() // block)
     parts = []
     for b in range(n):
         some = queries if n == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b)
         got = some.toArrow()
-        blocks = {v.shape[1]: Block(i, v) for i, v in _by_length(got["vec_id"].to_numpy(), got["embedding"].combine_chunks())}
+        blocks = {v.shape[1]: Block(i, v, cells.get(v.shape[1]), known.get(v.shape[1], (None,))[0], k) for i, v in _by_length(got["vec_id"].to_numpy(), got["embedding"].combine_chunks())}
         shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches, shared=shared):

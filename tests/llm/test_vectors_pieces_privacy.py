@@ -45,9 +45,28 @@ def test_estimates_stay_within_bounds():
     turn = neighbours.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
     codes, c = neighbours.encode(x @ turn)
-    est = neighbours.estimates(codes, c, q @ turn)
-    assert (np.abs(est - x @ q.T) <= neighbours.bounds(c, 64, 4.0)[:, None]).mean() > 0.999
-    assert codes.shape == (500, 8)
+    est, rounding = neighbours.estimates(codes, c, q @ turn)
+    assert (np.abs(est - x @ q.T) <= neighbours.bounds(c, 64, 4.0)[:, None] + 4 * rounding / np.sqrt(12) / c[:, None]).mean() > 0.999
+    assert codes.shape == (500, 1) and codes.dtype == np.uint64
+    signs = np.where(x @ turn > 0, 1, -1) / 8
+    assert np.allclose(est, signs @ (q @ turn).T / c[:, None], atol=0.05)
+
+
+def test_cells_that_cant_hold_a_neighbour_are_skipped(spark):
+    """Tight clusters: most cells are out of reach, and the result is still that of brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 32))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(60, 32)) for c in centres])
+    cells = neighbours.Cells(x[::2])
+    block = neighbours.Block(np.arange(0, 1200, 50), x[::50], cells, np.arange(0, 1200, 2))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cell = cells.of(unit)
+    near = neighbours._angles(unit, cells.centres)
+    reach = [(np.cos(np.maximum(0, block.angle[:, c] - near[cell == c, c].max())) >= block.least).mean() for c in np.unique(cell)]
+    assert np.mean(reach) < 0.3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = sorted(tuple(r)[:3] for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, sample=300).collect())
+    assert got == [w[:3] for w in brute_nearest(rows)]
 
 
 def test_recall_on_the_given_vectors(spark, medium):
