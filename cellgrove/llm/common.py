@@ -66,11 +66,6 @@ def released(run):
     return outer
 
 
-def small(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A table of numbers of 8 bytes, marked to be broadcast if it has `most` rows at most; a larger one is joined by shuffles."""
-    return F.broadcast(keys) if keys.count() <= most else keys
-
-
 def unused(name: str, *tables: DataFrame) -> str:
     """name, or with more underscores where a table has a column of that name."""
     taken = {c.lower() for t in tables for c in t.columns}

@@ -11,7 +11,8 @@ for each n-gram, and keeps it for words met again.
 
 Null and empty texts get the logit of no words. Labels that are null are not learned from; a document
 with several labels is toxic if any says so. Rows without doc_id count as held out. With no labels,
-every score is 0. Extra columns are not read.
+every score is 0. Of equally toxic runs either counts. Very long texts are scored whole, run by run; only those
+of bounded length are learned from. Repeated rows are learned from each. Extra columns are not read.
 """
 
 from __future__ import annotations
