@@ -36,14 +36,13 @@ def centroids(points: DataFrame, features: list[str], label: str = "cluster_id")
 
 def davies_bouldin(points: DataFrame, features: list[str], label: str = "cluster_id") -> float | None:
     """Mean over clusters of the worst ratio of scatter to distance of centroids; None for fewer than two clusters."""
-    c = centroids(points, features, label)
-    centre = [F.col(f"c_{f}") for f in features]
-    spread = assigned(points, label).join(F.broadcast(c), label).groupBy(label).agg(F.avg(F.sqrt(_squared(features, centre))).alias("s"), *(F.first(f"c_{f}").alias(f"c_{f}") for f in features))
-    rows = spread.orderBy(label).collect()
-    if len(rows) < 2:
+    return intrinsic_many(points, features, [label], parts=("davies_bouldin",))[label]["davies_bouldin"]
+
+
+def _davies_bouldin(s: np.ndarray, x: np.ndarray) -> float | None:
+    """From the clusters' scatters and centroids."""
+    if len(s) < 2:
         return None
-    s = np.array([r["s"] for r in rows])
-    x = np.array([[r[f"c_{f}"] for f in features] for r in rows])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = (s[:, None] + s[None]) / d
@@ -54,56 +53,105 @@ def davies_bouldin(points: DataFrame, features: list[str], label: str = "cluster
 
 def calinski_harabasz(points: DataFrame, features: list[str], label: str = "cluster_id") -> float | None:
     """Between over within dispersion, each by its degrees of freedom; None for fewer than two clusters."""
-    rows = assigned(points, label)
-    sums = rows.groupBy(label).agg(F.count("*").alias("n"), *(F.avg(f).alias(f"c_{f}") for f in features), *(F.var_pop(f).alias(f"v_{f}") for f in features)).collect()
-    k, n = len(sums), sum(r["n"] for r in sums)
+    return intrinsic_many(points, features, [label], parts=("calinski_harabasz",))[label]["calinski_harabasz"]
+
+
+def _calinski_harabasz(size: np.ndarray, x: np.ndarray, spread: np.ndarray) -> float | None:
+    """From the clusters' sizes, centroids and variances."""
+    k, n = len(size), size.sum()
     if k < 2 or n <= k:
         return None
-    size = np.array([r["n"] for r in sums], float)
-    x = np.array([[r[f"c_{f}"] for f in features] for r in sums])
-    within = float((np.array([[r[f"v_{f}"] for f in features] for r in sums]) * size[:, None]).sum())
+    within = float((spread * size[:, None]).sum())
     mean = (x * size[:, None]).sum(axis=0) / n
     between = float((((x - mean) ** 2).sum(axis=1) * size).sum())
-    return 1.0 if within == 0 else between * (n - k) / (within * (k - 1))
+    return 1.0 if within == 0 else float(between * (n - k) / (within * (k - 1)))
+
+
+def _long(points: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
+    """(run, label, features): the assigned rows of each labelling."""
+    runs = F.array(*(F.struct(F.lit(i).alias("run"), F.col(c).cast("int").alias("label")) for i, c in enumerate(labels)))
+    return points.select(F.explode(F.filter(runs, lambda r: r["label"] >= 0)).alias("r"), *features).select("r.run", "r.label", *features)
+
+
+def intrinsic_many(points: DataFrame, features: list[str], labels: list[str], most: int | None = None, id_column: str = "CustomerID", parts: tuple[str, ...] = ("silhouette", "davies_bouldin", "calinski_harabasz")) -> dict[str, dict[str, float | None]]:
+    """The indices of several labellings of the same points, whose distances are computed once for all."""
+    out: dict[str, dict[str, float | None]] = {c: {} for c in labels}
+    long = _long(points, features, labels)
+    if {"davies_bouldin", "calinski_harabasz"} & set(parts):
+        means = long.groupBy("run", "label").agg(F.count("*").alias("n"), *(F.avg(f).alias(f"c_{f}") for f in features), *(F.var_pop(f).alias(f"v_{f}") for f in features)).orderBy("run", "label").collect()
+    if "davies_bouldin" in parts and means:
+        centre = points.sparkSession.createDataFrame([(r["run"], r["label"], *(r[f"c_{f}"] for f in features)) for r in means], "run int, label int" + "".join(f", c_{f} double" for f in features))
+        apart = F.sqrt(_squared(features, [F.col(f"c_{f}") for f in features]))
+        scatter = {(r[0], r[1]): r[2] for r in long.join(F.broadcast(centre), ["run", "label"]).groupBy("run", "label").agg(F.avg(apart)).collect()}  # a row for each cluster
+    rows = silhouette_rows_many(points, features, labels, most, id_column) if "silhouette" in parts else None
+    mean = {r[0]: r[1] for r in rows.groupBy("run").agg(F.avg("silhouette")).collect()} if rows is not None else {}
+    for i, c in enumerate(labels):
+        if "silhouette" in parts:
+            out[c]["silhouette"] = mean.get(i)
+        if "davies_bouldin" in parts or "calinski_harabasz" in parts:
+            mine = [r for r in means if r["run"] == i]
+            x = np.array([[r[f"c_{f}"] for f in features] for r in mine])
+            if "davies_bouldin" in parts:
+                out[c]["davies_bouldin"] = _davies_bouldin(np.array([scatter[i, r["label"]] for r in mine]), x)
+            if "calinski_harabasz" in parts:
+                out[c]["calinski_harabasz"] = _calinski_harabasz(np.array([r["n"] for r in mine], float), x, np.array([[r[f"v_{f}"] for f in features] for r in mine]))
+    return out
 
 
 def silhouette_rows(points: DataFrame, features: list[str], label: str = "cluster_id", most: int | None = None, id_column: str = "CustomerID", block: int = 32_768) -> DataFrame | None:
-    """(label, silhouette) of each assigned point, by Euclidean distances; a cluster of one point gives 0.
+    """(label, silhouette) of each assigned point, by Euclidean distances; a cluster of one point gives 0. Like silhouette_rows_many, for one labelling."""
+    rows = silhouette_rows_many(points, features, [label], most, id_column, block)
+    return None if rows is None else rows.select(F.col("label").alias("cluster_id"), "silhouette")
 
-    Points are sent to every task in blocks of `block` at most; each point's distances to a block are added to its
-    sums by cluster, which are written between blocks. Where `most` is given, a sample by hash of the id stands for
-    more points than that, on both sides."""
-    rows = assigned(points, label).select(F.col(id_column).cast("string").alias("id"), F.col(label).cast("int").alias("label"), *(F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)))
+
+def silhouette_rows_many(points: DataFrame, features: list[str], labels: list[str], most: int | None = None, id_column: str = "CustomerID", block: int = 32_768) -> DataFrame | None:
+    """(run, label, silhouette) of each point in each labelling that assigns it; labellings of fewer than two clusters have no rows.
+
+    Points are sent to every task in blocks of `block` at most; each point's distances to a block are computed once
+    and added to its sums by cluster of each labelling, which are written between blocks. Where `most` is given, a
+    sample by hash of the id stands for more points than that, on both sides."""
+    spark, runs = points.sparkSession, len(labels)
+    rows = points.select(F.col(id_column).cast("string").alias("id"), F.array(*(F.col(c).cast("int") for c in labels)).alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")).where(F.exists("y", lambda v: v >= 0))
     if most is not None and (n := rows.count()) > most:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-    spark = points.sparkSession
-    held = written(rows.select("label", F.array(*(f"x{i}" for i in range(len(features)))).alias("x"), F.array().cast("array<double>").alias("total")).repartition(spark.sparkContext.defaultParallelism * 4), "silhouette")
-    counted = held.groupBy("label").count().orderBy("label").collect()
-    labels, size = np.array([r[0] for r in counted], np.int32), np.array([r[1] for r in counted], float)
-    if len(labels) < 2:
+    held = written(rows.select("y", "x", F.array().cast("array<double>").alias("total")).repartition(spark.sparkContext.defaultParallelism * 4), "silhouette")
+    counted = held.select(F.posexplode("y").alias("run", "label")).where("label >= 0").groupBy("run", "label").count().orderBy("run", "label").collect()
+    known = [np.array([r[1] for r in counted if r[0] == i], np.int32) for i in range(runs)]
+    size = [np.array([r[2] for r in counted if r[0] == i], float) for i in range(runs)]
+    if all(len(k) < 2 for k in known):
         return None
+    begin = np.cumsum([0, *map(len, known)])
     done = held
     for i, (y, x) in enumerate(_blocks(held, block)):
         done = done if i == 0 else written(done, "silhouette")
-        order = np.argsort(y, kind="stable")
-        found, start = np.unique(y[order], return_index=True)
-        shared = spark.sparkContext.broadcast((x[order], start, np.searchsorted(labels, found), len(labels)))
+        parts = []
+        for r in range(runs):
+            order = np.argsort(y[:, r], kind="stable")
+            order = order[y[order, r] >= 0]
+            found, start = np.unique(y[order, r], return_index=True)
+            parts.append((order, start, begin[r] + np.searchsorted(known[r], found)))
+        shared = spark.sparkContext.broadcast((x, parts, int(begin[-1])))
         done = done.mapInArrow(_adding(shared), held.schema)
 
     def finish(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mine = np.searchsorted(labels, batch.column(0).to_numpy())
-            total, at = _matrix(batch.column(2), len(labels)), np.arange(len(mine))
-            a = total[at, mine] / np.maximum(size[mine] - 1, 1)
-            other = total / size
-            other[at, mine] = np.inf
-            b = other.min(axis=1)
-            s = np.where(size[mine] > 1, (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(labels[mine]), pa.array(s)], ["cluster_id", "silhouette"])
-
-    return done.mapInArrow(finish, "cluster_id int, silhouette double")
+            every, total = _matrix(batch.column(0), runs), _matrix(batch.column(2), int(begin[-1]))
+            for r in range(runs):
+                if len(known[r]) < 2:
+                    continue
+                rows_ = np.flatnonzero(every[:, r] >= 0)
+                mine, sums = np.searchsorted(known[r], every[rows_, r]), total[rows_, begin[r] : begin[r + 1]]
+                at, n = np.arange(len(mine)), size[r]
+                a = sums[at, mine] / np.maximum(n[mine] - 1, 1)
+                other = sums / n
+                other[at, mine] = np.inf
+                b = other.min(axis=1)
+                s = np.where(n[mine] > 1, (b - a) / np.where(np.maximum(a, b) > 0, np.maximum(a, b), 1), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), r, np.int32)), pa.array(known[r][mine]), pa.array(s)], ["run", "label", "silhouette"])
+
+    return done.mapInArrow(finish, "run int, label int, silhouette double")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -113,7 +161,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _blocks(held: DataFrame, block: int):
     """(labels, points) of at most `block` rows at a time."""
     some = []
-    for r in held.select("label", "x").toLocalIterator():
+    for r in held.select("y", "x").toLocalIterator():
         some.append(r)
         if len(some) == block:
             yield np.array([r[0] for r in some], np.int32), np.array([r[1] for r in some])
@@ -123,10 +171,10 @@ def _blocks(held: DataFrame, block: int):
 
 
 def _adding(shared):
-    """Adds the distances to a block's points to each row's sums by cluster."""
+    """Adds the distances to a block's points to each row's sums by cluster of each labelling."""
 
     def run(batches):
-        x, start, at, k = shared.value
+        x, parts, k = shared.value
         step = max(1, (1 << 21) // len(x))
         for batch in batches:
             if not batch.num_rows:
@@ -134,9 +182,12 @@ def _adding(shared):
             own = _matrix(batch.column(1), x.shape[1])
             total = _matrix(batch.column(2), k).copy() if len(batch.column(2).flatten()) else np.zeros((len(own), k))
             for i in range(0, len(own), step):
-                total[i : i + step, at] += np.add.reduceat(_distances(own[i : i + step], x), start, axis=1)
+                d = _distances(own[i : i + step], x)
+                for order, start, at in parts:
+                    if len(order):
+                        total[i : i + step, at] += np.add.reduceat(d[:, order], start, axis=1)
             sums = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, k), pa.int32()), pa.array(total.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sums], ["label", "x", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sums], ["y", "x", "total"])
 
     return run
 
@@ -155,7 +206,7 @@ def silhouette(points: DataFrame, features: list[str], label: str = "cluster_id"
 
 
 def intrinsic(points: DataFrame, features: list[str], label: str = "cluster_id", most: int | None = None, id_column: str = "CustomerID") -> dict[str, float | None]:
-    return {"silhouette": silhouette(points, features, label, most, id_column), "davies_bouldin": davies_bouldin(points, features, label), "calinski_harabasz": calinski_harabasz(points, features, label)}
+    return intrinsic_many(points, features, [label], most, id_column)[label]
 
 
 def contingency(labelled: DataFrame, truth: str, label: str) -> DataFrame:

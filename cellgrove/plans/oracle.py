@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import FEATURES
-from .queries import COARSE, CONFIG, FINE, FIXED_GRID
+from .queries import COARSE, CONFIG, FINE
 
 COLS = list(FEATURES)
 
@@ -131,13 +131,45 @@ _TEXT = "array_to_string(@, ',') AS @"
 _POINTS = f"pts AS (SELECT t.*, cluster_id FROM train t JOIN labels USING (CustomerID) WHERE cluster_id >= 0), centre AS (SELECT cluster_id, count(*) AS n, {_each('avg(@) AS c#')} FROM pts GROUP BY 1)"
 _APART = _each("(a.@ - b.@) * (a.@ - b.@)", by=" + ")
 _FROM_CENTRE = _each("(@ - c#) * (@ - c#)", by=" + ")
-_KNOWN = """known AS (SELECT vec_id, CAST(label AS BIGINT) AS y, CAST(CASE WHEN embedding[1] < 0 AND embedding[2] < 0 THEN -1
-  ELSE CASE WHEN CAST(embedding[1] AS DOUBLE) > 0.05 THEN 2 ELSE 0 END + CASE WHEN CAST(embedding[2] AS DOUBLE) > 0.05 THEN 1 ELSE 0 END END AS BIGINT) AS p FROM embeddings),
-tab AS (SELECT y, p, count(*) AS n FROM known GROUP BY 1, 2),
-vote AS (SELECT p, arg_min(y, [-n, y]) AS mapped FROM tab GROUP BY 1),
+_VOTES = """vote AS (SELECT p, arg_min(y, [-n, y]) AS mapped FROM tab GROUP BY 1),
 classes AS (SELECT y AS c FROM tab UNION SELECT mapped FROM vote),
 confusion AS (SELECT a.c AS y, b.c AS mapped, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM classes a CROSS JOIN classes b
               LEFT JOIN (SELECT y, mapped, n FROM tab JOIN vote USING (p)) t ON t.y = a.c AND t.mapped = b.c GROUP BY 1, 2)"""
+_KNOWN = f"""known AS (SELECT vec_id, CAST(label AS BIGINT) AS y, CAST(CASE WHEN embedding[1] < 0 AND embedding[2] < 0 THEN -1
+  ELSE CASE WHEN CAST(embedding[1] AS DOUBLE) > 0.05 THEN 2 ELSE 0 END + CASE WHEN CAST(embedding[2] AS DOUBLE) > 0.05 THEN 1 ELSE 0 END END AS BIGINT) AS p FROM embeddings),
+tab AS (SELECT y, p, count(*) AS n FROM known GROUP BY 1, 2), {_VOTES}"""
+_SUPERVISED = """per AS (SELECT c, (SELECT sum(n) FROM confusion WHERE y = c) AS support, (SELECT sum(n) FROM confusion WHERE mapped = c) AS predicted, (SELECT sum(n) FROM confusion WHERE mapped = c AND y = c) AS tp FROM classes),
+pr AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM per WHERE support > 0 OR predicted > 0),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pr),
+supervised AS (SELECT sum(tp) / sum(support) AS accuracy, avg(p) AS precision_macro, avg(r) AS recall_macro, avg(f) AS f1_macro, sum(f * support) / sum(support) AS f1_weighted FROM f)"""
+_AGREEMENT = """t AS (SELECT sum(n)::DOUBLE AS total FROM tab), ys AS (SELECT y, sum(n)::DOUBLE AS a FROM tab GROUP BY 1), ps AS (SELECT p, sum(n)::DOUBLE AS b FROM tab GROUP BY 1),
+mi AS (SELECT sum(n / total * ln(n * total / (a * b))) AS mi, sum(n * (n - 1) / 2.0) AS same FROM tab JOIN ys USING (y) JOIN ps USING (p), t),
+hy AS (SELECT -sum(a / total * ln(a / total)) AS hy, sum(a * (a - 1) / 2) AS pa FROM ys, t), hp AS (SELECT -sum(b / total * ln(b / total)) AS hp, sum(b * (b - 1) / 2) AS pb FROM ps, t),
+agreement AS (SELECT (same - pa * pb / (total * (total - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (total * (total - 1) / 2)) AS ari, mi / ((hy + hp) / 2) AS nmi, mi / hy AS homogeneity,
+       mi / hp AS completeness, 2 * (mi / hy) * (mi / hp) / (mi / hy + mi / hp) AS v_measure FROM mi, hy, hp, t)"""
+
+
+def _indices(keys: str = "", columns: list[str] = COLS) -> str:
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz indices of pts (CustomerID, cluster_id, columns), for each of keys; no row with fewer than two clusters."""
+    each = lambda t, by=", ": _each(t, columns, by)
+    same = "".join(f"a.{k} = b.{k} AND " for k in keys.split(", ") if k)
+    own = "".join(f"a.{k}, " for k in keys.split(", ") if k)
+    using = f"USING ({keys}cluster_id)"
+    group = lambda extra="": f"GROUP BY {keys}{extra}".rstrip(", ") if keys or extra else ""
+    join = f"JOIN {{}} USING ({keys.rstrip(', ')})" if keys else "CROSS JOIN {}"
+    return f"""centre AS (SELECT {keys}cluster_id, count(*) AS n, {each("avg(@) AS c#")} FROM pts {group("cluster_id")}),
+dist AS (SELECT {own}a.CustomerID AS id, a.cluster_id AS own, b.cluster_id AS other, sum(sqrt({each("(a.@ - b.@) * (a.@ - b.@)", " + ")})) AS total, count(*) AS n FROM pts a JOIN pts b ON {same}true GROUP BY ALL),
+ab AS (SELECT {keys}id, own, max(CASE WHEN own = other THEN total / greatest(n - 1, 1) END) AS a, max(CASE WHEN own = other THEN n END) AS size, min(CASE WHEN own <> other THEN total / n END) AS b FROM dist {group("id, own")}),
+sil AS (SELECT {keys}avg(CASE WHEN size > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END) AS silhouette, count(DISTINCT own) AS k FROM ab {group()}),
+spread AS (SELECT {keys}cluster_id, avg(sqrt({each("(@ - c#) * (@ - c#)", " + ")})) AS s, sum({each("(@ - c#) * (@ - c#)", " + ")}) AS w FROM pts JOIN centre {using} {group("cluster_id")}),
+cs AS (SELECT * FROM centre JOIN spread {using}),
+worst AS (SELECT {own}a.cluster_id, max((a.s + b.s) / sqrt({each("(a.c# - b.c#) * (a.c# - b.c#)", " + ")})) AS worst FROM cs a JOIN cs b ON {same}a.cluster_id <> b.cluster_id GROUP BY ALL),
+dbi AS (SELECT {keys}avg(worst) AS davies_bouldin FROM worst {group()}),
+middle AS (SELECT {keys}count(*) AS m, {each("avg(@) AS m#")} FROM pts {group()}),
+chi AS (SELECT {keys}sum(n * ({each("(c# - m#) * (c# - m#)", " + ")})) * (max(m) - count(*)) / (sum(w) * (count(*) - 1)) AS calinski_harabasz FROM cs {join.format("middle")} {group()}),
+indices AS (SELECT {keys}silhouette, davies_bouldin, calinski_harabasz FROM sil {join.format("dbi")} {join.format("chi")} WHERE k > 1)"""
+
+
 _NEAR = f"closeby AS (SELECT a.CustomerID AS a, b.CustomerID AS b FROM train a JOIN train b ON a.CustomerID <> b.CustomerID WHERE sqrt({_APART}) <= 0.5)"
 
 
@@ -146,9 +178,30 @@ def oracle_sql() -> dict[str, str]:
     fine = lambda *more: _fit([FINE], *more)
     coarse = lambda *more: _fit([COARSE], CLUSTERS, LABELS, *more)
     all_grid = [(xi, tau) for xi in CONFIG.xi_grid for tau in CONFIG.tau_grid]
-    fixed = "fixed(xi, tau, n_clusters, coverage, silhouette, davies_bouldin) AS (VALUES " + ", ".join("(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"{v}::{'BIGINT' if i in (0, 2) else 'DOUBLE'}" for i, v in enumerate(r)) + ")" for r in FIXED_GRID) + ")"
-    score = f"""scores AS (SELECT *, CASE WHEN silhouette IS NULL OR n_clusters < {CONFIG.min_clusters} OR coverage < {CONFIG.min_coverage} THEN -1e9
-      ELSE silhouette - 0.04 * greatest(0, n_clusters - {CONFIG.max_clusters}) - 0.5 * (1 - coverage) - 0.12 * coalesce(davies_bouldin, 0) END AS quality_score FROM fixed)"""
+    searched = f"""{_fit(all_grid, CLUSTERS, LABELS)}, pts AS (SELECT l.xi, l.tau, l.cluster_id, t.* FROM labels l JOIN train t USING (CustomerID) WHERE l.cluster_id >= 0),
+{_indices("xi, tau, ")},
+used AS (SELECT xi, tau, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n_clusters, count(*) FILTER (cluster_id < 0) AS n_noise, round(avg(CASE WHEN cluster_id >= 0 THEN 1.0 ELSE 0.0 END), 3) AS coverage FROM labels GROUP BY 1, 2),
+grid AS (SELECT u.xi, u.tau, n_clusters, n_noise, coverage, round(silhouette, 4) AS silhouette, round(davies_bouldin, 4) AS davies_bouldin, round(calinski_harabasz, 1) AS calinski_harabasz FROM used u LEFT JOIN indices USING (xi, tau)),
+scores AS (SELECT *, CASE WHEN silhouette IS NULL OR n_clusters < {CONFIG.min_clusters} OR coverage < {CONFIG.min_coverage} THEN -1e9
+      ELSE silhouette - 0.04 * greatest(0, n_clusters - {CONFIG.max_clusters}) - 0.5 * (1 - coverage) - 0.12 * coalesce(davies_bouldin, 0) END AS quality_score FROM grid)"""
+    predicted = f"""pos_ AS (SELECT u.cluster_id, u.k, u.pos, u.xi, unnest(u.dims) AS dim, unnest(u.cells) AS cell, list_max(u.dims) AS last FROM clustered u),
+xs AS ({_each("SELECT CustomerID AS id, # AS dim, round(least(greatest(@, 0.0), 1.0) * XI, 9) AS r FROM scaled WHERE SPLIT", by=" UNION ALL ")}),
+hit AS (SELECT x.id, p.cluster_id, p.k, p.pos FROM pos_ p JOIN xs x ON x.dim = p.dim AND x.r >= p.cell AND (x.r < p.cell + 1 OR (p.dim = p.last AND x.r = p.cell + 1)) GROUP BY 1, 2, 3, 4 HAVING count(*) = p.k),
+best AS (SELECT id, arg_min(cluster_id, [-k, cluster_id]) AS cluster_id FROM hit GROUP BY 1)"""
+    at = lambda xi, split: predicted.replace("XI", str(xi)).replace("SPLIT", f"split = '{split}'")
+    dbscan = lambda eps: f"""closeby AS (SELECT a.CustomerID AS a, b.CustomerID AS b FROM train a JOIN train b ON a.CustomerID <> b.CustomerID WHERE sqrt({_APART}) <= {eps}),
+core AS (SELECT a AS id FROM closeby GROUP BY 1 HAVING count(*) >= 4), links AS (SELECT a, b FROM closeby WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+least_(id, comp) AS (SELECT id, id FROM core UNION SELECT l.b, r.comp FROM least_ r JOIN links l ON l.a = r.id AND r.comp < l.b),
+comp AS (SELECT id, min(comp) AS comp FROM least_ GROUP BY 1), roots AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS cluster FROM (SELECT DISTINCT comp FROM comp)),
+own AS (SELECT id, cluster FROM comp JOIN roots USING (comp)), border AS (SELECT a AS id, min(cluster) AS cluster FROM closeby JOIN own ON own.id = b GROUP BY 1),
+dblabels AS (SELECT CustomerID, coalesce(o.cluster, b.cluster, -1) AS cluster_id FROM train LEFT JOIN own o ON o.id = CustomerID LEFT JOIN border b ON b.id = CustomerID)"""
+    made = lambda labels: f"pts AS (SELECT t.*, cluster_id FROM train t JOIN {labels} USING (CustomerID) WHERE cluster_id >= 0), {_indices()}"
+    of_dbscan = lambda eps: f"SELECT 'DBSCAN' AS algorithm, 'eps={eps}, min_samples=5' AS params, silhouette FROM ({ALL}, {SCALED}, {dbscan(eps)}, {made('dblabels')} SELECT silhouette FROM indices)"
+    whole_known = "known2 AS (SELECT k.*, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM known k JOIN embeddings USING (vec_id)), pts AS (SELECT vec_id AS CustomerID, p AS cluster_id, x0, x1 FROM known2 WHERE p >= 0)"
+    synthetic = f"""WITH RECURSIVE h AS (SELECT range AS id, unnest(range(8)) AS i FROM range(200)),
+u AS (SELECT id, i, CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || '-' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS v FROM h),
+train AS (SELECT CAST(id AS VARCHAR) AS CustomerID, CAST(id < 60 AS BIGINT) AS y, {_each("max(CASE WHEN i = # THEN CASE WHEN id < 60 AND i < 2 THEN (CASE i WHEN 0 THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END) + 0.2::DOUBLE * v ELSE v END END) AS @")} FROM u GROUP BY id),
+{_units([FINE])}, {CLUSTERS}, {LABELS}, found AS (SELECT CustomerID, y, cluster_id AS p FROM labels JOIN train USING (CustomerID))"""
     out = {
         "clean_transactions": f"{dirty} SELECT InvoiceNo, StockCode, LineNo, Quantity, strftime(InvoiceDate, '%Y-%m-%d %H:%M:%S') AS InvoiceDate, round(UnitPrice, 8) AS UnitPrice, CustomerID, Country, CAST(Revenue AS DOUBLE) AS Revenue FROM clean",
         "cancellations": f"{dirty} SELECT coalesce(CustomerID, 'none') AS CustomerID, count(*) AS n_rows, count(DISTINCT InvoiceNo) AS n_invoices FROM cancelled GROUP BY 1",
@@ -210,23 +263,24 @@ SELECT g.cluster_id, count(*) AS count, coalesce(min(business_label), 'Noise') A
         "contingency_table": f"WITH {_KNOWN} SELECT y, p, n FROM tab",
         "majority_vote": f"WITH {_KNOWN} SELECT p, mapped FROM vote",
         "confusion_matrix": f"WITH {_KNOWN} SELECT y, mapped, n FROM confusion",
-        "supervised_scores": f"""WITH {_KNOWN}, per AS (SELECT c, (SELECT sum(n) FROM confusion WHERE y = c) AS support, (SELECT sum(n) FROM confusion WHERE mapped = c) AS predicted, (SELECT sum(n) FROM confusion WHERE mapped = c AND y = c) AS tp FROM classes),
-pr AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM per WHERE support > 0 OR predicted > 0),
-f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM pr)
-SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(p), 6) AS precision_macro, round(avg(r), 6) AS recall_macro, round(avg(f), 6) AS f1_macro, round(sum(f * support) / sum(support), 6) AS f1_weighted FROM f""",
-        "agreement_scores": f"""WITH {_KNOWN}, t AS (SELECT sum(n)::DOUBLE AS total FROM tab), ys AS (SELECT y, sum(n)::DOUBLE AS a FROM tab GROUP BY 1), ps AS (SELECT p, sum(n)::DOUBLE AS b FROM tab GROUP BY 1),
-mi AS (SELECT sum(n / total * ln(n * total / (a * b))) AS mi, sum(n * (n - 1) / 2.0) AS same FROM tab JOIN ys USING (y) JOIN ps USING (p), t),
-hy AS (SELECT -sum(a / total * ln(a / total)) AS hy, sum(a * (a - 1) / 2) AS pa FROM ys, t), hp AS (SELECT -sum(b / total * ln(b / total)) AS hp, sum(b * (b - 1) / 2) AS pb FROM ps, t)
-SELECT round((same - pa * pb / (total * (total - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (total * (total - 1) / 2)), 6) AS ari, round(mi / ((hy + hp) / 2), 6) AS nmi, round(mi / hy, 6) AS homogeneity,
-       round(mi / hp, 6) AS completeness, round(2 * (mi / hy) * (mi / hp) / (mi / hy + mi / hp), 6) AS v_measure FROM mi, hy, hp, t""",
-        "grid_search": f"""{_fit(all_grid, CLUSTERS, LABELS)}, found AS (SELECT xi, tau, count(*) AS n_found FROM clusters GROUP BY 1, 2), used AS (SELECT xi, tau, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n_clusters, count(*) FILTER (cluster_id < 0) AS n_noise FROM labels GROUP BY 1, 2)
-SELECT CAST(u.xi AS BIGINT) AS xi, u.tau, coalesce(n_found, 0) AS n_found, n_clusters, n_noise FROM used u LEFT JOIN found f ON f.xi = u.xi AND f.tau = u.tau""",
-        "quality_scores": f"WITH {fixed}, {score} SELECT xi, tau, round(quality_score, 6) AS quality_score FROM scores",
-        "best_params": f"""WITH {fixed}, {score}, pool AS (SELECT * FROM scores WHERE quality_score > -1e8 OR (SELECT max(quality_score) FROM scores) <= -1e8),
+        "supervised_scores": f"WITH {_KNOWN}, {_SUPERVISED} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('accuracy', 'precision_macro', 'recall_macro', 'f1_macro', 'f1_weighted'))} FROM supervised",
+        "agreement_scores": f"WITH {_KNOWN}, {_AGREEMENT} SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('ari', 'nmi', 'homogeneity', 'completeness', 'v_measure'))} FROM agreement",
+        "intrinsic_metrics": f"{coarse(made('labels'))} SELECT round(silhouette, 5) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin, round(calinski_harabasz, 3) AS calinski_harabasz FROM indices",
+        "aligned_labels": f"WITH {_KNOWN} SELECT vec_id, y, p, mapped FROM known JOIN vote USING (p)",
+        "evaluation": f"""WITH {_KNOWN}, {whole_known}, {_indices(columns=["x0", "x1"])}, {_SUPERVISED}, {_AGREEMENT}
+SELECT (SELECT count(DISTINCT p) FROM known WHERE p >= 0) AS n_clusters, round((SELECT 100.0 * count(*) FILTER (p = -1) / count(*) FROM known), 5) AS noise_pct, round(silhouette, 5) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin, round(calinski_harabasz, 5) AS calinski_harabasz,
+  {", ".join(f"round({c}, 5) AS {c}" for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted", "ari", "nmi", "homogeneity", "completeness", "v_measure"))} FROM indices, supervised, agreement""",
+        "test_metrics": f"""{coarse()}, {at(COARSE[0], 'test')}, got AS (SELECT s.*, coalesce(cluster_id, -1) AS cluster_id FROM scaled s LEFT JOIN best ON id = CustomerID WHERE split = 'test'), pts AS (SELECT * FROM got WHERE cluster_id >= 0), {_indices()}
+SELECT (SELECT count(*) FROM got) AS n_points, (SELECT count(*) FROM got WHERE cluster_id = -1) AS n_noise, (SELECT count(DISTINCT cluster_id) FROM pts) AS n_clusters, round((SELECT avg(CASE WHEN cluster_id >= 0 THEN 1.0 ELSE 0.0 END) FROM got), 5) AS coverage,
+  round(silhouette, 5) AS silhouette, round(davies_bouldin, 5) AS davies_bouldin FROM indices""",
+        "grid_search": f"{searched} SELECT CAST(xi AS BIGINT) AS xi, tau, n_clusters, n_noise, coverage, silhouette, davies_bouldin, calinski_harabasz, round(quality_score, 5) AS quality_score FROM scores",
+        "best_params": f"""{searched}, pool AS (SELECT * FROM scores WHERE quality_score > -1e8 OR (SELECT max(quality_score) FROM scores) <= -1e8),
 tiers AS (SELECT *, CASE WHEN silhouette > 0 AND n_clusters BETWEEN 4 AND 10 AND coverage >= 0.85 THEN 0 WHEN silhouette > 0 THEN 1 ELSE 2 END AS tier FROM pool)
-SELECT xi, tau FROM tiers ORDER BY tier, CASE WHEN tier < 2 THEN silhouette ELSE quality_score END DESC NULLS LAST, xi, tau LIMIT 1""",
-        "best_per_algorithm": """WITH r(algorithm, params, silhouette) AS (VALUES ('KMeans', 'k=4', 0.25::DOUBLE), ('KMeans', 'k=5', 0.19), ('KMeans', 'k=6', 0.25), ('DBSCAN', 'eps=0.2', -0.26), ('DBSCAN', 'eps=0.5', NULL), ('grid', 'xi=12', 0.049))
-SELECT algorithm, params, silhouette FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY silhouette DESC, params) AS k FROM r WHERE silhouette IS NOT NULL) WHERE k = 1""",
+SELECT CAST(xi AS BIGINT) AS xi, tau FROM tiers ORDER BY tier, CASE WHEN tier < 2 THEN silhouette ELSE quality_score END DESC NULLS LAST, xi, tau LIMIT 1""",
+        "best_per_algorithm": f"""SELECT algorithm, params, round(silhouette, 5) AS silhouette FROM (SELECT *, row_number() OVER (PARTITION BY algorithm ORDER BY silhouette DESC, params) AS k FROM (
+{" UNION ALL ".join(of_dbscan(e) for e in (0.2, 0.3, 0.5))} UNION ALL SELECT 'grid', 'xi={COARSE[0]}, tau={COARSE[1]}', silhouette FROM ({coarse()}, {at(COARSE[0], 'train')}, got AS (SELECT CustomerID, coalesce(cluster_id, -1) AS cluster_id FROM train LEFT JOIN best ON id = CustomerID), {made('got')} SELECT silhouette FROM indices)) WHERE silhouette IS NOT NULL) WHERE k = 1""",
+        "synthetic_smoke": f"{synthetic} SELECT p AS cluster_id, count(*) AS n FROM found GROUP BY 1",
+        "synthetic_verify": f"""{synthetic}, tab AS (SELECT y, p, count(*) AS n FROM found GROUP BY 1, 2), {_VOTES}, {_SUPERVISED} SELECT {", ".join(f"round({c}, 6) AS {c}" for c in ("accuracy", "precision_macro", "recall_macro", "f1_macro", "f1_weighted"))} FROM supervised""",
         "contract_violations": f"""{ALL}, {SCALED} SELECT 'null_or_nan' AS "check", count(*) FILTER ({_each('@ IS NULL OR isnan(@)', by=' OR ')}) AS violations FROM profiles UNION ALL SELECT 'infinite', count(*) FILTER ({_each('isinf(@)', by=' OR ')}) FROM profiles
 UNION ALL SELECT 'too_few_orders', count(*) FILTER (frequency < 2) FROM profiles UNION ALL SELECT 'scaled_null_or_nan', count(*) FILTER ({_each('@ IS NULL OR isnan(@)', by=' OR ')}) FROM scaled
 UNION ALL SELECT 'outside_unit_range', count(*) FILTER ({_each('@ < -1e-6 OR @ > 1 + 1e-6', by=' OR ')}) FROM scaled""",

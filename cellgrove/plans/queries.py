@@ -2,6 +2,9 @@
 
 Transactions come from the star schema. Features are scaled as in the pipeline; models are fitted on the
 training rows with cells rounded to nine places, so that another engine's sums give the same cells.
+
+Queries on profiles as such make them from the transactions. Those that follow them in the pipeline read
+profiles and scaled features from tables in the shared folder, written once for each state of the inputs.
 """
 
 from __future__ import annotations
@@ -14,8 +17,9 @@ from pyspark.sql import functions as F
 from ..config import FEATURES, EngineConfig
 from ..functions.columns import joined
 from ..operators import baselines, clean, features, grid, metrics, preprocess, selection, validate
-from ..operators.clusters import Model, adjacent_pairs, fit, fit_many
+from ..operators.clusters import Model, adjacent_pairs, fit
 from ..sources import transactions
+from .components import written
 from .pipeline import distribution, scored
 
 COLS = list(FEATURES)
@@ -41,9 +45,31 @@ def _profiles(spark: SparkSession, d: str) -> DataFrame:
     return features.profiles(clean.clean(tx), clean.cancellations(tx))
 
 
+_PREFIX: dict[tuple[str, str], tuple] = {}
+
+
+def _state(spark: SparkSession, d: str) -> tuple:
+    """Size and time of the input tables, so that a changed one isn't taken for the one before."""
+    out = []
+    for name in ("lineitem", "orders", "customer", "nation"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
+def prefix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, preprocess.Scaler]:
+    """Profiles, scaled features and what scaling learned, from tables that are written at the first call."""
+    key, state = (spark.sparkContext.applicationId, d), _state(spark, d)
+    if key not in _PREFIX or _PREFIX[key][0] != state:
+        profile = written(_profiles(spark, d), "profiles")
+        scaled, scaler = preprocess.preprocess(features.repeat_buyers(profile), CONFIG)
+        _PREFIX[key] = state, profile, written(scaled, "scaled"), scaler
+    return _PREFIX[key][1:]
+
+
 def _scaled(spark: SparkSession, d: str) -> tuple[DataFrame, preprocess.Scaler]:
-    profile = features.repeat_buyers(_profiles(spark, d)).persist()
-    return preprocess.preprocess(profile, CONFIG)
+    return prefix(spark, d)[1:]
 
 
 def _train(spark: SparkSession, d: str) -> DataFrame:
@@ -51,12 +77,19 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, d: str, at: tuple[int, float] = FINE) -> tuple[Model, DataFrame, DataFrame]:
-    """Model, cell table, training rows."""
+    """Model, cell table (cached until the result is made), training rows."""
     train = _train(spark, d)
     model, cells = fit(train, COLS, at[0], at[1], DIGITS)
     return model, cells, train
 
 
+def _model(spark: SparkSession, d: str, at: tuple[int, float] = FINE) -> tuple[Model, DataFrame]:
+    """Model and training rows."""
+    model, cells, train = _fitted(spark, d, at)
+    cells.unpersist()
+    return model, train
+
+
 # cleaning
 def clean_transactions(spark, d):
     rows = clean.clean(_dirty(spark, d))
@@ -114,42 +147,42 @@ def event_weekend(spark, d):
 
 # preprocessing
 def feature_stats(spark, d):
-    s = preprocess.stats(_profiles(spark, d), COLS).drop("skewness", "needs_log")
+    s = preprocess.stats(prefix(spark, d)[0], COLS).drop("skewness", "needs_log")
     return _rounded(s, ["mean", "std", "min", "max"], 4)
 
 
 def feature_skew(spark, d):
-    return _rounded(preprocess.stats(_profiles(spark, d), COLS).select("feature", "skewness", "needs_log"), ["skewness"], 4)
+    return _rounded(preprocess.stats(prefix(spark, d)[0], COLS).select("feature", "skewness", "needs_log"), ["skewness"], 4)
 
 
 def feature_corr(spark, d):
-    return _rounded(preprocess.correlations(_profiles(spark, d), COLS), ["r"])
+    return _rounded(preprocess.correlations(prefix(spark, d)[0], COLS), ["r"])
 
 
 def feature_histogram(spark, d):
-    return preprocess.histogram(_profiles(spark, d), COLS, 40).select("feature", F.col("bin").cast("long").alias("bin"), "n")
+    return preprocess.histogram(prefix(spark, d)[0], COLS, 40).select("feature", F.col("bin").cast("long").alias("bin"), "n")
 
 
 def feature_quartiles(spark, d):
-    return _rounded(preprocess.quartiles(_profiles(spark, d).persist(), COLS), ["q1", "median", "q3"])
+    return _rounded(preprocess.quartiles(prefix(spark, d)[0], COLS), ["q1", "median", "q3"])
 
 
 def winsor_bounds(spark, d):
-    q = preprocess.quantiles(features.repeat_buyers(_profiles(spark, d)).persist(), COLS, CONFIG.winsor_quantiles)
+    q = preprocess.quantiles(features.repeat_buyers(prefix(spark, d)[0]), COLS, CONFIG.winsor_quantiles)
     return _rounded(spark.createDataFrame([(c, *map(float, v)) for c, v in q.items()], "feature string, lo double, hi double"), ["lo", "hi"])
 
 
 def winsorized(spark, d):
-    p = features.repeat_buyers(_profiles(spark, d)).persist()
+    p = features.repeat_buyers(prefix(spark, d)[0])
     return _rounded(preprocess.winsorised(p, preprocess.quantiles(p, COLS, CONFIG.winsor_quantiles)), COLS)
 
 
 def log_features(spark, d):
-    return _rounded(preprocess.logged(_profiles(spark, d)).select("CustomerID", *COLS[:5]), COLS[:5])
+    return _rounded(preprocess.logged(prefix(spark, d)[0]).select("CustomerID", *COLS[:5]), COLS[:5])
 
 
 def split_counts(spark, d):
-    rows = preprocess.with_split(features.repeat_buyers(_profiles(spark, d)).persist())
+    rows = preprocess.with_split(features.repeat_buyers(prefix(spark, d)[0]))
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.min("CustomerID").alias("first_id"), F.max("CustomerID").alias("last_id"))
 
 
@@ -171,7 +204,7 @@ def grid_cells(spark, d):
 
 def _units(k: int):
     def query(spark, d):
-        model, _, _ = _fitted(spark, d)
+        model, _ = _model(spark, d)
         t = grid.unit_table(spark, [u for u in model.units if u.k == k], model.n)
         return t.select(joined(F.col("dims")).alias("dims"), joined(F.col("cells")).alias("cells"), "cnt", F.round("density", 6).alias("density"))
 
@@ -180,7 +213,7 @@ def _units(k: int):
 
 def _candidates(k: int):
     def query(spark, d):
-        model, _, _ = _fitted(spark, d)
+        model, _ = _model(spark, d)
         rows = [(",".join(map(str, a)), ",".join(map(str, b))) for a, b in grid.candidates([u for u in model.units if u.k == k - 1])]
         return spark.createDataFrame(rows, "dims string, cells string")
 
@@ -188,26 +221,26 @@ def _candidates(k: int):
 
 
 def unit_adjacency(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     text = lambda t: ",".join(map(str, t))
     rows = [(text(model.units[i].dims), text(min(model.units[i].cells, model.units[j].cells)), text(max(model.units[i].cells, model.units[j].cells))) for i, j in adjacent_pairs(model.units)]
     return spark.createDataFrame(rows, "dims string, cells_1 string, cells_2 string")
 
 
 def unit_components(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     t = model.cluster_units(spark)
     return t.select(F.col("cluster_id").cast("long").alias("cluster_id"), joined(F.col("dims")).alias("dims"), joined(F.col("cells")).alias("cells"), "cnt")
 
 
 def clusters(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     t = model.cluster_table(spark)
     return t.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("k_dim").cast("long").alias("k_dim"), joined(F.col("dims")).alias("dims"), F.col("n_units").cast("long").alias("n_units"), "size", F.round("coverage", 6).alias("coverage"), "description")
 
 
 def cluster_members(spark, d):
-    model, _, train = _fitted(spark, d)
+    model, train = _model(spark, d)
     return model.members(train).groupBy(F.col("cluster_id").cast("long").alias("cluster_id")).agg(F.count("*").alias("n"), F.min("CustomerID").alias("first_id"), F.max("CustomerID").alias("last_id"))
 
 
@@ -223,27 +256,27 @@ def cluster_descriptions(spark, d):
 
 
 def subspace_coverage(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     return model.subspace_coverage(spark).select("subspace", F.col("dimensions").cast("long").alias("dimensions"), F.col("n_clusters").cast("long").alias("n_clusters"), F.round("coverage", 6).alias("coverage"))
 
 
 def subspace_heatmap(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     return _rounded(model.heatmap(spark).withColumn("n_clusters", F.col("n_clusters").cast("long")), ["coverage"])
 
 
 def heatmap_pivot(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     return model.heatmap(spark).groupBy("dim_1").pivot("dim_2", COLS).agg(F.avg("n_clusters")).na.fill(0.0)
 
 
 def top_subspaces(spark, d):
-    model, _, _ = _fitted(spark, d)
+    model, _ = _model(spark, d)
     return model.top_planes(spark).select("subspace", F.col("n_clusters").cast("long").alias("n_clusters"), F.round("coverage", 6).alias("coverage"))
 
 
 def labels(spark, d):
-    model, _, train = _fitted(spark, d)
+    model, train = _model(spark, d)
     return model.labels(train).withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
@@ -263,8 +296,8 @@ def test_distribution(spark, d):
 
 # quality
 def _labelled(spark, d, at=COARSE):
-    model, _, train = _fitted(spark, d, at)
-    return train.withColumn("cluster_id", model.label()).persist()
+    model, train = _model(spark, d, at)
+    return written(train.withColumn("cluster_id", model.label()), "labelled")
 
 
 def coverage_noise(spark, d):
@@ -315,80 +348,114 @@ def agreement_scores(spark, d):
     return _rounded(s, s.columns)
 
 
+def intrinsic_metrics(spark, d):
+    m = metrics.intrinsic(_labelled(spark, d), COLS)
+    return spark.createDataFrame([(round(m["silhouette"], 5), round(m["davies_bouldin"], 5), round(m["calinski_harabasz"], 3))], "silhouette double, davies_bouldin double, calinski_harabasz double")
+
+
+def aligned_labels(spark, d):
+    known = _known(spark, d)
+    return metrics.align(known, metrics.majority_vote(metrics.contingency(known, "y", "p")), "p").select("vec_id", "y", "p", "mapped")
+
+
+def evaluation(spark, d):
+    """All indices of one labelling with known classes, by the first two components of the vectors."""
+    e = transactions.table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(2)))
+    row = metrics.evaluate(written(_known(spark, d).join(e, "vec_id"), "known"), ["x0", "x1"], "grid", truth="y", label="p", id_column="vec_id")
+    names = [k for k in row if k not in ("algorithm", "params", "n_clusters")]
+    return spark.createDataFrame([(row["n_clusters"], *(round(float(row[k]), 5) for k in names))], "n_clusters long" + "".join(f", {k} double" for k in names))
+
+
+def test_metrics(spark, d):
+    """Coverage, silhouette and Davies-Bouldin index of the test rows under the model's predictions."""
+    model, _ = _model(spark, d, COARSE)
+    rows = written(model.predict(_scaled(spark, d)[0].where("split = 'test'")), "predicted")
+    c, m = metrics.coverage(rows).first(), metrics.intrinsic(rows, COLS)
+    return spark.createDataFrame([(c["n_points"], c["n_noise"], c["n_clusters"], round(c["coverage"], 5), round(m["silhouette"], 5), round(m["davies_bouldin"], 5))], "n_points long, n_noise long, n_clusters long, coverage double, silhouette double, davies_bouldin double")
+
+
 # search and comparison
 def grid_search(spark, d):
-    """Coverage parts of the search, for all xi and tau; the full search is in selection.grid_search."""
-    train, rows = _train(spark, d).persist(), None
-    for xi in CONFIG.xi_grid:
-        models, _ = fit_many(train, COLS, xi, CONFIG.tau_grid, DIGITS)
-        wide = train.select(*(m.label().alias(f"t{i}") for i, m in enumerate(models.values())))
-        per = [F.struct(F.lit(xi).cast("long").alias("xi"), F.lit(t).alias("tau"), F.lit(len(m.clusters)).cast("long").alias("n_found"), F.count_distinct(F.when(F.col(f"t{i}") >= 0, F.col(f"t{i}"))).alias("n_clusters"), F.count_if(F.col(f"t{i}") < 0).alias("n_noise")) for i, (t, m) in enumerate(models.items())]
-        one = wide.agg(F.array(*per).alias("s")).select(F.explode("s").alias("s")).select("s.*")
-        rows = one if rows is None else rows.union(one)
-    return rows
+    """The search for all xi and tau over the training rows, with every index and the score."""
+    g = selection.grid_search(_train(spark, d), COLS, CONFIG, DIGITS)
+    return g.select(F.col("xi").cast("long").alias("xi"), "tau", "n_clusters", "n_noise", "coverage", "silhouette", "davies_bouldin", "calinski_harabasz", F.round("quality_score", 5).alias("quality_score"))
 
 
 def best_params(spark, d):
-    """The choice from a fixed grid of results."""
-    return selection.select_best(_fixed_grid(spark)).select(F.col("xi").cast("long").alias("xi"), "tau")
-
+    """The choice from the search."""
+    g = selection.grid_search(_train(spark, d), COLS, CONFIG, DIGITS)
+    return selection.select_best(g, CONFIG).select(F.col("xi").cast("long").alias("xi"), "tau")
 
-#: Results to choose from: xi, tau, clusters, coverage, silhouette, Davies-Bouldin.
-FIXED_GRID = [(8, 0.1, 12, 0.99, 0.021, 4.1), (8, 0.18, 9, 0.80, 0.09, 3.0), (10, 0.14, 6, 0.91, 0.041, 4.4), (10, 0.18, 3, 0.95, 0.2, 1.0), (12, 0.1, 8, 0.93, -0.02, 5.0), (12, 0.18, 7, 0.9635, 0.041, 4.39), (12, 0.16, 5, 0.9, None, None)]
 
+def _compared(spark: SparkSession, d: str, algorithms: set[str]) -> DataFrame:
+    train, (model, _) = _train(spark, d), _model(spark, d, COARSE)
+    rows = [("grid", f"xi={COARSE[0]}, tau={COARSE[1]}", model.predict(train))]
+    rows += [(name, ", ".join(f"{k}={v}" for k, v in settings.items()), baselines.run(train, COLS, name, settings, CONFIG.seed)) for name, settings in baselines.SETTINGS if name in algorithms]
+    return selection.compare(spark, [metrics.evaluate(written(df, "compared"), COLS, name, params) for name, params, df in rows]).drop("runtime_sec")
 
-def _fixed_grid(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXED_GRID, "xi int, tau double, n_clusters long, coverage double, silhouette double, davies_bouldin double").withColumn("quality_score", selection.quality_score(CONFIG))
 
-
-def quality_scores(spark, d):
-    return _fixed_grid(spark).select(F.col("xi").cast("long").alias("xi"), "tau", F.round("quality_score", 6).alias("quality_score"))
+def baseline_comparison(spark, d):
+    """Our own clustering and all settings of the others, on the training rows."""
+    return _compared(spark, d, {"KMeans", "DBSCAN", "Agglomerative"})
 
 
 def best_per_algorithm(spark, d):
-    rows = [("KMeans", f"k={k}", s) for k, s in ((4, 0.25), (5, 0.19), (6, 0.25))] + [("DBSCAN", "eps=0.2", -0.26), ("DBSCAN", "eps=0.5", None), ("grid", "xi=12", 0.049)]
-    return selection.best_per_algorithm(spark.createDataFrame(rows, "algorithm string, params string, silhouette double"))
+    """The best setting of each algorithm that starts from no random numbers."""
+    return _rounded(selection.best_per_algorithm(_compared(spark, d, {"DBSCAN"})), ["silhouette"], 5)
 
 
 def contract_violations(spark, d):
     scaled, _ = _scaled(spark, d)
-    return validate.profile_violations(_profiles(spark, d), COLS).union(validate.scaled_violations(scaled, COLS))
+    return validate.profile_violations(prefix(spark, d)[0], COLS).union(validate.scaled_violations(scaled, COLS))
 
 
 def dbscan_core_points(spark, d):
-    """Points with four others within 0.5, in a sample of customers."""
-    near = baselines.neighbours(_some(spark, d), COLS, 0.5)
+    """Training rows with four others within 0.5."""
+    near = baselines.neighbours(_train(spark, d), COLS, 0.5)
     return near.union(near.select("b", "a")).groupBy(F.col("a").alias("CustomerID")).agg(F.count("*").alias("n_near")).where("n_near >= 4")
 
 
-def _some(spark: SparkSession, d: str) -> DataFrame:
-    return _train(spark, d)
-
-
 def dbscan_labels(spark, d):
-    out = baselines.dbscan(_some(spark, d).persist(), COLS, 0.5)
+    out = baselines.dbscan(_train(spark, d), COLS, 0.5)
     return out.select("CustomerID", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
 def kmeans_summary(spark, d):
-    out = baselines.kmeans(_train(spark, d).persist(), COLS, 4)
+    out = baselines.kmeans(_train(spark, d), COLS, 4)
     return out.groupBy("cluster_id").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in COLS))
 
 
 def agglomerative_summary(spark, d):
     """Ward clusters of all training rows."""
-    out = baselines.agglomerative(_train(spark, d).persist(), COLS, 5)
+    out = baselines.agglomerative(_train(spark, d), COLS, 5)
     return out.groupBy("cluster_id").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in COLS))
 
 
-def synthetic_smoke(spark, d):
-    """Two hundred points, uniform by hash in eight dimensions, the first sixty dense in two of them, fitted at (8, 0.05)."""
-    u = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 30)) / float(1 << 30)
+def _synthetic(spark: SparkSession) -> DataFrame:
+    """Two hundred points, uniform by hash in eight dimensions, the first sixty dense in two of them, with their class."""
+    u = lambda i: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(i))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     planted = {0: (0.6, 0.2), 1: (0.7, 0.2)}
     x = [F.when(F.col("id") < 60, planted[i][0] + planted[i][1] * u(i)).otherwise(u(i)) if i in planted else u(i) for i in range(8)]
-    points = spark.range(200).select("id", *(c.alias(f"f{i}") for i, c in enumerate(x)))
-    model, _ = fit(points, [f"f{i}" for i in range(8)])
-    return model.predict(points).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return spark.range(200).select(F.col("id").cast("string").alias("CustomerID"), (F.col("id") < 60).cast("long").alias("y"), *(c.alias(f) for f, c in zip(COLS, x, strict=True)))
+
+
+def _smoke(spark: SparkSession) -> DataFrame:
+    """The synthetic points with the predictions of a model fitted on them."""
+    points = written(_synthetic(spark), "synthetic")
+    model, cells = fit(points, COLS, *FINE, DIGITS)
+    cells.unpersist()
+    return model.predict(points)
+
+
+def synthetic_smoke(spark, d):
+    return _smoke(spark).groupBy(F.col("cluster_id").cast("long").alias("cluster_id")).agg(F.count("*").alias("n"))
+
+
+def synthetic_verify(spark, d):
+    """The supervised scores of the fit on synthetic points against the planted class."""
+    t = metrics.contingency(written(_smoke(spark), "smoke"), "y", "cluster_id")
+    s = metrics.supervised(t, metrics.majority_vote(t))
+    return _rounded(s, s.columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -400,6 +467,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         feature_stats, feature_skew, feature_corr, feature_histogram, feature_quartiles, winsor_bounds, winsorized, log_features, split_counts, scaler_fit, scaled_features,
         grid_cells, unit_adjacency, unit_components, clusters, cluster_members, cluster_profiles, cluster_descriptions, subspace_coverage, subspace_heatmap, heatmap_pivot, top_subspaces, labels,
         predict_scores, test_distribution, coverage_noise, silhouette, davies_bouldin, calinski_harabasz, contingency_table, majority_vote, confusion_matrix, supervised_scores, agreement_scores,
-        grid_search, quality_scores, best_params, best_per_algorithm, contract_violations, dbscan_core_points, dbscan_labels, kmeans_summary, agglomerative_summary, synthetic_smoke,
+        intrinsic_metrics, aligned_labels, evaluation, test_metrics, grid_search, best_params, baseline_comparison, best_per_algorithm, contract_violations, dbscan_core_points, dbscan_labels, kmeans_summary, agglomerative_summary, synthetic_smoke, synthetic_verify,
     ]
     return one | made | units | {f.__name__: f for f in plain}
