@@ -258,12 +258,16 @@ class Lattices:
         self.target = np.concatenate([e_to, np.where(on & (e_to[c_edge] < 0), np.int32(-1), target)]).astype(np.int32)
         self.piece, self.log = ids[edges].astype(np.int32), self.log_p[edges]
         prob = np.concatenate([chance, p])
-        origin = np.concatenate([e_from, n + row])
-        total = np.bincount(origin, prob, n + len(edge))
+        degree_ = np.concatenate([degree, width])
         self.ends = np.concatenate([at[1:], len(ids) + c_at[1:]]).astype(np.int32)
-        share = np.cumsum(prob) - (np.cumsum(total) - total)[origin]
-        share /= np.where(total > 0, total, 1)[origin]
-        self.share = np.clip(share, 0, 1, out=share)
+        begin, live, k = self.ends - degree_, np.flatnonzero(degree_ > 1), 1
+        while len(live):  # sums within each node, so that they don't depend on the others
+            place = begin[live] + k
+            prob[place] += prob[place - 1]
+            k += 1
+            live = live[degree_[live] > k]
+        total = prob[self.ends - 1]
+        self.share = np.minimum(prob / np.repeat(np.where(total > 0, total, 1), degree_), 1.0)
         self.share[self.ends - 1] = 1.0
 
 
@@ -616,7 +620,7 @@ def encode_batch(v: Vocabulary, texts: list[str | None], keys: list[int], sample
 SCHEMA = "doc_id long, ids array<array<int>>, log_probs array<double>, inclusion array<double>, exact boolean"
 
 
-def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed: int = 0, power: float = 1.0, chars: int = 1 << 18) -> DataFrame:
+def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed: int = 0, power: float = 1.0, chars: int = 1 << 19) -> DataFrame:
     """One row for each row of docs (doc_id, text): up to `samples` segmentations with log probabilities and
     inclusion scores, and whether each decodes to the text. model: a local path, read on the driver; chars: about
     how many characters are taken together."""
