@@ -22,6 +22,7 @@ NOISE = -1
 
 @dataclass(frozen=True)
 class EngineConfig:
+    # fixed values: parameters, grids and limits, as far as numbers are given
     seed: int = 42
     xi: int = 8
     tau: float = 0.05
@@ -35,6 +36,8 @@ class EngineConfig:
     winsor_on: str = "all"
     test_share: float = 0.2
     country: str | None = None
+    #: Where transactions are looked for if no path is given.
+    transactions: str = "data/transactions.csv"
     #: Rows from which silhouettes are made, larger inputs being sampled by a hash of the id; None: all rows.
     silhouette_rows: int | None = None
     #: Rows that the pipeline's agglomerative clustering takes at most, as its time grows with their square; None: all.

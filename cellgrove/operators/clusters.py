@@ -100,6 +100,13 @@ class Model:
     def __post_init__(self):
         self.clusters = clusters_of(self.units)
 
+    def dense_units(self) -> dict[tuple[int, ...], list[Unit]]:
+        """Dense units by subspace, in order of discovery."""
+        out: dict[tuple[int, ...], list[Unit]] = {}
+        for u in self.units:
+            out.setdefault(u.dims, []).append(u)
+        return out
+
     def _spaces(self) -> list[tuple[tuple[int, ...], dict[int, Cluster]]]:
         """For each subspace, clusters by packed cell."""
         out: dict[tuple[int, ...], dict[int, Cluster]] = {}

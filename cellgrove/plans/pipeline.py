@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import FEATURES, EngineConfig
 from ..operators import baselines, clean, features, metrics, preprocess, selection, validate
 from ..operators.clusters import Model, fit
-from ..sources.model_store import load_model, save_model
+from ..sources.model_store import load_model, save_model, scaler_of, scaler_text
 
 
 @dataclass
@@ -23,6 +23,9 @@ class Result:
     descriptions: DataFrame
     comparison: DataFrame
     predictions: DataFrame
+    test_metrics: DataFrame
+    #: What validation found wrong; empty if all is well.
+    problems: list[str]
 
 
 def scored(model: Model, points: DataFrame, descriptions: DataFrame, id_column: str = "CustomerID") -> DataFrame:
@@ -63,6 +66,7 @@ class Pipeline:
     def preprocess(self) -> tuple[DataFrame, preprocess.Scaler]:
         rows, scaler = preprocess.preprocess(self.read("customer_profiles"), self.config)
         rows.write.mode("overwrite").partitionBy("split").parquet(f"{self.folder}/scaled")
+        self._write(self.spark.createDataFrame([(scaler_text(scaler),)], "scaler string"), "scaler")
         return self.read("scaled"), scaler
 
     def train(self, search: bool = True) -> tuple[Model, DataFrame, DataFrame | None]:
@@ -76,7 +80,7 @@ class Pipeline:
         self._write(model.subspace_coverage(self.spark).drop("pos"), "subspace_coverage")
         self._write(model.heatmap(self.spark), "subspace_heatmap")
         cells.unpersist()
-        _, scaler = preprocess.preprocess(self.read("customer_profiles"), self.config)
+        scaler = scaler_of(self.read("scaler").first()[0])
         save_model(self.spark, model, f"{self.folder}/model", scaler, self.read("customer_profiles"))
         return model, described, grid
 
@@ -103,6 +107,10 @@ class Pipeline:
         comparison = self._write(selection.compare(self.spark, rows), "baseline_comparison")
         test = scaled.where("split = 'test'")
         predictions = self._write(scored(model, test, self.read("cluster_descriptions")), "test_predictions")
+        labelled = test.join(predictions.select("CustomerID", "cluster_id"), "CustomerID").persist()
+        row = metrics.evaluate(labelled, self.features, "grid", f"xi={model.xi}, tau={model.tau}", most=self.config.silhouette_rows)
+        labelled.unpersist()
+        self._write(selection.compare(self.spark, [row]).drop("runtime_sec"), "test_metrics")
         return comparison, predictions
 
     def validate(self) -> list[str]:
@@ -114,11 +122,24 @@ class Pipeline:
         silhouette = metrics.silhouette(labelled, self.features, most=self.config.silhouette_rows)
         wrong += validate.check_model(len(model.clusters), metrics.coverage(labelled).first()["n_clusters"], silhouette)
         labelled.unpersist()
-        return wrong + validate.check_comparison(self.read("baseline_comparison"), silhouette)
+        wrong += validate.check_comparison(self.read("baseline_comparison"), silhouette)
+        wrong += validate.check_tables({name: self._columns(name) for name in validate.TABLES})
+        if (grid := self._columns("grid_search")) is not None:
+            wrong += validate.check_grid(self.read("grid_search"), self.config) if grid else ["grid_search is empty"]
+        n = self.read("test_predictions").count()
+        return wrong + ([f"only {n} rows of predictions"] if n < validate.LEAST_TEST_ROWS else [])
+
+    def _columns(self, name: str) -> list[str] | None:
+        """The columns of a written table, none of an empty one; None if it isn't there."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        df = self.read(name)
+        return [] if df.isEmpty() else df.columns
 
     def run(self, tx: DataFrame, search: bool = True, most: int | None = None) -> Result:
         profiles = self.data(tx)
         scaled, _ = self.preprocess()
         model, described, grid = self.train(search)
         comparison, predictions = self.benchmark(most)
-        return Result(profiles, scaled, grid, model, described, comparison, predictions)
+        return Result(profiles, scaled, grid, model, described, comparison, predictions, self.read("test_metrics"), self.validate())

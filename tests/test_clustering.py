@@ -298,3 +298,9 @@ def test_silhouette_by_blocks_against_brute_force(spark):
     ids = spark.createDataFrame([(f"p{i:04d}", int(v)) for i, v in enumerate(y)], "CustomerID string, cluster_id int")
     got = metrics.silhouette_rows(df.join(ids, "CustomerID"), names, block=23).agg(F.count("*"), F.avg("silhouette")).first()
     assert tuple(got) == pytest.approx((50, brute_metrics(x[y >= 0], y[y >= 0])[0]))
+
+
+def test_units_by_subspace():
+    units = [Unit((0,), (1,), 5), Unit((1,), (2,), 6), Unit((0, 1), (1, 2), 5), Unit((0,), (2,), 4)]
+    model = Model(8, 0.05, ["a", "b"], 10, units)
+    assert model.dense_units() == {(0,): [units[0], units[3]], (1,): [units[1]], (0, 1): [units[2]]}
