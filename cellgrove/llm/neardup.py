@@ -7,11 +7,11 @@ two-bit minima, corrected for chance, picks those worth a look, and links are co
 
 Not all pairs are made. First each class is held against one leader of its buckets, and the links make
 components. Buckets whose classes are all in one component are done. The classes of the others are held
-against those leaders of their buckets that look most alike, and after that, what is still in buckets with
-several components is joined on prefixes: with the shingles of a set in order of how rare they are, two sets
-as similar as asked for share one of their first few, so only classes that do are paired, if they lie in
-different components, if their sizes allow it and if their signatures do. Shingles that many classes share
-are salted. So pages that have a template in common, but less than the threshold asks for, make no pairs.
+against those leaders of their buckets that look most alike. What is still in buckets with several components
+is grouped by prefixes: with the shingles of a set in order of how rare they are, two sets as similar as
+asked for share one of their first few. Groups are dealt into blocks of bounded weight, and block by block the
+pairs across components are held against the estimate and confirmed, until their components are joined or none
+is left. So pages that have a template in common, but less than the threshold asks for, aren't even grouped.
 
 Null texts and texts without words have an empty set, are linked with nothing and are kept. Very long texts
 have large sets, in the memory of one task each. Ties: of equal least hashes the smaller one is a leader.
@@ -186,12 +186,13 @@ def _leader_pairs(near: DataFrame, known: DataFrame, percent: int, most: int = 4
     return pairs.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("leader").alias("a"), F.col("nid").alias("b"))
 
 
-def _prefix_pairs(known: DataFrame, sets: DataFrame, percent: int, share: int = 2000) -> DataFrame:
-    """(a, b): all pairs of known (nid, comp, n, sig) in different components that can be similar enough, by prefixes and signatures.
+def _prefix_groups(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(nid, gid): classes of known (nid, comp, n) in groups, so that two in different components that are similar enough are in one.
 
-    Of a pair the shorter set is found by its first k - ceil(2p / (1 + p) n) + 1 shingles and the longer one by its
-    first k - ceil(p n) + 1; n: its size, k: how many of its shingles lie in several components. A shingle of more
-    than `share` classes is dealt out."""
+    Of such a pair the shorter set is found by its first k - ceil(2p / (1 + p) n) + 1 shingles and the longer one by its
+    first k - ceil(p n) + 1, in order of how rare they are; n: its size, k: how many of its shingles lie in several
+    components. Groups are made of classes that share such shingles; those that share none are left out."""
+    spark = known.sparkSession
     tokens = known.select("nid", "comp", "n").join(sets, "nid").select("nid", "comp", "n", F.explode("shingles").alias("token"))
     across = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "df")
     ordered = tokens.join(across, "token").groupBy("nid").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
@@ -199,12 +200,80 @@ def _prefix_pairs(known: DataFrame, sets: DataFrame, percent: int, share: int =
     probe = k - F.expr(f"({percent} * n + 99) div 100") + 1
     index = k - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1
     ordered = ordered.withColumn("probe", probe.cast("int")).withColumn("index", index.cast("int")).where("probe > 0")
-    entries = ordered.select("nid", "comp", "n", "index", F.posexplode(F.expr("slice(list, 1, probe)")).alias("at", "e")).select("nid", "comp", "n", F.col("e.token").alias("token"), F.ceil(F.col("e.df") / share).cast("int").alias("parts"), (F.col("at") < F.col("index")).alias("short"))
-    entries = common.staged(known.sparkSession, entries.join(known.select("nid", "sig"), "nid"), "prefixes")
-    left = entries.where("short").select("token", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part"), F.col("nid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = entries.select("token", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("nid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    fits = F.expr(f"ca <> cb AND (na < nb OR na = nb AND a < b) AND 100 * na >= {percent} * nb")
-    return left.join(right, ["token", "part"]).where(fits & _alike("sa", "sb", percent)).select("a", "b").distinct()
+    entries = ordered.select("nid", "comp", "index", F.posexplode(F.expr("slice(list, 1, probe)")).alias("at", "e")).select("nid", "comp", F.col("e.token").alias("token"), (F.col("at") < F.col("index")).alias("short"))
+    entries = common.staged(spark, entries, "prefixes")
+    useful = entries.groupBy("token").agg(F.min("nid").alias("first"), F.max("short").alias("short"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("short AND x <> y")
+    links = entries.join(useful.select("token", "first"), "token").where("nid <> first").select(F.col("first").alias("a"), F.col("nid").alias("b")).distinct()
+    return components(links).withColumnRenamed("comp", "gid")
+
+
+def _blocks(members: DataFrame, weight: int) -> tuple[DataFrame, DataFrame]:
+    """members (gid, nid, comp, n) with a block each, and the pairs of blocks (gid, i, j) that hold different components.
+
+    A component heavier than `weight` has blocks of its own; the others of a group share blocks of about that weight."""
+    per_comp = members.groupBy("gid", "comp").agg(F.sum("n").alias("w"))
+    small = per_comp.where(F.col("w") <= weight).groupBy("gid").agg(F.sum("w").alias("small"))
+    sized = per_comp.join(small, "gid", "left").select("gid", "comp", (F.col("w") > weight).alias("big"), F.ceil(F.when(F.col("w") > weight, F.col("w")).otherwise(F.col("small")) / weight).alias("parts"))
+    dealt = members.join(sized, ["gid", "comp"]).withColumn("part", F.pmod(F.xxhash64(F.when(F.col("big"), F.col("nid")).otherwise(F.col("comp"))), F.col("parts")))
+    dealt = dealt.withColumn("block", F.when(F.col("big"), F.xxhash64("comp", "part")).otherwise(F.col("part"))).withColumn("own", F.when(F.col("big"), F.col("comp")))
+    blocks = dealt.groupBy("gid", "block").agg(F.first("own").alias("own"))
+    right = blocks.select("gid", F.col("block").alias("j"), F.col("own").alias("own_j"))
+    pairs = blocks.withColumnRenamed("block", "i").join(right, "gid").where("i <= j AND NOT coalesce(own = own_j, false)").select("gid", "i", "j")
+    return dealt.select("gid", "block", "nid", "comp"), pairs
+
+
+def _joining_links(members: DataFrame, sets: DataFrame, percent: int, weight: int = 1_000_000) -> DataFrame:
+    """Confirmed links (a, b) that join components within the groups of members (gid, nid, comp, n, sig).
+
+    Every pair of a group in different components is held against the estimate and, if that allows, confirmed on
+    full sets, unless links found in the same block pair have joined their components."""
+    dealt, pairs = _blocks(members.drop("sig"), weight)
+    ends = pairs.select("gid", "i", "j", F.col("i").alias("block")).union(pairs.select("gid", "i", "j", F.col("j").alias("block"))).distinct()
+    full = dealt.join(ends, ["gid", "block"]).join(members.select("nid", "sig").distinct(), "nid").join(sets, "nid")
+    least = percent / 100 - SLACK
+
+    def run(key, table):
+        table = table.combine_chunks()
+        nid, comp, block = (table.column(c).to_numpy() for c in ("nid", "comp", "block"))
+        i, j = key[1].as_py(), key[2].as_py()
+        sig = np.ascontiguousarray(table.column("sig").combine_chunks().flatten().to_numpy()).view(np.uint8).reshape(len(nid), -1)
+        lists = table.column("shingles").combine_chunks()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        at = offsets - offsets[0]
+        size = np.diff(at)
+        _, group = np.unique(comp, return_inverse=True)
+        mark = np.zeros(int(column.max()) + 1 if len(column) else 1, bool)
+        found = []
+        for r in range(len(nid)):
+            other = group != group[r]
+            other &= block == (j if block[r] == i else i)
+            other[: r if i == j else 0] = False
+            if i != j and block[r] != i:
+                continue
+            c = np.flatnonzero(other)
+            small, large = np.minimum(size[c], size[r]), np.maximum(size[c], size[r])
+            c = c[100 * small >= percent * large]
+            c = c[estimate(sig[c], sig[r]) >= least] if len(c) else c
+            if not len(c):
+                continue
+            mark[column[at[r] : at[r + 1]]] = True
+            for k in range(0, len(c), 4096):
+                some = c[k : k + 4096]
+                some = some[group[some] != group[r]]
+                if not len(some):
+                    continue
+                n = size[some]
+                start = np.cumsum(n) - n
+                both = np.add.reduceat(mark[column[np.arange(n.sum()) + np.repeat(at[some] - start, n)]].astype(np.int64), start)
+                for x in some[100 * both >= percent * (n + size[r] - both)].tolist():
+                    if group[x] != group[r]:
+                        found.append((int(nid[r]), int(nid[x])))
+                        group[group == group[x]] = group[r]
+            mark[column[at[r] : at[r + 1]]] = False
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -222,14 +291,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     star = buckets.where("nid <> leader").groupBy("nid").agg(F.min("leader").alias("leader"))
     links = common.staged(spark, _confirmed(star.select(F.col("leader").alias("a"), F.col("nid").alias("b")), sets, percent), "links")
     comps = common.staged(spark, components(links), "comps")
-    for pairs_of in (lambda near, known: _leader_pairs(near, known, percent), lambda near, known: _prefix_pairs(known, sets, percent)):
+    for last in (False, True):
         with_comp = buckets.join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
         mixed = with_comp.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
         near = common.staged(spark, with_comp.join(mixed, "band", "left_semi").select("nid", "leader", "comp").distinct(), "near")
         if near.isEmpty():
             break
         known = near.select("nid", "comp").distinct().join(classes.select("nid", "sig", F.col("n_shingles").alias("n")), "nid")
-        new = common.staged(spark, _confirmed(pairs_of(near, common.staged(spark, known, "known")), sets, percent), "links")
+        known = common.staged(spark, known, "known")
+        if last:
+            members = common.staged(spark, known.join(_prefix_groups(known, sets, percent), "nid"), "members")
+            new = common.staged(spark, _joining_links(members, sets, percent), "links")
+        else:
+            new = common.staged(spark, _confirmed(_leader_pairs(near, known, percent), sets, percent), "links")
         if not new.isEmpty():
             links = links.union(new)
             comps = common.staged(spark, components(links), "comps")

@@ -85,7 +85,7 @@ def _classes(spark, sets, comp):
     return known, spark.createDataFrame([(i, [int(v) for v in x]) for i, x in enumerate(sets)], "nid long, shingles array<long>")
 
 
-def test_prefix_pairs_hold_all_links_between_components(spark):
+def test_prefix_groups_hold_all_links_between_components(spark):
     rng = np.random.default_rng(9)
     pool = rng.integers(1, 2**62, 90).astype(np.uint64)
     sets = [np.sort(rng.choice(pool[: rng.integers(50, 90)], rng.integers(30, 50), replace=False)) for _ in range(60)]
@@ -93,18 +93,40 @@ def test_prefix_pairs_hold_all_links_between_components(spark):
     known, full = _classes(spark, sets, lambda i: i % 7)
     every = {(i, j) for i in range(80) for j in range(i) if i % 7 != j % 7 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert len(every) > 15
-    for share in (3, 2000):
-        pairs = neardup._prefix_pairs(known, full, 75, share)
-        assert {(max(r.a, r.b), min(r.a, r.b)) for r in neardup._confirmed(pairs, full, 75).collect()} == every
+    gid = {r.nid: r.gid for r in neardup._prefix_groups(known, full, 75).collect()}
+    assert all(i in gid and gid[i] == gid.get(j) for i, j in every)
 
 
-def test_pages_of_a_template_make_no_pairs(spark):
-    """Sets that share less than the threshold asks for, in one bucket: none of the pairs is made, however many pages."""
+def test_pages_of_a_template_make_no_groups(spark):
+    """Sets that share less than the threshold asks for, in one bucket: none is grouped with another, however many pages."""
     rng = np.random.default_rng(10)
     template = rng.integers(1, 2**62, 56).astype(np.uint64)
     sets = [np.sort(np.concatenate([template, rng.integers(1, 2**62, 16).astype(np.uint64)])) for _ in range(300)]
     known, full = _classes(spark, sets, lambda i: i)
-    assert neardup._prefix_pairs(known, full, 75).count() == 0
+    assert neardup._prefix_groups(known, full, 75).count() == 0
+
+
+def test_blocks_join_all_components(spark):
+    """Links of edited copies, dealt into blocks of a few classes, join what all pairs would."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**62), 2**62, 40)
+    sets = [np.unique(np.concatenate([rng.choice(base, 36, replace=False), rng.integers(-(2**62), 2**62, 2)])) for _ in range(40)]
+    sig = neardup.signatures(neardup.minima([s.view(np.uint64) for s in sets]))
+    members = spark.createDataFrame([(0, i, i % 7, len(sets[i]), [int(v) for v in sig[i].view(np.int64)]) for i in range(40)], "gid long, nid long, comp long, n long, sig array<long>")
+    full = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "nid long, shingles array<long>")
+
+    def joined(links):
+        root = {i: i % 7 for i in range(40)}
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+        return root
+
+    every = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    for weight in (100, 300, 10**6):
+        got = [(r.a, r.b) for r in neardup._joining_links(members, full, 75, weight).collect()]
+        assert joined(got) == joined(every)
+        assert {tuple(sorted(x, reverse=True)) for x in got} <= set(every)
 
 
 def brute_hits(text, items):
