@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,19 +48,9 @@ def windows(words: list[bytes], size: int = 13) -> Iterator[bytes]:
             yield b" " + b" ".join(words[i : i + size]) + b" "
 
 
-_K1, _K2, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
-
-
-def _block_hashes(buffer: np.ndarray, block: int, bits: int) -> np.ndarray:
-    """The hash of the block at each place of buffer, as WuManber.find makes it."""
-    m, u = len(buffer) - block + 1, np.uint64
-    halves = []
-    for first in (0, 8):
-        x = np.zeros(m, u)
-        for k in range(first, min(first + 8, block)):
-            x |= buffer[k : k + m].astype(u) << u(8 * (k - first))
-        halves.append(x)
-    return (((halves[0] * u(_K1)) ^ (halves[1] * u(_K2))) >> u(64 - bits)).astype(np.int64)
+def _block_hashes(buffer: bytes, begin: int, end: int, block: int, mask: int) -> np.ndarray:
+    """The hash of the block at each place from begin to end."""
+    return np.fromiter((crc32(buffer[i : i + block]) & mask for i in range(begin, end)), np.int64, end - begin)
 
 
 class WuManber:
@@ -68,34 +59,27 @@ class WuManber:
     def __init__(self, buffer: bytes, starts: np.ndarray, ends: np.ndarray, block: int = 16):
         self.buffer, self.starts, self.ends = buffer, starts, ends
         self.reach = int((ends - starts).min())  # the leading part that shifts are made from
-        self.block = max(1, min(block, 16, self.reach // 3))
+        self.block = max(1, min(block, self.reach // 3))
         self.skip = min(255, self.reach - self.block + 1)
-        data = np.frombuffer(buffer, np.uint8)
-        self.bits = min(24, max(8, (8 * len(starts)).bit_length()))
-        table = np.full(1 << self.bits, self.skip, np.uint8)
-        depth = self.reach - self.block
-        for at in range(0, len(data) - self.block + 1, 1 << 20):
-            place = np.arange(at, min(len(data) - self.block + 1, at + (1 << 20)))
+        self.mask = (1 << min(25, max(12, (64 * len(starts)).bit_length()))) - 1
+        table = np.full(self.mask + 1, self.skip, np.uint8)
+        depth, places = self.reach - self.block, max(0, len(buffer) - self.block + 1)
+        ending, key = starts + depth, np.zeros(len(starts), np.int64)
+        for at in range(0, places, 1 << 20):
+            place = np.arange(at, min(places, at + (1 << 20)))
+            h = _block_hashes(buffer, at, int(place[-1]) + 1, self.block, self.mask)
             # of the patterns around a block the first one reaches on the least behind it
             first = np.searchsorted(starts, place - depth)
             first = starts[np.minimum(first, len(starts) - 1)]
             shift = depth - (place - first)
             ok = (first <= place) & (shift >= 0) & (shift < self.skip)
-            np.minimum.at(table, _block_hashes(data[at : int(place[-1]) + self.block], self.block, self.bits)[ok], shift[ok].astype(np.uint8))
+            np.minimum.at(table, h[ok], shift[ok].astype(np.uint8))
+            i, j = np.searchsorted(ending, (at, at + len(place)))
+            key[i:j] = h[ending[i:j] - at]
         self.table = table.tobytes()
-        ending = starts + depth
-        key = self._keys(data, ending)
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
 
-    def _keys(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
-        out = np.empty(len(places), np.int64)
-        for at in range(0, len(data) - self.block + 1, 1 << 20):
-            i, j = np.searchsorted(places, (at, at + (1 << 20)))
-            if i < j:
-                out[i:j] = _block_hashes(data[at : at + (1 << 20) + self.block - 1], self.block, self.bits)[places[i:j] - at]
-        return out
-
     @classmethod
     def of(cls, patterns: list[bytes], block: int = 16) -> WuManber:
         size = np.cumsum([0, *map(len, patterns)])
@@ -103,12 +87,10 @@ class WuManber:
 
     def find(self, text: bytes) -> Iterator[tuple[int, int]]:
         """(start, number of the pattern) of every occurrence."""
-        table, block, reach, drop, number = self.table, self.block, self.reach, 64 - self.bits, int.from_bytes
+        table, block, reach, mask = self.table, self.block, self.reach, self.mask
         end, n = reach, len(text)
         while end <= n:
-            x = number(text[end - block : end], "little")
-            h = ((x * _K1) ^ ((x >> 64) * _K2)) & _ALL
-            h >>= drop
+            h = crc32(text[end - block : end]) & mask
             step = table[h]
             if step:
                 end += step
@@ -195,7 +177,7 @@ def benchmark_part(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, byte
     return [(r[0], r[1].encode()) for r in rows.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_bytes: int = 8 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of docs (doc_id, text); contaminated: share * hit words >= words, and any hit.
 
     part_bytes bounds the benchmark text of one part, and so what the driver holds and broadcasts at once."""
@@ -209,7 +191,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     return _through(rows, benchmark, size, share, part_bytes, last, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_bytes: int = 8 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, part_bytes: int = 4 << 20) -> DataFrame:
     """The rows of docs, all columns, that aren't contaminated."""
     names = docs.columns
 
