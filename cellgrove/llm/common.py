@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         if not _OWN_ROOT:
             _OWN_ROOT.append(tempfile.mkdtemp(prefix="cellgrove-"))
         root = _OWN_ROOT[0]
@@ -35,12 +37,23 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: the lineage is cut, and a lost executor costs nothing."""
     path = f"{shared_root(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    _delete(df.sparkSession, df.staged_path)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Deletes all staged tables. Results that still read them can't be computed again afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/staged")
+    _delete(spark, f"{shared_root(spark)}/staged")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
