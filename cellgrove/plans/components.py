@@ -12,9 +12,11 @@ _ROOT: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder shared by the driver and the executors: spark.checkpoint.dir, or our own where that is unset."""
+    """The folder shared by the driver and the executors: spark.checkpoint.dir, or in local mode our own where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         if not _ROOT:
             _ROOT.append(tempfile.mkdtemp(prefix="cellgrove-"))
         root = _ROOT[0]
