@@ -15,32 +15,29 @@ from ..functions.columns import log_feature, number
 def quantiles(df: DataFrame, columns: list[str], qs: tuple[float, ...], direct: int = 2_000_000) -> dict[str, list[float]]:
     """Exact quantiles with linear interpolation; None for a column without values.
 
-    Up to `direct` rows by one aggregate. Beyond, an approximation first finds for each quantile a narrow bracket
-    of values, and only those are ordered exactly."""
+    Up to `direct` rows by one aggregate. Beyond, an approximation first finds for all quantiles narrow brackets
+    of values, one pass counts what lies below each, and only the values inside are ordered exactly."""
     n = df.agg(*(F.count(number(F.col(c))).alias(c) for c in columns)).first()
     if max(n, default=0) <= direct:
         row = df.agg(*(F.percentile(number(F.col(c)), [*map(float, qs)]).alias(c) for c in columns)).first()
         return {c: row[c] for c in columns}
-    out: dict[str, list[float]] = {}
-    for c in columns:
-        x, values = number(F.col(c)), []
-        for q in qs:
-            if not n[c]:
-                values.append(None)
-                continue
-            place = q * (n[c] - 1)
-            lo, hi = df.agg(F.percentile_approx(x, [max(0.0, q - 0.001), min(1.0, q + 0.001)], 100_000)).first()[0]
-            below = df.where(x < lo).count()
-            inside = df.where((x >= lo) & (x <= hi)).groupBy(x.alias("v")).count().orderBy("v")
-            seen, want, got = below, [math.floor(place), math.ceil(place)], []
-            for r in inside.toLocalIterator():
-                seen += r["count"]
-                while len(got) < 2 and want[len(got)] < seen:
-                    got.append(r["v"])
-                if len(got) == 2:
-                    break
-            values.append(got[0] + (got[1] - got[0]) * (place - want[0]))
-        out[c] = values
+    known = [c for c in columns if n[c]]
+    asked = [v for q in qs for v in (max(0.0, q - 0.001), min(1.0, q + 0.001))]
+    brackets = df.agg(*(F.percentile_approx(number(F.col(c)), asked, 100_000).alias(c) for c in known)).first()
+    spans = {(c, i): (brackets[c][2 * i], brackets[c][2 * i + 1]) for c in known for i in range(len(qs))}
+    below = df.agg(*(F.count_if(number(F.col(c)) < lo).alias(f"{c}_{i}") for (c, i), (lo, _) in spans.items())).first()
+    out: dict[str, list[float]] = {c: [None] * len(qs) for c in columns}
+    for (c, i), (lo, hi) in spans.items():
+        x, place = number(F.col(c)), qs[i] * (n[c] - 1)
+        inside = df.where((x >= lo) & (x <= hi)).groupBy(x.alias("v")).count().orderBy("v")
+        seen, want, got = below[f"{c}_{i}"], [math.floor(place), math.ceil(place)], []
+        for r in inside.toLocalIterator():
+            seen += r["count"]
+            while len(got) < 2 and want[len(got)] < seen:
+                got.append(r["v"])
+            if len(got) == 2:
+                break
+        out[c][i] = got[0] + (got[1] - got[0]) * (place - want[0])
     return out
 
 
