@@ -418,8 +418,8 @@ class _Sums:
         return self.total[start + length] - self.total[start]
 
 
-def _shared(text: np.ndarray, order: np.ndarray, letters: int, cap: int, scratch: Scratch) -> np.ndarray:
-    """For each suffix in order the length, up to cap, of the prefix shared with the one before (0 for the first)."""
+def _shared(text: np.ndarray, order: np.ndarray, letters: int, cap: int, scratch: Scratch, least: int = 0) -> np.ndarray:
+    """For each suffix in order the length, up to cap, of the prefix shared with the one before (0 for the first). Lengths below `least` may be 0."""
     sums, n = _Sums(text, letters, scratch), len(text)
     out = scratch.array(len(order), np.uint16)
     for i, j in scratch.batches(len(order)):
@@ -427,9 +427,13 @@ def _shared(text: np.ndarray, order: np.ndarray, letters: int, cap: int, scratch
         a, b = np.minimum(part[:-1], part[1:]), np.maximum(part[:-1], part[1:])
         room, apart = np.minimum(cap, n - b), sums.power(b - a)
         got = np.zeros(len(a), np.int64)
-        step = 1 << (cap.bit_length() - 1)
+        step, some = 1 << (cap.bit_length() - 1), np.arange(len(a))
+        if least > 0:
+            some = np.flatnonzero(room >= least)
+            some = some[sums.hashes(a[some], least) * apart[some] == sums.hashes(b[some], least)]
+            got[some], step = least, 1 << max(0, (cap - least).bit_length() - 1)
         while step:
-            longer = np.flatnonzero(got + step <= room)
+            longer = some[got[some] + step <= room[some]]
             x = got[longer]
             same = sums.hashes(a[longer] + x, step) * apart[longer] == sums.hashes(b[longer] + x, step)
             got[longer[same]] += step
@@ -439,15 +443,18 @@ def _shared(text: np.ndarray, order: np.ndarray, letters: int, cap: int, scratch
     return out
 
 
-def suffix_order(text: np.ndarray, letters: int, depth: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(text: np.ndarray, letters: int, depth: int, scratch: Scratch, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first `depth` letters at least, and the prefixes shared with the one before, up to
-    depth. The last letter is 0 and the only one. The shared prefixes of the leftmost S-type ones are found by hashes
+    depth; of those shorter than `least` it is only known that they are. The last letter is 0 and the only one. The shared prefixes of the leftmost S-type ones are found by hashes
     of 64 bits, those of all others are induced."""
     if depth >= 1 << 16:
         raise ValueError("shared prefixes are kept in 16 bits")
     kind, lms, ranked = _sorted_lms(text, letters, depth, scratch)
+    # an induced prefix is longer than the one that it comes from, by less than the longest stretch between two of these suffixes
+    gap = max((int(np.diff(lms[max(0, i - 1) : j]).max(initial=0)) for i, j in scratch.batches(len(lms))), default=0)
+    gap = max(gap, int(lms[0]) if len(lms) else len(text))
     scratch.free(lms)
-    shared = _shared(text, ranked, letters, depth, scratch)
+    shared = _shared(text, ranked, letters, depth, scratch, max(0, least - gap - 1))
     large, large_shared, small, small_shared, seams = _induce(text, kind, ranked, shared, letters, depth, scratch)
     scratch.free(ranked, shared, kind)
     n = len(text)

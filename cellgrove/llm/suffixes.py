@@ -36,22 +36,37 @@ ANCHOR = 48
 _BLOCK = 1 << 20  # windows looked at together
 
 
-def anchors(data: np.ndarray, length: int = REPORT, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Hashes:
+    """Hashes of stretches of one text, from one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        up, self.down = common._powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(common._BYTE[data] * up[:n], out=self.total[1:])
+
+    def every(self, width: int) -> np.ndarray:
+        """Of `width` bytes at each place, unmixed."""
+        return (self.total[width:] - self.total[:-width]) * self.down[: len(self.total) - width]
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return common.mix64((self.total[end] - self.total[start]) * self.down[start])
+
+
+def anchors(data: np.ndarray, length: int = REPORT, width: int = ANCHOR, hashes: Hashes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows of `length` bytes of one text, in runs that share an anchor: first window, number of windows, anchor's place and hash.
 
     A window's anchor is the first of its `width`-byte strings with the least hash, so equal windows have
-    anchors of equal hash at equal places."""
+    anchors of equal hash at equal places. hashes: of data, or of a text that it begins."""
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)
-    start = np.arange(n - width + 1)
-    h = common.span_hashes(data, start, start + width)
-    reach = length - width + 1  # anchor places in a window
-    index = _first_least(h, reach)
+    h = (hashes or Hashes(data)).every(width)[: n - width + 1]
+    index = _first_least(h, length - width + 1)  # of the anchor places in a window
     begin = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
     count = np.diff(np.concatenate([begin, [len(index)]]))
-    return begin, count, index[begin], h[index[begin]]
+    return begin, count, index[begin], common.mix64(h[index[begin]])
 
 
 def _first_least(h: np.ndarray, reach: int) -> np.ndarray:
@@ -63,15 +78,14 @@ def _first_least(h: np.ndarray, reach: int) -> np.ndarray:
     grid = padded.reshape(blocks, reach)
     head = np.minimum.accumulate(grid, axis=1)
     tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
-    place = np.arange(blocks * reach).reshape(blocks, reach)
+    place = np.arange(blocks * reach, dtype=np.int32).reshape(blocks, reach)
     new = np.ones_like(grid, bool)
     new[:, 1:] = grid[:, 1:] < head[:, :-1]
-    head_at = np.maximum.accumulate(np.where(new, place, 0), axis=1).ravel()
+    head_at = np.maximum.accumulate(np.where(new, place, np.int32(0)), axis=1).ravel()
     back = np.ones_like(grid, bool)
     back[:, :-1] = grid[:, :-1] <= tail[:, 1:]
-    tail_at = np.minimum.accumulate(np.where(back, place, blocks * reach)[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = np.arange(n - reach + 1)
-    a, b = tail_at[windows], head_at[windows + reach - 1]
+    tail_at = np.minimum.accumulate(np.where(back, place, np.int32(blocks * reach))[:, ::-1], axis=1)[:, ::-1].ravel()
+    a, b = tail_at[: n - reach + 1], head_at[reach - 1 : n]
     return np.where(padded[b] < padded[a], b, a)
 
 
@@ -116,7 +130,7 @@ class Shard:
         for a, size, own in zip(at.tolist(), self.size, self.own, strict=False):
             place[a : a + max(0, min(own, size - self.report + 1))] = 1
             place[a : a + max(0, min(own, size - self.length + 1))] = 3
-        order, shared = suffix_order(text, 258, self.length, scratch)
+        order, shared = suffix_order(text, 258, self.length, scratch, self.report)
         again = scratch.array(n, np.uint8)
         last, least = -1, 0  # the owned place before, and the least shared prefix since
         for i, j in scratch.batches(n):
@@ -174,45 +188,64 @@ def _runs_in(data: np.ndarray, lo: int, hi: int, length: int, report: int, width
     for a in range(lo, hi, _BLOCK):
         b = min(hi, a + _BLOCK)
         part = data[a : b + length - 1]
-        first, count, _, h = anchors(part[: b - a + report - 1], report, width)
+        hashes = Hashes(part)
+        first, count, _, h = anchors(part[: b - a + report - 1], report, width, hashes)
         end = np.minimum(first + count + length - 1, len(part))
-        sid = common.mix64(common.span_hashes(part, first, end) + count.astype(np.uint64))
+        sid = common.mix64(hashes.spans(first, end) + count.astype(np.uint64))
         yield h.view(np.int64), sid.view(np.int64), (first + a).astype(np.int32), count.astype(np.int32)
 
 
+def _runs_of(data: np.ndarray, at: np.ndarray, length: int, report: int, width: int):
+    """The row, and what _runs_in gives, of each run among all windows of the texts that lie one after the other in data, row r from at[r] to at[r + 1]."""
+    size = np.diff(at)
+    windows = np.maximum(0, size - report + 1)
+    if not windows.any():
+        return None
+    hashes = Hashes(data)
+    h = hashes.every(width)
+    row = np.repeat(np.arange(len(size)), windows)
+    place = np.arange(len(row)) + np.repeat(at[:-1] - (np.cumsum(windows) - windows), windows)
+    index = _first_least(h, report - width + 1)[place]
+    begin = np.flatnonzero(np.concatenate([[True], (index[1:] != index[:-1]) | (row[1:] != row[:-1])]))
+    count = np.diff(np.concatenate([begin, [len(index)]]))
+    row, first, anchor = row[begin], place[begin], common.mix64(h[index[begin]])
+    end = np.minimum(first + count + length - 1, at[row + 1])
+    sid = common.mix64(hashes.spans(first, end) + count.astype(np.uint64))
+    return row, anchor.view(np.int64), sid.view(np.int64), (first - at[row]).astype(np.int32), count.astype(np.int32)
+
+
 def window_runs(texts: DataFrame, length: int = LENGTH, report: int = REPORT, width: int = ANCHOR) -> DataFrame:
     """A row for each run of windows of `report` bytes with the same anchor: tid, anchor's hash, piece's hash, first window, windows.
 
     texts: (tid, text), or (tid, packed, size, ranges) for some windows of each text only."""
-    some = "ranges" in texts.columns
+    some, names = "ranges" in texts.columns, ["tid", "ahash", "sid", "first", "windows"]
+
+    def out(tid, columns):
+        return pa.RecordBatch.from_arrays([pa.array(tid), *map(pa.array, columns)], names)
 
     def run(batches):
+        for batch in batches:
+            tid = batch.column(0).to_numpy()
+            data, at = common.flat(batch.column(1))
+            for i, j in common.slices(at, 1 << 20):
+                if at[j] - at[i] > 4 * _BLOCK:  # a very long text, in blocks of windows
+                    text = data[at[i] : at[j]]
+                    for columns in _runs_in(text, 0, max(0, len(text) - report + 1), length, report, width):
+                        yield out(np.full(len(columns[0]), tid[i]), columns)
+                elif (got := _runs_of(data[at[i] : at[j]], at[i : j + 1] - at[i], length, report, width)) is not None:
+                    yield out(tid[i + got[0]], got[1:])
+
+    def run_some(batches):
         codec = pa.Codec("zstd")
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            held = 0
-            raw = batch.column(1).cast(pa.binary())
-            for k, tid in enumerate(batch.column(0).to_pylist()):
-                text = raw[k].as_py()
-                if some:
-                    text = _unpacked(codec, text, batch.column(2)[k].as_py())
-                    ranges = [(r["first"], r["first"] + r["windows"]) for r in batch.column(3)[k].as_py()]
-                else:
-                    ranges = [(0, max(0, len(text) - report + 1))]
-                data = np.frombuffer(text, np.uint8)
-                for lo, hi in ranges:
-                    for columns in _runs_in(data, lo, hi, length, report, width):
-                        for column, values in zip(out, (np.full(len(columns[0]), tid), *columns), strict=True):
-                            column.append(values)
-                        held += len(columns[0])
-                        if held > 100_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["tid", "ahash", "sid", "first", "windows"])
-                            out, held = [[], [], [], [], []], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["tid", "ahash", "sid", "first", "windows"])
+            for tid, packed, size, ranges in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                text = np.frombuffer(_unpacked(codec, packed, size), np.uint8)
+                for r in ranges:
+                    for columns in _runs_in(text, r["first"], r["first"] + r["windows"], length, report, width):
+                        yield out(np.full(len(columns[0]), tid), columns)
 
     rows = texts.select("tid", "packed", "size", "ranges") if some else texts.where(F.octet_length("text") >= report).select("tid", "text")
-    return rows.mapInArrow(common.released(run), _RUNS)
+    return rows.mapInArrow(common.released(run_some if some else run), _RUNS)
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, length: int, report: int) -> DataFrame:

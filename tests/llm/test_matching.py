@@ -290,6 +290,10 @@ def test_suffix_order_and_shared_prefixes(letters):
             order, shared = induced.suffix_order(np.array(raw, np.uint16), letters, depth, scratch)
         else:
             order, shared = induced.order_suffixes(np.array(raw, np.int32), letters, depth, scratch), None
+        if shared is not None:  # short prefixes may be told as any shorter ones
+            least = int(rng.integers(0, depth + 1))
+            again, short = induced.suffix_order(np.array(raw, np.uint16), letters, depth, scratch, least)
+            assert (again == order).all() and (np.where(shared >= least, shared, 0) == np.where(short >= least, short, 0)).all()
         heads = [raw[i : i + depth] for i in order]
         assert sorted(map(int, order)) == list(range(len(raw))) and all(x <= y for x, y in zip(heads, heads[1:], strict=False))
         for k in range(1, len(raw) if shared is not None else 0):
