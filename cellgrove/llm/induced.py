@@ -169,7 +169,7 @@ class _Sweep:
         i, step = int(self.start[c]), self.scratch.batch
         while i < self.end[c]:
             j = min(int(self.end[c]), i + step)
-            self.deal(np.array(self.out[i:j]), None if self.shared is None else self.out_shared[i:j].astype(np.int64))
+            self.deal(self.out[i:j], None if self.shared is None else self.out_shared[i:j].astype(np.int64))
             i = j
         x, y = int(self.seed[c]), int(self.seed[c + 1])
         for i in range(x, y, step):

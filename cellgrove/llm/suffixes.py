@@ -302,8 +302,12 @@ def _repeated_runs(texts: DataFrame, length: int, report: int, widths: tuple[int
         runs = common.staged(spark, window_runs(source, length, report, width), "runs")
         repeated = common.staged(spark, runs.groupBy("ahash").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
         # anchors of more than a thousandth of all runs are a thousand at most; their rows stay where they are
-        often = F.broadcast(repeated.where(F.col("n") > F.lit(runs.count() / 1000)).select("ahash"))
-        again = runs.join(often, "ahash", "left_semi").union(runs.join(often, "ahash", "left_anti").join(repeated.select("ahash"), "ahash", "left_semi"))
+        often = common.staged(spark, repeated.where(F.col("n") > F.lit(runs.count() / 1000)).select("ahash"), "often")
+        if often.isEmpty():
+            again = runs.join(repeated.select("ahash"), "ahash", "left_semi")
+        else:
+            often = F.broadcast(often)
+            again = runs.join(often, "ahash", "left_semi").union(runs.join(often, "ahash", "left_anti").join(repeated.select("ahash"), "ahash", "left_semi"))
         again = common.staged(spark, again.groupBy("tid", "ahash", "sid", "first", "windows").agg(F.count("*").alias("n")), "again")
         pieces = again.groupBy("ahash", "sid").agg(F.sum("n").alias("copies"), F.min(F.struct("tid", "first")).alias("place"), F.first("windows").alias("windows"))
         pieces = common.staged(spark, pieces.select("ahash", "sid", "copies", "place.tid", "place.first", "windows"), "pieces")
