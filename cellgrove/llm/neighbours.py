@@ -4,9 +4,8 @@ Unit vectors are rotated at random; the sign of each coordinate is its code, pac
 inner product of a vector with its own code is kept as a correction. A query is rotated as well and its
 coordinates rounded to few bits; the bits' planes and a code give, by counting common bits, the inner product
 of query and code, which divided by the correction estimates the cosine. A bound on its error follows from the
-correction and the rounding. Of each batch of vectors a query first reranks its best few estimates; then all
-others whose estimate and bound reach the worst of these. Reranked scores are exact cosines of the original
-vectors.
+correction and the rounding. A query reranks the vectors whose estimate and bound reach the worst of its nearest
+so far. Reranked scores are exact cosines of the original vectors.
 
 Vectors lie in the order of coarse cells. For each query the k-th best cosine in a sample is known from the
 start; a cell whose vectors, by the angle to its centre and its radius, can't reach that is skipped, which
@@ -46,23 +45,37 @@ def encode(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed.view(np.uint64), np.abs(rotated).sum(axis=1) / np.sqrt(dims)
 
 
-def estimates(codes: np.ndarray, correction: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of vectors (rows) and rotated unit queries (columns), from counts of common bits, and the step of each query's rounding."""
-    dims = queries.shape[1]
+def rounded(queries: np.ndarray, planes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated queries in `planes` bits: the bits' planes as words, and each query's least level, step and sum of levels."""
+    n, dims = queries.shape
     low = queries.min(axis=1, keepdims=True)
-    step = np.maximum(queries.max(axis=1, keepdims=True) - low, 1e-12) / ((1 << PLANES) - 1)
+    step = np.maximum(queries.max(axis=1, keepdims=True) - low, 1e-12) / ((1 << planes) - 1)
     levels = np.rint((queries - low) / step).astype(np.uint8)
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
-    common_ = np.zeros((len(codes), len(queries)), np.float32)
-    for b in range(PLANES):
-        plane = np.zeros((len(queries), codes.shape[1] * 8), np.uint8)
-        plane[:, : -(-dims // 8)] = np.packbits(levels >> b & 1, axis=1)
-        plane = plane.view(np.uint64)
+    bits = np.zeros((planes, n, -(-dims // 64) * 8), np.uint8)
+    for b in range(planes):
+        bits[b, :, : -(-dims // 8)] = np.packbits(levels >> b & 1, axis=1)
+    return bits.view(np.uint64), low[:, 0].astype(np.float32), step[:, 0].astype(np.float32), levels.sum(axis=1, dtype=np.float32)
+
+
+def common_bits(codes: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """For each code (rows) and query (columns) the sum of the query's levels where the code has a bit."""
+    shape = (len(codes), planes.shape[1])
+    both, few, total = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.zeros(shape, np.uint32 if codes.shape[1] > 16 else np.uint16)
+    part = np.empty_like(total)
+    for b, plane in enumerate(planes):
         for w in range(codes.shape[1]):
-            common_ += np.bitwise_count(codes[:, w, None] & plane[None, :, w]) * np.float32(1 << b)
-    low, step = low[:, 0].astype(np.float32), step[:, 0].astype(np.float32)
-    total = low * dims + step * levels.sum(axis=1, dtype=np.float32)
-    signed = 2 * (ones[:, None] * low + common_ * step) - total
+            np.bitwise_and(codes[:, w, None], plane[None, :, w], out=both)
+            np.bitwise_count(both, out=few)
+            total += np.left_shift(few, b, out=part, dtype=part.dtype, casting="unsafe")
+    return total
+
+
+def estimates(codes: np.ndarray, correction: np.ndarray, queries: np.ndarray, planes: int = PLANES) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products of vectors (rows) and rotated unit queries (columns), from counts of common bits, and the step of each query's rounding."""
+    dims = queries.shape[1]
+    bits, low, step, levels = rounded(queries, planes)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
+    signed = 2 * (ones[:, None] * low + common_bits(codes, bits) * step) - (low * dims + step * levels)
     return signed / (correction * np.sqrt(dims)).astype(np.float32)[:, None], step
 
 
@@ -82,18 +95,31 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Exact:
     """Cosines of pairs of original vectors."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.a, self.b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-        self.norm_a, self.norm_b = np.sqrt(_dots(self.a, self.a)), np.sqrt(_dots(self.b, self.b))
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.norm = vectors, np.sqrt(_dots(vectors.T, vectors.T))
 
-    def cosines(self, i: np.ndarray, j: np.ndarray, step: int = 50_000) -> np.ndarray:
+    def cosines(self, i: np.ndarray, other: Exact, j: np.ndarray, step: int = 50_000) -> np.ndarray:
         out = np.empty(len(i))
         for k in range(0, len(i), step):
             x, y = i[k : k + step], j[k : k + step]
-            out[k : k + step] = _dots(self.a[:, x], self.b[:, y]) / (self.norm_a[x] * self.norm_b[y])
+            out[k : k + step] = _dots(self.vectors[x].T, other.vectors[y].T) / (self.norm[x] * other.norm[y])
         return out
 
 
+class Best:
+    """The k nearest vectors to each query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.score, self.id = k, np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        some, k = np.unique(query), self.k
+        q, i, s = np.concatenate([np.repeat(some, k), query]), np.concatenate([self.id[some].ravel(), ids]), np.concatenate([self.score[some].ravel(), score])
+        order = np.lexsort((i, -s, q))
+        first = order[np.searchsorted(q[order], some)[:, None] + np.arange(k)]
+        self.id[some], self.score[some] = i[first], s[first]
+
+
 class Cells:
     """Centres of coarse cells of unit vectors of one length, from a sample."""
 
@@ -122,7 +148,8 @@ class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, cells: Cells | None = None, known: np.ndarray | None = None, k: int = 5):
         self.ids, self.vectors, self.turn = ids, vectors, rotation(vectors.shape[1])
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.rotated = self.unit @ self.turn
+        self.bits, self.low, self.width, self.levels = rounded(self.unit @ self.turn, 4)
+        self.single, self.exactly = self.unit.astype(np.float32), Exact(vectors)
         self.centres = cells.centres if cells is not None else self.unit[:1]
         self.angle = _angles(self.unit, self.centres)
         #: The k-th best cosine among sampled vectors other than the query's own: a result has this at least.
@@ -134,41 +161,40 @@ class Block:
                 cos[ids[at : at + 256, None] == known[None, :]] = -np.inf
                 self.least[at : at + 256] = -np.partition(-cos, k - 1, axis=1)[:, k - 1] - 1e-9
 
-    def search(self, ids: np.ndarray, vectors: np.ndarray, k: int, confidence: float, step: int = 128) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, vec_id, score) of the k nearest of these vectors to each query, but for some that can't be among its nearest of all."""
+    def search(self, ids: np.ndarray, vectors: np.ndarray, best: Best, confidence: float) -> None:
+        """Adds the nearest of these vectors to best."""
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
         near = _angles(unit, self.centres)
         cell = near.argmin(axis=1)
-        out = []
         for c in np.unique(cell):
             mine = np.flatnonzero(cell == c)
             reach = np.cos(np.maximum(0, self.angle[:, c] - near[mine, c].max()))  # no vector of the cell is nearer
-            out += self._in_cell(np.flatnonzero(reach >= self.least - 1e-9), ids[mine], vectors[mine], unit[mine], k, confidence, step)
-        return out
+            self._in_cell(np.flatnonzero(reach >= np.maximum(self.least, best.score[:, -1]) - 1e-9), ids[mine], vectors[mine], unit[mine], best, confidence)
 
-    def _in_cell(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, unit: np.ndarray, k: int, confidence: float, step: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _in_cell(self, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, unit: np.ndarray, best: Best, confidence: float, step: int = 128, rows: int = 512) -> None:
+        """Tiles that stay in the processor's cache. Where few pairs of a tile pass their estimate these are scored at
+        once; where many do, single-precision products come between."""
         codes, correction = encode(unit @ self.turn)
-        slack = bounds(correction, vectors.shape[1], confidence).astype(np.float32)[:, None]
-        out, first, exactly = [], min(len(ids), 4 * k), Exact(vectors, self.vectors)
+        root = np.sqrt(vectors.shape[1])
+        scaled, ones = correction * root, np.bitwise_count(codes).sum(axis=1, dtype=np.float32)
+        left = np.stack([scaled, -bounds(correction, vectors.shape[1], confidence) * scaled, np.ones(len(ids)), -ones], axis=1).astype(np.float32)
+        single, exactly = unit.astype(np.float32), Exact(vectors)
         for at in range(0, len(queries), step):
             some = queries[at : at + step]
-            est, rounding = estimates(codes, correction, self.rotated[some])
-            wide = slack + confidence * rounding / np.float32(np.sqrt(12)) / correction.astype(np.float32)[:, None]
-            own = ids[:, None] == self.ids[None, some]
-            est[own] = -np.inf
-            n = est.shape[1]
-            best = np.argpartition(-est, first - 1, axis=0)[:first]
-            q = np.tile(np.arange(n), first)
-            exact = np.where(own[best.ravel(), q], -np.inf, exactly.cosines(best.ravel(), some[q])).reshape(first, n)
-            worst = -np.sort(-exact, axis=0)[min(k, first) - 1]
-            r, q = np.nonzero((est + wide >= np.maximum(worst, self.least[some]) - 1e-6) & ~own)
-            score = exactly.cosines(r, some[q])
-            order = np.lexsort((ids[r], -score, q))
-            q, r, score = q[order], r[order], score[order]
-            start = np.searchsorted(q, np.arange(n))
-            keep = np.arange(len(q)) - start[q] < k
-            out.append((self.ids[some[q[keep]]], ids[r[keep]], score[keep]))
-        return out
+            bits, low, width, levels = self.bits[:, some], self.low[some], self.width[some], self.levels[some]
+            rest = (low * vectors.shape[1] + width * levels - confidence * width * root / np.sqrt(12)) / (2 * width)
+            for r in range(0, len(ids), rows):
+                worst = np.maximum(self.least[some], best.score[some, -1]) - 1e-6
+                # the least count with which estimate and bound reach the worst of the nearest so far
+                enough = left[r : r + rows] @ np.stack([np.maximum(worst, -2) / (2 * width), 1 / (2 * width), rest, low / width]).astype(np.float32)
+                passed = common_bits(codes[r : r + rows], bits) >= enough - np.float32(0.01)
+                if np.count_nonzero(passed) > passed.size // 64:
+                    passed &= single[r : r + rows] @ self.single[some].T >= (worst - 1e-5).astype(np.float32)
+                i, j = np.divmod(np.flatnonzero(passed), len(some))
+                other = ids[r + i] != self.ids[some[j]]
+                i, j = r + i[other], some[j[other]]
+                if len(i):
+                    best.add(j, ids[i], exactly.cosines(i, self.exactly, j))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -220,11 +246,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, confidence: float = 4.0, b
         shared = spark.sparkContext.broadcast(blocks)
 
         def run(batches, shared=shared):
+            best = {d: Best(len(own.ids), k) for d, own in shared.value.items()}
             for batch in batches:
                 for ids, v in _by_length(batch.column(0).to_numpy(), batch.column(1)):
                     if (own := shared.value.get(v.shape[1])) is not None:
-                        for q, i, s in own.search(ids, v, k, confidence):
-                            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
+                        own.search(ids, v, best[v.shape[1]], confidence)
+            for d, own in shared.value.items():
+                q, at = np.nonzero(best[d].score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids[q]), pa.array(best[d].id[q, at]), pa.array(best[d].score[q, at])], ["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(common.released(run), "query_id long, vec_id long, score double")
         parts.append(found if n == 1 else common.staged(spark, found, "neighbours"))

@@ -69,6 +69,22 @@ def test_cells_that_cant_hold_a_neighbour_are_skipped(spark):
     assert got == [w[:3] for w in brute_nearest(rows)]
 
 
+def test_few_pairs_are_scored_exactly(monkeypatch):
+    """Vectors without clusters: estimates and single-precision products leave few pairs, and lose none of the nearest."""
+    rng = np.random.default_rng(2)
+    x, ids, scored, exact = rng.normal(size=(6000, 64)), np.arange(6000), [], neighbours.Exact.cosines
+    monkeypatch.setattr(neighbours.Exact, "cosines", lambda self, i, *a: scored.append(len(i)) or exact(self, i, *a))
+    block = neighbours.Block(ids[::50], x[::50], neighbours.Cells(x[::6]), ids[::6])
+    best = neighbours.Best(len(block.ids), 5)
+    for at in range(0, 6000, 2000):
+        block.search(ids[at : at + 2000], x[at : at + 2000], best, 4.0)
+    assert sum(scored) < 0.02 * 120 * 6000
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit[::50] @ unit.T
+    cos[ids[::50, None] == ids] = -1
+    assert (best.id == np.argsort(-cos, axis=1)[:, :5]).all()
+
+
 def test_recall_on_the_given_vectors(spark, medium):
     import duckdb
 
