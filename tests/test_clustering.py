@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,35 @@ def test_dbscan_against_brute_force(spark):
     assert [got[f"p{i:04d}"] for i in range(len(x))] == label.tolist()
 
 
+def test_near_counts_list_no_pairs(spark):
+    """20,000 points in a ball: 200 million pairs, of which none is written. Rows without a feature have no neighbours."""
+    x = np.random.default_rng(5).random((20_000, 3)) * 0.1
+    got = baselines.near_counts(spark.createDataFrame(pd.DataFrame({"CustomerID": [str(i) for i in range(len(x))], **{f"f{i}": x[:, i] for i in range(3)}})), ["f0", "f1", "f2"], 0.5)
+    assert [tuple(r) for r in got.groupBy("n_near").count().collect()] == [(19_999, 20_000)]
+    odd = spark.createDataFrame([("a", 0.0), ("b", None), ("c", float("nan")), ("d", 0.5), ("e", float("inf"))], "CustomerID string, f0 double")
+    assert {r.CustomerID: r.n_near for r in baselines.near_counts(odd, ["f0"], 0.5).collect()} == {"a": 1, "b": 0, "c": 0, "d": 1, "e": 0}
+
+
+def test_near_counts_on_the_edge(spark):
+    """Points a step of eps apart in a coordinate, some by a rounding more: as the sums in double precision have it."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 8, (1500, 4)) * 0.1
+    df = spark.createDataFrame([(str(i), *map(float, v)) for i, v in enumerate(x)], "CustomerID string, f0 double, f1 double, f2 double, f3 double")
+    d = np.zeros((len(x), len(x)))
+    for k in range(4):
+        d += (x[:, None, k] - x[None, :, k]) ** 2
+    want = (np.sqrt(d) <= 0.3).sum(axis=1) - 1
+    assert {r.CustomerID: r.n_near for r in baselines.near_counts(df, ["f0", "f1", "f2", "f3"], 0.3).collect()} == {str(i): int(n) for i, n in enumerate(want)}
+
+
+def test_dbscan_of_many_clusters(spark):
+    """More than 100,000 clusters, and a chain of points that is one."""
+    x = np.concatenate([np.arange(100_500) * 10.0, -10 - np.arange(3000) * 0.5])
+    df = spark.createDataFrame(pd.DataFrame({"CustomerID": [f"{i:06d}" for i in range(len(x))], "f0": x}))
+    out = baselines.dbscan(df, ["f0"], 0.5, 1).groupBy("cluster_id").count().groupBy("count").agg(F.count("*").alias("n"), F.max("cluster_id").alias("last"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 100_500, 100_499), (3000, 1, 100_500)]
+
+
 def test_ward_merges_least_squares_first():
     x = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
     assert baselines.ward(x, 3).tolist() == [0, 0, 1, 1, 2]
