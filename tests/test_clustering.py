@@ -281,6 +281,49 @@ def test_ward_merges_least_squares_first():
     assert baselines.ward(x, 2).tolist() == [0, 0, 1, 1, 1]
 
 
+def test_ward_in_rounds_equals_chains(spark):
+    """Merges of all pairs that are nearest to each other, on the driver and in tasks, are those of chains; equal rows count."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(900, 4)), rng.normal(3, 0.2, (300, 4))])
+    x = np.concatenate([x, x[:200], x[:50]])
+    chains = baselines.merges(x, few=len(x))
+    for got in (baselines.merges(x, few=10), baselines.merges(np.concatenate([x] * 8) + np.repeat(np.arange(8), len(x))[:, None] * 100, spark, few=10)):
+        assert len(got[0]) in (len(x) - 1, 8 * len(x) - 1)
+        if len(got[0]) == len(x) - 1:
+            assert np.allclose(np.sort(got[0]), np.sort(chains[0]))
+            assert all((baselines.cut(got, len(x), k) == baselines.cut(chains, len(x), k)).all() for k in (2, 5, 60))
+        else:
+            assert (baselines.cut(got, 8 * len(x), 8) == np.repeat(np.arange(8), len(x))).all()
+
+
+def test_comparison_shares_distances(spark, monkeypatch):
+    """Ten labellings of the same points: one pass of distances, and the figures of each alone."""
+    rng, calls, many = np.random.default_rng(3), [], metrics.silhouette_rows_many
+    df, names = points(spark, rng.random((90, 3)))
+    df = df.withColumns({f"run_{i}": (F.pmod(F.xxhash64("CustomerID", F.lit(i)), F.lit(i + 2)) - 1).cast("int") for i in range(10)})
+    monkeypatch.setattr(metrics, "silhouette_rows_many", lambda *a, **k: calls.append(1) or many(*a, **k))
+    got = metrics.evaluate_many(df, names, {f"run_{i}": ("hash", str(i)) for i in range(10)})
+    assert len(calls) == 1
+    for i in (0, 1, 9):
+        alone = metrics.evaluate(df, names, "hash", str(i), label=f"run_{i}")
+        assert all(got[i][k] == (pytest.approx(alone[k]) if isinstance(alone[k], float) else alone[k]) for k in got[i])
+
+
+def test_search_shares_distances(spark, monkeypatch):
+    calls, many = [], metrics.silhouette_rows_many
+    df, names = points(spark, np.random.default_rng(8).random((300, 3)) ** 2)
+    monkeypatch.setattr(metrics, "silhouette_rows_many", lambda *a, **k: calls.append(1) or many(*a, **k))
+    assert selection.grid_search(df, names).count() == 15 and len(calls) == 1
+
+
+def test_silhouettes_of_equal_and_distant_points(spark):
+    """Sums by product leave too few digits for equal points far from the origin: these have distance 0."""
+    x = np.concatenate([np.full((40, 2), 1e6), np.full((40, 2), 1e6)])
+    df, names = points(spark, x)
+    rows = metrics.silhouette_rows(df.withColumn("cluster_id", F.pmod(F.xxhash64("CustomerID"), F.lit(2)).cast("int")), names)
+    assert {r.silhouette for r in rows.collect()} == {0.0}
+
+
 def test_agglomerative_has_a_limit(spark):
     df, names = points(spark, [(0.1,), (0.2,), (0.9,)])
     with pytest.raises(ValueError):
