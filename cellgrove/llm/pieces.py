@@ -288,12 +288,14 @@ class Grown:
 
 
 class Store:
-    """The lattices of all units met so far, in one table. Beyond `most` units it starts anew with the next batch."""
+    """The lattices of all units met so far, in one table. Beyond `most` units it starts anew with the next batch.
+
+    New units are taken about `chars` characters at a time, as building a lattice takes many times the room that it keeps."""
 
     FIELDS = {"start": np.int32, "copy_start": np.int32, "best_end": np.int32, "best_log": float, "q": float, "log_q": float, "best_ids": np.int32, "ends": np.int32, "target": np.int32, "piece": np.int32, "log": float, "share": float}
 
-    def __init__(self, v: Vocabulary, most: int = 100_000):
-        self.v, self.most = v, most
+    def __init__(self, v: Vocabulary, most: int = 100_000, chars: int = 1 << 15):
+        self.v, self.most, self.chars = v, most, chars
         self.clear()
 
     def clear(self) -> None:
@@ -302,6 +304,12 @@ class Store:
         self.grown = {name: Grown(dtype) for name, dtype in self.FIELDS.items()}
         for name in ("ends", "best_end"):
             self.grown[name].add(np.zeros(1, np.int32))
+        self._show()
+
+    def _show(self, hidden: bool = False) -> None:
+        """The tables as they are now. Hidden while they grow, else those before would be kept as well."""
+        for name, x in self.grown.items():
+            setattr(self, name, None if hidden else x.room[: x.n])
 
     def places(self, units: list[str]) -> np.ndarray:
         """Where each of the distinct units is in the table."""
@@ -310,28 +318,32 @@ class Store:
             self.clear()
             new = units
         if new:
-            lat = Lattices(new, self.v)
-            g = self.grown
-            nodes, edges, steps = g["ends"].n - 1, g["target"].n, g["best_ids"].n
-            g["start"].add(lat.start + nodes)
-            g["copy_start"].add(lat.copy_start + nodes)
-            g["best_end"].add(lat.best_at[1:] + steps)
-            g["best_log"].add(lat.best_log)
-            g["q"].add(lat.q)
-            g["log_q"].add(np.log(np.maximum(lat.q, 1e-300)))
-            g["best_ids"].add(lat.best_ids)
-            g["ends"].add(lat.ends + edges)
-            g["target"].add(np.where(lat.target < 0, -1, lat.target + nodes))
-            g["piece"].add(lat.piece)
-            g["log"].add(lat.log)
-            g["share"].add(lat.share)
-            self.extra |= lat.extra
-            base = len(self.index)
-            self.index.update((u, base + i) for i, u in enumerate(new))
-        for name, x in self.grown.items():
-            setattr(self, name, x.room[: x.n])
+            self._show(hidden=True)
+        size = np.cumsum([0, *map(len, new)])
+        for a, b in common.slices(size, self.chars):
+            self._add(new[a:b])
+        self._show()
         return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
 
+    def _add(self, units: list[str]) -> None:
+        lat, g = Lattices(units, self.v), self.grown
+        nodes, edges, steps = g["ends"].n - 1, g["target"].n, g["best_ids"].n
+        g["start"].add(lat.start + nodes)
+        g["copy_start"].add(lat.copy_start + nodes)
+        g["best_end"].add(lat.best_at[1:] + steps)
+        g["best_log"].add(lat.best_log)
+        g["q"].add(lat.q)
+        g["log_q"].add(np.log(np.maximum(lat.q, 1e-300)))
+        g["best_ids"].add(lat.best_ids)
+        g["ends"].add(lat.ends + edges)
+        g["target"].add(np.where(lat.target < 0, -1, lat.target + nodes))
+        g["piece"].add(lat.piece)
+        g["log"].add(lat.log)
+        g["share"].add(lat.share)
+        self.extra |= lat.extra
+        base = len(self.index)
+        self.index.update((u, base + i) for i, u in enumerate(units))
+
     def best(self, unit: int) -> tuple[int, ...]:
         return tuple(self.best_ids[self.best_end[unit] : self.best_end[unit + 1]].tolist())
 

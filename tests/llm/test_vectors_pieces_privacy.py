@@ -3,6 +3,7 @@ import collections
 import gzip
 import re
 import textwrap
+import weakref
 import zlib
 import urllib.parse
 
@@ -143,6 +144,20 @@ def test_samples_follow_the_distribution(vocabulary):
     assert estimate == pytest.approx(sum(len(k) * v for k, v in p.items()), rel=0.02)
 
 
+def test_lattices_of_a_batch_are_built_in_slices_and_old_tables_go(vocabulary, monkeypatch):
+    built, plain = [], pieces.Lattices
+    monkeypatch.setattr(pieces, "Lattices", lambda units, v: built.append(sum(map(len, units))) or plain(units, v))
+    text = " ".join(f"word{i} é{i * 7919}" for i in range(9000))
+    store = pieces.Store(vocabulary)
+    got = pieces.encode_flat(store, [text], [3], 3)
+    assert len(built) > 1 and max(built) <= 1 << 15
+    whole = pieces.encode_flat(pieces.Store(vocabulary, chars=1 << 30), [text], [3], 3)
+    assert all(np.array_equal(a, b) for a, b in zip(got, whole, strict=True))
+    old = weakref.ref(store.share.base)
+    store.clear()
+    assert old() is None
+
+
 def test_pieces_odd_rows(odd):
     got = pieces.sample_documents(odd).collect()
     assert len(got) == 9 and all(r.exact is (None if not r.ids else True) for r in got)
