@@ -377,3 +377,31 @@ def test_units_by_subspace():
     units = [Unit((0,), (1,), 5), Unit((1,), (2,), 6), Unit((0, 1), (1, 2), 5), Unit((0,), (2,), 4)]
     model = Model(8, 0.05, ["a", "b"], 10, units)
     assert model.dense_units() == {(0,): [units[0], units[3]], (1,): [units[1]], (0, 1): [units[2]]}
+
+
+def test_repeated_points_are_one_point_with_a_weight(spark, monkeypatch):
+    rng, seen = np.random.default_rng(8), []
+    x, y = np.repeat(rng.random((40, 3)), 5, axis=0), np.repeat([0] * 15 + [1] * 15 + [-1] * 10, 5)
+    df, names = points(spark, x)
+    ids = spark.createDataFrame([(f"p{i:04d}", int(v)) for i, v in enumerate(y)], "CustomerID string, cluster_id int")
+    blocks, counts = metrics._blocks, baselines.space.counts
+    monkeypatch.setattr(metrics, "_blocks", lambda *a: (seen.append(len(b[0])) or b for b in blocks(*a)))
+    got = metrics.silhouette_rows(df.join(ids, "CustomerID"), names, block=23).agg(F.count("*"), F.avg("silhouette")).first()
+    assert tuple(got) == pytest.approx((150, brute_metrics(x[y >= 0], y[y >= 0])[0])) and sum(seen) == 30
+    seen.clear()
+    monkeypatch.setattr(baselines.space, "counts", lambda s, t, *a: seen.append(len(t.x)) or counts(s, t, *a))
+    near = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= 0.2).sum(axis=1)
+    assert [r.n_near + 1 for r in baselines.near_counts(df, names, 0.2).orderBy("CustomerID").collect()] == near.tolist()
+    found = {r.CustomerID: r.cluster_id for r in baselines.dbscan(df, names, 0.2, 11).collect()}
+    core, cluster = near >= 11, np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if cluster[i] < 0:
+            left, number = [i], cluster.max() + 1
+            while left:
+                at = left.pop()
+                for j in np.flatnonzero((np.sqrt(((x - x[at]) ** 2).sum(axis=1)) <= 0.2) & core & (cluster < 0)):
+                    cluster[j] = number
+                    left.append(j)
+    for i in np.flatnonzero(~core):
+        cluster[i] = min((cluster[j] for j in np.flatnonzero((np.sqrt(((x - x[i]) ** 2).sum(axis=1)) <= 0.2) & core)), default=-1)
+    assert [found[f"p{i:04d}"] for i in range(len(x))] == cluster.tolist() and seen == [40, 40]
