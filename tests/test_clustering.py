@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cellgrove.config import EngineConfig
 from cellgrove.functions.columns import cell, edge_text
 from cellgrove.operators import baselines, grid, metrics, preprocess, selection, validate
 from cellgrove.operators.clusters import Cluster, Model, adjacent_pairs, clusters_of, fit, fit_many
@@ -405,3 +406,12 @@ def test_repeated_points_are_one_point_with_a_weight(spark, monkeypatch):
     for i in np.flatnonzero(~core):
         cluster[i] = min((cluster[j] for j in np.flatnonzero((np.sqrt(((x - x[i]) ** 2).sum(axis=1)) <= 0.2) & core)), default=-1)
     assert [found[f"p{i:04d}"] for i in range(len(x))] == cluster.tolist() and seen == [40, 40]
+
+
+def test_search_sends_repeated_points_once(spark, monkeypatch):
+    rng, seen, blocks = np.random.default_rng(9), [], metrics._blocks
+    once = np.concatenate([rng.normal(c, 0.02, (30, 2)) for c in (0.2, 0.8)])
+    df, names = points(spark, np.repeat(once, 4, axis=0))
+    monkeypatch.setattr(metrics, "_blocks", lambda *a: (seen.append(len(b[0])) or b for b in blocks(*a)))
+    found = selection.grid_search(df, names, EngineConfig(xi_grid=(4,), tau_grid=(0.1,))).first()
+    assert 0 < sum(seen) <= 60 and found.silhouette is not None
