@@ -79,6 +79,13 @@ def released(run):
     return outer
 
 
+def give_back(spark: SparkSession) -> None:
+    """Lets executors return heap that they no longer use: what a shuffle before has grown stays theirs otherwise, beside
+    the Python workers of the next stage. A task for each core; where one finds no executor, that one keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """name, or with more underscores where a table has a column of that name."""
     taken = {c.lower() for t in tables for c in t.columns}

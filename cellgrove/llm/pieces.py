@@ -632,10 +632,10 @@ def encode_batch(v: Vocabulary, texts: list[str | None], keys: list[int], sample
 SCHEMA = "doc_id long, ids array<array<int>>, log_probs array<double>, inclusion array<double>, exact boolean"
 
 
-def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed: int = 0, power: float = 1.0, chars: int = 1 << 19) -> DataFrame:
+def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed: int = 0, power: float = 1.0, chars: int = 1 << 19, most: int = 100_000) -> DataFrame:
     """One row for each row of docs (doc_id, text): up to `samples` segmentations with log probabilities and
     inclusion scores, and whether each decodes to the text. model: a local path, read on the driver; chars: about
-    how many characters are taken together."""
+    how many characters are taken together; most: units whose lattices a task keeps. Samples depend on neither."""
     with open(model, "rb") as f:
         proto = f.read()
     if len(proto) > 64 << 20:
@@ -644,7 +644,7 @@ def sample_documents(docs: DataFrame, model: str = MODEL, samples: int = 3, seed
 
     def run(batches):
         v = Vocabulary(shared.value, power)
-        store = Store(v)
+        store = Store(v, most)
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             i = 0

@@ -32,8 +32,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each text."""
-    return pieces.sample_documents(docs)
+    """Sampled segmentations of each text. In smaller batches than alone, and with unused heap given back, as
+    executors have grown by the stages before."""
+    common.give_back(spark)
+    return pieces.sample_documents(docs, chars=1 << 18, most=50_000)
 
 
 STAGES = [

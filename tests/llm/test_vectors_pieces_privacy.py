@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellgrove.llm import neighbours, pieces, pii, secrets
+from cellgrove.llm import common, neighbours, pieces, pii, secrets
 from cellgrove.llm.queries import oracle_sql, queries
 
 
@@ -382,3 +382,23 @@ def test_pipeline_stages_take_odd_rows(spark, small, odd):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, small)
             assert frame.count() >= 0
+
+
+def grown_heap(spark):
+    """MB that the JVM holds after large arrays that nothing refers to any more."""
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    for _ in range(4):
+        gateway.detach(gateway.new_array(jvm.long, 60_000_000))
+    return jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20
+
+
+def test_unused_heap_is_given_back_before_pieces(spark, docs):
+    before = grown_heap(spark)
+    corpus_pipeline.encode_pieces(spark, docs((1, "a text")), "")
+    assert spark._jvm.java.lang.Runtime.getRuntime().totalMemory() >> 20 < before - 400
+
+
+def test_samples_of_the_pipeline_are_those_of_the_operator(spark, small):
+    frame = common.table(spark, small, "documents").limit(200)
+    rows = [sorted((r.doc_id, str(r.ids), str(r.inclusion)) for r in out.collect()) for out in (corpus_pipeline.encode_pieces(spark, frame, small), pieces.sample_documents(frame), pieces.sample_documents(frame, chars=1 << 12, most=50))]
+    assert rows[0] == rows[1] == rows[2]
