@@ -1,5 +1,6 @@
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -415,3 +416,18 @@ def test_search_sends_repeated_points_once(spark, monkeypatch):
     monkeypatch.setattr(metrics, "_blocks", lambda *a: (seen.append(len(b[0])) or b for b in blocks(*a)))
     found = selection.grid_search(df, names, EngineConfig(xi_grid=(4,), tau_grid=(0.1,))).first()
     assert 0 < sum(seen) <= 60 and found.silhouette is not None
+
+
+def test_search_labels_repeated_points_once(spark, monkeypatch):
+    """Equal points are one row when they are labelled, and the results are those of points one by one."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.round(rng.random((60, 2)) ** 2, 2), 20, axis=0)
+    points = spark.createDataFrame([(str(i), *map(float, p)) for i, p in enumerate(x)], "CustomerID string, a double, b double")
+    config, seen = EngineConfig(xi_grid=(4, 5), tau_grid=(0.1, 0.15)), []
+    whole = metrics.intrinsic_many
+    monkeypatch.setattr(metrics, "intrinsic_many", lambda p, f, labels, *a, **k: seen.append((p, labels)) or whole(p, f, labels, *a, **k))
+    once = [r[:5] + r[6:] for r in selection.grid_search(points, ["a", "b"], config).collect()]
+    assert seen[0][0].count() == len(np.unique(x, axis=0)) < 1200
+    each = [r[:5] + r[6:] for r in selection.grid_search(points, ["a", "b"], replace(config, silhouette_rows=10**9)).collect()]
+    assert once == each and any(r[5] is not None for r in once)
+    assert seen[1][0].count() == 1200
