@@ -20,6 +20,7 @@ first place. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import tempfile
 
 import numpy as np
@@ -269,19 +270,48 @@ def _contents(texts: DataFrame, wanted: DataFrame, length: int, report: int) ->
 _FOUND = "sid long, short binary, long binary"
 
 
-def _sort_shards(contents: DataFrame, shards: int, length: int, report: int, memory: int) -> DataFrame:
-    """(sid, short, long) of each piece: which of its windows repeat, and which start repeats of `length` bytes, packed."""
+def _meeting(pieces: list[bytes], windows: list[int], report: int, width: int) -> np.ndarray:
+    """Which pieces may share a string of `report` bytes with another one of their anchor.
+
+    Equal windows have their anchors at equal places, so at one side of it at least they share half of what is left of
+    `report`; a piece is out if no other one has the same bytes at either side, or none of its windows reaches so far."""
+    side, sides = -(-(report - width) // 2), np.zeros((2, len(pieces)), np.uint64)
+    there = np.zeros((2, len(pieces)), bool)
+    for i, j in common.slices(np.cumsum([0, *map(len, pieces)]), 1 << 20):
+        hashes, at = Hashes(np.frombuffer(b"".join(pieces[i:j]), np.uint8)), np.cumsum([0, *map(len, pieces[i : j - 1])])
+        anchor = at + hashes.every(width)[at[:, None] + np.arange(report - width + 1)].argmin(axis=1)
+        last = at + np.array(windows[i:j]) - 1 + report
+        for k, (ok, a, b) in enumerate(((anchor - at >= side, anchor - side, anchor + width), (last - anchor - width >= side, anchor, anchor + width + side))):
+            there[k, i:j] = ok
+            sides[k, i:j] = hashes.spans(np.where(ok, a, at), np.where(ok, b, at))
+    out = np.zeros(len(pieces), bool)
+    for ok, h in zip(there, sides, strict=True):
+        some = np.flatnonzero(ok)
+        _, which, n = np.unique(h[some], return_inverse=True, return_counts=True)
+        out[some] |= n[which] > 1
+    return out
+
+
+def _sort_shards(contents: DataFrame, shards: int, length: int, report: int, memory: int, width: int) -> DataFrame:
+    """(sid, short, long) of each piece: which of its windows repeat, and which start repeats of `length` bytes, packed.
+
+    Pieces that meet no other one beside their anchor are not sorted: their windows repeat if the piece has copies."""
 
     def run(batches):
-        shard, sids, seen = Shard(length, report, memory), [], set()
+        shard, pieces = Shard(length, report, memory), {}
         for batch in batches:
             for sid, windows, copies, content in zip(*(batch.column(c).to_pylist() for c in ("sid", "windows", "copies", "content")), strict=True):
-                if sid not in seen:  # copies of a text give a piece several times
-                    seen.add(sid)
-                    sids.append(sid)
-                    shard.add(content, windows, copies)
+                pieces[sid] = windows, copies, content  # copies of a text give a piece several times
+        meets = _meeting([p[2] for p in pieces.values()], [p[0] for p in pieces.values()], report, width).tolist()
+        sids = []
+        for (sid, (windows, copies, content)), meet in zip(pieces.items(), meets, strict=True):
+            if meet:
+                sids.append(sid)
+                shard.add(content, windows, copies)
+        alone = [(sid, [np.arange(p[0]) <= len(p[2]) - size for size in (report, length)]) for (sid, p), meet in zip(pieces.items(), meets, strict=True) if not meet and p[1] > 1]
+        pieces.clear()
         ids, bits = [], ([], [])
-        for sid, again in zip(sids, shard.repeated(), strict=True):
+        for sid, again in itertools.chain(alone, zip(sids, shard.repeated(), strict=True)):
             if again[0].any():
                 ids.append(sid)
                 for column, which in zip(bits, again, strict=True):
@@ -319,7 +349,7 @@ def _repeated_runs(texts: DataFrame, length: int, report: int, widths: tuple[int
         hot = common.staged(spark, anchor.where((F.col("kinds") > 1) & (F.col("bytes") > shard_bytes)).select("ahash"), "hot")
         sized = pieces.join(anchor.where(F.col("bytes") <= shard_bytes).where("kinds > 1").select("ahash"), "ahash", "left_semi")
         size = anchor.where((F.col("kinds") > 1) & (F.col("bytes") <= shard_bytes)).agg(F.sum("bytes")).first()[0] or 0
-        sorted_ = _sort_shards(_contents(texts, sized, length, report), max(1, -(-size // shard_bytes)), length, report, memory)
+        sorted_ = _sort_shards(_contents(texts, sized, length, report), max(1, -(-size // shard_bytes)), length, report, memory, width)
         single = pieces.join(anchor.where("kinds = 1").select("ahash"), "ahash", "left_semi").select("sid", F.lit(None).cast("binary").alias("short"), F.lit(None).cast("binary").alias("long"))
         found = common.staged(spark, sorted_.union(single), "repeats")
         levels.append(again.join(found, "sid").select("tid", "first", "windows", "short", "long"))

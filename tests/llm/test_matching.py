@@ -225,6 +225,21 @@ def test_repeats_among_many_surroundings(docs):
     assert sorted(((r.doc_id, r.n_repeated) for r in got), key=str) == sorted(((r[0], r[2]) for r in brute_kept(rows, 280)), key=str)
 
 
+def test_pieces_that_share_only_their_anchor_are_not_sorted():
+    """Of texts with one anchor in common, those that share half of a repeat's other bytes at a side of it are sorted."""
+    rng = np.random.default_rng(2)
+    text = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    first = text(700)
+    begin, count, place, _ = suffixes.anchors(np.frombuffer(first, np.uint8))
+    k = int(np.argmax(count))
+    a, n, at = int(begin[k]), int(count[k]), int(place[k])
+    piece = first[a : a + n + 399]
+    left = piece[: at - a + 68] + text(5) + piece[at - a + 73 :]
+    other = text(at - a) + piece[at - a : at - a + 48] + text(len(piece) - (at - a) - 48)
+    assert not suffixes._meeting([piece, other], [n, n], 280, 48).any()
+    assert at - a >= 116 and suffixes._meeting([piece, left], [n, n], 280, 48).all()
+
+
 def test_shard_far_larger_than_memory():
     """Ten times as much text as memory: what is allocated stays near the bound, and every planted repeat is found."""
     import tracemalloc
