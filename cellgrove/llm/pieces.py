@@ -11,7 +11,7 @@ don't depend on partitions or batches; rows without key use a hash of the text.
 
 Pieces never reach from one unit (a run of spaces with what follows it) into the next, so the lattice of a
 text is a chain of its units' lattices. A task builds the lattice of each distinct unit once, all new ones of
-a batch at the same time in numpy, and keeps them for later batches (up to a bound, then it starts anew).
+a batch at the same time in numpy, and keeps them for later batches; at a bound, those met most often stay.
 
 Characters without a piece become byte pieces, as does U+2581 itself; decoding gives back every text
 exactly. A null text has no samples and null for whether it is exact; the empty text has one, without pieces.
@@ -22,6 +22,7 @@ own, whole. Extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -82,6 +83,8 @@ class Vocabulary:
         keys = np.array([n * self.n_chars + c for n, c in children], np.int64)
         self._fill(keys, np.array(list(children.values()), np.int64))
         self.piece_at = np.array(self.piece_at, np.int32)
+        self.inner = np.zeros(len(self.piece_at), bool)  # nodes with a next one
+        self.inner[[n for n, _ in children]] = True
         self.first = np.full(self.n_chars, -1, np.int32)
         self.first[[c for n, c in children if n == 0]] = [child for (n, _), child in children.items() if n == 0]
 
@@ -167,12 +170,14 @@ class Lattices:
             ids.append(piece[has])
             nth.append(met[start_])
             met[start_] += 1
-            more = left[at] > depth
+            more = v.inner[node] & (left[at] > depth)
             at, node = at[more], node[more]
             node = v.step(node, char[at + depth])
             depth += 1
         frm, to, ids = np.concatenate(frm), np.concatenate(to), np.concatenate(ids)
-        rank = np.argsort(left, kind="stable").astype(np.int32)  # nodes from the units' ends
+        short = np.uint16 if left.max(initial=0) < 1 << 16 else np.int32  # which numpy sorts by digits
+        rank = np.argsort(left.astype(short), kind="stable").astype(np.int32)  # nodes from the units' ends
+        own = np.repeat(np.arange(len(units), dtype=np.int32), size)[rank]
         node_of = np.empty(n, np.int32)
         node_of[rank] = np.arange(n, dtype=np.int32)
         d_of = left[rank]
@@ -223,6 +228,7 @@ class Lattices:
         owner, edge = owner[order], edge[order]
         self.best_at = np.searchsorted(owner, np.arange(len(units) + 1))
         self.best_ids = ids[edge]
+        self.owner = np.concatenate([own, owner.astype(np.int32)])  # the unit of each node and copy
         self.best_log = best[self.start] - beta[self.start]
         # the copies: one for each step of a best path, from the last step to the first
         last = self.best_at[1:] - 1
@@ -286,13 +292,18 @@ class Grown:
         self.room[self.n : end] = more
         self.n = end
 
+    def become(self, fewer: np.ndarray) -> None:
+        """Other content, not longer; the room stays."""
+        self.n = len(fewer)
+        self.room[: self.n] = fewer
+
 
 class Store:
-    """The lattices of all units met so far, in one table. Beyond `most` units it starts anew with the next batch.
+    """The lattices of units met so far, in one table. Where a batch would take it beyond `most` units, those that most batches met stay, half of `most` at most.
 
     New units are taken about `chars` characters at a time, as building a lattice takes many times the room that it keeps."""
 
-    FIELDS = {"start": np.int32, "copy_start": np.int32, "best_end": np.int32, "best_log": float, "q": float, "log_q": float, "best_ids": np.int32, "ends": np.int32, "target": np.int32, "piece": np.int32, "log": float, "share": float}
+    FIELDS = {"start": np.int32, "copy_start": np.int32, "best_end": np.int32, "best_log": float, "q": float, "log_q": float, "best_ids": np.int32, "ends": np.int32, "target": np.int32, "piece": np.int32, "log": float, "share": float, "owner": np.int32, "met": np.int32}
 
     def __init__(self, v: Vocabulary, most: int = 100_000, chars: int = 1 << 15):
         self.v, self.most, self.chars = v, most, chars
@@ -311,23 +322,33 @@ class Store:
         for name, x in self.grown.items():
             setattr(self, name, None if hidden else x.room[: x.n])
 
+    def _found(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.fromiter(map(self.index.get, units, itertools.repeat(-1)), np.int64, len(units))
+        return out, np.flatnonzero(out < 0)
+
     def places(self, units: list[str]) -> np.ndarray:
         """Where each of the distinct units is in the table."""
-        new = [u for u in units if u not in self.index]
+        out, new = self._found(units)
         if self.index and len(self.index) + len(new) > self.most:
-            self.clear()
-            new = units
-        if new:
+            room = min(self.most // 2, self.most - len(units))
+            if room > 0 and len(self.index) <= self.most:
+                self._keep(room)
+            else:  # a very long text; the room that it took goes too
+                self.clear()
+            out, new = self._found(units)
+        if len(new):
+            out[new] = np.arange(len(self.index), len(self.index) + len(new))
+            names = list(map(units.__getitem__, new.tolist()))
             self._show(hidden=True)
-        size = np.cumsum([0, *map(len, new)])
-        for a, b in common.slices(size, self.chars):
-            self._add(new[a:b])
-        self._show()
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+            for a, b in common.slices(np.cumsum([0, *map(len, names)]), self.chars):
+                self._add(names[a:b])
+            self._show()
+        self.met[out] += 1
+        return out
 
     def _add(self, units: list[str]) -> None:
         lat, g = Lattices(units, self.v), self.grown
-        nodes, edges, steps = g["ends"].n - 1, g["target"].n, g["best_ids"].n
+        nodes, edges, steps, base = g["ends"].n - 1, g["target"].n, g["best_ids"].n, len(self.index)
         g["start"].add(lat.start + nodes)
         g["copy_start"].add(lat.copy_start + nodes)
         g["best_end"].add(lat.best_at[1:] + steps)
@@ -340,9 +361,34 @@ class Store:
         g["piece"].add(lat.piece)
         g["log"].add(lat.log)
         g["share"].add(lat.share)
+        g["owner"].add(lat.owner + base)
+        g["met"].add(np.zeros(len(units), np.int32))
         self.extra |= lat.extra
-        base = len(self.index)
-        self.index.update((u, base + i) for i, u in enumerate(units))
+        self.index.update(zip(units, range(base, base + len(units)), strict=True))
+
+    def _keep(self, count: int) -> None:
+        """Drops all units but the `count` that most batches met, at least two; what was met long ago counts half."""
+        often = np.argsort(-self.met, kind="stable")[:count]
+        stays = np.zeros(len(self.met), bool)
+        stays[often[self.met[often] > 1]] = True
+        node, degree, steps = stays[self.owner], np.diff(self.ends), np.diff(self.best_end)
+        edge, number = np.repeat(node, degree), np.cumsum(node, dtype=np.int32) - np.int32(1)
+        target = self.target[edge]
+        become = {
+            **{name: number[getattr(self, name)[stays]] for name in ("start", "copy_start")},
+            **{name: getattr(self, name)[stays] for name in ("best_log", "q", "log_q")},
+            **{name: getattr(self, name)[edge] for name in ("piece", "log", "share")},
+            "best_ids": self.best_ids[np.repeat(stays, steps)],
+            "best_end": np.concatenate([[0], np.cumsum(steps[stays])]),
+            "ends": np.concatenate([[0], np.cumsum(degree[node])]),
+            "target": np.where(target < 0, np.int32(-1), number[target]),
+            "owner": (np.cumsum(stays, dtype=np.int32) - np.int32(1))[self.owner[node]],
+            "met": self.met[stays] // 2,
+        }
+        for name, x in become.items():
+            self.grown[name].become(x)
+        self.index = dict(zip(itertools.compress(self.index, stays.tolist()), itertools.count(), strict=False))
+        self._show()
 
     def best(self, unit: int) -> tuple[int, ...]:
         return tuple(self.best_ids[self.best_end[unit] : self.best_end[unit + 1]].tolist())

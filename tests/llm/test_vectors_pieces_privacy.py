@@ -158,6 +158,22 @@ def test_lattices_of_a_batch_are_built_in_slices_and_old_tables_go(vocabulary, m
     assert old() is None
 
 
+def test_units_that_many_batches_meet_keep_their_lattices(vocabulary, monkeypatch):
+    built, plain = [], pieces.Lattices
+    monkeypatch.setattr(pieces, "Lattices", lambda units, v: built.extend(units) or plain(units, v))
+    store = pieces.Store(vocabulary, most=60)
+    texts = ["the quick brown fox 😀 jumps " + " ".join(f"word{k}x{j}" for j in range(20)) for k in range(12)]
+    got = [pieces.encode_flat(store, [t], [k], 3) for k, t in enumerate(texts)]
+    assert len(store.index) <= 60
+    assert [built.count(u) for u in (" the", " quick", " 😀", " word0x0")] == [1, 1, 1, 1]
+    pieces.encode_flat(store, [texts[0]], [0], 3)
+    assert built.count(" word0x0") == 2
+    for k, t in enumerate(texts):
+        want = pieces.encode_flat(pieces.Store(vocabulary), [t], [k], 3)
+        for a, b in zip(got[k], want, strict=True):
+            assert np.array_equal(a, b)
+
+
 def test_pieces_odd_rows(odd):
     got = pieces.sample_documents(odd).collect()
     assert len(got) == 9 and all(r.exact is (None if not r.ids else True) for r in got)
