@@ -24,11 +24,11 @@ _U = np.uint64
 
 
 class Scratch:
-    """Arrays in memory up to half of `memory` bytes in all, beyond that in unlinked files; batches take the other half."""
+    """Arrays in memory up to half of `memory` bytes in all, beyond that in unlinked files; batches take an eighth, so that they stay near the core."""
 
     def __init__(self, memory: int):
         self.left = memory // 2
-        self.batch = max(1 << 12, memory // 512)
+        self.batch = max(1 << 12, memory // 2048)
 
     def array(self, n: int, dtype) -> np.ndarray:
         size = n * np.dtype(dtype).itemsize

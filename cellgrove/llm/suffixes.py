@@ -35,6 +35,7 @@ LENGTH = 400
 REPORT = 280
 ANCHOR = 48
 _BLOCK = 1 << 20  # windows looked at together
+_SLICE = 1 << 17  # bytes of texts or pieces looked at together, so that arrays stay in a core's cache
 
 
 class Hashes:
@@ -228,7 +229,7 @@ def window_runs(texts: DataFrame, length: int = LENGTH, report: int = REPORT, wi
         for batch in batches:
             tid = batch.column(0).to_numpy()
             data, at = common.flat(batch.column(1))
-            for i, j in common.slices(at, 1 << 20):
+            for i, j in common.slices(at, _SLICE):
                 if at[j] - at[i] > 4 * _BLOCK:  # a very long text, in blocks of windows
                     text = data[at[i] : at[j]]
                     for columns in _runs_in(text, 0, max(0, len(text) - report + 1), length, report, width):
@@ -277,7 +278,7 @@ def _meeting(pieces: list[bytes], windows: list[int], report: int, width: int) -
     `report`; a piece is out if no other one has the same bytes at either side, or none of its windows reaches so far."""
     side, sides = -(-(report - width) // 2), np.zeros((2, len(pieces)), np.uint64)
     there = np.zeros((2, len(pieces)), bool)
-    for i, j in common.slices(np.cumsum([0, *map(len, pieces)]), 1 << 20):
+    for i, j in common.slices(np.cumsum([0, *map(len, pieces)]), _SLICE):
         hashes, at = Hashes(np.frombuffer(b"".join(pieces[i:j]), np.uint8)), np.cumsum([0, *map(len, pieces[i : j - 1])])
         anchor = at + hashes.every(width)[at[:, None] + np.arange(report - width + 1)].argmin(axis=1)
         last = at + np.array(windows[i:j]) - 1 + report
@@ -292,26 +293,71 @@ def _meeting(pieces: list[bytes], windows: list[int], report: int, width: int) -
     return out
 
 
+def _parts(pieces: list[bytes], windows: list[int], report: int, width: int, grain: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where each piece may share bytes, around its anchor, with another one of that anchor; at most `grain` bytes too far at a side.
+
+    Equal windows have their anchors at equal places, so all that two pieces share in their windows lies in one stretch
+    around these, which ends where they differ first at either side. What is beyond is in no repeat."""
+    size = np.array(list(map(len, pieces)), np.int64)
+    left, right = np.zeros((2, len(pieces)), np.int64)
+    sides = [np.zeros((most // grain, len(pieces)), np.uint32) for most in (report - width, int(size.max(initial=0)))]  # equal hashes of different bytes only take more along
+    for i, j in common.slices(np.cumsum([0, *size]), _SLICE):
+        hashes, at = Hashes(np.frombuffer(b"".join(pieces[i:j]), np.uint8)), np.cumsum([0, *size[i : j - 1]])
+        anchor = at + hashes.every(width)[at[:, None] + np.arange(report - width + 1)].argmin(axis=1)
+        left[i:j], right[i:j] = anchor - at, at + size[i:j] - anchor - width
+        for k in range(len(sides[0])):
+            sides[0][k, i:j] = hashes.spans(np.maximum(anchor - (k + 1) * grain, at), anchor + width)
+        for k in range(len(sides[1])):
+            sides[1][k, i:j] = hashes.spans(anchor, np.minimum(anchor + width + (k + 1) * grain, at + size[i:j]))
+    lo, hi = left.copy(), left + width
+    for room, hashed, sign, end in ((left, sides[0], -1, lo), (right, sides[1], 1, hi)):
+        far, live = np.zeros(len(pieces), np.int64), np.arange(len(pieces))
+        for k, h in enumerate(hashed):
+            live = live[room[live] >= (k + 1) * grain]
+            order = np.argsort(h[live])
+            same = np.diff(h[live[order]]) == 0
+            with_other = np.zeros(len(live), bool)
+            with_other[order[1:]] |= same
+            with_other[order[:-1]] |= same
+            live = live[with_other]
+            far[live] = (k + 1) * grain
+        end += sign * np.minimum(far + grain - 1, room)
+    return lo, hi
+
+
 def _sort_shards(contents: DataFrame, shards: int, length: int, report: int, memory: int, width: int) -> DataFrame:
     """(sid, short, long) of each piece: which of its windows repeat, and which start repeats of `length` bytes, packed.
 
-    Pieces that meet no other one beside their anchor are not sorted: their windows repeat if the piece has copies."""
+    Pieces that meet no other one beside their anchor are not sorted, and of the others only what another one may share.
+    All windows of a piece with copies repeat."""
 
     def run(batches):
         shard, pieces = Shard(length, report, memory), {}
         for batch in batches:
             for sid, windows, copies, content in zip(*(batch.column(c).to_pylist() for c in ("sid", "windows", "copies", "content")), strict=True):
                 pieces[sid] = windows, copies, content  # copies of a text give a piece several times
-        meets = _meeting([p[2] for p in pieces.values()], [p[0] for p in pieces.values()], report, width).tolist()
-        sids = []
-        for (sid, (windows, copies, content)), meet in zip(pieces.items(), meets, strict=True):
-            if meet:
-                sids.append(sid)
-                shard.add(content, windows, copies)
-        alone = [(sid, [np.arange(p[0]) <= len(p[2]) - size for size in (report, length)]) for (sid, p), meet in zip(pieces.items(), meets, strict=True) if not meet and p[1] > 1]
+        alone = [(sid, [np.arange(p[0]) <= len(p[2]) - size for size in (report, length)]) for sid, p in pieces.items() if p[1] > 1]
+        sids, rows = list(pieces), list(pieces.values())
+        some = np.flatnonzero(_meeting([r[2] for r in rows], [r[0] for r in rows], report, width))
+        rows = [rows[i] for i in some.tolist()]
+        lo, hi = _parts([r[2] for r in rows], [r[0] for r in rows], report, width)
+        sorted_ = []
+        for i, (windows, copies, content), a, b in zip(some.tolist(), rows, lo.tolist(), hi.tolist(), strict=True):
+            if (own := min(windows, b - report + 1) - a) > 0:
+                sorted_.append((sids[i], windows, copies, a, own))
+                shard.add(content[a:b], own, 1)
         pieces.clear()
+        rows.clear()
+
+        def found():
+            for (sid, windows, copies, a, own), again in zip(sorted_, shard.repeated(), strict=True):
+                if copies == 1 and again[0].any():
+                    whole = np.zeros((2, windows), bool)
+                    whole[:, a : a + own] = again
+                    yield sid, whole
+
         ids, bits = [], ([], [])
-        for sid, again in itertools.chain(alone, zip(sids, shard.repeated(), strict=True)):
+        for sid, again in itertools.chain(alone, found()):
             if again[0].any():
                 ids.append(sid)
                 for column, which in zip(bits, again, strict=True):

@@ -240,6 +240,39 @@ def test_pieces_that_share_only_their_anchor_are_not_sorted():
     assert at - a >= 116 and suffixes._meeting([piece, left], [n, n], 280, 48).all()
 
 
+def test_pieces_are_cut_to_what_others_of_their_anchor_share():
+    """Far less is sorted than the pieces hold, and the same windows repeat as in whole pieces."""
+    rng = np.random.default_rng(5)
+    first = rng.integers(97, 123, 900, dtype=np.uint8)
+    begin, count, place, _ = suffixes.anchors(first)
+    k = int(np.argmax(count))
+    a, n, at = int(begin[k]), int(count[k]), int(place[k]) - int(begin[k])
+    pieces, first = [], first[a : a + n + 399]
+    for before, after in ((at, 10_000), (40, 230), (100, 420), (230, 1), (5, 240), (16, 228)):
+        while True:  # until all windows have the anchor still
+            piece = first.copy()
+            piece[: max(0, at - before)] = rng.integers(65, 91, max(0, at - before))
+            piece[at + 48 + after :] = rng.integers(65, 91, len(piece[at + 48 + after :]))
+            if suffixes.anchors(piece[: n + 279])[2].tolist() == [at]:
+                break
+        pieces.append(piece.tobytes())
+    for some in (pieces[:2], pieces[1:4], pieces):
+        lo, hi = suffixes._parts(some, [n] * len(some), 280, 48)
+        own = np.minimum(n, hi - 279) - lo
+        want = suffixes.repeated_starts(some, [n] * len(some), [1] * len(some), 400, 280)
+        keep = np.flatnonzero(own > 0).tolist()
+        cut = [some[i][lo[i] : hi[i]] for i in keep]
+        got = dict(zip(keep, suffixes.repeated_starts(cut, own[keep].tolist(), [1] * len(cut), 400, 280), strict=True))
+        for i, (short, long) in enumerate(want):
+            whole = np.zeros((2, n), bool)
+            if i in got:
+                whole[:, lo[i] : lo[i] + own[i]] = got[i]
+            assert np.array_equal(whole, [short, long])
+    assert any(short.any() for short, _ in want)
+    lo, hi = suffixes._parts(pieces[:2], [n, n], 280, 48)
+    assert (hi - lo <= 40 + 48 + 230 + 2 * 16).all()
+
+
 def test_shard_far_larger_than_memory():
     """Ten times as much text as memory: what is allocated stays near the bound, and every planted repeat is found."""
     import tracemalloc
